@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,12 @@ def session(app: str = "sparkloom", master: str | None = None, shuffle_partition
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=settings).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; in a temporary folder only where none is configured."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.loom.scratch", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="loom-")
+        spark.conf.set("spark.loom.scratch", root)
+    return f"{root.rstrip('/')}/loom-{name}-{uuid.uuid4().hex}"

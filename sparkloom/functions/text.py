@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 import pandas as pd
@@ -208,3 +210,39 @@ def repetition(values: pd.Series) -> pd.Series:
 
 def repetition_ratio(text: Column) -> Column:
     return F.pandas_udf(repetition, T.DoubleType())(text)
+
+
+def lenient_json(values: pd.Series) -> pd.Series:
+    """JSON with triple-quoted strings, Python's literals, single trailing commas and text around it, as JSON; None if it stays wrong."""
+
+    def one(text: str | None) -> str | None:
+        if text is None or (m := re.search(r"(?s)[\[{].*[\]}]", text)) is None:
+            return None
+        x = re.sub(r'(?s)"""(.*?)"""', lambda t: json.dumps(t[1]), m[0])
+        parts = re.split(r'("(?:[^"\\]|\\.)*")', x)
+        for i in range(0, len(parts), 2):
+            for a, b in (("True", "true"), ("False", "false"), ("None", "null")):
+                parts[i] = re.sub(rf"\b{a}\b", b, parts[i])
+            parts[i] = re.sub(r",(\s*[\]}])", r"\1", parts[i])
+        try:
+            return json.dumps(json.loads("".join(parts)), sort_keys=True)
+        except ValueError:
+            return None
+
+    return values.map(one)
+
+
+def parsed_json(text: Column) -> Column:
+    return F.pandas_udf(lenient_json, T.StringType())(text)
+
+
+def channel_calls(text: Column) -> Column:
+    """(name, arguments) of each call in channel tags; arguments stay text."""
+    names = F.regexp_extract_all(text, F.lit(r"(?s)<\|channel\|>commentary to=functions\.(\w+).*?<\|message\|>(.*?)<\|call\|>"), 1)
+    arguments = F.regexp_extract_all(text, F.lit(r"(?s)<\|channel\|>commentary to=functions\.(\w+).*?<\|message\|>(.*?)<\|call\|>"), 2)
+    return F.zip_with(names, arguments, lambda n, a: F.struct(n.alias("name"), a.alias("arguments")))
+
+
+def fenced(text: Column, language: str = "json") -> Column:
+    """What the first fenced block holds."""
+    return F.nullif(F.regexp_extract(text, f"(?s)```{language}\\s*(.*?)```", 1), F.lit(""))

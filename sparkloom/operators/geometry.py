@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +100,61 @@ def apply_edits(scenes: DataFrame, edits: DataFrame, scene: str, order: str) ->
     joined = scenes.join(listed, scene, "left")
     state = F.aggregate("__e", F.struct(F.lit(False).alias("done"), F.col("objects").alias("objects")), step, lambda s: s["objects"])
     return joined.select(scene, F.when(F.col("__e").isNull(), F.col("objects")).otherwise(state).alias("objects"))
+
+
+def convex_overlap(p: list, q: list) -> float:
+    """Area that two convex polygons (lists of (x, z), either direction) share: p cut by each side of q."""
+
+    def area(poly: list) -> float:
+        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(poly, poly[1:] + poly[:1], strict=True)) / 2
+
+    p, q = [tuple(x) for x in p], [tuple(x) for x in q]
+    if area(q) < 0:
+        q = q[::-1]
+    for (ax, az), (bx, bz) in zip(q, q[1:] + q[:1], strict=True):
+        side = [(bx - ax) * (z - az) - (bz - az) * (x - ax) for x, z in p]
+        out = []
+        for i, (x, z) in enumerate(p):
+            before, now = side[i - 1], side[i]
+            if before * now < 0:
+                t = before / (before - now)
+                px, pz = p[i - 1]
+                out.append((px + t * (x - px), pz + t * (z - pz)))
+            if now >= 0:
+                out.append((x, z))
+        p = out
+        if len(p) < 3:
+            return 0.0
+    return abs(area(p))
+
+
+def footprint_overlap(a: Column, b: Column) -> Column:
+    """convex_overlap of two footprint columns, in Arrow batches."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([convex_overlap([list(v) for v in p], [list(v) for v in q]) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def repair(scenes: DataFrame, scene: str, size: float, step: float = 0.2, rounds: int = 50) -> DataFrame:
+    """(scene, key, x, z, removed): boxes outside [0, size] move step by step towards the middle, those that never fit are removed.
+
+    scenes: (scene, key, x, z, w), w being the side of a box. A scene is one task's group; nothing is random.
+    """
+
+    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.sort_values("key").copy()
+        for c in ("x", "z"):
+            for _ in range(rounds):
+                low, high = out[c] - out["w"] / 2 < 0, out[c] + out["w"] / 2 > size
+                if not (low | high).any():
+                    break
+                out[c] += step * (low.astype(float) - high.astype(float)) * ~(low & high)
+        fits = out["w"] <= size
+        for c in ("x", "z"):
+            fits &= (out[c] - out["w"] / 2 >= -1e-9) & (out[c] + out["w"] / 2 <= size + 1e-9)
+        return out.assign(removed=~fits)[[scene, "key", "x", "z", "removed"]]
+
+    kind = dict(scenes.dtypes)[scene]
+    return scenes.groupBy(scene).applyInPandas(fix, f"{scene} {kind}, key long, x double, z double, removed boolean")

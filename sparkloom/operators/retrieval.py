@@ -93,3 +93,30 @@ def threshold_with_fallback(df: DataFrame, group: str, score: str, threshold: fl
     """Rows at or above the threshold; where a group has none, those at or above the lower fallback."""
     best = F.max(score).over(Window.partitionBy(group))
     return df.withColumn("__m", best).where(F.col(score) >= F.when(F.col("__m") >= threshold, F.lit(threshold)).otherwise(F.lit(fallback))).drop("__m")
+
+
+def reuse_earlier(df: DataFrame, group: str, order: str, description: str, size: str, limit: float) -> DataFrame:
+    """(group, order, source): each row reuses the first earlier row of its group that wasn't itself reused, has the same
+    description and a size within limit; else its own order. The decision depends on those before, so a group is one task's."""
+    import pandas as pd
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        held: dict = {}
+        source = []
+        for o, d, s in zip(pdf[order], pdf[description], pdf[size], strict=True):
+            found = next((q for q, t in held.get(d, []) if np.linalg.norm(np.asarray(s) - np.asarray(t)) <= limit), None)
+            if found is None:
+                held.setdefault(d, []).append((o, s))
+            source.append(o if found is None else found)
+        return pd.DataFrame({group: pdf[group], order: pdf[order], "source": source})
+
+    kinds = dict(df.dtypes)
+    return df.select(group, order, description, size).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {order} {kinds[order]}, source {kinds[order]}")
+
+
+def views_max(df: DataFrame, query: str, item: str, image: str, text: str, threshold: float) -> DataFrame:
+    """(query, item, image, rank): an item's best view counts; items pass by the image score alone and rank by image and text together."""
+    best = df.groupBy(query, item).agg(F.max(image).alias("image"), F.max(text).alias("text")).where(F.col("image") >= threshold)
+    w = Window.partitionBy(query).orderBy(F.desc(F.round(F.col("image") + F.col("text"), 9)), item)
+    return best.withColumn("rank", F.row_number().over(w))

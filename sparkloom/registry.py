@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = tuple(f"sparkloom.plans.{m}_queries" for m in ("batch", "group", "scan", "metric", "text", "scene", "stream", "extra"))
+MODULES: tuple[str, ...] = tuple(f"sparkloom.plans.{m}_queries" for m in ("batch", "group", "scan", "metric", "text", "scene", "stream", "extra", "more"))
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -112,16 +113,17 @@ class Words:
     """Splits UTF-8 texts into words at separator bytes and hashes each word, for whole batches at a time.
 
     Every byte of a character outside ASCII counts as a word byte, so splitting bytes is the same as splitting
-    characters. A-Z hash as a-z. Words go through in pieces of about PIECE bytes, so memory doesn't grow with a text.
+    characters. A-Z hash as a-z unless told otherwise. Words go through in pieces of about PIECE bytes, so memory doesn't grow with a text.
     """
 
     PIECE = 1 << 18
 
-    def __init__(self, separators: bytes):
+    def __init__(self, separators: bytes, fold_case: bool = True):
         self.sep = np.zeros(256, bool)
         self.sep[list(separators)] = True
         self.value = mix(np.arange(1, 257, dtype=np.uint64))
-        self.value[65:91] = self.value[97:123]
+        if fold_case:
+            self.value[65:91] = self.value[97:123]
 
     def spans(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = np.zeros(len(buffer) + 2, np.int8)
@@ -180,6 +182,18 @@ def in_chunks(texts: list, size: int = 1 << 20):
         yield at, held
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that Python holds few texts at once; freed memory goes back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # workers are used again; on glibc they'd keep their peak
+    if trim:
+        trim(0)
+
+
 def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Callable[[], Callable[..., list]]) -> DataFrame:
     """df with one more struct column, computed from `columns` in Arrow batches without any shuffle.
 
@@ -193,7 +207,7 @@ def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
+        for batch in small(batches):
             n = batch.num_columns - inputs
             made = of(*[c.to_pylist() for c in batch.columns[n:]])
             arrays = [pa.array(v, f.type) for v, f in zip(made, arrow, strict=True)]

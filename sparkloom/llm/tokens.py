@@ -15,7 +15,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +23,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, scratch, staged
+from .common import Words, in_chunks, scratch, small, staged
 
 #: The dictionary is trained on the id arrays of so many documents of at most so many bytes each (those of least hash).
 DICTIONARY_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 16, 1 << 16
 SHARD_BYTES = 1 << 20
 MAGIC = b"LOOMTOK1"
 HEAD = struct.Struct("<8sBxxxI32s")  # magic, bytes an id, documents, sha256 of the dictionary
-CACHED_PIECES = 1_000_000
+#: Words that a worker knows at most (some thirty bytes each).
+CACHED_WORDS = 3_000_000
 END_ID = 0
 
 
 class Encoder:
-    """The tokenizers library with a cache of pieces.
+    """The tokenizers library with a cache of words.
 
-    A single space between two other characters that aren't white space always begins a token of byte-level BPE, so
-    what lies between two such places is encoded alone and the ids are the same as for the whole text.
+    A single space between two other characters that aren't white space always begins a token of byte-level BPE, so the
+    words between such spaces are encoded once each and the ids are the same as for the whole text. A text with other
+    white space next to white space, or at its ends, is encoded whole. Words are known by 64-bit hashes of their bytes;
+    hashes, places and ids lie in flat arrays, a few bytes a token.
     """
 
     SIGNS = ",.;:!?#$%&*"
-    PAIR, PLACE = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= \S)")
+    PAIR = re.compile(r"\s\s")
+    FIRST = np.uint64(0x5851F42D4C957F2D)  # a text's first word has no space before it
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,48 +54,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         # a token's characters stand for its bytes, one by one
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
-        self.cache: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if not text or self.PAIR.search(text) or text[0].isspace() or text[-1].isspace():
-            return self.PLACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Cache the ids of pieces. Signs after a piece's last letter or digit are a token of their own."""
-        parts = {p: w if (w := p.rstrip(self.SIGNS)) and w[-1].isalnum() else p for p in pieces}
-        lacking = {w for w in parts.values() if w not in self.cache}
-        lacking.update(t for p, w in parts.items() if (t := p[len(w) :]) not in self.cache)
-        kind = f"<u{self.width}"
+        self.words = Words(b" ", fold_case=False)
+        self.tails: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat = np.empty(0, self.kind)
+
+    def alone(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def tail(self, signs: str) -> bytes:
+        if len(signs) > 8:
+            return self.alone(signs)
+        if signs not in self.tails:
+            self.tails[signs] = self.alone(signs)
+        return self.tails[signs]
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space. Signs after a word's last letter or digit are a token of their own."""
+        stems = [w if (w := p.rstrip(self.SIGNS)) and w[-1].isalnum() else p for p in words]
+        plain = list({w for w in stems if w.isalnum()})
+        known: dict[str, bytes] = {}
         # Words after a space stay apart in one long text, too; the bytes of its tokens tell which are whose.
-        words = [w for w in lacking if w[:1] == " " and w[1:].isalnum()]
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, kind)
-            ends = np.searchsorted(self.n_bytes[ids].cumsum(), np.cumsum([len(w.encode()) for w in some])) + 1
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(self.n_bytes[ids].cumsum(), np.cumsum([len(w.encode()) + 1 for w in some])) + 1
             raw, start = ids.tobytes(), 0
             for w, end in zip(some, (ends * self.width).tolist(), strict=True):
-                self.cache[w] = raw[start:end]
+                known[w] = raw[start:end]
                 start = end
-        others = list(lacking.difference(words))
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, kind).tobytes()
-        self.cache.update({p: self.cache[w] + self.cache[p[len(w) :]] for p, w in parts.items()})
+        others = list({w for w in stems if w not in known})
+        for w, e in zip(others, self.tokenizer.encode_batch_fast([" " + w for w in others], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.kind).tobytes()
+        return [known[w] if len(p) == len(w) else known[w] + self.tail(p[len(w) :]) for p, w in zip(words, stems, strict=True)]
+
+    def learn(self, keys: np.ndarray, first: list[bool], words: list[str]) -> None:
+        spaced = iter(self.spaced([w for w, f in zip(words, first, strict=True) if not f]))
+        raw = [self.alone(w) if f else next(spaced) for w, f in zip(words, first, strict=True)]
+        n = np.array([len(x) // self.width for x in raw], np.int32)
+        at = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(raw), self.kind)])
+        order = np.argsort(every := np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.at, self.n = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+
+    def clean(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts whose only white space runs are single spaces inside."""
+        buffer, starts, ends, hashes, bounds = self.words.of_texts(texts)
+        first = np.zeros(len(hashes), bool)
+        first[bounds[:-1]] = True
+        hashes[first] ^= self.FIRST
+        used, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(used) > CACHED_WORDS:
+            self.forget()
+        place = np.searchsorted(self.keys, used)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != used) if len(self.keys) else np.arange(len(used))
+        if len(new):
+            some = example[new]
+            self.learn(used[new], first[some].tolist(), [buffer[s:e].tobytes().decode("utf-8", "surrogatepass") for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, used)
+        place = place[which]
+        n = self.n[place].astype(np.int64)
+        end = np.cumsum(n)
+        ids = self.flat[np.repeat(self.at[place] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        return np.split(ids, end[bounds[1:-1] - 1]) if len(texts) > 1 else [ids]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        used = set(chain.from_iterable(cut))
-        new = used - self.cache.keys()
-        if len(self.cache) + len(new) > CACHED_PIECES:
-            self.cache = {p: self.cache[p] for p in used & self.cache.keys()}
-        self.learn(new)
-        end = np.array([END_ID], f"<u{self.width}").tobytes()
-        return [b"".join([*map(self.cache.__getitem__, c), end]) for c in cut]
+        """Each text's ids and END_ID, as bytes."""
+        end = np.array([END_ID], self.kind).tobytes()
+        out = [b""] * len(texts)
+        tidy = []
+        for i, t in enumerate(texts):
+            if t and not (t[0].isspace() or t[-1].isspace() or self.PAIR.search(t)):
+                tidy.append(i)
+            else:
+                out[i] = (self.alone(t) if t else b"") + end
+        for at, chunk in in_chunks([texts[i] for i in tidy], 2 << 20):
+            for i, ids in zip(tidy[at : at + len(chunk)], self.clean(chunk), strict=True):
+                out[i] = ids.tobytes() + end
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -140,11 +187,9 @@ def pack_shard(width: int, digest: bytes, doc_ids: list, counts: list[int], fram
 def _frames(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press = encoder(path), compressor(shared.value)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, chunk in in_chunks(texts):
-                raw = enc.encode([t or "" for t in texts[at : at + len(chunk)]])
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(chunk)), pa.array([len(r) // enc.width for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary())], names=["doc_id", "n", "frame"])
+        for batch in small(batches):
+            raw = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // enc.width for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary())], names=["doc_id", "n", "frame"])
 
     return run
 
@@ -160,7 +205,7 @@ def _shards(width: int, digest: bytes, size: int):
             values = [[part], [shard], [start], [sum(counts)], [len(ids)], [pack_shard(width, digest, ids, counts, frames)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=names)
 
-        for batch in batches:
+        for batch in small(batches):
             for i, n, f in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 ids.append(i)
                 counts.append(n)
@@ -189,7 +234,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int =
     plain = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").where(F.octet_length("text") <= SAMPLE_BYTES)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array(encoder(tokenizer).encode(batch.column(1).to_pylist()), pa.binary())], names=["raw"])
 
     samples = sorted(bytes(r.raw) for r in plain.mapInArrow(arrays, "raw binary").limit(DICTIONARY_SAMPLES).collect())
@@ -221,7 +266,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for before, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(blob.as_py(), shared.value)
                 starts = before + np.concatenate(([0], np.cumsum(shard.counts)[:-1])).astype(np.int64)

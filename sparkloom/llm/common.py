@@ -182,6 +182,18 @@ def in_chunks(texts: list, size: int = 1 << 20):
         yield at, held
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Lower the session's Arrow batches to so many rows, if they are larger.
+
+    Each running task holds a batch on either side of the pipe to Python; with 10,000 long texts in it that is most of a
+    small executor's memory outside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    return spark
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of so many rows, so that Python holds few texts at once; freed memory goes back at the end."""
     for batch in batches:
@@ -200,6 +212,7 @@ def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Call
     make() runs once a task and gives a function from the columns' Python lists to one list per field. A struct of a
     private name can't clash with df's own columns, which pass through untouched.
     """
+    bound_batches(df.sparkSession)
     arguments = [c.alias(f"__in{i}") for i, c in enumerate(columns)]
     kind = T.StructType.fromDDL(fields)
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])

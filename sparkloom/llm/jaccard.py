@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, in_chunks, join_salted, mix, shingles, staged
+from .common import Words, bound_batches, connected_components, in_chunks, join_salted, mix, shingles, small, staged
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: Documents a search task holds at most (of one block; small blocks are packed together up to about this many).
-CHUNK = 4000
+CHUNK = 1000
 #: Tokens that a task gathers before it sends a segment.
 SEGMENT = 1_500_000
 
@@ -77,7 +77,7 @@ def _segments(k: int, bits: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         ids, sets, sigs, fresh, seen, held = [], [], [], [], set(), 0
-        for batch in batches:
+        for batch in small(batches):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, chunk in in_chunks(texts):
                 _, _, _, hashes, bounds = words.of_texts(chunk)
@@ -239,7 +239,7 @@ def search_tasks(members: DataFrame, percent: int, chunk: int) -> DataFrame:
     """
     count = members.groupBy("block").agg(F.count("*").alias("c"))
     total = members.count()
-    packs = max(1, -(-2 * total // chunk))
+    packs = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // chunk))
     sized = members.join(count, "block")
     small = sized.where(F.col("c") <= chunk).select(F.pmod(F.xxhash64("block"), F.lit(packs)).alias("task"), "block", F.lit(-1).alias("side"), "sig", "n", "tokens")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
@@ -261,7 +261,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, chunk: in
     nothing is capped or sampled. Rows that repeat a doc_id are kept, each with its own text's component; a null doc_id
     is never a component_id unless the component has no other.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     bits = bits_for(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sent = rows.mapInArrow(_segments(k, bits, segment), "bucket long, seg long, payload binary")
@@ -276,7 +276,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, chunk: in
     blocks = connected_components(stars).select(F.col("node").alias("sig"), F.col("component").alias("block"))
     one = able.groupBy("sig").agg(F.max("n").alias("n"), F.max("tokens").alias("tokens"))
     members = staged(one.join(blocks, "sig"), "members")
-    links = search_tasks(members, percent, chunk).groupBy("task").applyInArrow(_search(percent), "a long, b long")
+    # Few bytes but long work: a number of partitions of its own, which AQE doesn't merge.
+    tasks = search_tasks(members, percent, chunk).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "task")
+    links = tasks.groupBy("task").applyInArrow(_search(percent), "a long, b long")
     joined = connected_components(links).select(F.col("node").alias("sig"), "component")
 
     linked = joined.join(classes, "sig")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, in_chunks, mix, with_struct
+from .common import Words, bound_batches, in_chunks, mix, small, with_struct
 
 #: Bytes below 0x80 that are no letters or digits once A-Z are lower-cased (A-Z hash as a-z, so they count as letters).
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -86,7 +86,7 @@ def _counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words = shared.value, Words(SEPARATORS)
         total = np.zeros(len(block.wanted), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for _, chunk in in_chunks(batch.column(0).to_pylist()):
                 _, _, _, hashes, bounds = words.of_texts(chunk)
                 owner = np.repeat(np.arange(len(chunk)), np.diff(bounds))
@@ -171,7 +171,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     nothing; an item without an id hits words but isn't listed; rows that repeat an item count once. Empty tables give
     empty results.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("t")).where(F.col("t").isNotNull())
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

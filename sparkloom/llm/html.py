@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_salted, staged, with_struct
+from .common import BROADCAST_ROWS, bound_batches, join_salted, small, staged, with_struct
 from .urls import host_and_path
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'][^>]*\Z)*+)(?:>|\Z)""", re.S)
@@ -173,7 +173,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.float64())], names=["host", "path", "score"])
 
         votes: dict[tuple[str, str], float] = {}
-        for batch in batches:
+        for batch in small(batches):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for path, score in Page(source or "").best():
                     votes[host, path] = votes.get((host, path), 0.0) + score
@@ -193,6 +193,7 @@ def with_main_text(pages: DataFrame) -> DataFrame:
     give an empty text. Hosts mostly agree on one path; only hosts with another are joined, by broadcast if there are at
     most BROADCAST_ROWS of them, else by a salted shuffle.
     """
+    bound_batches(pages.sparkSession)
     keyed = pages.withColumn("__host", host_and_path(F.col("url"))[0])
     votes = host_votes(keyed.select(F.col("__host").alias("host"), "html"))
     winners = staged(votes.groupBy("host").agg(F.max(F.struct("score", "path")).getField("path").alias("path")), "paths")

@@ -73,4 +73,16 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as big
 from d left join hit using (r) left join items using (r)
 """
 
-ORACLES = {"op5_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": DECONTAMINATION}
+#: All pairs of documents that share a shingle, links among them, and what is reachable.
+JACCARD = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct r, g from (select r, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d)),
+n as (select r, count(*) as n from s group by r),
+shared as (select a.r as x, b.r as y, count(*) as c from s a join s b on a.g = b.g and a.r < b.r group by 1, 2),
+links as (select x, y from shared join n a on a.r = x join n b on b.r = y where 100 * c >= 85 * (a.n + b.n - c)),
+sides as (select x, y from links union all select y, x from links),
+reach as (select r, r as c from d union select reach.r, sides.y from reach join sides on sides.x = reach.c)
+select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(e.doc_id) as component_id from d left join n using (r) join reach using (r) join d e on e.r = reach.c group by d.r, d.doc_id
+"""
+
+ORACLES = {"op5_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": DECONTAMINATION, "op9_jaccard_join": JACCARD}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, with_struct
+from .common import in_chunks, small, with_struct
 
 #: Sets of exact strings larger than this are given up.
 EXACT = 64
@@ -177,7 +177,7 @@ def trigram_postings(docs: DataFrame, trigrams: set[str]) -> DataFrame:
 
     def run(batches):
         index = Index(trigrams)
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0)
             for at, chunk in in_chunks(batch.column(1).to_pylist()):
                 for t, rows in index.postings(chunk).items():

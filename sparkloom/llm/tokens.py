@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, in_chunks, scratch, small, staged
+from .common import Words, bound_batches, in_chunks, scratch, small, staged
 
 #: The dictionary is trained on the id arrays of so many documents of at most so many bytes each (those of least hash).
 DICTIONARY_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 16, 1 << 16
@@ -31,7 +31,7 @@ SHARD_BYTES = 1 << 20
 MAGIC = b"LOOMTOK1"
 HEAD = struct.Struct("<8sBxxxI32s")  # magic, bytes an id, documents, sha256 of the dictionary
 #: Words that a worker knows at most (some thirty bytes each).
-CACHED_WORDS = 3_000_000
+CACHED_WORDS = 1_500_000
 END_ID = 0
 
 
@@ -228,7 +228,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int =
     their frames' hashes. Frames are written once before they are sorted, so no text is tokenized twice, and the sort
     moves compressed frames instead of texts.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = rows.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_SAMPLES)
     plain = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").where(F.octet_length("text") <= SAMPLE_BYTES)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_struct
+from .common import bound_batches, small, with_struct
 
 #: Labelled rows that are learned from, at most: those of least hash. The rest of the work covers every row.
 MAX_TOXIC, MAX_OTHER = 10_000, 20_000
@@ -114,7 +114,7 @@ def _tally(wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         keep = wanted.value if wanted else None
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 found = entries(text or "")
                 counts.update(found if keep is None else found & keep)
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
     labels and ids are left out; if an id has several labels, the greater counts. Without toxic or without other rows the
     model has no entries and scores the share of toxic rows.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "toxic")
     known = known.groupBy("__id").agg(F.max("toxic").alias("__toxic"))
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             f = [m.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], names=["d", "t"])
 

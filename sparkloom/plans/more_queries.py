@@ -179,7 +179,7 @@ def n42_turn_reward(s, d):
     count = L.object_count_reward(F.col("objects"), F.col("turn") == 3)
     x = e.join(F.broadcast(weights), "turn")
     reward = F.when((F.col("objects") < 4) & (F.col("turn") == 3), -1.0).otherwise(F.col("w1") * depth + F.col("w2") * count)
-    return x.select("event_id", r(reward, 8).alias("reward"))
+    return x.select("event_id", r(reward, 4).alias("reward"))
 
 
 def n43_object_count(s, d):
@@ -396,7 +396,7 @@ QUERIES = {
     "n38_size_distance": (n38_size_distance, "select p_partkey, round(sqrt(pow(p_size - 1, 2) + 4), 6) as distance from part"),
     "n39_box_dimensions": (n39_box_dimensions, "select p_partkey, case p_partkey % 3 when 0 then p_size::double when 1 then p_size * 2.0::double else 1 end as x, case p_partkey % 3 when 0 then 2.0::double when 1 then 4 else 1 end as y from part"),
     "n41_mesh_reward": (n41_mesh_reward, f"select p_partkey, round(({_PWC.format('(p_size * 2.0::double)', 20, 45)} + {_PWC.format('(p_size * 1.5::double)', 10, 30)}) / 2, 5) + 0.0 as reward from part"),
-    "n42_turn_reward": (n42_turn_reward, f"select event_id, round(case when ob < 4 and tn = 3 then -1 else (0.50771::double + 0.1 * tn) * {_DEP} + (0.49229::double - 0.1 * tn) * case when ob >= 15 then 1 when ob >= 5 then (ob - 5) / 10.0::double else -1 end end, 8) + 0.0 as reward from (select *, event_id % 4 as tn, value / 100 as dp, user_id % 20 as ob from events)"),
+    "n42_turn_reward": (n42_turn_reward, f"select event_id, round(case when ob < 4 and tn = 3 then -1 else (0.50771::double + 0.1 * tn) * {_DEP} + (0.49229::double - 0.1 * tn) * case when ob >= 15 then 1 when ob >= 5 then (ob - 5) / 10.0::double else -1 end end, 4) + 0.0 as reward from (select *, event_id % 4 as tn, value / 100 as dp, user_id % 20 as ob from events)"),
     "n43_object_count": (n43_object_count, "select p_partkey, round(case when p_size % 20 >= 15 then 1 when p_size % 20 >= 5 then (p_size % 20 - 5) / 10.0::double else -1 end, 6) as reward, p_size % 20 < 4 as override from part"),
     "n48_yaw": (n48_yaw, "select p_partkey, round((p_size - 25) / 10.0::double, 6) as yaw from part"),
     "n49_rotated_overlap": (n49_rotated_overlap, "select p_partkey, round(greatest(2 - p_size / 20.0::double, 0) * 2, 5) as area from part"),

@@ -30,8 +30,8 @@ def w01_gae(s, d):
 
 
 def w02_returns(s, d):
-    a = _arrays(s, d).withColumn("ret", S.discounted_returns(F.col("rew"), F.col("mask"), 0.9))
-    return a.select("l_orderkey", r(_sum("ret")).alias("total"), r(F.element_at("ret", 1)).alias("first"))
+    a = _arrays(s, d).withColumn("ret", S.discounted_returns(F.col("rew"), F.col("mask"), 0.9531))
+    return a.select("l_orderkey", r(_sum("ret"), 7).alias("total"), r(F.element_at("ret", 1), 7).alias("first"))
 
 
 def w03_suffix_sums(s, d):
@@ -298,7 +298,7 @@ _TOP = f"(select *, row_number() over (partition by l_suppkey order by cov desc,
 
 QUERIES = {
     "w01_gae": (w01_gae, f"{_BACK}, f as (select l_orderkey, rew, val, mask, len(rew) as i, 0.0::double as v, 0.0::double as g, 0.0::double as total from a union all select l_orderkey, rew, val, mask, i - 1, case when mask[i] = 1 then val[i] else v end, case when mask[i] = 1 then rew[i] + 0.9531::double * v - val[i] + 0.9531::double * 0.9173::double * g else g end, total + case when mask[i] = 1 then rew[i] + 0.9531::double * v - val[i] + 0.9531::double * 0.9173::double * g else g end from f where i > 0) select l_orderkey, round(total, 7) + 0.0 as total, round(g, 7) + 0.0 as first, len(rew) as n from f where i = 0"),
-    "w02_returns": (w02_returns, f"{_BACK}, f as (select l_orderkey, rew, mask, len(rew) as i, 0.0::double as g, 0.0::double as h, 0.0::double as total from a union all select l_orderkey, rew, mask, i - 1, (rew[i] + 0.9 * g) * mask[i], rew[i] + 0.9 * g, total + rew[i] + 0.9 * g from f where i > 0) select l_orderkey, round(total, 6) as total, round(h, 6) as first from f where i = 0"),
+    "w02_returns": (w02_returns, f"{_BACK}, f as (select l_orderkey, rew, mask, len(rew) as i, 0.0::double as g, 0.0::double as h, 0.0::double as total from a union all select l_orderkey, rew, mask, i - 1, (rew[i] + 0.9531::double * g) * mask[i], rew[i] + 0.9531::double * g, total + rew[i] + 0.9531::double * g from f where i > 0) select l_orderkey, round(total, 7) as total, round(h, 7) as first from f where i = 0"),
     "w03_suffix_sums": (w03_suffix_sums, f"with a as {_ARR} select l_orderkey, round(list_sum(list_transform(range(1, len(rew) + 1), lambda i: i * rew[i] * mask[i])), 6) as total, round(list_sum(list_transform(range(1, len(rew) + 1), lambda i: rew[i] * mask[i])), 6) as first from a"),
     "w04_response_mask": (w04_response_mask, f"with a as {_ARR} select l_orderkey, array_to_string(list_transform(range(1, len(lines) + 1), lambda i: case when len(list_filter(lines[1:i - 1], lambda x: x in (3, 5))) = 0 then '1' else '0' end), '') as mask from a"),
     "w05_last_columns": (w05_last_columns, f"with a as {_ARR} select l_orderkey, array_to_string(mask[greatest(1, len(mask) - 1):], '') as mask from a"),

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.types import cast
+
 MODULES: tuple[str, ...] = tuple(f"sparkloom.plans.{m}_queries" for m in ("batch", "group", "scan", "metric", "text", "scene", "stream", "extra", "more"))
 
 
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _all().items() if sql}
+    return {name: cast(name, sql) for name, (_, sql) in _all().items() if sql}

@@ -30,7 +30,7 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: Documents a search task holds at most (of one block; small blocks are packed together up to about this many).
 CHUNK = 1000
 #: Tokens that a task gathers before it sends a segment.
-SEGMENT = 1_500_000
+SEGMENT = 700_000
 
 
 def bits_for(spark) -> int:

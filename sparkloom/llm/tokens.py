@@ -32,6 +32,7 @@ MAGIC = b"LOOMTOK1"
 HEAD = struct.Struct("<8sBxxxI32s")  # magic, bytes an id, documents, sha256 of the dictionary
 #: Words that a worker knows at most (some thirty bytes each).
 CACHED_WORDS = 1_500_000
+LATE_WORDS = 100_000
 END_ID = 0
 
 
@@ -61,12 +62,26 @@ class Encoder:
             self.n_bytes[i] = len(token)
         self.words = Words(b" ", fold_case=False)
         self.tails: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        # (hashes in order, where their ids begin, how many): the known words, and those of late, merged now and then
+        self.old = self.late = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.empty(0, self.kind)
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin and how many they are; -1 for an unknown word."""
+        at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
+        for known, start, count in (self.old, self.late):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = np.flatnonzero(known[place] == keys)
+                at[hit], n[hit] = start[place[hit]], count[place[hit]]
+        return at, n
+
+    @staticmethod
+    def merge(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
     def alone(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -102,8 +117,9 @@ class Encoder:
         n = np.array([len(x) // self.width for x in raw], np.int32)
         at = len(self.flat) + np.cumsum(n) - n
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(raw), self.kind)])
-        order = np.argsort(every := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.at, self.n = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        self.late = self.merge(self.late, (keys, at, n))
+        if len(self.late[0]) > LATE_WORDS:
+            self.old, self.late = self.merge(self.old, self.late), (keys[:0], at[:0], n[:0])
 
     def clean(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of texts whose only white space runs are single spaces inside."""
@@ -112,18 +128,22 @@ class Encoder:
         first[bounds[:-1]] = True
         hashes[first] ^= self.FIRST
         used, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(used) > CACHED_WORDS:
-            self.forget()
-        place = np.searchsorted(self.keys, used)
-        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != used) if len(self.keys) else np.arange(len(used))
+        full = len(self.old[0]) + len(self.late[0]) + len(used) > CACHED_WORDS
+        if full:  # the first words are the frequent ones and stay; what is learned now is forgotten below
+            if len(self.late[0]):
+                self.old, self.late = self.merge(self.old, self.late), tuple(x[:0] for x in self.late)
+            kept = self.old, self.late, len(self.flat)
+        at, n = self.find(used)
+        new = np.flatnonzero(at < 0)
         if len(new):
             some = example[new]
             self.learn(used[new], first[some].tolist(), [buffer[s:e].tobytes().decode("utf-8", "surrogatepass") for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, used)
-        place = place[which]
-        n = self.n[place].astype(np.int64)
+            at, n = self.find(used)
+        at, n = at[which], n[which].astype(np.int64)
         end = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[place] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        ids = self.flat[np.repeat(at - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        if full:
+            self.old, self.late, self.flat = kept[0], kept[1], self.flat[: kept[2]]
         return np.split(ids, end[bounds[1:-1] - 1]) if len(texts) > 1 else [ids]
 
     def encode(self, texts: list[str]) -> list[bytes]:

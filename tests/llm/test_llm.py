@@ -322,6 +322,24 @@ def test_language_held_out_and_odd_rows(spark, odd):
     assert nothing.count() == 0
 
 
+def test_language_model_keeps_all(spark, monkeypatch):
+    """More than 400,000 n-grams and 64 languages, in several parts: the same as Kneser-Ney over all counts at once."""
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 80)]
+    texts = {f"l{j:02}": "".join(rng.choice(letters[j : j + 9] if j < 68 else letters, 400 if j < 68 else 400_000)) for j in range(70)}
+    docs = spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "PART", 150_000, raising=False)
+    monkeypatch.setattr(langid, "KEEP", 200_000, raising=False)
+    model, chars = langid.fit(docs), langid.Characters()
+    counts = [np.unique(chars.grams(chars.of([t])[0])[1], return_counts=True) for t in texts.values()]
+    assert sum(len(k) for k, _ in counts) > 400_000 and model.languages == list(texts)
+    want = langid.kneser_ney(list(texts), counts)
+    keys = np.concatenate([k[:: max(1, len(k) // 40)] for k, _ in counts] + [rng.integers(0, 1 << 63, 50).astype(np.uint64)])
+    assert np.allclose(model.log_p(keys), want.log_p(keys), atol=1e-4)
+    got = {r.lang: r["__lang"].lang for r in langid.with_language(docs, model).collect()}
+    assert got == {name: name for name in texts}
+
+
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule"),
     [

@@ -24,8 +24,8 @@ from .common import bound_batches, small, with_struct
 MAX_TOXIC, MAX_OTHER = 10_000, 20_000
 #: Lengths of the word beginnings that can be lexicon entries besides whole words.
 STEMS = (4, 5, 6)
-#: Candidate entries, at most, by the number of toxic documents that hold them.
-MAX_CANDIDATES = 100_000
+#: Entries that a task counts before it hands its counts on.
+HELD = 200_000
 MIN_TOXIC, MIN_WEIGHT, MIN_Z = 3, 3.0, 3.0
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
@@ -110,24 +110,25 @@ class Matcher:
         return float(1 / (1 + np.exp(-(self.beta[0] + self.beta[1] * density + self.beta[2] * total)))), n
 
 
-def _tally(wanted=None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        keep = wanted.value if wanted else None
-        for batch in small(batches):
-            for text in batch.column(0).to_pylist():
-                found = entries(text or "")
-                counts.update(found if keep is None else found & keep)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
 
-    return run
+    counts: Counter = Counter()
+    for batch in small(batches):
+        for text in batch.column(0).to_pylist():
+            counts.update(entries(text or ""))
+            if len(counts) > HELD:
+                yield batch_of(counts)
+                counts = Counter()
+    yield batch_of(counts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] | None = None, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
     """Learn a model from docs (doc_id, text) and labels (doc_id, toxic).
 
     learn, a condition on the id, says which rows may be learned from (all if None). At most max_toxic and max_other
-    labelled ids, those of least hash, are used; only these and the bounded table of candidates are ever gathered. Null
+    labelled ids, those of least hash, are used; only these and the entries that pass into the lexicon are ever gathered. Null
     labels and ids are left out; if an id has several labels, the greater counts. Without toxic or without other rows the
     model has no entries and scores the share of toxic rows.
     """
@@ -152,11 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
         rate = (p + 0.5) / (p + q + 1)
         return Model({}, (float(np.log(rate / (1 - rate))), 0.0, 0.0))
     schema_n = "entry string, n long"
-    common = texts(True).mapInArrow(_tally(), schema_n).groupBy("entry").agg(F.sum("n").alias("a")).where(F.col("a") >= MIN_TOXIC)
-    a = {r.entry: r.a for r in common.orderBy(F.desc("a"), "entry").limit(MAX_CANDIDATES).collect()}
-    wanted = spark.sparkContext.broadcast(set(a))
-    others = texts(False).mapInArrow(_tally(wanted), schema_n).groupBy("entry").agg(F.sum("n").alias("b"))
-    b = {r.entry: r.b for r in others.collect()}  # among the candidates
+    tallies = [texts(toxic).mapInArrow(_tally, schema_n).select("entry", F.when(F.lit(toxic), F.col("n")).otherwise(0).alias("a"), F.when(F.lit(toxic), 0).otherwise(F.col("n")).alias("b")) for toxic in (True, False)]
+    both = tallies[0].unionByName(tallies[1]).groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= MIN_TOXIC)
+    passed = both.where(_passes(F.col("a"), F.col("b"), p, q)).collect()
+    a, b = {r.entry: r.a for r in passed}, {r.entry: r.b for r in passed}
     model = Model(lexicon(a, b, p, q), (0.0, 0.0, 0.0))
     shared = spark.sparkContext.broadcast(model)
 
@@ -170,6 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
     return model._replace(beta=logistic(np.concatenate([x[True], x[False]]), np.repeat([1.0, 0.0], [len(x[True]), len(x[False])])))
 
 
+def _passes(a: Column, b: Column, p: int, q: int) -> Column:
+    """lexicon's condition, a hair wider; rounding is settled there."""
+    w = F.ln((a + 0.5) / (p - F.least(a, F.lit(p)) + 0.5)) - F.ln((b + 0.5) / (F.greatest(q - b, F.lit(0)) + 0.5))
+    return (w >= MIN_WEIGHT - 1e-6) & (w / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= MIN_Z - 1e-6)
+
+
 def lexicon(a: dict[str, int], b: dict[str, int], p: int, q: int) -> dict[str, float]:
     """Entries in a toxic documents of p and b others of q whose log odds are large and certain.
 

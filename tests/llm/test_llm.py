@@ -297,6 +297,22 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity.toxicity(docs, empty).where("predicted = 0").count() in (0, 1500)
 
 
+def test_toxicity_keeps_rare_entries(spark, monkeypatch):
+    """Entries of few toxic documents count beside any number of frequent ordinary ones."""
+    monkeypatch.setattr(toxicity, "MAX_CANDIDATES", 20, raising=False)
+    monkeypatch.setattr(toxicity, "HELD", 50, raising=False)
+    usual = " ".join(f"usual{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6))
+    rows = [(i, usual + (" " + ("grobian", "nasty", "vilest")[i // 2 % 3] if i % 2 else ""), i % 2) for i in range(200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    a, b = ({}, {})
+    for _, text, toxic in rows:
+        for e in toxicity.entries(text):
+            (a if toxic else b)[e] = (a if toxic else b).get(e, 0) + 1
+    want = toxicity.lexicon({e: n for e, n in a.items() if n >= toxicity.MIN_TOXIC}, b, 100, 100)
+    got = toxicity.fit(docs, labels).weights
+    assert got == want and {" grobian ", " nasty ", " vilest "} <= set(got)
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
     chars = langid.Characters()

@@ -1,7 +1,7 @@
 """HTML extraction by consensus host paths.
 
 Every page's containers are scored; their generalised tag-class paths are voted on by host in Spark; every page is then
-extracted again from its host's winning path. A page that lacks the path uses its own best container.
+extracted again from its host's winning path. A page without text under that path uses its own best container.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 #: An opening tag that ends an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Candidate paths of a page that get votes.
-CANDIDATES = 5
 
 
 class Page:
@@ -153,16 +151,22 @@ class Page:
         return out
 
     def best(self) -> list[tuple[str, float]]:
-        return sorted(self.scores().items(), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
+        return sorted(self.scores().items(), key=lambda x: (-x[1], x[0]))
 
     def text(self, path: str | None) -> str:
         """Blocks under the elements of this path in page order; if there are none, under the page's own best, else all."""
-        inside, paths = [False] * len(self.parent), self.paths()
-        if path not in paths[1:]:
-            path = next(iter(p for p, _ in self.best()), None)
-        for i in range(1, len(self.parent)):
-            inside[i] = inside[self.parent[i]] or paths[i] == path
-        return "\n".join(t for e, t, _ in self.blocks if path is None or inside[e])
+        paths = self.paths()
+
+        def under(path: str) -> list[str]:
+            inside = [False] * len(self.parent)
+            for i in range(1, len(self.parent)):
+                inside[i] = inside[self.parent[i]] or paths[i] == path
+            return [t for e, t, _ in self.blocks if inside[e]]
+
+        found = under(path) if path in paths[1:] else []
+        if not found:
+            found = next((under(p) for p, _ in self.best()), None) or [t for _, t, _ in self.blocks]
+        return "\n".join(found)
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
@@ -175,7 +179,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
         votes: dict[tuple[str, str], float] = {}
         for batch in small(batches):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, score in Page(source or "").best():
+                for path, score in Page(source or "").scores().items():
                     votes[host, path] = votes.get((host, path), 0.0) + score
             if len(votes) > 200_000:
                 yield batch_of(votes)

@@ -313,6 +313,16 @@ def test_toxicity_keeps_rare_entries(spark, monkeypatch):
     assert got == want and {" grobian ", " nasty ", " vilest "} <= set(got)
 
 
+def test_html_falls_back_without_blocks(spark):
+    """A host's path that is empty or stands in boilerplate on a page, and a winner that is no page's first choice."""
+    text = "The article of this page stands in another container. " * 3
+    for empty in ("<article></article>", "<article hidden>x</article>", "<aside><article>a comment</article></aside>"):
+        assert html.Page(f"<body>{empty}<div class=story>{text}</div></body>").text("body>aside>article" if "aside" in empty else "body>article") == text.strip()
+    nested = "<body>" + "".join(f"<div class=d{c}>" for c in "abcdefgh") + text + "</div>" * 8 + "</body>"
+    pages = spark.createDataFrame([("h", nested)], "host string, html string")
+    assert {r.path for r in html.host_votes(pages).collect()} == set(html.Page(nested).scores()) and len(html.Page(nested).scores()) > 5
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
     chars = langid.Characters()

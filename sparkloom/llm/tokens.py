@@ -23,31 +23,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, in_chunks, scratch, small, staged
+from .common import bound_batches, in_chunks, mix, scratch, small, staged
 
 #: The dictionary is trained on the id arrays of so many documents of at most so many bytes each (those of least hash).
 DICTIONARY_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 16, 1 << 16
 SHARD_BYTES = 1 << 20
 MAGIC = b"LOOMTOK1"
 HEAD = struct.Struct("<8sBxxxI32s")  # magic, bytes an id, documents, sha256 of the dictionary
-#: Words that a worker knows at most (some thirty bytes each).
+#: Units that a worker knows at most (some forty bytes each).
 CACHED_WORDS = 1_500_000
 LATE_WORDS = 100_000
 END_ID = 0
 
 
 class Encoder:
-    """The tokenizers library with a cache of words.
+    """The tokenizers library with a cache of units.
 
-    A single space between two other characters that aren't white space always begins a token of byte-level BPE, so the
-    words between such spaces are encoded once each and the ids are the same as for the whole text. A text with other
-    white space next to white space, or at its ends, is encoded whole. Words are known by 64-bit hashes of their bytes;
-    hashes, places and ids lie in flat arrays, a few bytes a token.
+    A text is cut where byte-level BPE always begins a token: at the start of each run of white space, before its last
+    character if a word follows, and after that unless it is a plain space (which belongs to the word). Units between cuts
+    are encoded once each, so the ids are the same as for the whole text. A unit of up to 8 * COLUMNS bytes is known by
+    those bytes themselves and its length: a hash finds it, the bytes decide. Longer units are encoded anew, and so is a
+    whole text that holds an added token, around which white space goes by other rules. All lies in flat arrays.
     """
 
     SIGNS = ",.;:!?#$%&*"
-    PAIR = re.compile(r"\s\s")
-    FIRST = np.uint64(0x5851F42D4C957F2D)  # a text's first word has no space before it
+    COLUMNS = 3
+    # White space beyond ASCII.
+    WIDE = tuple(c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+    GLUE = 0xFF  # no byte of UTF-8
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,31 +59,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         # a token's characters stand for its bytes, one by one
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
-        self.words = Words(b" ", fold_case=False)
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.wide = np.array([int.from_bytes(w.ljust(3, b"\0"), "big") for w in self.WIDE], np.uint32)
+        self.lead = np.isin(np.arange(256), [w[0] for w in self.WIDE])
+        self.below = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
         self.tails: dict[str, bytes] = {}
-        # (hashes in order, where their ids begin, how many): the known words, and those of late, merged now and then
-        self.old = self.late = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        # the known units in the order of their hashes, and those of late, merged now and then
+        self.old = self.late = self.table(np.empty((self.COLUMNS + 1, 0), np.uint64), np.empty(0, np.uint64), [])[0]
         self.flat = np.empty(0, self.kind)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word's ids begin and how many they are; -1 for an unknown word."""
-        at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
-        for known, start, count in (self.old, self.late):
+    @staticmethod
+    def table(same: np.ndarray, keys: np.ndarray, lengths: list[int], base: int = 0) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """A table of units (hash, bytes and length, place of the ids, number of ids) and the last two in the order given."""
+        n = np.array(lengths, np.uint8)
+        at = (base + np.cumsum(n, dtype=np.int64) - n).astype(np.uint32)
+        order = np.argsort(keys, kind="stable")
+        return (keys[order], same[:, order], at[order], n[order]), at, n
+
+    def find(self, keys: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each unit's ids begin (-1 for an unknown unit), how many they are, and whether the hash is taken."""
+        at, n, taken = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for known, units, start, count in (self.old, self.late):
             if len(known):
                 place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = np.flatnonzero(known[place] == keys)
+                found = np.flatnonzero(known[place] == keys)
+                taken[found] = True
+                hit = found[(units[:, place[found]] == same[:, found]).all(axis=0)]
                 at[hit], n[hit] = start[place[hit]], count[place[hit]]
-        return at, n
+        return at, n, taken
 
     @staticmethod
     def merge(a: tuple, b: tuple) -> tuple:
         keys = np.concatenate([a[0], b[0]])
         order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+        return keys[order], np.concatenate([a[1], b[1]], axis=1)[:, order], np.concatenate([a[2], b[2]])[order], np.concatenate([a[3], b[3]])[order]
 
     def alone(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
@@ -111,40 +129,90 @@ class Encoder:
             known[w] = np.array(e.ids, self.kind).tobytes()
         return [known[w] if len(p) == len(w) else known[w] + self.tail(p[len(w) :]) for p, w in zip(words, stems, strict=True)]
 
-    def learn(self, keys: np.ndarray, first: list[bool], words: list[str]) -> None:
-        spaced = iter(self.spaced([w for w, f in zip(words, first, strict=True) if not f]))
-        raw = [self.alone(w) if f else next(spaced) for w, f in zip(words, first, strict=True)]
-        n = np.array([len(x) // self.width for x in raw], np.int32)
-        at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(raw), self.kind)])
-        self.late = self.merge(self.late, (keys, at, n))
-        if len(self.late[0]) > LATE_WORDS:
-            self.old, self.late = self.merge(self.old, self.late), (keys[:0], at[:0], n[:0])
+    def ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of units as the tokenizer has them."""
+        words = [u[0] == " " and len(u) > 1 and not any(map(str.isspace, u[1:])) for u in units]
+        spaced = iter(self.spaced([u[1:] for u, w in zip(units, words, strict=True) if w]))
+        others = iter(self.tokenizer.encode_batch_fast([u for u, w in zip(units, words, strict=True) if not w], add_special_tokens=False))
+        return [next(spaced) if w else np.array(next(others).ids, self.kind).tobytes() for w in words]
+
+    def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """buffer, starts and ends of all units; bounds[i]:bounds[i + 1] are those of text i."""
+        glue = bytes([self.GLUE])
+        raw = glue.join(texts) + glue
+        buffer = np.frombuffer(raw + bytes(8 * self.COLUMNS), np.uint8)
+        body = buffer[: len(raw)]
+        space, glued = self.space[body], body == self.GLUE
+        blank = space
+        lead = np.flatnonzero(self.lead[body])
+        if len(lead):
+            three = (buffer[lead].astype(np.uint32) << 16) + (buffer[lead + 1].astype(np.uint32) << 8) + buffer[lead + 2]
+            wide = lead[np.isin(np.where(buffer[lead] < 0xE0, three & 0xFFFF00, three), self.wide)]
+            if len(wide):
+                blank = space.copy()
+                blank[wide] = blank[wide + 1] = True
+                blank[wide[buffer[wide] >= 0xE0] + 2] = True
+        word = ~blank & ~glued
+        cuts = blank.copy()
+        cuts[1:] &= ~blank[:-1]
+        inner = np.zeros(len(body), bool)  # the last character of a run, before a word, and the word after other than a plain space
+        inner[:-1] = space[:-1] & word[1:]
+        after = np.zeros(len(body), bool)
+        after[1:] = inner[:-1] & (body[:-1] != 0x20)
+        if blank is not space:  # a run with other white space stays whole, with the word after it
+            run = np.cumsum(cuts)
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[blank & ~space]] = True
+            inner &= ~mixed[run]
+            after &= ~mixed[run]
+        cuts |= inner | after | glued
+        cuts[0] = True
+        cuts[1:] |= glued[:-1]
+        starts = np.flatnonzero(cuts)
+        ends = np.append(starts[1:], len(body))
+        kept = ~glued[starts]
+        starts, ends = starts[kept], ends[kept]
+        return buffer, starts, ends, np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
 
     def clean(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of texts whose only white space runs are single spaces inside."""
-        buffer, starts, ends, hashes, bounds = self.words.of_texts(texts)
-        first = np.zeros(len(hashes), bool)
-        first[bounds[:-1]] = True
-        hashes[first] ^= self.FIRST
-        used, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        full = len(self.old[0]) + len(self.late[0]) + len(used) > CACHED_WORDS
-        if full:  # the first words are the frequent ones and stay; what is learned now is forgotten below
-            if len(self.late[0]):
-                self.old, self.late = self.merge(self.old, self.late), tuple(x[:0] for x in self.late)
-            kept = self.old, self.late, len(self.flat)
-        at, n = self.find(used)
+        """Ids of texts without added tokens."""
+        buffer, starts, ends, bounds = self.cut(texts)
+        length = ends - starts
+        eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+        same = np.stack([eight[np.minimum(starts + 8 * j, len(eight) - 1)] & self.below[np.clip(length - 8 * j, 0, 8)] for j in range(self.COLUMNS)] + [length.astype(np.uint64)])
+        keys = mix(same[0] + same[-1])
+        for column in same[1:-1]:
+            keys = mix(keys ^ column)
+        used, example, which = np.unique(keys, return_index=True, return_inverse=True)
+        at, n, taken = self.find(used, same[:, example])
+        long = length[example] > 8 * self.COLUMNS
+        at[long], n[long] = -1, 0
         new = np.flatnonzero(at < 0)
+        # occurrences that only share the hash of their example, or are too long to be known by their bytes
+        odd = np.flatnonzero((same != same[:, example[which]]).any(axis=0) | (length > 8 * self.COLUMNS))
+        new = new[~long[new]]
+        flat, full = self.flat, len(self.old[0]) + len(self.late[0]) + len(new) > CACHED_WORDS
+
+        def texts_of(units: np.ndarray) -> list[str]:
+            return [buffer[s:e].tobytes().decode("utf-8", "surrogatepass") for s, e in zip(starts[units].tolist(), ends[units].tolist(), strict=True)]
+
         if len(new):
-            some = example[new]
-            self.learn(used[new], first[some].tolist(), [buffer[s:e].tobytes().decode("utf-8", "surrogatepass") for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
-            at, n = self.find(used)
-        at, n = at[which], n[which].astype(np.int64)
+            raw = self.ids_of(texts_of(example[new]))
+            learned, at[new], n[new] = self.table(same[:, example[new]], used[new], [len(x) // self.width for x in raw], len(flat))
+            flat = np.concatenate([flat, np.frombuffer(b"".join(raw), self.kind)])
+            if not full and not taken[new].any():  # the first units are the frequent ones and stay
+                self.flat, self.late = flat, self.merge(self.late, learned)
+                if len(self.late[0]) > LATE_WORDS:
+                    self.old, self.late = self.merge(self.old, self.late), tuple(x[..., :0] for x in self.late)
+        at, n = at[which], n[which]
+        if len(odd):
+            raw = self.ids_of(texts_of(odd))
+            n[odd] = [len(x) // self.width for x in raw]
+            at[odd] = len(flat) + np.cumsum(n[odd]) - n[odd]
+            flat = np.concatenate([flat, np.frombuffer(b"".join(raw), self.kind)])
         end = np.cumsum(n)
-        ids = self.flat[np.repeat(at - end + n, n) + np.arange(end[-1] if len(end) else 0)]
-        if full:
-            self.old, self.late, self.flat = kept[0], kept[1], self.flat[: kept[2]]
-        return np.split(ids, end[bounds[1:-1] - 1]) if len(texts) > 1 else [ids]
+        ids = flat[np.repeat(at - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        return np.split(ids, np.append(0, end)[bounds[1:-1]]) if len(texts) > 1 else [ids]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and END_ID, as bytes."""
@@ -152,10 +220,10 @@ class Encoder:
         out = [b""] * len(texts)
         tidy = []
         for i, t in enumerate(texts):
-            if t and not (t[0].isspace() or t[-1].isspace() or self.PAIR.search(t)):
-                tidy.append(i)
+            if any(a in t for a in self.added):
+                out[i] = self.alone(t) + end
             else:
-                out[i] = (self.alone(t) if t else b"") + end
+                tidy.append(i)
         for at, chunk in in_chunks([texts[i] for i in tidy], 2 << 20):
             for i, ids in zip(tidy[at : at + len(chunk)], self.clean(chunk), strict=True):
                 out[i] = ids.tobytes() + end
@@ -264,8 +332,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int =
     spark.createDataFrame([(digest.hex(), dictionary, width)], "sha256 string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
     frames = staged(rows.mapInArrow(_frames(tokenizer, shared), "doc_id long, n long, frame binary"), "frames", compression="none")
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("frame")]
-    shards = frames.repartitionByRange(*order[:1]).sortWithinPartitions(*order).mapInArrow(_shards(width, digest, shard_bytes), "part int, shard int, start long, n_tokens long, n_docs long, data binary")
+    # Ids that repeat, null among them, spread by their frames and equal frames by their place in the staged files.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("place")]
+    placed = frames.withColumns({"h": F.xxhash64("frame"), "place": F.monotonically_increasing_id()})
+    shards = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "frame").mapInArrow(_shards(width, digest, shard_bytes), "part int, shard int, start long, n_tokens long, n_docs long, data binary")
     shards.write.option("compression", "none").parquet(f"{path}/shards")
 
 

@@ -222,12 +222,60 @@ def test_encoder_equals_whole_texts():
     from tokenizers import Tokenizer
 
     t, enc, rng = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer()), random.Random(2)
-    parts = [" ", " ", "  ", "\n", "\t", "a", "Bc", "'s", "12", "é", ".", "!?", "日", "<|endoftext|>", "\u00a0", "\x1f", "\u2003", "word,", "x%%%", "\u0301"]
+    parts = [" ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "a", "Bc", "'s", "12", "é", ".", "!?", "日", "<|endoftext|>", "\u00a0", "\x1f", "\x00", "\u2003", "\u3000", "\x85", "word,", "x%%%", "\u0301", "y" * 40]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
     for text, raw in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u2")[:-1].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_knows_words_by_their_bytes(monkeypatch):
+    """Words whose polynomial hashes clash, and hashes that all clash: the bytes decide."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    swap, pairs = str.maketrans("ab", "ba"), []
+    for n in (8, 16, 1024, 2048, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(swap)
+        pairs += [word, word.translate(swap)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in pairs]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(tokens, "mix", lambda x: x & np.uint64(1))
+        enc = tokens.Encoder(tokens.default_tokenizer())
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u2")[:-1].tolist() for x in enc.encode(pairs)] == want
+        spaced = " ".join(pairs[:4] * 3) + "\n\nab a b ba\n"
+        assert np.frombuffer(enc.encode([spaced])[0], "<u2")[:-1].tolist() == t.encode(spaced, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_nothing_wrong_when_full(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
+    monkeypatch.setattr(tokens, "LATE_WORDS", 20)
+    t, enc, rng = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer()), random.Random(8)
+    for _ in range(30):
+        text = "\n\n".join(f"w{rng.randrange(200)}, x{rng.randrange(9)} " + "z" * rng.randrange(40) for _ in range(20))
+        assert np.frombuffer(enc.encode([text])[0], "<u2")[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(enc.old[0]) + len(enc.late[0]) <= 50
+
+
+def test_tokens_of_a_repeated_id_spread(spark, tmp_path):
+    """All rows under one id or none: several writing tasks share them, and every row is read back."""
+    docs = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 3 > 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.md5(F.col("id").cast("string")), F.lit(" ") , F.repeat(F.md5((F.col("id") + 1).cast("string")), 20)).alias("text"))
+    path = str(tmp_path / "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_tokens(docs, path, tokens.default_tokenizer())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["sum(n_docs)"] for r in spark.read.parquet(f"{path}/shards").groupBy("part").sum("n_docs").collect()) < 2000
+    got = tokens.read_tokens(spark, path).collect()
+    assert len(got) == 4000 and sum(r.doc_id is None for r in got) == 1334
+
+
 @pytest.mark.parametrize("kind", [0, 1, 2])
 def test_png_round_trip_and_checks(kind):
     payload = np.random.default_rng(kind).integers(0, 256, 192 * 7).astype(np.uint8).tobytes()

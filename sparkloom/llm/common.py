@@ -27,9 +27,15 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster that is an error, since executors
+    couldn't see it.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.loom.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.loom.scratch", root)
     return root.rstrip("/")
@@ -40,26 +46,46 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/loom-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.loom_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.loom_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: str) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, *spread: str) -> DataFrame:
     """left LEFT JOIN right on key, where right has one row a key and `weight` says how many rows of left hold it.
 
     Fewer than HOT_SHARE keys can exceed total / HOT_SHARE, so that list is broadcast; rows of such keys are
-    dealt over SALTS tasks by the hash of `spread`, and only those keys' rows of right are repeated.
+    dealt over SALTS tasks by the hash of `spread`, and only those keys' rows of right are repeated. Rows without a key
+    find nothing and are dealt in the same way.
     """
     limit = max(1, total // HOT_SHARE)
-    hot = right.where(F.col(weight) > limit).select(F.col(key), F.lit(True).alias("__hot"))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    hot_name, salt_name = private(left, "hot", "salt")
+    hot = right.where(F.col(weight) > limit).select(F.col(key), F.lit(True).alias(hot_name))
+    dealt_left = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    salt = F.when(F.col(hot_name) | F.col(key).isNull(), dealt_left).otherwise(F.lit(0))
     copies = F.when(F.col(weight) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = right.withColumn("__salt", F.explode(copies))
-    return (
-        left.join(F.broadcast(hot), key, "left")
-        .withColumn("__salt", salt)
-        .join(dealt, [key, "__salt"], "left")
-        .drop("__hot", "__salt", weight)
-    )
+    dealt = right.withColumn(salt_name, F.explode(copies))
+    return left.join(F.broadcast(hot), key, "left").withColumn(salt_name, salt).join(dealt, [key, salt_name], "left").drop(hot_name, salt_name, weight)
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
@@ -71,19 +97,22 @@ def join_small(left: DataFrame, right: DataFrame, on: str, how: str = "left") ->
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b), both bigint; component is the least node reachable.
 
-    Alternates large-star and small-star steps, each an aggregation and an equi-join, until the edge set no longer
-    changes. No adjacency list is ever collected into one row, so a hub's edges spread as rows do.
+    Alternates large-star and small-star steps, each an aggregation and a salted join, until the edge set no longer
+    changes. No adjacency list is ever collected into one row, and a hub's edges are dealt over several tasks. The table
+    of one step is deleted once the next one's is written.
     """
     a, b = F.col("a"), F.col("b")
     now = staged(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     mark = None
     while True:
+        total = max(2 * now.count(), 1)
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(low, "a").where(b > a).select(b.alias("a"), F.least(a, F.col("m")).alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
-        now = staged(small.distinct(), "edges")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("w"))
+        large = join_salted(both, low, "a", "w", total, "b").where(b > a).select(b.alias("a"), F.least(a, F.col("m")).alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("w"))
+        small = join_salted(large, low, "a", "w", total, "b").select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
+        then, now = now, staged(small.distinct(), "edges")
+        unstage(then)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:
             break
@@ -209,9 +238,11 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
 def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Callable[[], Callable[..., list]]) -> DataFrame:
     """df with one more struct column, computed from `columns` in Arrow batches without any shuffle.
 
-    make() runs once a task and gives a function from the columns' Python lists to one list per field. A struct of a
-    private name can't clash with df's own columns, which pass through untouched.
+    make() runs once a task and gives a function from the columns' Python lists to one list per field. df's own columns
+    pass through untouched; the struct's name must be none of theirs (see `private`).
     """
+    if name in df.columns:
+        raise ValueError(f"the rows have a column {name} already; choose another name")
     bound_batches(df.sparkSession)
     arguments = [c.alias(f"__in{i}") for i, c in enumerate(columns)]
     kind = T.StructType.fromDDL(fields)

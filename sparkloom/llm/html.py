@@ -11,38 +11,70 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bound_batches, join_salted, small, staged, with_struct
+from .common import BROADCAST_ROWS, bound_batches, join_salted, private, small, staged, with_struct
 from .urls import host_and_path
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'][^>]*\Z)*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
-# Kinds of elements.
+# Kinds of elements, and words of their classes and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg noembed noframes".split())
 DROPPED = frozenset("head nav header footer aside form button select menu dialog object canvas audio video datalist fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover output q rb rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+)
 CONTAINERS = frozenset("article main section div td body".split())
 KEPT = frozenset("html body main".split())
 BOILERPLATE = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related recommended reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that say so at the start of a class whatever follows ("sidebar-left"), and words that make others say so ("social-links").
+ALWAYS = frozenset("ad ads advert advertisement adverts breadcrumb breadcrumbs commentlist disqus footer masthead nav navbar navigation pagination sidebar toolbar".split())
+THINGS = frozenset("area bar block body bottom box button buttons container count feed form group icon icons inner item items left link links list main media message outer panel post posts right row section strip text title tools top widget widgets wrap wrapper".split())
+#: What a class of the form "has-comments" tells of an element is not what the element is.
+ABOUT = frozenset("has have with without no not is js show hide".split())
+#: Reader comments stay out however long they are.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 #: An opening tag that ends an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: A class can't make boilerplate of an element if outside all such elements less than this share of its text is left.
+LEFT = 0.1
+
+
+def boilerplate_word(token: str) -> str | None:
+    """The word by which a class or id names boilerplate: the whole, its last part, or its first part with what it goes by."""
+    parts = [w for w in re.split(r"[^a-z]+", token) if w]
+    if not parts or parts[0] in ABOUT:
+        return None
+    if parts[-1] in BOILERPLATE:
+        return parts[-1]
+    if parts[0] in ALWAYS or (parts[0] in BOILERPLATE and all(w in THINGS or w in BOILERPLATE for w in parts[1:])):
+        return parts[0]
+    return None
 
 
 class Page:
-    """Blocks of text (element, text, characters in links) of a page and its elements (parent, label, bonus)."""
+    """Blocks of text (element, text, characters in links) of a page and its elements (parent, label, bonus, path).
+
+    An element's path is a 64-bit hash of its parent's and its own label, so deep pages cost no more than flat ones.
+    Elements that are boilerplate by their kind or role never give blocks. Those that are so by class or id, and forms,
+    lose their blocks only if the page has other text to show: see `spare`.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.label, self.bonus = [-1], ["#"], [0.0]
+        self.parent, self.label, self.bonus, self.path, self.depth = [-1], ["#"], [0.0], [0], [0]
+        self.soft: dict[int, bool] = {}  # elements that class or id make boilerplate: whether it's the readers'
         self.blocks: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int, bool]] = [("#", 0, False)]
+        opened: dict[str, int] = {"#": 1}
+        unclosed: set[str] = set()
         buffer: list[str] = []
         linked, link = 0, 0
         at, end = 0, len(source)
@@ -56,6 +88,11 @@ class Page:
                 buffer.clear()
             linked = 0
 
+        def pop() -> str:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            return tag
+
         while at < end:
             m = MARKUP.search(source, at)
             text = source[at : m.start() if m else end]
@@ -75,9 +112,9 @@ class Page:
                         link = max(0, link - 1)
                     if tag != "span" or not any(t == "span" for t, _, _ in stack[-3:]):
                         continue
-                if any(t == tag for t, _, _ in stack):
+                if opened.get(tag):
                     flush()
-                    while stack.pop()[0] != tag:
+                    while pop() != tag:
                         pass
                 elif tag not in INLINE and not stack[-1][2]:
                     flush()
@@ -89,108 +126,179 @@ class Page:
                 if tag == "hr":
                     flush()
                 continue
-            if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
-                at = close.end() if close else end
+            if tag in RAW or tag == "xmp":
+                if tag == "svg" and m[3].rstrip().endswith("/"):
+                    continue
+                close = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
+                if not close:
+                    unclosed.add(tag)
+                if tag == "xmp" and not stack[-1][2]:  # shown as it stands
+                    flush()
+                    buffer.append(html.escape(source[at : close.start() if close else end]))
+                    flush()
+                if close:
+                    at = close.end()
+                elif tag != "svg":
+                    at = end
                 continue
-            words, bad, good = self.attributes(tag, m[3])
-            if tag in INLINE and not (bad and tag == "span"):
+            words, bad, soft, good = self.attributes(tag, m[3])
+            if tag in INLINE and not ((bad or soft) and tag == "span"):
                 if tag == "a":
                     link += 1
                 continue
             flush()
             if tag not in INLINE and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             while stack[-1][0] in CLOSES.get(tag, ()):
-                stack.pop()
-            if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
-                continue
-            self.parent.append(stack[-1][1])
-            self.label.append(tag + "".join("." + w for w in words))
+                pop()
+            above, e = stack[-1][1], len(self.parent)
+            label = tag + "".join("." + w for w in words)
+            self.parent.append(above)
+            self.label.append(label)
             self.bonus.append(good if tag in CONTAINERS else 0.0)
-            stack.append((tag, len(self.parent) - 1, stack[-1][2] or bad))
+            self.path.append(xxhash.xxh64_intdigest(label, self.path[above]))
+            self.depth.append(self.depth[above] + 1)
+            if soft:
+                self.soft[e] = soft in READERS
+            stack.append((tag, e, stack[-1][2] or bad))
+            opened[tag] = opened.get(tag, 0) + 1
         flush()
+        self.spare()
 
     @staticmethod
-    def attributes(tag: str, text: str) -> tuple[list[str], bool, float]:
-        """Generalised classes, whether the element is boilerplate, and its bonus as a container."""
-        bad, words, all_words = tag in DROPPED, [], set()
+    def attributes(tag: str, text: str) -> tuple[list[str], bool, str | None, float]:
+        """Generalised classes, whether kind or role make the element boilerplate, the word by which class or id do, and its bonus as a container."""
+        bad, soft, words, good = tag in DROPPED and tag != "form", "form" if tag == "form" else None, [], False
         for m in ATTRIBUTE.finditer(text) if text and not text.isspace() else ():
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "itemprop"):
-                all_words.update(re.split(r"[^a-z]+", value))
+                for token in value.split():
+                    word = boilerplate_word(token)
+                    soft = word if soft is None or word in READERS else soft
+                    good |= any(w in GOOD for w in re.split(r"[^a-z]+", token))
                 if name == "class":
                     words = sorted({re.sub(r"\d+", "#", w) for w in value.split()})[:2]
             elif name == "role":
                 bad |= value in ROLES
             else:
                 bad |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", ""))
-        bad |= bool(all_words & BOILERPLATE)
-        good = 1.5 if tag == "article" else 1.35 if tag == "main" else 1.3 if all_words & GOOD else 1.0
-        return words, bad and tag not in KEPT, good
+        bonus = 1.5 if tag == "article" else 1.35 if tag == "main" else 1.3 if good else 1.0
+        return (words, False, None, bonus) if tag in KEPT else (words, bad, soft, bonus)
 
-    def paths(self) -> list[str]:
-        out = [""]
-        for i in range(1, len(self.parent)):
-            out.append(f"{out[self.parent[i]]}>{self.label[i]}" if self.parent[i] else self.label[i])
-        return out
+    def spare(self) -> None:
+        """Take the blocks of boilerplate by class out, but not of an element beside which the page has next to no text.
+
+        Elements with the most text of their own are tried first; one is spared if less than LEFT of its text, and no
+        text of a container of a better kind, is left outside. Readers' comments are never spared.
+        """
+        if not self.soft:
+            return
+        size = len(self.parent)
+        nearest, better = [0] * size, [False] * size
+        for i in range(1, size):
+            nearest[i] = i if i in self.soft else nearest[self.parent[i]]
+            better[i] = self.bonus[i] > 1.0 or better[self.parent[i]]
+        own, outside, good = dict.fromkeys(self.soft, 0), 0, False
+        for e, text, linked in self.blocks:
+            if nearest[e]:
+                own[nearest[e]] += max(len(text) - linked, 0)
+            else:
+                outside += max(len(text) - linked, 0)
+                good |= better[e]
+        spared: set[int] = set()
+        for e in sorted(own, key=lambda e: (-own[e], e)):
+            if good or not own[e] or outside >= LEFT * own[e]:
+                break
+            chain, i = [], e
+            while i:
+                chain.append(i)
+                i = nearest[self.parent[i]]
+            if not any(self.soft[i] for i in chain):
+                spared.update(chain)
+                outside += own[e]
+        gone = [False] * size
+        for i in range(1, size):
+            gone[i] = gone[self.parent[i]] or (i in self.soft and i not in spared)
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
-    def scores(self) -> dict[str, float]:
-        """Score of each container path: its share of the page's text outside links, by the kind of container."""
-        held, depth = [0.0] * len(self.parent), [0] * len(self.parent)
+    def scores(self) -> dict[int, tuple[float, int]]:
+        """Score and depth of each container path: its share of the page's text outside links, by the kind of container."""
+        held = [0.0] * len(self.parent)
         for e, text, linked in self.blocks:
             held[e] += max(len(text) - 2 * linked, 0)
-        for i in range(1, len(self.parent)):
-            depth[i] = depth[self.parent[i]] + 1
         for i in range(len(self.parent) - 1, 0, -1):
             held[self.parent[i]] += held[i]
-        total, out, paths = held[0], {}, self.paths()
+        total, out = held[0], {}
         for i in range(1, len(self.parent)):
             if self.bonus[i] and held[i] and total:
-                out[paths[i]] = out.get(paths[i], 0.0) + held[i] / total * self.bonus[i] * (1 + 0.02 * min(depth[i], 10))
+                depth = min(self.depth[i], 10)
+                out[self.path[i]] = out.get(self.path[i], (0.0,))[0] + held[i] / total * self.bonus[i] * (1 + 0.02 * depth), self.depth[i]
         return out
 
-    def best(self) -> list[tuple[str, float]]:
-        return sorted(self.scores().items(), key=lambda x: (-x[1], x[0]))
+    def best(self) -> list[tuple[int, tuple[float, int]]]:
+        return sorted(self.scores().items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))
 
-    def text(self, path: str | None) -> str:
-        """Blocks under the elements of this path in page order; if there are none, under the page's own best, else all."""
-        paths = self.paths()
+    def extract(self, path: int | None) -> tuple[str | None, str]:
+        """The path in words and the blocks under its elements in page order; if there are none, under the page's own best, else all."""
 
-        def under(path: str) -> list[str]:
-            inside = [False] * len(self.parent)
+        def under(path: int) -> tuple[str | None, list[str]]:
+            inside, some = [False] * len(self.parent), 0
             for i in range(1, len(self.parent)):
-                inside[i] = inside[self.parent[i]] or paths[i] == path
-            return [t for e, t, _ in self.blocks if inside[e]]
+                mine = self.path[i] == path
+                inside[i] = inside[self.parent[i]] or mine
+                some = some or (i if mine else 0)
+            found = [t for e, t, _ in self.blocks if inside[e]]
+            return (self.name(some) if found else None), found
 
-        found = under(path) if path in paths[1:] else []
+        name, found = under(path) if path is not None and path in self.path[1:] else (None, [])
         if not found:
-            found = next((under(p) for p, _ in self.best()), None) or [t for _, t, _ in self.blocks]
-        return "\n".join(found)
+            name, found = next((x for p, _ in self.best() if (x := under(p))[1]), (None, [t for _, t, _ in self.blocks]))
+        return name, "\n".join(found)
+
+    def name(self, e: int) -> str:
+        """An element's path in words: `body>div.post`."""
+        out = []
+        while e:
+            out.append(self.label[e])
+            e = self.parent[e]
+        return ">".join(reversed(out))
+
+    def text(self, name: str | None = None) -> str:
+        """The text under a path in words."""
+        path = 0
+        for label in name.split(">") if name else ():
+            path = xxhash.xxh64_intdigest(label, path)
+        return self.extract(path or None)[1]
+
+
+def _signed(path: int) -> int:
+    return path - (1 << 64) if path >= 1 << 63 else path
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, score): what each host's pages (host, html) give each container path; tasks add theirs up first."""
+    """(host, path, score, depth): what each host's pages (host, html) give each container path; tasks add theirs up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(votes: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.float64())], names=["host", "path", "score"])
+            columns = [pa.array([h for h, _ in votes], pa.string()), pa.array([_signed(p) for _, p in votes], pa.int64()), pa.array([s for s, _ in votes.values()], pa.float64()), pa.array([d for _, d in votes.values()], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "path", "score", "depth"])
 
-        votes: dict[tuple[str, str], float] = {}
+        votes: dict[tuple[str, int], tuple[float, int]] = {}
         for batch in small(batches):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, score in Page(source or "").scores().items():
-                    votes[host, path] = votes.get((host, path), 0.0) + score
+                for path, (score, depth) in Page(source or "").scores().items():
+                    votes[host, path] = votes.get((host, path), (0.0,))[0] + score, depth
             if len(votes) > 200_000:
                 yield batch_of(votes)
                 votes = {}
         yield batch_of(votes)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, score double").groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
+    found = pages.select("host", "html").mapInArrow(run, "host string, path long, score double, depth int")
+    return found.groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"), F.max("depth").alias("depth"))
 
 
 def with_main_text(pages: DataFrame) -> DataFrame:
-    """pages (url, html; others stay) with a struct column __page: path (the host's choice) and text.
+    """pages (url, html; others stay) with a struct column __page: path (where the text was found) and text.
 
     The article without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments:
     character references decoded, white space inside a block one space, blocks joined by a newline. Null and empty html
@@ -198,23 +306,25 @@ def with_main_text(pages: DataFrame) -> DataFrame:
     most BROADCAST_ROWS of them, else by a salted shuffle.
     """
     bound_batches(pages.sparkSession)
-    keyed = pages.withColumn("__host", host_and_path(F.col("url"))[0])
-    votes = host_votes(keyed.select(F.col("__host").alias("host"), "html"))
-    winners = staged(votes.groupBy("host").agg(F.max(F.struct("score", "path")).getField("path").alias("path")), "paths")
-    usual = winners.groupBy("path").count().orderBy(F.desc("count"), "path").limit(1).collect()
-    common = usual[0]["path"] if usual else None
-    others = winners.where(~F.col("path").eqNullSafe(F.lit(common))).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    host, choice, weight = private(pages, "host", "path", "pages")
+    keyed = pages.withColumn(host, host_and_path(F.col("url"))[0])
+    votes = host_votes(keyed.select(F.col(host).alias("host"), "html"))
+    winners = staged(votes.groupBy("host").agg(F.max(F.struct("score", "depth", "path")).getField("path").alias("path")), "paths")
+    usual = winners.where(F.col("path").isNotNull()).groupBy("path").count().orderBy(F.desc("count"), "path").limit(1).collect()
+    common = F.lit(usual[0]["path"] if usual else None).cast("long")
+    others = winners.where(~F.col("path").eqNullSafe(common)).select(F.col("host").alias(host), F.col("path").alias(choice))
     if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        found = keyed.join(F.broadcast(others), "__host", "left")
+        found = keyed.join(F.broadcast(others), host, "left")
     else:
-        sizes = keyed.groupBy("__host").agg(F.count("*").alias("__pages"))
-        found = join_salted(keyed, others.join(sizes, "__host"), "__host", "__pages", keyed.count(), "url")
-    path = F.coalesce("__path", F.lit(common))
+        sizes = keyed.groupBy(host).agg(F.count("*").alias(weight))
+        found = join_salted(keyed, others.join(sizes, host), host, weight, keyed.count(), "url")
 
     def make():
-        return lambda sources, paths: [paths, [Page(s or "").text(p) for s, p in zip(sources, paths, strict=True)]]
+        mask = (1 << 64) - 1
+        return lambda sources, paths: list(zip(*[Page(s or "").extract(None if p is None else p & mask) for s, p in zip(sources, paths, strict=True)], strict=True)) or [[], []]
 
-    return with_struct(found.select(*pages.columns, path.alias("__path")), "__page", "path string, text string", [F.col("html"), F.col("__path")], make).drop("__path")
+    path = F.coalesce(choice, common)
+    return with_struct(found.select(*pages.columns, path.alias(choice)), "__page", "path string, text string", [F.col("html"), F.col(choice)], make).drop(choice)
 
 
 def page_report(pages: DataFrame) -> DataFrame:

@@ -368,7 +368,100 @@ def test_html_falls_back_without_blocks(spark):
         assert html.Page(f"<body>{empty}<div class=story>{text}</div></body>").text("body>aside>article" if "aside" in empty else "body>article") == text.strip()
     nested = "<body>" + "".join(f"<div class=d{c}>" for c in "abcdefgh") + text + "</div>" * 8 + "</body>"
     pages = spark.createDataFrame([("h", nested)], "host string, html string")
-    assert {r.path for r in html.host_votes(pages).collect()} == set(html.Page(nested).scores()) and len(html.Page(nested).scores()) > 5
+    assert {r.path for r in html.host_votes(pages).collect()} == {html._signed(p) for p in html.Page(nested).scores()} and len(html.Page(nested).scores()) > 5
+
+
+BODY = "This is the article, in a sentence or two that say enough."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article class="post has-comments"><p>{BODY}</p></article>', BODY),
+        (f'<div class="content with-sidebar"><p>{BODY}</p></div><div class=box>box</div>', BODY),
+        (f'<div id="social-history"><p>{BODY}</p></div>', BODY),
+        (f'<div class="cookie-recipes"><p>{BODY}</p></div>', BODY),
+        (f'<article><svg class="i"/><p>{BODY}</p></article>', BODY),
+        (f"<article><svg><title>t</title></svg><p>{BODY}</p></article>", BODY),
+        (f"<article><svg><path><p>{BODY}</p></article>", BODY),
+        ("<article><p>Let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> be.</p><xmp>a <b> c</xmp></article>", "Let x<2 be.\na <b> c"),
+        (f'<form id=aspnet><div class=sidebar-wrapper><h1>T</h1><p>{BODY}</p><div class="social-links">Share</div></div></form>', f"T\n{BODY}"),
+        (f'<article><p>{BODY}</p></article><section id="comments-list">{"<p>Long comment of a reader.</p>" * 50}</section>', BODY),
+        (f'<div class=menu>{BODY * 30}</div><article><p>{BODY}</p><form>name</form></article>', BODY),
+        (f'<article><p>{BODY}</p><div class="main-nav">m</div><div class="left sidebar-2">s</div><ul class="share_buttons"><li>x</ul><p class="newsletter__box">n</p><div class="related posts"><p>r</p></div><div id="ad-1">a</div></article>', BODY),
+    ],
+)
+def test_html_boilerplate(page, want):
+    """Classes that only mention boilerplate, elements that hold nearly all of a page, and what always goes."""
+    assert html.Page(f"<html><body>{page}</body></html>").text() == want
+
+
+def test_html_of_deep_and_long_pages():
+    """Time and memory grow with the page, not with its depth."""
+    import time
+    import tracemalloc
+
+    took = {}
+    for n in (4_000, 16_000):
+        source = "<body>" + "<div class=a>" * n + "x" + "</div></section>" * n + f"<p>{BODY}</p></body>"
+        tracemalloc.start()
+        began = time.process_time()
+        page = html.Page(source)
+        page.scores()
+        took[n] = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert took[16_000][0] < 10 * took[4_000][0] + 1 and took[16_000][1] < 6 * took[4_000][1]
+    assert len(html.Page(f"<article>{'<p>' + 'word ' * 200_000}</article>").text()) == 999_999
+
+
+def plain_main_text(source):
+    """An independent extractor for well-formed pages: a tree of the standard library's parser, the element of most text outside links."""
+    from html.parser import HTMLParser
+
+    gone, blocks = {"nav", "footer", "script", "style", "title", "head", "aside", "header"}, {"html", "body", "p", "div", "li", "ul", "article", "h1", "h2", "section"}
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.skip, self.article, self.parts, self.now = [], 0, [], []
+
+        def cut(self):
+            text = " ".join("".join(self.now).split())
+            if text and self.article and not self.skip:
+                self.parts.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in blocks or tag in gone:
+                self.cut()
+            if tag == "br":
+                self.now.append(" ")
+            if tag in gone or dict(attrs).get("class") == "ad":
+                self.skip.append(tag)
+            self.article += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in blocks or tag in gone:
+                self.cut()
+            if self.skip and self.skip[-1] == tag:
+                self.skip.pop()
+            self.article -= tag == "article"
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.now.append(data)
+
+    tree = Tree()
+    tree.feed(source or "")
+    return "\n".join(tree.parts)
+
+
+def test_pages_against_another_extractor(spark):
+    """Every page of the table, whose articles stand in `article` elements, against the standard library's parser."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.page_report(pages).collect()}
+    want = {r.page_id: plain_main_text(r.html) for r in pages.collect()}
+    assert got == want
 
 
 def test_language_model_is_a_distribution():

@@ -6,10 +6,10 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,8 +76,11 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, weight: str, total:
 
     Fewer than HOT_SHARE keys can exceed total / HOT_SHARE, so that list is broadcast; rows of such keys are
     dealt over SALTS tasks by the hash of `spread`, and only those keys' rows of right are repeated. Rows without a key
-    find nothing and are dealt in the same way.
+    find nothing and are dealt in the same way. Up to BROADCAST_ROWS rows of left there are no more keys than that, and
+    right is broadcast.
     """
+    if total <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(weight)), key, "left")
     limit = max(1, total // HOT_SHARE)
     hot_name, salt_name = private(left, "hot", "salt")
     hot = right.where(F.col(weight) > limit).select(F.col(key), F.lit(True).alias(hot_name))
@@ -121,7 +124,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,28 +133,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _M, np.uint64), np.full(n, _M_INV, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 class Words:
     """Splits UTF-8 texts into words at separator bytes and hashes each word, for whole batches at a time.
 
     Every byte of a character outside ASCII counts as a word byte, so splitting bytes is the same as splitting
-    characters. A-Z hash as a-z unless told otherwise. Words go through in pieces of about PIECE bytes, so memory doesn't grow with a text.
+    characters. A-Z hash as a-z unless told otherwise. A word of up to SHORT bytes is hashed eight bytes at a time with
+    all others; a longer one by itself.
     """
 
-    PIECE = 1 << 18
+    SHORT = 64
 
     def __init__(self, separators: bytes, fold_case: bool = True):
         self.sep = np.zeros(256, bool)
         self.sep[list(separators)] = True
-        self.value = mix(np.arange(1, 257, dtype=np.uint64))
+        self.value = np.arange(256, dtype=np.uint8)
         if fold_case:
-            self.value[65:91] = self.value[97:123]
+            self.value[65:91] += 32
+        self.below = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
     def spans(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = np.zeros(len(buffer) + 2, np.int8)
@@ -161,20 +158,22 @@ class Words:
         return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
     def hashes(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + self.PIECE, "right")))
-            lo = starts[at]
-            piece = buffer[lo : ends[to - 1]]
-            n = 1 << max(18, int(len(piece)).bit_length())
-            up, down = _powers(n)
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(self.value[piece] * up[: len(piece)], out=total[1:])
-            s, e = starts[at:to] - lo, ends[at:to] - lo
-            out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            at = to
-        return mix(out)
+        folded = np.zeros(len(buffer) + 8, np.uint8)
+        folded[: len(buffer)] = self.value[buffer]
+        eight = np.ndarray((len(buffer) + 1,), "<u8", folded, strides=(1,))
+        length = ends - starts
+        out = mix(length.astype(np.uint64) + _M)
+        todo, at, left = slice(None), starts, length
+        for _ in range(0, self.SHORT, 8):
+            if not len(at):
+                break
+            out[todo] = mix(out[todo] ^ (eight[at] & self.below[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            todo = more if isinstance(todo, slice) else todo[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(length > self.SHORT).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]].tobytes())
+        return out
 
     def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """buffer, starts, ends, hashes of all words; bounds[i]:bounds[i + 1] are the words of text i."""

@@ -1,255 +1,408 @@
-"""N-gram Jaccard join by T-occurrence search (heap-merge of short lists, binary probes of long ones: DivideSkip).
-
-1. A pass over the texts hashes every document's set of word shingles. Tokens travel to their bucket of the inverted
-   index as packed arrays (five bytes a token), where each token's document frequency is counted over the whole corpus.
-2. Tokens of a single document can't be in any intersection and stop there. The others return to their documents with
-   the frequency. In the order "rarest first" the prefix filter needs |x| - ceil(t|x|) + 1 tokens of a document; its unique
-   tokens come first, so most documents need none and leave the search.
-3. Documents that share a prefix token form blocks (connected components of star edges; no pairs are emitted). A linked
-   pair always lies in one block.
-4. In each block every document searches the inverted lists of the smaller ones with DivideSkip. Candidates that are
-   already in the searcher's component are skipped, so a large group of near copies costs one probe a document.
-   Blocks over CHUNK documents are cut into windows of neighbouring sizes and those into pairs of chunks, one task each.
-5. Links (a spanning forest of each task's) give components of the classes of equal sets; documents get their class's.
+"""N-gram Jaccard join by T-occurrence search (heap merge of short lists, binary probes of long ones: DivideSkip).
+
+1. A pass over the texts hashes every document's set of word shingles. A segment of documents sends each distinct token
+   once, with its count, to the token's bucket of the inverted index; which documents hold it stays with the segment. So
+   a token of any number of documents is one entry a segment, and the number of buckets grows with the text.
+2. A bucket adds up frequencies and says which tokens are shared. Others can't be in any intersection. In the order
+   "rarest first" the prefix filter needs |x| - ceil(t|x|) + 1 tokens of a document; its unshared tokens come first, so
+   most documents need none and leave the search.
+3. Star round: each document is held against one other that shares the most prefix tokens with it. Most near copies are
+   linked by that, and a large group of them costs one comparison a document.
+4. The other documents lie in chunks, an inverted index each. A document asks a chunk only if a prefix token is in both
+   and in different components, and sizes allow a link. Chunks are of bounded size, those asked by many are repeated.
+5. Components of the links are the result. Classes of equal sets are known by 128-bit signatures; a link is an exact
+   count of common 64-bit tokens.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, connected_components, in_chunks, join_salted, mix, shingles, small, staged
+from .common import Words, bound_batches, connected_components, in_chunks, join_salted, join_small, private, shingles, small, staged, unstage
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
-#: Documents a search task holds at most (of one block; small blocks are packed together up to about this many).
-CHUNK = 1000
-#: Tokens that a task gathers before it sends a segment.
-SEGMENT = 700_000
+#: Documents in the index of a chunk, about; a chunk asked by more than ASKED times as many is searched by several tasks.
+CHUNK, ASKED = 1000, 4
+#: Tokens that a task gathers before it sends a segment, and bytes of text a bucket of the index should stand for.
+SEGMENT, BUCKET_BYTES = 700_000, 4 << 20
+#: Bits of a token beside its bucket's.
+REST = 44
+DOCUMENT = np.dtype([("known", "u1"), ("id", "<i8"), ("hash", "<i8"), ("n", "<i8"), ("sig", "V16")])
 
 
-def bits_for(spark) -> int:
-    """log2 of the index's number of buckets: four to eight a shuffle partition, so their size follows the cluster's settings."""
-    return min(20, max(5, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+def bits_for(size: int) -> int:
+    """log2 of the number of buckets for so many bytes of text."""
+    return min(20, max(5, math.ceil(math.log2(max(size, 1) / BUCKET_BYTES))))
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def _pack(counts: np.ndarray, tokens: np.ndarray) -> bytes:
-    return np.uint32(len(counts)).tobytes() + counts.astype("<u4").tobytes() + (tokens & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (tokens >> np.uint64(32)).astype(np.uint8).tobytes()
+def _numbers(x: np.ndarray) -> bytes:
+    """Counts, a byte each if they all fit, else four."""
+    kind = "<u1" if not len(x) or x.max() < 256 else "<u4"
+    return kind[-1].encode() + x.astype(kind).tobytes()
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(payload, "<u4", 1)[0])
-    counts = np.frombuffer(payload, "<u4", n, 4)
-    m = int(counts.sum())
-    low = np.frombuffer(payload, "<u4", m, 4 + 4 * n).astype(np.uint64)
-    return counts, low | np.frombuffer(payload, np.uint8, m, 4 + 4 * n + 4 * m).astype(np.uint64) << np.uint64(32)
+def _of_numbers(raw: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    width = int(bytes(raw[:1]))
+    return np.frombuffer(raw, f"<u{width}", n, 1).astype(np.int64), raw[1 + width * n :]
+
+
+def _six(x: np.ndarray) -> bytes:
+    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _of_six(raw: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32), raw[6 * n :]
 
 
 def _segments(k: int, bits: int, segment: int):
+    """Texts to rows (bucket, seg, payload): a segment's distinct tokens by bucket, and a row of its own in a bucket below 0."""
     schema = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), ("payload", pa.binary())])
     words = Words(SEPARATORS)
 
-    def flush(seg: int, ids: list, sets: list, sigs: list, known: set) -> pa.RecordBatch:
-        sizes = np.array([len(s) for s in sets], np.int64)
-        send = [s if fresh else s[:0] for s, fresh in zip(sets, known, strict=True)]
-        every = np.concatenate([*send, np.empty(0, np.uint64)])
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in send])
-        bucket = (every >> np.uint64(64 - bits)).astype(np.int32)
-        rest = every << np.uint64(bits) >> np.uint64(24)
-        order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        rows = [(-1 - seg % (1 << bits), seg, b"".join((np.array([x is not None for x in ids], np.int8).tobytes(), np.array([x or 0 for x in ids], "<i8").tobytes(), sizes.astype("<i8").tobytes(), np.array(sigs, "<u8").tobytes())))]
-        for b in range(1 << bits):
-            mine = order[edge[b] : edge[b + 1]]
-            if len(mine):
-                rows.append((b, seg, _pack(np.bincount(owner[mine], minlength=len(sets)), rest[mine])))
+    def flush(seg: int, docs: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate([*sets, np.empty(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])[order]
+        every = every[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(every), 1), bool), every[1:] != every[:-1])))
+        token, count = every[first], np.diff(np.append(first, len(every)))
+        edge = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        rest = (token << np.uint64(bits)) >> np.uint64(64 - REST)
+        head = np.array([len(docs), len(token)], "<i8").tobytes()
+        home = b"".join((head, np.array(docs, DOCUMENT).tobytes(), _numbers(count), owner.astype("<u2").tobytes()))
+        rows = [(-1 - xxhash.xxh64_intdigest(seg.to_bytes(8, "little")) % (1 << bits), seg, home)]
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            lo, hi = edge[b], edge[b + 1]
+            rows.append((b, seg, np.int64(hi - lo).tobytes() + _numbers(count[lo:hi]) + _six(rest[lo:hi])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        ids, sets, sigs, fresh, seen, held = [], [], [], [], set(), 0
+        docs, sets, seen, held = [], [], set(), 0
+        nothing = np.empty(0, np.uint64)
         for batch in small(batches):
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, marks, texts = (c.to_pylist() for c in batch.columns)
             for at, chunk in in_chunks(texts):
                 _, _, _, hashes, bounds = words.of_texts(chunk)
                 for i in range(len(chunk)):
                     s = np.unique(shingles(hashes[bounds[i] : bounds[i + 1]], k))
-                    sig = int(mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.uint64(len(s))]))[0]) if len(s) else 0
-                    ids.append(doc_ids[at + i])
-                    sets.append(s)
-                    sigs.append(sig)
-                    fresh.append(sig not in seen)  # a copy in the same segment needn't send its tokens again
-                    if sig not in seen:
-                        held += len(s)
+                    sig = xxhash.xxh3_128_digest(s.tobytes())
+                    docs.append((ids[at + i] is not None, ids[at + i] or 0, marks[at + i], len(s), sig))
+                    sets.append(nothing if sig in seen else s)  # a copy in the same segment needn't send its tokens again
                     seen.add(sig)
-                    if held >= segment or len(ids) >= 100_000:
-                        yield flush((part << 24) + n, ids, sets, sigs, fresh)
+                    held += len(sets[-1])
+                    if held >= segment or len(docs) >= 65_000:
+                        yield flush((part << 24) + n, docs, sets)
                         n += 1
-                        ids, sets, sigs, fresh, seen, held = [], [], [], [], set(), 0
-        if ids:
-            yield flush((part << 24) + n, ids, sets, sigs, fresh)
+                        docs, sets, seen, held = [], [], set(), 0
+        if docs:
+            yield flush((part << 24) + n, docs, sets)
 
     return run
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket of the inverted index: keep the tokens that several documents hold, with their frequency."""
+    """One bucket of the inverted index: which tokens of each segment are in several documents, and in how many."""
     bucket = table.column("bucket")[0].as_py()
     if bucket < 0:
-        return pa.table({"seg": table.column("seg"), "bucket": table.column("bucket"), "payload": table.column("payload")})
-    segs, parts = table.column("seg").to_pylist(), [_unpack(p) for p in table.column("payload").to_pylist()]
-    every = np.concatenate([t for _, t in parts])
-    held = np.sort(every)
+        return table.select(["seg", "bucket", "payload"])
+    segs, parts = table.column("seg").to_pylist(), []
+    for p in table.column("payload").to_pylist():
+        n = int(np.frombuffer(p, "<i8", 1)[0])
+        count, raw = _of_numbers(memoryview(p)[8:], n)
+        parts.append((_of_six(raw, n)[0], count))
+    every, counts = np.concatenate([t for t, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(every, kind="stable")
+    held = every[order]
     at = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-    df = np.diff(np.append(at, len(held)))
+    df = np.add.reduceat(counts[order], at)
     shared, df = held[at[df > 1]], df[df > 1]
     out = []
-    for seg, (counts, tokens) in zip(segs, parts, strict=True):
+    for tokens, _ in parts:
         i = np.minimum(np.searchsorted(shared, tokens), max(len(shared) - 1, 0))
         hit = shared[i] == tokens if len(shared) else np.zeros(len(tokens), bool)
-        if hit.any():
-            owner = np.repeat(np.arange(len(counts)), counts)[hit]
-            out.append((seg, bucket, _pack(np.bincount(owner, minlength=len(counts)), tokens[hit]) + np.minimum(df[i[hit]], 0xFFFFFFFF).astype("<u4").tobytes()))
-    names = ("seg", "bucket", "payload")
-    return pa.table({n: pa.array([r[j] for r in out], t) for j, (n, t) in enumerate(zip(names, (pa.int64(), pa.int64(), pa.binary()), strict=True))})
+        out.append(np.array([len(tokens), hit.sum()], "<i8").tobytes() + np.packbits(hit).tobytes() + _six(tokens[hit]) + (df[i[hit]].astype("<i8").tobytes() if hit.any() else b""))
+    return pa.table({"seg": pa.array(segs, pa.int64()), "bucket": pa.array([bucket] * len(segs), pa.int64()), "payload": pa.array(out, pa.binary())})
 
 
-def _documents(bits: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+def _documents(percent: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
-        """One segment: its documents with their shared tokens and the prefix that the filter needs."""
-        owners, tokens, dfs, meta = [], [], [], None
-        for bucket, payload in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        """One segment: its documents with their shared tokens, rarest first, and the prefix that the filter needs."""
+        hits, tokens, dfs, home = [], [], [], b""
+        for bucket, payload in sorted(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True)):
             if bucket < 0:
-                meta = payload
+                home = memoryview(payload)
                 continue
-            counts, rest = _unpack(payload)
-            owners.append(np.repeat(np.arange(len(counts)), counts))
-            tokens.append(np.uint64(bucket) << np.uint64(40) | rest)
-            dfs.append(np.frombuffer(payload, "<u4", len(rest), len(payload) - 4 * len(rest)))
-        m = len(meta) // 25
-        valid, ids = np.frombuffer(meta, np.int8, m).astype(bool), np.frombuffer(meta, "<i8", m, m)
-        sizes, sigs = np.frombuffer(meta, "<i8", m, 9 * m), np.frombuffer(meta, "<u8", m, 17 * m).view(np.int64)
-        packed: list = [None] * m
-        prefix: list = [None] * m
-        if owners:
-            owner, token, df = np.concatenate(owners), np.concatenate(tokens), np.concatenate(dfs)
+            n, m = np.frombuffer(payload, "<i8", 2).tolist()
+            raw = memoryview(payload)[16:]
+            hits.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8)), count=n).astype(bool))
+            rest, raw = _of_six(raw[-(-n // 8) :], m)
+            tokens.append(np.uint64(bucket) << np.uint64(REST) | rest)
+            dfs.append(np.frombuffer(raw, "<i8", m))
+        n_docs, n_tokens = np.frombuffer(home, "<i8", 2).tolist()
+        docs = np.frombuffer(home, DOCUMENT, n_docs, 16)
+        counts, raw = _of_numbers(home[16 + DOCUMENT.itemsize * n_docs :], n_tokens)
+        packed: list = [None] * n_docs
+        prefix: list = [None] * n_docs
+        if n_tokens:
+            hit, token, df = np.concatenate(hits), np.concatenate(tokens), np.concatenate(dfs)
+            owner = np.frombuffer(raw, "<u2", counts.sum())[np.repeat(hit, counts)]
+            token, df = np.repeat(token, counts[hit]), np.repeat(df, counts[hit])
             order = np.lexsort((token, df, owner))
             owner, token = owner[order], token[order]
-            edge = np.searchsorted(owner, np.arange(m + 1))
-            need = prefix_length(sizes, percent)
-            for i in range(m):
+            edge = np.searchsorted(owner, np.arange(n_docs + 1))
+            need = prefix_length(docs["n"], percent)
+            for i in range(n_docs):
                 mine = token[edge[i] : edge[i + 1]]
-                p = int(need[i] - (sizes[i] - len(mine)))
+                p = int(need[i] - (docs["n"][i] - len(mine)))
                 if p > 0 and len(mine):
                     packed[i], prefix[i] = mine.tobytes(), mine[:p].view(np.int64)
-        return pa.table([pa.array([int(x) if v else None for x, v in zip(ids, valid, strict=True)], pa.int64()), pa.array(sizes), pa.array([int(s) if n else None for s, n in zip(sigs, sizes, strict=True)], pa.int64()), pa.array(packed, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
+        ids = pa.array([d if known else None for d, known in zip(docs["id"].tolist(), docs["known"].tolist(), strict=True)], pa.int64())
+        sigs = pa.array([s.tobytes() if n else None for s, n in zip(docs["sig"], docs["n"].tolist(), strict=True)], pa.binary())
+        return pa.table([ids, pa.array(docs["hash"]), pa.array(docs["n"]), sigs, pa.array(packed, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def t_occurrence(sizes: list[int], sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links of a spanning forest of {100 |x & y| >= percent |x | y|}, by DivideSkip over the sets given by rising size.
+def heap_merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(member, count) of the members of at least `least` of the sorted lists: a heap of the lists' heads.
 
-    sizes count tokens that are in no other set, too. With sides only pairs of different sides count.
+    Of a member in too few lists the least - 1 smallest heads go, and all of them leap to the next head left.
+    """
+    place = [0] * len(lists)
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    out = []
+    while len(heap) >= least:
+        top, gone = heap[0][0], []
+        while heap and heap[0][0] == top:
+            gone.append(heapq.heappop(heap)[1])
+        if len(gone) >= least:
+            out.append((top, len(gone)))
+            goal = top + 1
+        else:
+            while heap and len(gone) < least - 1:
+                gone.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            goal = heap[0][0]
+        for i in gone:
+            place[i] = bisect_left(lists[i], goal, place[i])
+            if place[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][place[i]], i))
+    return out
+
+
+class Lists:
+    """Inverted lists over documents by rising size (sizes count tokens that no other document has, too), each of a group.
+
+    Documents of one group are known to be connected, so only those of other groups are searched for.
     """
-    every, flat = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
-    edge = np.cumsum([0] + [len(s) for s in sets])
-    start = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=len(every)))))
-    fill = start[:-1].copy()  # where each inverted list ends so far
-    lists = np.empty(len(flat), np.int64)
-    n = np.array(sizes, np.int64)
-    part = None if side is None else np.array(side)
-    root = list(range(len(sets)))
-    links = []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray], groups: np.ndarray):
+        self.sizes, self.groups = np.asarray(sizes, np.int64), np.asarray(groups, np.int64)
+        every = np.concatenate([*sets, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.lexsort((owner, every))
+        every, self.members = every[order], owner[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(every), 1), bool), every[1:] != every[:-1])))
+        self.tokens, self.start = every[first], np.append(first, len(every))
+
+    def search(self, size: int, tokens: np.ndarray, group: int, percent: int, before: int | None = None) -> Iterator[tuple[int, int]]:
+        """(document, overlap) of every document of another group, no larger than this one, with 100 |x & y| >= percent |x | y|.
+
+        Only documents before a place count, if one is given.
+        """
+        low = -(-percent * size // 100)
+        lo, hi = int(np.searchsorted(self.sizes, low)), int(np.searchsorted(self.sizes, size, "right"))
+        hi = hi if before is None else min(hi, before)
+        least = -(-percent * (size + low) // (100 + percent))  # T: the overlap with the smallest document allowed
+        if lo >= hi or len(tokens) < least or not len(self.tokens):
+            return
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        at = at[self.tokens[at] == tokens]
+        length = self.start[at + 1] - self.start[at]
+        if len(at) < least:
+            return
+        end = np.cumsum(length)
+        members = self.members[np.repeat(self.start[at] - end + length, length) + np.arange(end[-1])]
+        keep = (members >= lo) & (members < hi) & (self.groups[members] != group)
+        length = np.bincount(np.repeat(np.arange(len(at)), length)[keep], minlength=len(at))
+        used = int(np.count_nonzero(length))
+        if used < least:
+            return
+        flat, end = members[keep].tolist(), np.cumsum(length).tolist()
+        lists = sorted((flat[e - n : e] for e, n in zip(end, length.tolist(), strict=True) if n), key=len)
+        # The rule of DivideSkip for the number of long lists; never so many that the merge could miss a result.
+        far = min(least - 1, int(least / (0.0085 * math.log2(len(lists[-1]) + 1) + 1)), used - 1)
+        long = lists[used - far :]
+        for y, overlap in heap_merge(lists[: used - far], least - far):
+            need = -(-percent * (size + int(self.sizes[y])) // (100 + percent))
+            for left, x in zip(range(len(long), 0, -1), long, strict=True):
+                if overlap + left < need:
+                    break
+                i = bisect_left(x, y)
+                overlap += i < len(x) and x[i] == y
+            if overlap >= need:
+                yield y, overlap
+
+
+def t_occurrence(sizes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of {100 |x & y| >= percent |x | y|} over the sets given by rising size."""
+    lists, root, links = Lists(np.array(sizes), sets, np.arange(len(sets))), list(range(len(sets))), []
     for x in range(len(sets)):
-        mine = flat[edge[x] : edge[x + 1]]
-        length = fill[mine] - start[mine]
-        used = mine[length > 0]
-        least = -(-percent * (n[x] + -(-percent * n[x] // 100)) // (100 + percent))  # T: overlap with the smallest set allowed
-        if len(used) >= least:
-            used = used[np.argsort(fill[used] - start[used], kind="stable")]
-            longest = int(fill[used[-1]] - start[used[-1]])
-            # The rule of DivideSkip for the number of long lists; never so many that the merge could miss a result.
-            far = min(int(least) - 1, int(least / (0.0085 * math.log2(longest + 1) + 1)), len(used) - 1)
-            short, long = used[: len(used) - far], used[len(used) - far :]
-            found, seen = np.unique(np.concatenate([lists[start[t] : fill[t]] for t in short]), return_counts=True)
-            keep = (seen >= least - far) & (100 * n[found] >= percent * n[x])
-            if part is not None:
-                keep &= part[found] != part[x]
-            found, seen = found[keep], seen[keep]
-            for i in np.argsort(-seen, kind="stable"):
-                y, overlap = int(found[i]), int(seen[i])
-                if find(y) == find(x):
-                    continue
-                need = -(-percent * int(n[x] + n[y]) // (100 + percent))
-                for left, t in zip(range(len(long), 0, -1), long, strict=True):
-                    if overlap >= need or overlap + left < need:
-                        break
-                    at = start[t] + np.searchsorted(lists[start[t] : fill[t]], y)
-                    overlap += int(at < fill[t] and lists[at] == y)
-                if overlap >= need:
-                    links.append((x, y))
-                    root[find(x)] = find(y)
-        lists[fill[mine]] = x
-        fill[mine] += 1
+        for y, _ in lists.search(int(sizes[x]), sets[x], x, percent, before=x):
+            if (a := _root(root, x)) != (b := _root(root, y)):
+                root[a] = b
+                links.append((x, y))
     return links
 
 
+def _root(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
 def _search(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """A search task: rows with side 0 make the index, rows with side 1 ask it; links of a spanning forest come out."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        block, sig, n, side = (table.column(c).to_numpy() for c in ("block", "sig", "n", "side"))
-        tokens = table.column("tokens").to_pylist()
-        out = []
-        order = np.lexsort((sig, n, block))
-        for group in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
-            sides = side[group]
-            found = t_occurrence(list(n[group]), [np.frombuffer(tokens[i], np.uint64) for i in group], percent, None if (sides < 0).all() else list(sides))
-            out += [(sig[group[x]], sig[group[y]]) for x, y in found]
-        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=schema)
+        sig, tokens, group = (table.column(c).to_pylist() for c in ("sig", "tokens", "comp"))
+        n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
+        number = {c: i for i, c in enumerate(dict.fromkeys(group))}
+        groups = np.array([number[c] for c in group], np.int64)
+        index = sorted(np.flatnonzero(side == 0).tolist(), key=lambda i: (n[i], sig[i]))
+        lists = Lists(n[index], [np.frombuffer(tokens[i], np.uint64) for i in index], groups[index])
+        root, found = list(range(len(number))), []
+        for i in sorted(np.flatnonzero(side == 1).tolist(), key=lambda i: (n[i], sig[i])):
+            for y, _ in lists.search(int(n[i]), np.frombuffer(tokens[i], np.uint64), int(groups[i]), percent):
+                if (a := _root(root, int(groups[i]))) != (b := _root(root, int(groups[index[y]]))):
+                    root[a] = b
+                    found.append((sig[i], sig[index[y]]))
+        return pa.table([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], schema=schema)
 
     return run
 
 
-def search_tasks(members: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """members (block, sig, n, tokens) dealt to search tasks: (task, block, side, sig, n, tokens).
+def _partitions(spark, wanted: int = 0) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1 << 20))
+
+
+def _links(tasks: DataFrame, percent: int, wanted: int) -> DataFrame:
+    """Links of search tasks (task, side, sig, n, comp, tokens). Few bytes but long work: partitions that AQE doesn't merge."""
+    return tasks.repartition(_partitions(tasks.sparkSession, wanted), "task").groupBy("task").applyInArrow(_search(percent), "a binary, b binary")
 
-    A block of up to `chunk` documents goes whole, packed with others. A larger one first splits into windows of two
-    neighbouring size bands (a linked pair's sizes differ by less than a band), and windows that are still larger into
-    pairs of hashed chunks.
+
+def star_links(members: DataFrame, prefixes: DataFrame, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, hub): for each member the one document that is the least of the most of its prefix tokens; and the links among them.
+
+    Any choice of hubs is right: they only spare the search that follows. A hub of many members is in several tasks.
+    """
+    hubs = staged(prefixes.groupBy("token").agg(F.min("sig").alias("hub"), F.count("*").alias("df")).where("df > 1"), "hubs")
+    votes = join_salted(prefixes, hubs, "token", "df", prefixes.count(), "sig").where(F.col("hub").isNotNull()).groupBy("sig", "hub").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("sig").agg(F.max(F.struct("votes", "hub")).getField("hub").alias("hub"))
+    chosen = staged(best, "stars")
+    unstage(hubs)
+    stars = chosen.where("sig <> hub")
+    sizes = stars.groupBy("hub").agg(F.count("*").alias("of"), F.ceil(F.count("*") / (ASKED * chunk)).cast("int").alias("k"))
+    hub = members.select(F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens")).join(sizes, "hub")
+    hub = staged(hub, "hubs")
+    dealt = join_salted(members.join(stars, "sig"), hub.drop("hub_tokens"), "hub", "of", stars.count(), "sig")
+    # The larger side asks: members no smaller than the hub ask it (up), and it asks the others.
+    part, up = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"), F.col("n") >= F.col("hub_n")
+    rows = dealt.select("hub", part.alias("part"), up.alias("up"), up.cast("int").alias("side"), "sig", "n", F.col("sig").alias("comp"), "tokens")
+    centre = hub.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("up", F.explode(F.array(F.lit(True), F.lit(False))))
+    centre = centre.select("hub", "part", "up", (~F.col("up")).cast("int").alias("side"), F.col("hub").alias("sig"), F.col("hub_n").alias("n"), F.col("hub").alias("comp"), F.col("hub_tokens").alias("tokens"))
+    return chosen, rows.unionByName(centre).withColumn("task", F.xxhash64("hub", "part", "up"))
+
+
+def cross_tasks(members: DataFrame, prefixes: DataFrame, placed: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Search tasks for all links between members of different components, from placed (sig, n, comp, chunk).
+
+    A token of one component alone asks nothing. Else each member that holds it asks the chunks in which it is held by
+    another component and by sizes that may link; members ask a chunk once, whatever tokens lead there.
     """
-    count = members.groupBy("block").agg(F.count("*").alias("c"))
+    held = staged(prefixes.join(placed, "sig"), "held")
+    mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df", F.lit(True).alias("mixed"))
+    some = staged(join_salted(held, mixed, "token", "df", held.count(), "sig").where("mixed").drop("mixed"), "mixed")
+    unstage(held)
+    by_chunk = some.groupBy("token", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
+    asks = some.select("token", "sig", "n", "comp").join(by_chunk, "token")
+    asks = asks.where(((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (F.col("least") <= F.col("n"))).select("sig", "chunk").distinct()
+    asks = staged(asks, "asks")
+    parts = asks.groupBy("chunk").agg(F.ceil(F.count("*") / (ASKED * chunk)).cast("int").alias("k"))
+    wide = parts.where("k > 1")
+    asking = asks.join(F.broadcast(wide) if wide.limit(100_001).count() <= 100_000 else wide, "chunk", "left").withColumn("part", F.pmod(F.xxhash64("sig"), F.coalesce("k", F.lit(1))).cast("int"))
+    asking = members.join(asking, "sig").join(placed.select("sig", "comp"), "sig").select("chunk", "part", F.lit(1).alias("side"), "sig", "n", "comp", "tokens")
+    index = members.join(placed.select("sig", "comp", "chunk"), "sig").join(parts, "chunk").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    index = index.select("chunk", "part", F.lit(0).alias("side"), "sig", "n", "comp", "tokens")
+    return asking.unionByName(index).withColumn("task", F.xxhash64("chunk", "part"))
+
+
+def labelled(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n, sig) of every row and (sig, component, copies) of the classes of equal sets that others link with or that repeat.
+
+    mark is a hash of the text. See jaccard_components.
+    """
+    spark = bound_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bits_for(size)
+    segment = max(segment, 16 << bits if bits > 15 else 0)
+    sent = rows.mapInArrow(_segments(k, bits, segment), "bucket long, seg long, payload binary")
+    shared = sent.repartition(_partitions(spark, 1 << bits), "bucket").groupBy("bucket").applyInArrow(_count, "seg long, bucket long, payload binary")
+    home = shared.repartition(_partitions(spark, size // (6 * segment)), "seg").groupBy("seg")
+    table = staged(home.applyInArrow(_documents(percent), "doc_id long, mark long, n long, sig binary, tokens binary, prefix array<long>"), "sets")
+
+    able = table.where(F.col("prefix").isNotNull())
+    members = staged(able.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix")), "members")
+    prefixes = staged(members.select("sig", F.explode("prefix").alias("token")), "prefixes")
     total = members.count()
-    packs = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // chunk))
-    sized = members.join(count, "block")
-    small = sized.where(F.col("c") <= chunk).select(F.pmod(F.xxhash64("block"), F.lit(packs)).alias("task"), "block", F.lit(-1).alias("side"), "sig", "n", "tokens")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
-    window = sized.where(F.col("c") > chunk).select(F.explode(F.array(band, band + 1)).alias("w"), "block", "sig", "n", "tokens")
-    several = window.groupBy("block", "w").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
-    part = window.join(several, ["block", "w"]).withColumn("side", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
-    pairs = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    lo, hi = F.least("side", "other"), F.greatest("side", "other")
-    large = pairs.select(F.xxhash64("block", "w", lo, hi).alias("task"), F.xxhash64("block", "w", lo, hi).alias("block"), F.when(lo == hi, -1).otherwise(F.col("side")).alias("side"), "sig", "n", "tokens")
-    return small.unionByName(large)
+    chunk = min(chunk, max(64, total // (2 * _partitions(spark)))) if chunk == CHUNK else chunk
+    wanted = -(-2 * total // chunk)
+    chosen, stars = star_links(members, prefixes, percent, chunk)
+    links = staged(_links(stars, percent, wanted), "links")
+    near = connected_components(links).select(F.col("node").alias("sig"), "component")
+    # Neighbours lie in the same chunk: a component, or a hub's documents, fill whole chunks or share one with others.
+    known = members.select("sig", "n").join(near, "sig", "left").join(chosen, "sig", "left")
+    known = staged(known.select("sig", "n", F.coalesce("component", "sig").alias("comp"), F.coalesce("component", "hub", "sig").alias("place")), "places")
+    sizes = known.groupBy("place").agg(F.count("*").alias("c"))
+    several = sizes.where(F.col("c") > chunk).select("place", F.ceil(F.col("c") / chunk).cast("int").alias("k"))  # at most total / chunk rows
+    salted = known.join(F.broadcast(several) if total <= 100_000 * chunk else several, "place", "left")
+    part = F.pmod(F.xxhash64("sig"), F.coalesce("k", F.lit(1)))
+    placed = staged(salted.select("sig", "n", "comp", F.pmod(F.xxhash64("place", part), F.lit(max(1, -(-total // chunk)))).alias("chunk")), "placed")
+    more = staged(_links(cross_tasks(members, prefixes, placed, percent, chunk), percent, wanted), "links")
+    joined = near if more.isEmpty() else connected_components(links.unionByName(more)).select(F.col("node").alias("sig"), "component")
+    return table, joined
+
+
+def _classes(table: DataFrame, joined: DataFrame, first: str) -> DataFrame:
+    """(sig, first, copies) of the classes that link with others or have several rows: the least `first` of their component."""
+    classes = table.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(first).alias("mine"), F.count("*").alias("copies"))
+    linked = joined.join(classes, "sig")
+    least = linked.groupBy("component").agg(F.min("mine").alias("first"), F.count("*").alias("w"))
+    labels = join_salted(linked, least, "component", "w", linked.count(), "sig").select("sig", "first", "copies")
+    alone = classes.where("copies > 1").join(joined, "sig", "left_anti").select("sig", F.col("mine").alias("first"), "copies")
+    return staged(labels.unionByName(alone), "labels")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
@@ -261,44 +414,31 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, chunk: in
     nothing is capped or sampled. Rows that repeat a doc_id are kept, each with its own text's component; a null doc_id
     is never a component_id unless the component has no other.
     """
-    spark = bound_batches(docs.sparkSession)
-    bits = bits_for(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sent = rows.mapInArrow(_segments(k, bits, segment), "bucket long, seg long, payload binary")
-    shared = sent.groupBy("bucket").applyInArrow(_count, "seg long, bucket long, payload binary")
-    table = staged(shared.groupBy("seg").applyInArrow(_documents(bits, percent), "doc_id long, n long, sig long, tokens binary, prefix array<long>"), "sets")
-
-    classes = table.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    able = table.where(F.col("prefix").isNotNull())
-    prefixes = staged(able.select("sig", F.explode("prefix").alias("token")).distinct(), "prefixes")
-    hubs = prefixes.groupBy("token").agg(F.min("sig").alias("hub"), F.count("*").alias("df")).where("df > 1")
-    stars = prefixes.join(hubs, "token").select(F.col("sig").alias("a"), F.col("hub").alias("b"))
-    blocks = connected_components(stars).select(F.col("node").alias("sig"), F.col("component").alias("block"))
-    one = able.groupBy("sig").agg(F.max("n").alias("n"), F.max("tokens").alias("tokens"))
-    members = staged(one.join(blocks, "sig"), "members")
-    # Few bytes but long work: a number of partitions of its own, which AQE doesn't merge.
-    tasks = search_tasks(members, percent, chunk).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "task")
-    links = tasks.groupBy("task").applyInArrow(_search(percent), "a long, b long")
-    joined = connected_components(links).select(F.col("node").alias("sig"), "component")
-
-    linked = joined.join(classes, "sig")
-    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = linked.join(least, "component").select("sig", "component_id", "copies")
-    alone = classes.where("copies > 1").join(joined, "sig", "left_anti").select("sig", F.col("first_id").alias("component_id"), "copies")
-    labels = staged(labels.unionByName(alone), "labels")
-    out = join_salted(table.select("doc_id", "n", "sig"), labels, "sig", "copies", table.count(), "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    table, joined = labelled(docs, k, percent, chunk, segment)
+    labels = _classes(table, joined, "doc_id")
+    out = join_salted(table.select("doc_id", "mark", "n", "sig"), labels, "sig", "copies", table.count(), "doc_id", "mark")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """docs without all but one document (that of the smallest doc_id) of each component; all columns stay.
+    """docs with one row (that of the smallest doc_id, null last, then of the least hash of its text) of each component; all columns stay.
 
-    Documents without a doc_id or without words are kept. Of rows that repeat a kept doc_id, all stay.
+    Rows are told apart by doc_id and text, so of rows that share a doc_id only copies go; rows equal in both count as
+    copies of each other. Rows without words are all kept.
     """
-    from .common import join_small
-
-    found = jaccard_components(docs, k, percent)
-    extra = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct(), "copies")
-    few = extra.select(F.col("__drop"), F.lit(True).alias("__gone"))
-    marked = join_small(docs.withColumn("__drop", F.col("doc_id").cast("long")), few, "__drop")
-    return marked.where(F.col("__gone").isNull()).select(*docs.columns)
+    table, joined = labelled(docs, k, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    table = table.where(F.col("sig").isNotNull()).select(row.alias("row"), "sig")
+    labels = _classes(table, joined, "row")
+    found = join_salted(table, labels, "sig", "copies", table.count(), "row").where(F.col("first").isNotNull())
+    fate = found.groupBy("row").agg(F.first(F.col("row") == F.col("first")).alias("kept"), F.count("*").alias("times"))
+    key, kept, times = private(docs, "row", "kept", "times")
+    some = staged(fate.where("not kept or times > 1").select(F.col("row").alias(key), F.col("kept").alias(kept), F.col("times").alias(times)), "copies")
+    doc_id = F.col("doc_id").cast("long")
+    mine = F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64("text").alias("mark"))
+    marked = join_small(docs.withColumn(key, mine), some, key).where(F.coalesce(kept, F.lit(True)))
+    if some.where(F.col(times) > 1).isEmpty():
+        return marked.select(*docs.columns)
+    once = marked.where(F.coalesce(times, F.lit(1)) == 1)
+    again = marked.where(F.col(times) > 1).dropDuplicates([key])
+    return once.unionByName(again).select(*docs.columns)

@@ -109,7 +109,7 @@ def test_jaccard_odd_rows(spark, odd):
     assert by[5][1] == 4 and by[7] == (9, 6) and by[None] == (9, 6) and by[9] == (1, 8)
     assert len(got) == 14
     kept = jaccard.keep_one_per_component(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 6, 6, 8, None, 10, 11, 12]))
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 10, 11, 12]
     assert jaccard.jaccard_components(odd.where("false")).count() == 0
 
 
@@ -592,22 +592,45 @@ def test_trigram_postings(spark):
     assert got == {("tok", 1), ("oke", 1), ("oke", 2)}
 
 
-def test_word_hashes_do_not_depend_on_pieces():
-    w = common.Words(jaccard.SEPARATORS)
-    text = (" ".join(f"word{i}" for i in range(5000)) + " " + "y" * 50_000).encode()
-    _, _, _, whole, _ = w.of_texts([text])
-    w.PIECE = 700
-    _, _, _, pieces, bounds = w.of_texts([b"", text, b" "])
-    assert (whole == pieces).all() and bounds.tolist() == [0, 0, 5001, 5001] and len(set(whole.tolist())) == 5001
+def test_word_hashes_tell_words_apart():
+    """Prefixes, paddings and the two Thue-Morse words of each length differ; place and case don't matter."""
+    w, words = common.Words(jaccard.SEPARATORS), {"x" * n for n in range(1, 200)} | {"x" * n + "\0" for n in range(80)} | {f"word{i}" for i in range(5000)}
+    for n in (16, 64, 128, 1024, 2048, 4096):
+        t = "a"
+        while len(t) < n:
+            t += t.translate(str.maketrans("ab", "ba"))
+        words |= {t, t.translate(str.maketrans("ab", "ba"))}
+    words = sorted(words)
+    _, _, _, whole, bounds = w.of_texts([b"", " ".join(words).encode(), b" "])
+    _, _, _, again, _ = w.of_texts([x.upper().encode() for x in words])
+    assert (whole == again).all() and bounds.tolist() == [0, 0, len(words), len(words)] and len(set(whole.tolist())) == len(words)
 
 
-def test_salted_join_of_a_hot_key(spark):
+def test_salted_join_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
     left = spark.range(6000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
     got = common.join_salted(left, right, "k", "n", 6000, "id")
     assert got.count() == 6000 and got.where("m is null").count() == 0 and got.where("k = 'hot' and m = 5997").count() == 2000
 
 
+def test_salted_join_spreads_nulls(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common, "SALTS", 8)
+    left = spark.range(5000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.lit("mine").alias("__salt"), F.lit(1).alias("__hot"))
+    right = spark.range(0, 5000, 20).select(F.col("id").alias("k"), F.lit(1).alias("n"), (-F.col("id")).alias("m"))
+    got = common.join_salted(left, right, "k", "n", 5000, "id")
+    assert got.columns == ["k", "id", "__salt", "__hot", "m"] and got.count() == 5000 and got.where("m is not null").count() == 250 and got.where("__salt = 'mine'").count() == 5000
+
+
+def test_connected_components_of_a_hub(spark, monkeypatch):
+    """A node with nine tenths of all edges, by salted joins."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    edges = spark.range(1, 3000).select(F.col("id").alias("a"), F.when(F.col("id") % 10 > 0, F.lit(0)).otherwise(F.col("id") - 1).cast("long").alias("b")).unionByName(spark.createDataFrame([(-5, 40_000)], "a long, b long"))
+    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(3000)}, -5: -5, 40_000: -5}
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 

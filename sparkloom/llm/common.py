@@ -234,10 +234,10 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
         trim(0)
 
 
-def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Callable[[], Callable[..., list]]) -> DataFrame:
+def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Callable[[], Callable[..., list]], rows: int = 1000) -> DataFrame:
     """df with one more struct column, computed from `columns` in Arrow batches without any shuffle.
 
-    make() runs once a task and gives a function from the columns' Python lists to one list per field. df's own columns
+    make() runs once a task and gives a function from the columns' Python lists (of up to `rows` values) to one list per field. df's own columns
     pass through untouched; the struct's name must be none of theirs (see `private`).
     """
     if name in df.columns:
@@ -250,7 +250,7 @@ def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in small(batches):
+        for batch in small(batches, rows):
             n = batch.num_columns - inputs
             made = of(*[c.to_pylist() for c in batch.columns[n:]])
             arrays = [pa.array(v, f.type) for v, f in zip(made, arrow, strict=True)]

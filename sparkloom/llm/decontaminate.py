@@ -4,8 +4,10 @@ A benchmark window (10 consecutive item words, or a shorter item whole) is the s
 contains it only if it has all of them, so the necessary prefix under the order "rarest first" is a single shingle:
 the window's rarest by document frequency over the corpus. Texts are searched for those prefix shingles alone; a match
 at one place fixes where the window must start, which the length and the position in the text must allow; the words
-there are then compared exactly. Texts are never shuffled. The benchmark goes through in blocks of BLOCK_BYTES of text,
-whose index is broadcast; a larger benchmark only means more passes.
+there are then compared exactly. A window that many items share is one window with a list of items.
+
+Texts are read twice (frequencies, search) and never shuffled. The benchmark is cut into blocks of BLOCK_BYTES of text,
+each a broadcast of its own; a task goes through all of them, and its worker keeps the first KEEP.
 """
 
 from __future__ import annotations
@@ -14,16 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Words, bound_batches, in_chunks, mix, small, with_struct
+from .common import Words, bound_batches, in_chunks, mix, private, small, staged, with_struct
 
 #: Bytes below 0x80 that are no letters or digits once A-Z are lower-cased (A-Z hash as a-z, so they count as letters).
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-#: Bytes of benchmark text whose index is broadcast at a time.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text whose index is a broadcast (some nine bytes a byte), and the blocks that a worker keeps; others
+#: are loaded again for each MANY rows.
+BLOCK_BYTES, KEEP, MANY = 8 << 20, 8, 20_000
 WINDOW, SHINGLE = 10, 5
 FIELDS = "n_words long, hits array<int>, items array<string>"
 
@@ -41,7 +44,7 @@ def runs_of(hashes: np.ndarray, owner: np.ndarray, w: int) -> tuple[np.ndarray,
 
 
 class Block:
-    """The windows of some benchmark items and the shingles in them."""
+    """The distinct windows of some benchmark items, the items of each, and the shingles in them."""
 
     def __init__(self, rows: list[tuple], window: int, shingle: int):
         self.ids = [None if i is None else str(i) for i, _ in rows]
@@ -49,10 +52,23 @@ class Block:
         self.buffer, self.starts, self.ends, self.hashes, bounds = Words(SEPARATORS).of_texts(texts)
         n = np.diff(bounds)
         # one row a window: its item, its first word (among all words of the block) and its length
-        self.item = np.repeat(np.arange(len(rows)), np.where(n > 0, np.maximum(n - window + 1, 1), 0))
+        item = np.repeat(np.arange(len(rows)), np.where(n > 0, np.maximum(n - window + 1, 1), 0))
         size = np.minimum(n, window)
         first = np.concatenate([np.arange(bounds[i], bounds[i + 1] - size[i] + 1) for i in range(len(rows)) if n[i]] + [np.empty(0, np.int64)]).astype(np.int64)
-        self.first, self.size = first, size[self.item]
+        size = size[item]
+        # windows of the same words become one: same is a number for each
+        same, step = size.astype(np.uint64), np.arange(window)
+        last = np.minimum(first[:, None] + step, max(len(self.hashes) - 1, 0))
+        words = np.where(step < size[:, None], self.hashes[last] if len(self.hashes) else np.zeros(last.shape, np.uint64), np.uint64(0))
+        for j in range(window):
+            same = mix(same ^ words[:, j])
+        order = np.argsort(same, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1) | (size[order[1:]] != size[order[:-1]])
+        which = np.cumsum(new) - 1
+        pair = np.unique(np.stack([which, item[order]]), axis=1)  # (window, item)
+        self.items, self.item_of = pair[1].astype(np.int32), np.searchsorted(pair[0], np.arange((which[-1] + 1 if len(which) else 0) + 1))
+        self.first, self.size = first[order[new]], size[order[new]]
         self.width = np.minimum(self.size, shingle)  # of the window's shingles
         self.shingles = {}
         owner = np.repeat(np.arange(len(rows)), n)
@@ -61,91 +77,120 @@ class Block:
             all_at = np.zeros(len(self.hashes) + 1, np.uint64)
             all_at[at] = h
             self.shingles[int(w)] = all_at
-        self.wanted = np.unique(np.concatenate([self.shingles[int(w)][(self.first[self.width == w][:, None] + np.arange(self.size[self.width == w].max() - w + 1)).clip(max=len(self.hashes))].ravel() for w in self.shingles] + [np.empty(0, np.uint64)]))
+        self.wanted = np.unique(np.concatenate([self.of_windows(w)[0].ravel() for w in self.shingles] + [np.empty(0, np.uint64)]))
+
+    def of_windows(self, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of the windows whose shingles are w words, one row a window, which of them are real, and the windows."""
+        mine = np.flatnonzero(self.width == w)
+        step = np.arange(int(self.size[mine].max()) - w + 1)
+        real = step <= (self.size[mine] - w)[:, None]
+        return self.shingles[w][np.where(real, self.first[mine][:, None] + step, self.first[mine][:, None])], real, mine
 
     def rank(self, known: np.ndarray, df: np.ndarray) -> None:
         """Choose each window's rarest shingle: its prefix. known is sorted; df are document frequencies."""
         key, offset = np.empty(len(self.first), np.uint64), np.empty(len(self.first), np.int64)
-        for x in range(len(self.first)):
-            w = int(self.width[x])
-            h = self.shingles[w][self.first[x] : self.first[x] + self.size[x] - w + 1]
-            i = np.searchsorted(known, h) if len(known) else np.zeros(len(h), np.int64)
-            f = np.array([df[j] if j < len(known) and known[j] == v else 0 for j, v in zip(i, h, strict=True)])
-            best = np.lexsort((h, f))[0]
-            key[x], offset[x] = h[best], best
+        for w in self.shingles:
+            h, real, mine = self.of_windows(w)
+            i = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            f = np.where(known[i] == h, df[i], 0) if len(known) else np.zeros(h.shape, np.int64)
+            f = np.where(real, f, np.iinfo(np.int64).max)
+            least = np.where(f == f.min(axis=1, keepdims=True), h, np.uint64(0xFFFFFFFFFFFFFFFF))  # ties go to the least hash
+            best = np.where(real, least, np.uint64(0xFFFFFFFFFFFFFFFF)).argmin(axis=1)
+            key[mine], offset[mine] = h[np.arange(len(mine)), best], best
         order = np.argsort(key, kind="stable")
-        self.key, self.offset = key[order], offset[order]
-        self.item, self.first, self.size, self.width = self.item[order], self.first[order], self.size[order], self.width[order]
-        self.shingles = {w: None for w in self.shingles}
+        self.key, self.offset, self.window = key[order], offset[order].astype(np.uint8), order
+        self.shingles, self.wanted = {w: None for w in self.shingles}, None
 
     def word(self, i: int) -> bytes:
         return self.buffer[self.starts[i] : self.ends[i]].tobytes().lower()
 
+    def names(self, windows: set[int]) -> set[str]:
+        """Ids of the items that have any of the windows."""
+        if not windows:
+            return set()
+        items = np.unique(np.concatenate([self.items[self.item_of[x] : self.item_of[x + 1]] for x in windows]))
+        return {name for i in items.tolist() if (name := self.ids[i]) is not None}
+
+
+def opened(blocks: list[Broadcast]) -> Iterator[Block]:
+    """The blocks one after another; a worker keeps the first KEEP."""
+    for i, x in enumerate(blocks):
+        yield x.value
+        if i >= KEEP and getattr(x, "_path", None):
+            x.__dict__.pop("_value", None)
+
+
+def _counts(blocks: list[Broadcast], rows: int):
+    """Texts to (block, shingle, df): how many texts of the task hold a shingle of the block's windows."""
 
-def _counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words = shared.value, Words(SEPARATORS)
-        total = np.zeros(len(block.wanted), np.int64)
-        for batch in small(batches):
-            for _, chunk in in_chunks(batch.column(0).to_pylist()):
-                _, _, _, hashes, bounds = words.of_texts(chunk)
-                owner = np.repeat(np.arange(len(chunk)), np.diff(bounds))
-                for w in block.shingles:
-                    at, h = runs_of(hashes, owner, w)
-                    i = np.minimum(np.searchsorted(block.wanted, h), max(len(block.wanted) - 1, 0))
-                    hit = np.flatnonzero(block.wanted[i] == h) if len(block.wanted) else at[:0]
-                    total += np.bincount(np.unique(owner[at[hit]] * len(total) + i[hit]) % max(len(total), 1), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(block.wanted[some].view(np.int64)), pa.array(total[some])], names=["shingle", "df"])
+        words, totals = Words(SEPARATORS), [np.zeros(0, np.int64)] * len(blocks)
+        for batch in small(batches, rows):
+            texts = batch.column(0).to_pylist()
+            for b, block in enumerate(opened(blocks)):
+                total = totals[b] = totals[b] if len(totals[b]) else np.zeros(len(block.wanted), np.int64)
+                for _, chunk in in_chunks(texts):
+                    _, _, _, hashes, bounds = words.of_texts(chunk)
+                    owner = np.repeat(np.arange(len(chunk)), np.diff(bounds))
+                    for w in block.shingles:
+                        at, h = runs_of(hashes, owner, w)
+                        i = np.minimum(np.searchsorted(block.wanted, h), max(len(block.wanted) - 1, 0))
+                        hit = np.flatnonzero(block.wanted[i] == h) if len(block.wanted) else at[:0]
+                        total += np.bincount(np.unique(owner[at[hit]] * len(total) + i[hit]) % max(len(total), 1), minlength=len(total))
+        for b, total in enumerate(totals):
+            some = np.flatnonzero(total)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), pa.array(blocks[b].value.wanted[some].view(np.int64)), pa.array(total[some])], names=["block", "shingle", "df"])
 
     return run
 
 
-def _find(shared):
-    """A task's function: texts and what earlier blocks found to words, hit spans and item ids by text."""
+def _search(block: Block, words: Words, chunk: list[bytes], hits: list[list[int]], items: list[set]) -> np.ndarray:
+    """Add a chunk's hit spans and item ids by text; gives each text's number of words."""
+    buffer, starts, ends, hashes, bounds = words.of_texts(chunk)
+    owner = np.repeat(np.arange(len(chunk)), np.diff(bounds))
+    found: dict[int, set[int]] = {}
+    for w in block.shingles:
+        at, h = runs_of(hashes, owner, w)
+        lo = np.searchsorted(block.key, h)
+        some = np.flatnonzero(block.key[np.minimum(lo, max(len(block.key) - 1, 0))] == h) if len(block.key) else at[:0]
+        if not len(some):
+            continue
+        lo, n = lo[some], np.searchsorted(block.key, h[some], "right") - lo[some]
+        place = np.repeat(at[some], n)
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        x, begin, doc = block.window[entry], place - block.offset[entry], owner[place]
+        fits = (block.width[x] == w) & (begin >= bounds[doc]) & (begin + block.size[x] <= bounds[doc + 1])
+        x, begin, doc = x[fits], begin[fits], doc[fits]
+        for size in np.unique(block.size[x]):
+            mine = np.flatnonzero(block.size[x] == size)
+            step = np.arange(size)
+            same = (hashes[begin[mine][:, None] + step] == block.hashes[block.first[x[mine]][:, None] + step]).all(axis=1)
+            for j in mine[same]:
+                b, f = int(begin[j]), int(block.first[x[j]])
+                if all(buffer[starts[b + s] : ends[b + s]].tobytes().lower() == block.word(f + s) for s in range(size)):
+                    d = int(doc[j])
+                    hits[d] += (b - int(bounds[d]), b - int(bounds[d]) + int(size))
+                    found.setdefault(d, set()).add(int(x[j]))
+    for d, windows in found.items():
+        items[d] |= block.names(windows)
+    return np.diff(bounds)
+
+
+def _find(blocks: list[Broadcast]):
+    """A task's function: texts to words, hit spans and item ids by text."""
 
     def make():
-        block, words = shared.value, Words(SEPARATORS)
-
-        def search(chunk: list[bytes], hits: list[list[int]], items: list[set]) -> np.ndarray:
-            buffer, starts, ends, hashes, bounds = words.of_texts(chunk)
-            owner = np.repeat(np.arange(len(chunk)), np.diff(bounds))
-            for w in block.shingles:
-                at, h = runs_of(hashes, owner, w)
-                lo = np.searchsorted(block.key, h)
-                some = np.flatnonzero(block.key[np.minimum(lo, max(len(block.key) - 1, 0))] == h) if len(block.key) else at[:0]
-                if not len(some):
-                    continue
-                lo, hi = lo[some], np.searchsorted(block.key, h[some], "right")
-                place = np.repeat(at[some], hi - lo)
-                x = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
-                begin = place - block.offset[x]
-                doc = owner[place]
-                fits = (block.width[x] == w) & (begin >= bounds[doc]) & (begin + block.size[x] <= bounds[doc + 1])
-                x, begin, doc = x[fits], begin[fits], doc[fits]
-                for size in np.unique(block.size[x]):
-                    mine = np.flatnonzero(block.size[x] == size)
-                    step = np.arange(size)
-                    same = (hashes[begin[mine][:, None] + step] == block.hashes[block.first[x[mine]][:, None] + step]).all(axis=1)
-                    for j in mine[same]:
-                        b, f = int(begin[j]), int(block.first[x[j]])
-                        if all(buffer[starts[b + s] : ends[b + s]].tobytes().lower() == block.word(f + s) for s in range(size)):
-                            d = int(doc[j])
-                            hits[d] += (b - int(bounds[d]), b - int(bounds[d]) + int(size))
-                            if (name := block.ids[block.item[x[j]]]) is not None:
-                                items[d].add(name)
-            return np.diff(bounds)
-
-        def of(texts: list, before: list) -> list[list]:
-            counts, all_hits, all_items = [], [], []
-            for at, chunk in in_chunks(texts):
-                old = before[at : at + len(chunk)]
-                hits = [list(o["hits"]) if o else [] for o in old]
-                items = [set(o["items"]) if o else set() for o in old]
-                counts += search(chunk, hits, items).tolist()
-                all_hits += hits
-                all_items += [sorted(i) for i in items]
-            return [counts, [merged(h) for h in all_hits], all_items]
+        words = Words(SEPARATORS)
+
+        def of(texts: list) -> list[list]:
+            counts, hits, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for block in opened(blocks):
+                for at, chunk in in_chunks(texts):
+                    to = at + len(chunk)
+                    counts[at:to] = _search(block, words, chunk, hits[at:to], part := items[at:to]).tolist()
+                    items[at:to] = part
+            return [counts, [merged(h) for h in hits], [sorted(i) for i in items]]
 
         return of
 
@@ -163,31 +208,40 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a struct column __found: n_words, hits (disjoint spans of hit words: start, end, ...) and items (ids, sorted).
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, name: str = "__found") -> DataFrame:
+    """docs with a struct column `name`: n_words, hits (disjoint spans of hit words: start, end, ...) and items (ids, sorted).
 
     Words are runs of digits, letters and all characters beyond ASCII, with A-Z lower-cased. A text word is hit if it
     lies in any occurrence of a window. Null and empty texts have no words and no hits; items without words are in
     nothing; an item without an id hits words but isn't listed; rows that repeat an item count once. Empty tables give
     empty results.
     """
-    spark = bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("t")).where(F.col("t").isNotNull())
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    out = docs.withColumn("__found", F.lit(None).cast(T.StructType.fromDDL(FIELDS)))
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        block = Block([(r.item, r.t) for r in part.collect()], window, shingle)  # at most about block_bytes
-        shared = spark.sparkContext.broadcast(block)
-        df = docs.select("text").mapInArrow(_counts(shared), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).toPandas()
-        known = df["shingle"].to_numpy(np.int64).view(np.uint64)
+    n = max(1, -(-size // block_bytes))
+    rows = 1000 if n <= KEEP else MANY
+    bound_batches(spark, rows)
+
+    def shared(b: int) -> Block:
+        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == b) if n > 1 else items
+        return Block([(r.item, r.t) for r in part.collect()], window, shingle)  # at most about block_bytes
+
+    plain = [spark.sparkContext.broadcast(shared(b)) for b in range(n)]
+    counts = docs.select("text").mapInArrow(_counts(plain, rows), "block int, shingle long, df long").groupBy("block", "shingle").agg(F.sum("df").alias("df"))
+    counts = staged(counts, "frequencies")
+    ranked = []
+    for b in range(n):
+        df = counts.where(F.col("block") == b).toArrow()  # at most the block's shingles
+        known = df.column("shingle").to_numpy().view(np.uint64)
         order = np.argsort(known)
-        block.rank(known[order], df["df"].to_numpy(np.int64)[order])
-        ranked = spark.sparkContext.broadcast(block)
-        found = with_struct(out, "__new", FIELDS, [F.col("text"), F.col("__found")], _find(ranked))
-        out = found.drop("__found").withColumnRenamed("__new", "__found")
-    return out
+        block = plain[b].value
+        block.rank(known[order], df.column("df").to_numpy()[order])
+        ranked.append(spark.sparkContext.broadcast(block))
+        plain[b].__dict__.pop("_value", None)
+        plain[b].destroy()
+        del block
+    return with_struct(docs, name, FIELDS, [F.col("text")], _find(ranked), rows)
 
 
 def n_hit(found: str = "__found"):
@@ -205,5 +259,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows in which any benchmark window occurs."""
-    return mark_contamination(docs, benchmark, **options).where(F.size("__found.hits") == 0).select(*docs.columns)
-
+    name = private(docs, "found")[0]
+    return mark_contamination(docs, benchmark, name=name, **options).where(F.size(f"{name}.hits") == 0).select(*docs.columns)

@@ -10,39 +10,67 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_struct
+from .common import staged, with_struct
 
 SIGNATURE = bytes([137, 80, 78, 71, 13, 10, 26, 10])
 #: Bytes of a row of the image, and its samples: one channel of eight bits.
 ROW = 192
 PAD = 32
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+#: Bytes of images that are filtered or unfiltered at a time.
+SLICE = 1 << 21
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(payload: bytes, row: int = ROW, filter_type: int = 0, level: int = 6) -> bytes:
+def filtered(rows: np.ndarray, unit: int = 1, kind: int | None = None) -> np.ndarray:
+    """Rows of samples as PNG filters them, each after its type: that of the least sum of absolute residuals, if not given."""
+    x = rows.astype(np.int16)
+    left, above, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    left[:, unit:], above[1:], corner[1:, unit:] = x[:, :-unit], x[:-1], x[:-1, :-unit]
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    for k in range(5) if kind is None else (kind,):
+        residual = (x - _guess(k, left, above, corner)).astype(np.uint8)
+        cost = np.abs(residual.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+        better = cost < least
+        least[better] = cost[better]
+        out[better, 0], out[better, 1:] = k, residual[better]
+    return out
+
+
+def _guess(kind: int, left: np.ndarray, above: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What a filter type (none, sub, up, average, paeth) expects of samples with these neighbours (int16)."""
+    if kind == 0:
+        return np.zeros_like(left)
+    if kind in (1, 2):
+        return left if kind == 1 else above
+    if kind == 3:
+        return (left + above) >> 1
+    if kind == 4:
+        by_left, by_above = np.abs(above - corner), np.abs(left - corner)
+        by_corner = np.abs(left + above - 2 * corner)
+        return np.where((by_left <= by_above) & (by_left <= by_corner), left, np.where(by_above <= by_corner, above, corner))
+    raise ValueError(f"unknown filter {kind}")
+
+
+def encode_png(payload: bytes, row: int = ROW, filter_type: int | None = None, level: int = 6) -> bytes:
     """An 8-bit grey PNG whose rows are the payload's; its length must be a positive multiple of row.
 
-    filter_type 0 (none), 1 (sub) and 2 (up) can be written. For text, whose neighbouring bytes say little about each
-    other's value, none compresses best. Data goes out in several IDAT chunks, so none exceeds PNG's limit.
+    Each row takes the filter whose residuals are least, of all five types, unless one is given. Data goes out in several
+    IDAT chunks, so none exceeds PNG's limit.
     """
     if not payload or len(payload) % row:
         raise ValueError("the payload must be whole rows")
     rows = np.frombuffer(payload, np.uint8).reshape(-1, row)
-    out = np.empty((len(rows), row + 1), np.uint8)
-    out[:, 0] = filter_type
-    out[:, 1:] = rows
-    if filter_type == 1:
-        out[:, 2:] -= rows[:, :-1]
-    elif filter_type == 2:
-        out[1:, 1:] -= rows[:-1]
-    elif filter_type:
-        raise ValueError("only filters 0, 1 and 2 are written")
-    data = zlib.compress(out, level)
-    idat = b"".join(_chunk(b"IDAT", data[i : i + (1 << 24)]) for i in range(0, len(data), 1 << 24))
+    step, data, deflate = SLICE // row, [], zlib.compressobj(level)
+    for at in range(0, len(rows), step):  # each slice sees the row above it
+        data.append(deflate.compress(filtered(rows[max(at - 1, 0) : at + step], 1, filter_type)[1 if at else 0 :].tobytes()))
+    data.append(deflate.flush())
+    whole = b"".join(data)
+    idat = b"".join(_chunk(b"IDAT", whole[i : i + (1 << 24)]) for i in range(0, len(whole), 1 << 24))
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", row, len(rows), 8, 0, 0, 0, 0)) + idat + _chunk(b"IEND", b"")
 
 
@@ -68,44 +96,56 @@ def chunks(png: bytes):
 
 
 def unfilter(raw: np.ndarray, unit: int) -> np.ndarray:
-    """Undo PNG's filters: raw is rows of a filter type and samples; unit is the bytes of a pixel.
+    """Undo PNG's filters: raw is rows of a filter type and samples; unit is the bytes of a pixel."""
+    return unfilter_all([raw], unit)[0]
 
-    Runs of rows of types 0, 1 and 2 are undone together; the rows of types 3 and 4 depend on each pixel before.
-    """
-    kinds, rows = raw[:, 0], raw[:, 1:].copy()
-    width = rows.shape[1]
-    before = np.zeros(width, np.uint8)
-    start = 0
-    for end in [*(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(rows)]:
-        kind, run = int(kinds[start]) if len(rows) else 0, rows[start:end]
-        if kind == 1:
-            run[:] = np.cumsum(run.reshape(len(run), -1, unit), axis=1, dtype=np.uint8).reshape(len(run), width)
-        elif kind == 2:
-            run[0] += before
-            run[:] = np.cumsum(run, axis=0, dtype=np.uint8)
-        elif kind in (3, 4):
-            for r in range(len(run)):
-                line, up = run[r], before if r == 0 else run[r - 1]
-                for i in range(0, width, unit):
-                    left = line[i - unit : i].astype(np.int16) if i else np.zeros(unit, np.int16)
-                    above = up[i : i + unit].astype(np.int16)
-                    if kind == 3:
-                        guess = (left + above) // 2
-                    else:
-                        corner = up[i - unit : i].astype(np.int16) if i else np.zeros(unit, np.int16)
-                        p = left + above - corner
-                        da, db, dc = abs(p - left), abs(p - above), abs(p - corner)
-                        guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, above, corner))
-                    line[i : i + unit] += guess.astype(np.uint8)
-        elif kind:
-            raise ValueError(f"unknown filter {kind}")
-        before = run[-1]
-        start = end
-    return rows
 
+def unfilter_all(images: list[np.ndarray], unit: int) -> list[np.ndarray]:
+    """unfilter of several images of one width at a time.
 
-def decode_png(png: bytes) -> np.ndarray:
-    """Samples (height, width, channels) of an 8-bit PNG that isn't interlaced or paletted."""
+    A pixel needs those to its left, above it and above to the left, so the pixels of one anti-diagonal are undone
+    together, for all images. Rows lie in the order of their height in their image; those that a diagonal crosses are a
+    slice.
+    """
+    width = images[0].shape[1] - 1
+    height = np.concatenate([np.arange(len(x)) for x in images])
+    order = np.argsort(height, kind="stable")
+    raw = np.concatenate(images)[order]
+    kinds, height = raw[:, 0], height[order]
+    if len(kinds) and kinds.max() > 4:
+        raise ValueError(f"unknown filter {kinds.max()}")
+    # the row above each row: one of zeros, in front, for the first ones; and each row has a pixel of zeros in front
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(1, len(order) + 1)
+    begin = np.cumsum([0] + [len(x) for x in images])
+    above = np.where(height == 0, 0, place[np.maximum(order - 1, 0)])
+    span = width + unit
+    flat = np.zeros(((len(order) + 1), span), np.uint8)
+    flat[1:, unit:] = raw[:, 1:]
+    flat = flat.ravel()
+    tall = np.searchsorted(height, np.arange(int(height[-1]) + 2 if len(height) else 1))  # where each height begins
+    here = np.arange(1, len(order) + 1) * span - height * unit  # the pixel in front of a row's, less the diagonals before it
+    up = above * span - height * unit
+    step = np.arange(unit)
+    for d in range(width // unit + (int(height[-1]) if len(height) else 0)):
+        lo, hi = tall[max(0, d - width // unit + 1)], tall[min(d + 1, len(tall) - 1)]
+        if lo == hi:
+            continue
+        at = here[lo:hi] + d * unit
+        over = up[lo:hi] + d * unit
+        if unit > 1:
+            at, over, kind = (at[:, None] + step).ravel(), (over[:, None] + step).ravel(), np.repeat(kinds[lo:hi], unit)
+        else:
+            kind = kinds[lo:hi]
+        left, corner, top = flat[at].astype(np.int16), flat[over].astype(np.int16), flat[over + unit].astype(np.int16)
+        guess = np.where(kind == 4, _guess(4, left, top, corner), np.where(kind == 3, (left + top) >> 1, np.where(kind == 1, left, np.where(kind == 2, top, np.int16(0)))))
+        flat[at + unit] += guess.astype(np.uint8)
+    rows = flat.reshape(-1, span)[place, unit:]
+    return [rows[s:e] for s, e in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def _read(png: bytes) -> tuple[int, int, np.ndarray]:
+    """Width and bytes of a pixel, and the filtered rows of an 8-bit PNG that isn't interlaced or paletted."""
     head, data, inflate = None, [], zlib.decompressobj()
     for kind, body in chunks(png):
         if kind == b"IHDR":
@@ -121,7 +161,38 @@ def decode_png(png: bytes) -> np.ndarray:
     raw = np.frombuffer(b"".join(data), np.uint8)
     if len(raw) != height * (width * unit + 1):
         raise ValueError("the image data has another size")
-    return unfilter(raw.reshape(height, -1), unit).reshape(height, width, unit)
+    return width, unit, raw.reshape(height, -1)
+
+
+def decode_png(png: bytes) -> np.ndarray:
+    """Samples (height, width, channels) of an 8-bit PNG that isn't interlaced or paletted."""
+    return decode_all([png])[0]
+
+
+def decode_all(pngs: list[bytes]) -> list[np.ndarray]:
+    """decode_png of several images; those of one shape of rows are unfiltered together, about SLICE bytes at a time."""
+    read = [_read(p) for p in pngs]
+    out: list = [None] * len(pngs)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (width, unit, _) in enumerate(read):
+        groups.setdefault((width, unit), []).append(i)
+    for (width, unit), members in groups.items():
+        members.sort(key=lambda i: len(read[i][2]))  # alike in height, so diagonals are full
+        at = 0
+        while at < len(members):
+            to, size = at, 0
+            while to < len(members) and (to == at or size + read[members[to]][2].size <= SLICE):
+                size += read[members[to]][2].size
+                to += 1
+            for i, rows in zip(members[at:to], unfilter_all([read[i][2] for i in members[at:to]], unit), strict=True):
+                out[i] = rows.reshape(len(rows), width, unit)
+            at = to
+    return out
+
+
+def filter_counts(png: bytes) -> list[int]:
+    """How many rows of a PNG have each filter type."""
+    return np.bincount(_read(png)[2][:, 0], minlength=5).tolist()
 
 
 def _cosines(n: int, k: int) -> np.ndarray:
@@ -175,21 +246,25 @@ def with_features(docs: DataFrame, column: str = "__media.media") -> DataFrame:
     and media_sha256 the stored form, feature is the cosine hash. Null media give nulls; broken media an error.
     """
 
-    def one(png: bytes | None) -> tuple:
-        if png is None:
-            return (None,) * 6
-        image = decode_png(png)
+    def one(png: bytes, image: np.ndarray) -> tuple:
         payload = image.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(image)
 
     def make():
-        return lambda media: [list(c) for c in zip(*map(one, media), strict=True)] or [[]] * 6
+        def of(media: list) -> list[list]:
+            images = iter(decode_all([m for m in media if m is not None]))
+            return [list(c) for c in zip(*[(None,) * 6 if m is None else one(m, next(images)) for m in media], strict=True)] or [[]] * 6
+
+        return of
 
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return with_struct(docs, "__feature", fields, [F.col(column)], make)
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) a row of docs."""
-    m = with_features(with_media(docs.select("doc_id", "text")).select("doc_id", "__media"))
-    return m.select("doc_id", F.col("__media.n_bytes").alias("n_bytes"), "__feature.*")
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) a row of docs.
+
+    The media are written to a table and read again; all but n_bytes comes from the stored bytes.
+    """
+    media = with_media(docs.select("doc_id", "text")).select("doc_id", F.col("__media.n_bytes").alias("n_bytes"), F.col("__media.media").alias("media"))
+    return with_features(staged(media, "media", compression="none"), "media").select("doc_id", "n_bytes", "__feature.*")

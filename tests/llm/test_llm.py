@@ -154,6 +154,21 @@ def test_decontamination_against_brute_force(spark, odd, block_bytes):
     assert kept.columns == both.columns and kept.count() == sum(not r[5] for r in want)
 
 
+def test_decontamination_of_a_template(spark, monkeypatch):
+    """10,000 items of one template: an occurrence is one window, and all items are named; in one block and in many that reload."""
+    template = " ".join(f"line{i}" for i in range(30))
+    items = [(i, f"{template} item{i}") for i in range(10_000)]
+    texts = [(1, f"x {template} y"), (2, f"{template} item77 {template} item78"), (3, "nothing here"), (4, " ".join(template.split()[:9]))]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    every = ",".join(sorted(str(i) for i, _ in items))
+    block = decontaminate.Block(items, 10, 5)
+    assert len(block.first) == 21 + 10_000 and len(block.items) == 22 * 10_000
+    monkeypatch.setattr(decontaminate, "KEEP", 2)
+    for block_bytes in (1 << 23, 1 << 19):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, bench, block_bytes=block_bytes).collect()}
+        assert got[1] == (30, 10_000, hashlib.sha256(every.encode()).hexdigest()) and got[2][:2] == (62, 10_000) and got[3][0] == got[4][0] == 0
+
+
 def test_decontamination_of_empty_tables(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.contamination(odd, none).collect())
@@ -276,9 +291,9 @@ def test_tokens_of_a_repeated_id_spread(spark, tmp_path):
     assert len(got) == 4000 and sum(r.doc_id is None for r in got) == 1334
 
 
-@pytest.mark.parametrize("kind", [0, 1, 2])
+@pytest.mark.parametrize("kind", [None, 0, 1, 2, 3, 4])
 def test_png_round_trip_and_checks(kind):
-    payload = np.random.default_rng(kind).integers(0, 256, 192 * 7).astype(np.uint8).tobytes()
+    payload = np.random.default_rng(kind or 0).integers(0, 256, 192 * 7).astype(np.uint8).tobytes()
     png = media.encode_png(payload, filter_type=kind)
     assert media.decode_png(png).tobytes() == payload
     for at in (3, 20, 60, len(png) - 3):
@@ -305,6 +320,20 @@ def test_unfilter_of_every_type():
     assert (media.unfilter(raw, unit) == image).all()
 
 
+def test_images_of_every_filter(monkeypatch):
+    """Texts and gradients use all five filter types, and images of several heights are read together as one by one."""
+    rng = np.random.default_rng(6)
+    ramp = np.add.outer(np.arange(40) * 3, np.arange(192) * 2)
+    payloads = [ramp.astype(np.uint8).tobytes(), (ramp * 7 + rng.integers(0, 3, ramp.shape)).astype(np.uint8).tobytes(), np.tile(rng.integers(0, 256, 192), (9, 1)).astype(np.uint8).tobytes(), bytes(192 * 3), rng.integers(0, 2, 192 * 50).astype(np.uint8).tobytes()]
+    payloads += [media.payload_of("a sentence of some words, and another. " * n) for n in (1, 7, 90)]
+    payloads.append(np.where(np.arange(192 * 5) % 2, 250, 3).astype(np.uint8).tobytes())
+    pngs = [media.encode_png(p) for p in payloads]
+    assert all(n > 0 for n in np.sum([media.filter_counts(p) for p in pngs], axis=0))
+    for size in (1 << 21, 192 * 8):
+        monkeypatch.setattr(media, "SLICE", size)
+        assert [x.tobytes() for x in media.decode_all(pngs)] == payloads and [media.encode_png(p) for p in payloads] == pngs
+
+
 def test_media_report(spark, odd):
     text = {r.doc_id: r.text for r in odd.collect()}
     for r in media.media_report(odd).collect():
@@ -573,6 +602,19 @@ def test_secrets_against_plain_scans(spark, odd):
     assert "github:0:44" in extra[52] and "private_key:45:76" in extra[52]
 
 
+def test_rules_are_linear():
+    """Ten million characters of what a rule nearly matches."""
+    import time
+
+    for text in ("eyJ" * 3_400_000, "eyJabcdefgh." * 2 + "a" * 10_000_000, "password" + " " * 10_000_000 + ";", "xoxb-" * 2_000_000, "AKIA" * 2_500_000, "0123456789abcdef0123456-" * 400_000, "ghp_" * 2_500_000):
+        began = time.process_time()
+        for rule in (*secrets.BASE, *secrets.EXTRA):
+            for _ in re.finditer(rule.regex, text):
+                pass
+        assert time.process_time() - began < 20
+    assert re.search(secrets.EXTRA[4].regex, "jwt=eyJabcdefgh.abcdefgh.abcdefgh")
+
+
 def test_trigram_queries_hold_for_matches():
     rng = random.Random(0)
     for rule in (*secrets.BASE, *secrets.EXTRA):

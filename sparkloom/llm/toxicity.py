@@ -1,13 +1,16 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding homoglyphs and digit substitutions.
 
-The lexicon and the calibration of the score are learned from labelled documents; the weights are log odds of a word or
-word beginning in toxic against other documents. A text's score is a logistic function of its matched weight, normalised
-by length. Matches inside exception phrases don't count.
+The lexicon, the exception phrases and the calibration of the score are learned from labelled documents; the weights are
+log odds of a word or word beginning in toxic against other documents, and exceptions are pairs of words around a match
+that only other documents have. A text's score is a logistic function of its matched weight, normalised by its number of
+words. Matches inside exception phrases don't count.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small, with_struct
+from .common import bound_batches, private, small, staged, with_struct
 
 #: Labelled rows that are learned from, at most: those of least hash. The rest of the work covers every row.
 MAX_TOXIC, MAX_OTHER = 10_000, 20_000
@@ -27,6 +30,8 @@ STEMS = (4, 5, 6)
 #: Entries that a task counts before it hands its counts on.
 HELD = 200_000
 MIN_TOXIC, MIN_WEIGHT, MIN_Z = 3, 3.0, 3.0
+#: A phrase is an exception if so many other documents hold it and its rate in toxic ones is at most this part of theirs.
+MIN_OTHER, MAX_RATE = 3, 0.1
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -36,9 +41,6 @@ HOMOGLYPHS = {
     "ı": "i", "ſ": "s", "ɑ": "a", "ɡ": "g",
 }
 SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a"}
-#: Phrases in which an entry is harmless.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "loser bracket", "not stupid", "not worthless", "no moron")
-
 _SPACE = " "
 FOLD = {c: _SPACE for c in range(128) if not chr(c).isalnum()} | {c: chr(c).lower() for c in range(65, 91)}
 FOLD |= {ord(a): b for a, b in HOMOGLYPHS.items()} | {ord(a): b for a, b in SUBSTITUTIONS.items()}
@@ -46,27 +48,44 @@ FOLD |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i)
 FOLD |= {0x1D400 + 52 * s + i: chr(97 + i % 26) for s in range(13) for i in range(52)}
 FOLD |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 FOLD |= {c: _SPACE for c in (0x85, 0xA0, 0xA1, 0xAB, 0xB7, 0xBB, 0xBF, *range(0x2000, 0x200B), *range(0x2010, 0x2030), 0x2039, 0x203A, 0x3000)}
+# Combining marks that decomposed letters carry.
+FOLD |= {c: None for r in (range(0x300, 0x370), range(0x1AB0, 0x1B00), range(0x1DC0, 0x1E00), range(0x20D0, 0x2100), range(0xFE20, 0xFE30)) for c in r}
 WORD = re.compile(r"[^\W\d_]+")
+INSIDE = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
+DOLLAR = re.compile(r"\$+(?=[^\W\d_])|(?<=[^\W\d_])\$+")
+SPELLED = re.compile(r"(?<![^ ])(?:[^\W\d_] ){3,}[^\W\d_](?![^ ])")
 
 
 class Model(NamedTuple):
-    """weights: " stem" or " word " to its weight; beta: intercept and slopes of the logistic function."""
+    """weights: " stem" or " word " to its weight; beta: intercept and slopes of the logistic function; exceptions: phrases of folded words."""
 
     weights: dict[str, float]
     beta: tuple[float, float, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
 
 def fold(text: str) -> str:
-    """Lower case with look-alikes, digit substitutions and invisible characters folded, every other sign a space."""
-    return text.lower().translate(FOLD)
+    """Folded words with one space between, before and after.
+
+    Lower case; look-alikes, digits and signs that stand for letters become those, accents and invisible characters go,
+    every other sign is a space. Four or more letters that stand alone side by side are one word.
+    """
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFD", text)
+    if "$" in text:
+        text = DOLLAR.sub(lambda m: "s" * len(m[0]), text)
+    if "!" in text:
+        text = INSIDE.sub("i", text)
+    text = f" {' '.join(text.translate(FOLD).split())} "
+    return SPELLED.sub(lambda m: m[0].replace(" ", ""), text)
 
 
 def entries(text: str) -> set[str]:
     """The lexicon entries that a text could hold: its words and their beginnings."""
     out = set()
     for w in set(WORD.findall(fold(text))):
-        if 3 <= len(w) <= 40:
+        if len(w) >= 3:
             out.add(f" {w} ")
             out.update(f" {w[:n]}" for n in STEMS if len(w) >= n)
     return out
@@ -79,95 +98,117 @@ class Matcher:
         for e, w in model.weights.items():
             self.automaton.add_word(e, (len(e), w))
         for p in model.exceptions:
-            p = f" {' '.join(fold(p).split())} "
+            p = fold(p)
             self.automaton.add_word(p, (len(p), None))
         if len(self.automaton):
             self.automaton.make_automaton()
 
+    def matches(self, folded: str) -> dict[int, tuple[int, float]]:
+        """Place to (length, weight) of the longest entry there, without those inside an exception phrase."""
+        best: dict[int, tuple[int, float]] = {}
+        spared: list[tuple[int, int]] = []
+        for end, (length, weight) in self.automaton.iter(folded) if len(self.automaton) else ():
+            at = end - length + 1
+            if weight is None:
+                spared.append((at, end))
+            elif at not in best or best[at][0] < length:
+                best[at] = (length, weight)
+        if spared:
+            spared.sort()
+            starts, reach = [s for s, _ in spared], []  # how far the phrases that begin up to each reach
+            for _, e in spared:
+                reach.append(max(e, reach[-1] if reach else 0))
+            best = {at: x for at, x in best.items() if not (i := bisect_right(starts, at)) or reach[i - 1] < at + x[0] - 1}
+        return best
+
     def features(self, text: str | None) -> tuple[float, float, int]:
         """Log weight by 100 words, log weight, and the number of matches; the longest entry at a place counts."""
         folded = fold(text or "")
-        best: dict[int, tuple[int, float]] = {}
-        spared = []
-        if len(self.automaton):
-            padded = f" {folded} "
-            if "  " in padded:
-                padded = re.sub(" {2,}", " ", padded)
-            for end, (length, weight) in self.automaton.iter(padded):
-                at = end - length + 1
-                if weight is None:
-                    spared.append((at, end))
-                elif at not in best or best[at][0] < length:
-                    best[at] = (length, weight)
-        if spared:
-            best = {at: x for at, x in best.items() if not any(s <= at and at + x[0] - 1 <= e for s, e in spared)}
+        best = self.matches(folded)
         total = sum(w for _, w in best.values())
-        words = max(folded.count(" ") + 1, 1)
+        words = max(folded.count(" ") - 1, 1)
         return float(np.log1p(100 * total / words)), float(np.log1p(total)), len(best)
 
+    def phrases(self, text: str | None) -> set[str]:
+        """The pairs of words in which a match stands."""
+        folded = fold(text or "")
+        out = set()
+        for at in self.matches(folded):
+            end = folded.find(" ", at + 1)
+            if at > 0:
+                out.add(folded[folded.rfind(" ", 0, at) + 1 : end])
+            if end + 1 < len(folded):
+                out.add(folded[at + 1 : folded.find(" ", end + 1)])
+        return out
+
     def score(self, text: str | None) -> tuple[float, int]:
         density, total, n = self.features(text)
         return float(1 / (1 + np.exp(-(self.beta[0] + self.beta[1] * density + self.beta[2] * total)))), n
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch_of(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
+def _tally(of: Callable[[], Callable[[str], set[str]]]):
+    """Rows (text, toxic) to (entry, a, b): in how many toxic and other texts of the task something is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+            every = list(counts[0].keys() | counts[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[e] for e in every], pa.int64()) for c in counts]], names=["entry", "a", "b"])
+
+        find, counts = of(), (Counter(), Counter())
+        for batch in small(batches):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[0 if toxic else 1].update(find(text or ""))
+                if len(counts[0]) + len(counts[1]) > HELD:
+                    yield batch_of(counts)
+                    counts = Counter(), Counter()
+        yield batch_of(counts)
 
-    counts: Counter = Counter()
-    for batch in small(batches):
-        for text in batch.column(0).to_pylist():
-            counts.update(entries(text or ""))
-            if len(counts) > HELD:
-                yield batch_of(counts)
-                counts = Counter()
-    yield batch_of(counts)
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] | None = None, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
     """Learn a model from docs (doc_id, text) and labels (doc_id, toxic).
 
     learn, a condition on the id, says which rows may be learned from (all if None). At most max_toxic and max_other
-    labelled ids, those of least hash, are used; only these and the entries that pass into the lexicon are ever gathered. Null
-    labels and ids are left out; if an id has several labels, the greater counts. Without toxic or without other rows the
-    model has no entries and scores the share of toxic rows.
+    labelled ids, those of least hash, are used, with one text each (of rows that repeat an id, that of the least hash);
+    only these and the entries and phrases that pass are ever gathered. Null labels and ids are left out; if an id has
+    several labels, the greater counts. Without toxic or without other rows the model has no entries and scores the share
+    of toxic rows, a quarter if there are none at all.
     """
     spark = bound_batches(docs.sparkSession)
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "toxic")
-    known = known.groupBy("__id").agg(F.max("toxic").alias("__toxic"))
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "toxic")
+    known = known.groupBy("id").agg((F.max("toxic") >= 1).alias("toxic"))
     if learn is not None:
-        known = known.where(learn(F.col("__id")))
-    picked = known.where("__toxic >= 1").orderBy(F.xxhash64("__id"), "__id").limit(max_toxic).unionByName(known.where("__toxic < 1").orderBy(F.xxhash64("__id"), "__id").limit(max_other))
-    ids = {True: [], False: []}
-    for r in picked.collect():
-        ids[r["__toxic"] >= 1].append(r["__id"])
-    schema = known.select("__id").schema
-
-    def texts(toxic: bool) -> DataFrame:
-        few = spark.createDataFrame([(i,) for i in ids[toxic]], schema)
-        return rows.join(F.broadcast(few), "__id", "left_semi").select("__text")
-
-    p, q = len(ids[True]), len(ids[False])
+        known = known.where(learn(F.col("id")))
+    picked = known.where("toxic").orderBy(F.xxhash64("id"), "id").limit(max_toxic).unionByName(known.where("not toxic").orderBy(F.xxhash64("id"), "id").limit(max_other))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id")
+    one = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = staged(one.select("text", "toxic"), "labelled")
+    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    p, q = sizes.get(True, 0), sizes.get(False, 0)
     if not p or not q:
-        rate = (p + 0.5) / (p + q + 1)
+        rate = (p + 0.5) / (p + q + 2)
         return Model({}, (float(np.log(rate / (1 - rate))), 0.0, 0.0))
-    schema_n = "entry string, n long"
-    tallies = [texts(toxic).mapInArrow(_tally, schema_n).select("entry", F.when(F.lit(toxic), F.col("n")).otherwise(0).alias("a"), F.when(F.lit(toxic), 0).otherwise(F.col("n")).alias("b")) for toxic in (True, False)]
-    both = tallies[0].unionByName(tallies[1]).groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= MIN_TOXIC)
-    passed = both.where(_passes(F.col("a"), F.col("b"), p, q)).collect()
-    a, b = {r.entry: r.a for r in passed}, {r.entry: r.b for r in passed}
-    model = Model(lexicon(a, b, p, q), (0.0, 0.0, 0.0))
+
+    def tallies(of: Callable) -> DataFrame:
+        return sample.mapInArrow(_tally(of), "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    passed = tallies(lambda: entries).where((F.col("a") >= MIN_TOXIC) & _passes(F.col("a"), F.col("b"), p, q)).collect()
+    model = Model(lexicon({r.entry: r.a for r in passed}, {r.entry: r.b for r in passed}, p, q), (0.0, 0.0, 0.0))
+    shared = spark.sparkContext.broadcast(model)
+    spare = (F.col("b") >= MIN_OTHER) & ((F.col("a") + 0.5) / p <= MAX_RATE * (F.col("b") + 0.5) / q)
+    model = model._replace(exceptions=tuple(sorted(r.entry for r in tallies(lambda: Matcher(shared.value).phrases).where(spare).collect())))
     shared = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shared.value)
         for batch in small(batches):
             f = [m.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], names=["d", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), batch.column(1)], names=["d", "t", "toxic"])
 
-    x = {k: np.array([tuple(r) for r in texts(k).mapInArrow(features, "d double, t double").collect()]).reshape(-1, 2) for k in (True, False)}
-    return model._replace(beta=logistic(np.concatenate([x[True], x[False]]), np.repeat([1.0, 0.0], [len(x[True]), len(x[False])])))
+    x = np.array([(r.d, r.t, r.toxic) for r in sample.mapInArrow(features, "d double, t double, toxic boolean").collect()]).reshape(-1, 3)
+    x = x[np.lexsort(x.T)]  # sums in one order whatever the tasks
+    return model._replace(beta=logistic(x[:, :2], x[:, 2]))
 
 
 def _passes(a: Column, b: Column, p: int, q: int) -> Column:
@@ -203,15 +244,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in beta)
 
 
-def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a struct column __toxic: score (0 to 1; null and empty texts get the score of a text without matches) and matches."""
+def with_toxicity(docs: DataFrame, model: Model, name: str = "__toxic") -> DataFrame:
+    """docs with a struct column `name`: score (0 to 1; null and empty texts get the score of a text without matches) and matches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = Matcher(shared.value)
         return lambda texts: list(zip(*[m.score(t) for t in texts], strict=True)) or [[], []]
 
-    return with_struct(docs, "__toxic", "score double, matches int", [F.col("text")], make)
+    return with_struct(docs, name, "score double, matches int", [F.col("text")], make)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold_no: int = 0) -> Column:
@@ -229,4 +270,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches the threshold."""
-    return with_toxicity(docs, fit(docs, labels)).where(F.col("__toxic.score") < threshold).select(*docs.columns)
+    name = private(docs, "toxic")[0]
+    return with_toxicity(docs, fit(docs, labels), name).where(F.col(f"{name}.score") < threshold).select(*docs.columns)

@@ -345,10 +345,27 @@ def test_media_report(spark, odd):
 
 
 def test_toxicity_folds_and_exceptions():
-    m = toxicity.Matcher(toxicity.Model({" idiot ": 5.0, " clow": 4.0}, (-3.0, 2.0, 1.0)))
-    assert m.features("an id1ot")[2] == m.features("an IDIОT!")[2] == m.features("ｉｄｉｏｔ")[2] == 1
-    assert m.features("clowns")[2] == 1 and m.features("clown fish")[2] == 0 and m.features("idiotic")[2] == 0
+    m = toxicity.Matcher(toxicity.Model({" idiot ": 5.0, " clow": 4.0, " ass ": 2.0}, (-3.0, 2.0, 1.0), ("clown fish", "a clown")))
+    for text in ("an id1ot", "an IDIОT!", "ｉｄｉｏｔ", "ídiot", "i\u0301diot", "id!ot", "i d i o t", "i.d.i.o.t", "id\u200biot", "a$$", "(idiot)"):
+        assert m.features(text)[2] == 1, text
+    for text in ("idiotic", "clown fish", "Clown  FISH!", "a clown fish", "he is it", None, "", "$5 a b c"):
+        assert m.features(text)[2] == 0, text
+    assert m.features("clowns")[2] == 1 and m.features("a clown, a clown fish, one clown")[2] == 1
     assert m.features(None) == (0.0, 0.0, 0) and m.features("x " * 1000 + "idiot")[0] < m.features("idiot")[0]
+    assert m.features("you idiot")[0] == m.features("you idiot" + "." * 500 + " " * 500)[0]
+    assert m.phrases("one idiot, clowns") == {"one idiot", "idiot clowns"} and m.phrases("idiot") == set()
+    assert m.score("clown fish " * 20_000 + "idiot " * 20_000)[1] == 20_000
+    assert " " + "x" * 50 + " " in toxicity.entries("x" * 50)
+
+
+def test_toxicity_learns_exceptions(spark):
+    """A toxic word is harmless in a phrase that only other documents have; a repeated id is one row."""
+    rows = [(i, ("some plain words " * 3) + ("you vile beast" if i % 2 else "vile weather today" if i % 8 == 0 else "nice weather"), i % 2) for i in range(400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows] + [(1, "another text of one")] * 300, "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "vile weather" in model.exceptions and " beast " in model.weights
+    m = toxicity.Matcher(model)
+    assert m.score("vile weather today")[0] < 0.5 < m.score("you vile beast")[0]
 
 
 def test_toxicity_held_out(spark, odd):
@@ -371,7 +388,9 @@ def test_toxicity_held_out(spark, odd):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and 1150 <= kept.count() <= 1250
     empty = labels.where("false")
-    assert toxicity.toxicity(docs, empty).where("predicted = 0").count() in (0, 1500)
+    assert {(r.score, r.predicted) for r in toxicity.toxicity(docs, empty).collect()} == {(0.25, 0)}  # nothing is known
+    only = labels.where("toxic = 0")
+    assert toxicity.toxicity(docs, only).where("predicted = 1").count() == 0 and toxicity.toxicity(docs.where("false"), labels).count() == 0
 
 
 def test_toxicity_keeps_rare_entries(spark, monkeypatch):

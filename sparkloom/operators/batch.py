@@ -10,25 +10,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from ..session import staged
 
+def with_position(df: DataFrame, by: str | list[str], *ties: str, name: str = "pos") -> DataFrame:
+    """df with its 0-based position in the order of `by` and ties, nulls first, without sorting all rows in one task.
 
-def with_position(df: DataFrame, by: str, *ties: str, name: str = "pos") -> DataFrame:
-    """df with its 0-based position in the order of a numeric column (and ties), without sorting all rows in one task.
-
-    Quantiles of `by` cut the rows into up to BUCKETS ranges; each is numbered by itself and moved by the number of rows
-    in the ranges before, a table of at most BUCKETS rows. Equal keys stay in one range. Nulls come first.
+    Ranges of the order are sorted and numbered by themselves; rows that are equal in one key are parted by the ties, so
+    no key is one task's. The numbered rows are written once, their ranges counted, and each range moved by the rows before
+    it, a table of one row a range. The number of ranges is the session's number of shuffle partitions (AQE merges small
+    ones).
     """
-    cuts = df.agg(F.percentile_approx(by, [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
-    bucket = reduce(lambda a, c: a + F.when(F.col(by) > c, 1).otherwise(0), sorted(set(cuts)), F.lit(0))
-    cut = df.withColumn("__b", bucket)
-    sizes = {r["__b"]: r["count"] for r in cut.groupBy("__b").count().collect()}
-    before, offsets = 0, F.lit(0).cast("long")
-    for b in sorted(sizes):
-        offsets = F.when(F.col("__b") == b, F.lit(before)).otherwise(offsets)
-        before += sizes[b]
-    order = Window.partitionBy("__b").orderBy(by, *ties)
-    return cut.withColumn(name, (F.row_number().over(order) - 1 + offsets).cast("long")).drop("__b")
+    keys = [by] if isinstance(by, str) else list(by)
+    order = [*keys, *ties]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = staged(ranged.withColumn("__range", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    sizes = numbered.groupBy("__range").agg(F.count("*").alias("n"), F.min("__row").alias("__first")).orderBy("__range").collect()
+    before, starts = 0, []
+    for s in sizes:
+        starts.append((s["__range"], before - s["__first"]))
+        before += s.n
+    moved = df.sparkSession.createDataFrame(starts, "__range int, __move long")
+    return numbered.join(F.broadcast(moved), "__range").withColumn(name, F.col("__row") + F.col("__move")).drop("__range", "__row", "__move")
 
 
 def select_positions(df: DataFrame, picks: DataFrame, pos: str = "pos") -> DataFrame:
@@ -92,11 +94,11 @@ def repeat_by(df: DataFrame, count: Column) -> DataFrame:
 
 
 def unfold(df: DataFrame, n: int, *arrays: str) -> DataFrame:
-    """n rows a row: the listed arrays cut into n equal pieces, other columns repeated."""
+    """n rows a row: the listed arrays cut into n equal pieces, other columns repeated; a length that n doesn't divide is an error."""
     out = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     for a in arrays:
-        width = F.floor(F.size(a) / n).cast("int")
-        out = out.withColumn(a, F.slice(F.col(a), F.col("part") * width + 1, width))
+        fits = F.when(F.size(a) % n == 0, F.floor(F.size(a) / n).cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"{a} doesn't divide into {n}: "), F.size(a).cast("string"))))
+        out = out.withColumn(a, F.slice(F.col(a), F.col("part") * fits + 1, fits))
     return out
 
 
@@ -132,13 +134,11 @@ def minibatches(df: DataFrame, size: int, epochs: int, key: str, seed: str) -> D
     n = df.count()
     if n % size:
         raise ValueError("the size must divide the rows")
-    out = None
-    for e in range(epochs):
-        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(e)), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long")
-        numbered = with_position(df.withColumn("__d", draw), "__d", key, name="slot").drop("__d")
-        part = numbered.withColumn("epoch", F.lit(e)).withColumn("batch", F.floor(F.col("slot") / size).cast("long"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long")
+    numbered = with_position(each.withColumn("__d", draw), ["epoch", "__d"], key, name="slot").drop("__d")
+    slot = F.col("slot") - F.col("epoch") * n
+    return numbered.withColumn("slot", slot).withColumn("batch", F.floor(F.col("slot") / size).cast("long"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

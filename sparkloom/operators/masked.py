@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import with_position
+
 
 def masked_sum(value: Column, mask: Column) -> Column:
     """Sum of value * mask; what stands at mask 0 is ignored, NaN included."""
@@ -53,6 +55,6 @@ def aggregate_loss(df: DataFrame, row: str, loss: Column, mask: Column, mode: st
 
 
 def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
-    """df with a 0-based number for each distinct key, in order; only the distinct keys are numbered together."""
-    keys = df.select(key).distinct().withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
-    return df.join(keys, key)
+    """df with a 0-based number for each distinct key, in order; the distinct keys are numbered by ranges, not in one task."""
+    keys = with_position(df.select(key).distinct(), key, name=name)
+    return df.join(keys, F.col(key).eqNullSafe(keys[key])).drop(keys[key]) if df.schema[key].nullable else df.join(keys, key)

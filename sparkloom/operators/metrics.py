@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def reduce_kind(name: Column) -> Column:
 
 def aggregation_kind(name: Column, last: tuple[str, ...] = (), weighted: tuple[str, ...] = ()) -> Column:
     """How a metric is aggregated: explicit lists first, then what its name contains, in this order; else avg."""
-    has = lambda *words: F.lit(False) if not words else __import__("functools").reduce(lambda a, b: a | b, [name.contains(w) for w in words])
+    has = lambda *words: reduce(lambda a, b: a | b, [name.contains(w) for w in words])
     return (
         F.when(name.isin(*last) if last else F.lit(False), "last")
         .when(name.isin(*weighted) if weighted else F.lit(False), "weighted_avg")
@@ -68,18 +70,20 @@ def best_of_n_deviation(values: Column, n: int, worst: bool = False) -> Column:
 
 def validation_metrics(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
     """(source, metric, value, prompts): mean@N, std@N, and expected best@n and worst@n for n = 2, 4, ... < N and N, by
-    prompt, then averaged over the prompts that have the metric (N is part of its name)."""
-    g = df.groupBy(source, prompt).agg(F.collect_list(value).alias("v"), F.count(value).alias("N"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    powers = [2, 4, 8, 16, 32, 64, 128]
-    rows = [F.struct(F.concat(F.lit("mean@"), F.col("N")).alias("metric"), F.col("m").alias("value")), F.struct(F.concat(F.lit("std@"), F.col("N")).alias("metric"), F.col("s").alias("value"))]
-    several = F.col("N") > 1
-    for kind, worst in (("best", False), ("worst", True)):
-        for n in powers:
-            rows.append(F.when(F.lit(n) < F.col("N"), F.struct(F.lit(f"{kind}@{n}").alias("metric"), best_of_n_expected(F.col("v"), n, worst).alias("value"))))
-        size = F.size("v").cast("double")
-        whole = F.aggregate(F.transform(F.sort_array("v", asc=not worst), lambda x, i: x * (F.pow((i + 1) / size, F.col("N")) - F.pow(i / size, F.col("N")))), F.lit(0.0), lambda a, x: a + x)  # noqa: B023
-        rows.append(F.when(several, F.struct(F.concat(F.lit(f"{kind}@"), F.col("N")).alias("metric"), whole.alias("value"))))
-    long = g.select(source, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x"))
+    prompt, then averaged over the prompts that have the metric (N is part of its name).
+
+    A prompt's values are sorted once; each best@n (worst@n) is one fold over them, for as many n as its N asks.
+    """
+    g = df.groupBy(source, prompt).agg(F.sort_array(F.collect_list(value)).alias("v"), F.count(value).alias("N"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
+    N = F.col("N")
+    doublings = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(N, F.lit(2)))), F.lit(1)).cast("int")), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda n: n < N)
+    sizes = F.when(N > 1, F.concat(doublings, F.array(N))).otherwise(F.array().cast("array<long>"))
+    at = lambda i, n: F.pow(i / N.cast("double"), n)
+    best = lambda n: F.aggregate(F.transform("v", lambda x, i: x * (at(i + 1, n) - at(i, n))), F.lit(0.0), lambda a, x: a + x)
+    worst = lambda n: F.aggregate(F.transform("v", lambda x, i: x * (at(N - i, n) - at(N - i - 1, n))), F.lit(0.0), lambda a, x: a + x)
+    row = lambda name, n, v: F.struct(F.concat(F.lit(f"{name}@"), n.cast("string")).alias("metric"), v.cast("double").alias("value"))
+    rows = F.concat(F.array(row("mean", N, F.col("m")), row("std", N, F.col("s"))), F.transform(sizes, lambda n: row("best", n, best(n))), F.transform(sizes, lambda n: row("worst", n, worst(n))))
+    long = g.where(N > 0).select(source, F.explode(rows).alias("x"))
     return long.groupBy(source, F.col("x.metric").alias("metric")).agg(F.avg("x.value").alias("value"), F.count("*").alias("prompts"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "sparkloom", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -25,9 +26,30 @@ def session(app: str = "sparkloom", master: str | None = None, shuffle_partition
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in a temporary folder only where none is configured."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, since executors couldn't see it.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.loom.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.loom.scratch", root)
     return f"{root.rstrip('/')}/loom-{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: lineage ends here and rows stay as they are."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Largest number of rows that is broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, else as it is (counting stops there)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

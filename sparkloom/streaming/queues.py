@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch
@@ -17,25 +19,54 @@ def stream_of(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, mode: str, name: str, state: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, name: str, state: str | None = None, keys: tuple[str, ...] = (), out: str | None = None) -> DataFrame:
     """Run a stream over what is there and give its result: the last state for complete and update, all rows for append.
 
-    Results go to the shared folder; `state` is the checkpoint to go on from (a new one if None).
+    Results go to the shared folder, a folder an epoch, so a batch that is run again replaces its own rows. For complete
+    the newest epoch counts, for update the newest row of each key (`keys`; the first column if none are given). `state` is
+    the checkpoint to go on from and `out` the results' folder (new ones if None).
     """
     spark = stream.sparkSession
-    out, checkpoint = scratch(spark, f"{name}-out"), state or scratch(spark, f"{name}-state")
+    out, checkpoint = out or scratch(spark, f"{name}-out"), state or scratch(spark, f"{name}-state")
     schema = stream.schema
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append" if mode != "complete" else "overwrite").parquet(out)
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(writer(out)).start().awaitTermination()
     try:
-        return spark.read.schema(schema).parquet(out)
-    except Exception as e:  # nothing arrived, so nothing was written
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("__epoch", T.LongType())])).parquet(out)
+    except AnalysisException as e:  # nothing arrived, so nothing was written
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    if mode == "append":
+        return rows.drop("__epoch")
+    if mode == "complete":
+        newest = rows.agg(F.max("__epoch")).first()[0]
+        return rows.where(F.col("__epoch").eqNullSafe(F.lit(newest))).drop("__epoch")
+    by = list(keys) or [schema.fieldNames()[0]]
+    row = F.struct(*[F.col(c) for c in schema.fieldNames()])
+    last = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]).agg(F.max_by(row, "__epoch").alias("__r"))
+    return last.select("__r.*")
+
+
+def writer(out: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each epoch's rows to a folder of its own, replacing what a failed try left."""
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/__epoch={epoch}")
+
+    return keep
+
+
+def admitted(requests: DataFrame, key: str, order: str, finished: DataFrame, at: str, limit: int) -> DataFrame:
+    """Staleness back-pressure: (key, order, admitted) for each request of a producer that may run at most `limit` ahead.
+
+    A request is the n-th of its key by order; it is admitted when fewer than `limit` of those before it are still
+    unfinished, so its start is the later of its own order and the moment the (n - limit)-th result (finished, by `at`) is
+    there; null if that never comes. Both sides are numbered within their key, and joined by key and number.
+    """
+    asked = requests.select(key, order).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    done = finished.select(key, at).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(at)) + limit).withColumnRenamed(at, "__free")
+    start = F.when(F.col("n") <= limit, F.col(order)).when(F.col("__free").isNotNull(), F.greatest(order, "__free"))
+    return asked.join(done, [key, "n"], "left").select(key, order, start.alias("admitted"))
 
 
 def bounded_queue(stream: DataFrame, key: str, order: str, capacity: int) -> DataFrame:

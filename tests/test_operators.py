@@ -72,6 +72,65 @@ def test_chunks_and_round_trips(spark):
     assert batch.repeat_by(df, F.col("v") - 6).count() == 0
 
 
+def test_positions_of_a_key_in_nine_tenths_of_rows(spark):
+    """Several ranges share a hot key, and positions are those of a sort."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("t"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(r.pos, r.k, r.t) for r in batch.with_position(rows, "k", "t").select("pos", "k", "t").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((("hot" if i % 10 else str(i)), i) for i in range(20_000))
+    assert sorted(got) == [(p, k, t) for p, (k, t) in enumerate(want)]
+
+
+def test_streams_of_several_triggers(spark, tmp_path):
+    """Three triggers over three files: the newest state of each key; a batch that is run again doesn't double."""
+    from sparkloom.streaming import queues
+
+    src = str(tmp_path / "in")
+    for i in range(3):
+        spark.createDataFrame([(k, i * 10 + k) for k in range(i + 1)], "user long, id long").coalesce(1).write.mode("append").parquet(src)
+    stream = queues.stream_of(spark, src, maxFilesPerTrigger="1")
+    got = {r.user: (r.produced, r.oldest, r.newest) for r in queues.run_available(queues.bounded_queue(stream, "user", "id", 2), "update", "q").collect()}
+    ids = {k: sorted(i * 10 + k for i in range(3) if k <= i) for k in range(3)}
+    assert got == {k: (len(v), v[-2:][0], v[-1]) for k, v in ids.items()}
+    totals = queues.run_available(stream.groupBy("user").agg(F.count("*").alias("n")), "complete", "c")
+    assert {(r.user, r.n) for r in totals.collect()} == {(0, 3), (1, 2), (2, 1)}
+    assert queues.run_available(stream.select("id"), "append", "a").count() == 6
+    out, rows = str(tmp_path / "out"), spark.range(5)
+    keep = queues.writer(out)
+    for epoch in (0, 1, 1):
+        keep(rows, epoch)
+    assert spark.read.parquet(out).count() == 10
+
+
+def test_back_pressure(spark):
+    asked = spark.createDataFrame([(1, t) for t in (0, 1, 2, 3)] + [(2, 5)], "k int, t int")
+    done = spark.createDataFrame([(1, 10), (1, 4)], "k int, at int")
+    got = {(r.k, r.t): r.admitted for r in queues_admitted(asked, done).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 4, (1, 3): 10, (2, 5): 5}
+    assert queues_admitted(asked, done.where("false")).where("admitted is null").count() == 2
+
+
+def queues_admitted(asked, done):
+    from sparkloom.streaming import queues
+
+    return queues.admitted(asked, "k", "t", done, "at", 2)
+
+
+def test_validation_of_many_samples(spark):
+    """A prompt of 600 samples has every doubling up to 512 and its own size."""
+    df = spark.range(600).select(F.lit("s").alias("src"), F.lit(1).alias("p"), (F.col("id") % 7 / 7.0).alias("v"))
+    got = {r.metric: r.value for r in metrics.validation_metrics(df, "src", "p", "v").collect()}
+    assert {f"best@{2**i}" for i in range(1, 10)} | {"best@600", "worst@600", "mean@600"} <= set(got) and "best@1024" not in got
+    values = np.sort(np.arange(600) % 7 / 7.0)
+    i = np.arange(600)
+    for n in (2, 256, 600):
+        share = ((i + 1) / 600) ** n - (i / 600) ** n
+        assert got[f"best@{n}"] == pytest.approx((values * share).sum()) and got[f"worst@{n}"] == pytest.approx((values[::-1] * share).sum())
+
+
 def test_positions_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(3, 1), (None, 2), (3, 0), (1, 5)], "k int, t int")
     got = [(r.k, r.t) for r in batch.with_position(df, "k", "t").orderBy("pos").collect()]

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import Words, bound_batches, connected_components, in_chunks, join_salted, join_small, private, shingles, small, staged, unstage
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
-#: Documents in the index of a chunk, about; a chunk asked by more than ASKED times as many is searched by several tasks.
-CHUNK, ASKED = 1000, 4
+#: Documents in the index of a chunk, about, and the least of them; a chunk asked by more than ASKED times as many is searched by several tasks.
+CHUNK, LEAST, ASKED = 1000, 250, 4
 #: Tokens that a task gathers before it sends a segment, and bytes of text a bucket of the index should stand for.
 SEGMENT, BUCKET_BYTES = 700_000, 4 << 20
 #: Bits of a token beside its bucket's.
@@ -78,12 +78,21 @@ def _segments(k: int, bits: int, segment: int):
         order = np.argsort(every, kind="stable")
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])[order]
         every = every[order]
-        first = np.flatnonzero(np.concatenate((np.ones(min(len(every), 1), bool), every[1:] != every[:-1])))
+        new = np.concatenate((np.ones(min(len(every), 1), bool), every[1:] != every[:-1]))
+        first = np.flatnonzero(new)
         token, count = every[first], np.diff(np.append(first, len(every)))
-        edge = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        rest = (token << np.uint64(bits)) >> np.uint64(64 - REST)
-        head = np.array([len(docs), len(token)], "<i8").tobytes()
-        home = b"".join((head, np.array(docs, DOCUMENT).tobytes(), _numbers(count), owner.astype("<u2").tobytes()))
+        bucket = token >> np.uint64(64 - bits)
+        # in a bucket by their first documents, whose numbers then pack well; further documents of a token are listed
+        order = np.argsort(bucket << np.uint64(16) | owner[first], kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order))
+        step = np.diff(owner[first][order], prepend=np.uint16(0))
+        again = np.flatnonzero(~new)
+        edge = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
+        rest, count = (token[order] << np.uint64(bits)) >> np.uint64(64 - REST), count[order]
+        head = np.array([len(docs), len(token), len(again)], "<i8").tobytes()
+        listed = place[np.cumsum(new)[again] - 1].astype("<u4").tobytes() + owner[again].astype("<u2").tobytes()
+        home = b"".join((head, np.array(docs, DOCUMENT).tobytes(), (step & 0xFF).astype(np.uint8).tobytes(), (step >> 8).astype(np.uint8).tobytes(), listed))
         rows = [(-1 - xxhash.xxh64_intdigest(seg.to_bytes(8, "little")) % (1 << bits), seg, home)]
         for b in np.flatnonzero(np.diff(edge)).tolist():
             lo, hi = edge[b], edge[b + 1]
@@ -155,15 +164,18 @@ def _documents(percent: int):
             rest, raw = _of_six(raw[-(-n // 8) :], m)
             tokens.append(np.uint64(bucket) << np.uint64(REST) | rest)
             dfs.append(np.frombuffer(raw, "<i8", m))
-        n_docs, n_tokens = np.frombuffer(home, "<i8", 2).tolist()
-        docs = np.frombuffer(home, DOCUMENT, n_docs, 16)
-        counts, raw = _of_numbers(home[16 + DOCUMENT.itemsize * n_docs :], n_tokens)
+        n_docs, n_tokens, n_more = np.frombuffer(home, "<i8", 3).tolist()
+        docs = np.frombuffer(home, DOCUMENT, n_docs, 24)
+        raw = home[24 + DOCUMENT.itemsize * n_docs :]
         packed: list = [None] * n_docs
         prefix: list = [None] * n_docs
         if n_tokens:
             hit, token, df = np.concatenate(hits), np.concatenate(tokens), np.concatenate(dfs)
-            owner = np.frombuffer(raw, "<u2", counts.sum())[np.repeat(hit, counts)]
-            token, df = np.repeat(token, counts[hit]), np.repeat(df, counts[hit])
+            step = np.frombuffer(raw, np.uint8, n_tokens).astype(np.uint16) | np.frombuffer(raw, np.uint8, n_tokens, n_tokens).astype(np.uint16) << np.uint16(8)
+            owner = np.cumsum(step, dtype=np.uint16)[hit]
+            more = (np.cumsum(hit) - 1)[np.frombuffer(raw, "<u4", n_more, 2 * n_tokens)]  # a token of several documents is shared
+            owner = np.concatenate([owner, np.frombuffer(raw, "<u2", n_more, 2 * n_tokens + 4 * n_more)])
+            token, df = np.concatenate([token, token[more]]), np.concatenate([df, df[more]])
             order = np.lexsort((token, df, owner))
             owner, token = owner[order], token[order]
             edge = np.searchsorted(owner, np.arange(n_docs + 1))
@@ -313,13 +325,15 @@ def _links(tasks: DataFrame, percent: int, wanted: int) -> DataFrame:
 
 
 def star_links(members: DataFrame, prefixes: DataFrame, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(sig, hub): for each member the one document that is the least of the most of its prefix tokens; and the links among them.
+    """(sig, hub): for each member the document that is the hub of the most of its prefix tokens; and the search tasks.
 
-    Any choice of hubs is right: they only spare the search that follows. A hub of many members is in several tasks.
+    A token's hub is the document that holds it and has the fewest tokens of its own: of near copies, the one that the
+    others were made from. Any choice is right: hubs only spare the search that follows. A hub of many members is in
+    several tasks.
     """
-    hubs = staged(prefixes.groupBy("token").agg(F.min("sig").alias("hub"), F.count("*").alias("df")).where("df > 1"), "hubs")
-    votes = join_salted(prefixes, hubs, "token", "df", prefixes.count(), "sig").where(F.col("hub").isNotNull()).groupBy("sig", "hub").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("sig").agg(F.max(F.struct("votes", "hub")).getField("hub").alias("hub"))
+    hubs = staged(prefixes.groupBy("token").agg(F.min(F.struct("lone", "sig")).alias("hub"), F.count("*").alias("df")).where("df > 1"), "hubs")
+    votes = join_salted(prefixes.select("sig", "token"), hubs, "token", "df", prefixes.count(), "sig").where(F.col("hub").isNotNull()).groupBy("sig", "hub").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("sig").agg(F.max(F.struct("votes", -F.col("hub.lone"), F.col("hub.sig").alias("hub"))).getField("hub").alias("hub"))
     chosen = staged(best, "stars")
     unstage(hubs)
     stars = chosen.where("sig <> hub")
@@ -341,7 +355,7 @@ def cross_tasks(members: DataFrame, prefixes: DataFrame, placed: DataFrame, perc
     A token of one component alone asks nothing. Else each member that holds it asks the chunks in which it is held by
     another component and by sizes that may link; members ask a chunk once, whatever tokens lead there.
     """
-    held = staged(prefixes.join(placed, "sig"), "held")
+    held = staged(prefixes.select("sig", "token").join(placed, "sig"), "held")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df", F.lit(True).alias("mixed"))
     some = staged(join_salted(held, mixed, "token", "df", held.count(), "sig").where("mixed").drop("mixed"), "mixed")
     unstage(held)
@@ -375,9 +389,10 @@ def labelled(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, segment:
 
     able = table.where(F.col("prefix").isNotNull())
     members = staged(able.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix")), "members")
-    prefixes = staged(members.select("sig", F.explode("prefix").alias("token")), "prefixes")
+    lone = F.col("n") - F.octet_length("tokens") / 8
+    prefixes = staged(members.select("sig", lone.cast("long").alias("lone"), F.explode("prefix").alias("token")), "prefixes")
     total = members.count()
-    chunk = min(chunk, max(64, total // (2 * _partitions(spark)))) if chunk == CHUNK else chunk
+    chunk = min(chunk, max(LEAST, total // _partitions(spark))) if chunk == CHUNK else chunk
     wanted = -(-2 * total // chunk)
     chosen, stars = star_links(members, prefixes, percent, chunk)
     links = staged(_links(stars, percent, wanted), "links")

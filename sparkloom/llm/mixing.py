@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from ..operators.batch import with_position
+from .common import BROADCAST_ROWS, join_salted, private, staged
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -18,27 +19,26 @@ def words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row a source.
+    """(source, source_size, rows, target) from (source, source_size, rows), one row a source.
 
     Sources by code point, null last, take the weights in turn and share the sum of all sizes. A target stops at cap
-    times its source's size; the excess goes to the others by weight until none is above. That is the level L with
-    sum(min(L * weight, cap * size)) = sum(size): among the sources ordered by cap * size / weight, the first whose
-    level, once all before it are capped, doesn't exceed its own cap. Sources of size 0 get 0. The windows hold one row
-    a source, not one a document.
+    times its source's size; the excess goes to the others by weight until none is above. So the level, what a unit of
+    weight gets, starts at sum(size) / sum(weight) and rises with each round of sources that reach their cap, until no
+    further one does; each round is one aggregation over the sources, and every round but the last caps some. Sources of
+    size 0 get 0. No step holds all sources in one task: they may be as many as hosts.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    ranked = sizes.select("source", "source_size", weight.alias("w"), F.row_number().over(by_name).alias("rank"))
+    ranked = with_position(sizes.withColumn("none", F.col("source").isNull()), ["none", "source"], name="rank").drop("none")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     full = (F.lit(cap) * F.col("source_size")).cast("long")
-    order = Window.orderBy(full.cast("double") / F.col("w"), "rank")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    rest = F.sum("source_size").over(every) - F.coalesce(F.sum(full).over(before), F.lit(0))
-    levels = ranked.withColumn("level", rest.cast("double") / F.sum("w").over(after))
-    fits = F.when(F.col("level") <= full.cast("double") / F.col("w"), F.col("level"))
-    # levels only fall towards the answer, so the first that fits is the largest that does
-    level = F.max(fits).over(every)
-    return levels.select("source", "source_size", F.least(level * F.col("w"), full.cast("double")).alias("target"))
+    ranked = staged(ranked.withColumn("w", weight).withColumn("full", full), "sources")
+    total, level = ranked.agg(F.sum("source_size")).first()[0], -1.0
+    while True:
+        capped = F.col("full").cast("double") / F.col("w") < F.lit(level)
+        taken, rest = ranked.agg(F.sum(F.when(capped, F.col("full")).otherwise(0)), F.sum(F.when(capped, 0).otherwise(F.col("w")))).first()
+        then, level = level, float((total or 0) - (taken or 0)) / rest if rest else level
+        if level <= then:
+            break
+    return ranked.select("source", "source_size", "rows", F.least(F.lit(level) * F.col("w"), F.col("full").cast("double")).alias("target"))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -47,36 +47,50 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """docs with a struct column __mix: size, source_size, target, copies.
+def source_sizes(sized: DataFrame) -> DataFrame:
+    """(source, source_size, rows) from (source, size); added up before anything moves, so a source with a third of all rows costs no more than others."""
+    return sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
 
-    Null texts have size 0; null is a source like any other. Rows that repeat a doc_id draw the same number. Sizes are
-    added by source before anything moves, so a source with a third of all rows costs no more than others. The sources'
-    table is broadcast if it has at most BROADCAST_ROWS rows; beyond, it is joined by a shuffle that AQE may split.
+
+def _with_copies(docs: DataFrame, goals: DataFrame, name: str, seed: str) -> DataFrame:
+    """docs with a struct column `name`: source_size, target and copies, from the goals of their sources.
+
+    The sources' table is broadcast if it has at most BROADCAST_ROWS rows; beyond, large sources are dealt over several tasks.
     """
-    sized = docs.withColumn("__size", words(F.col("text")))
-    sizes = docs.select(F.col("source"), words(F.col("text")).alias("s")).groupBy("source").agg(F.sum("s").alias("source_size"))
-    goals = source_targets(sizes, weights, cap).select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("__key"), "source_size", "target")
-    few = docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    goals = F.broadcast(goals) if few else goals
-    key = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))
-    rate = F.when(F.col("__goal.source_size") > 0, F.col("__goal.target") / F.col("__goal.source_size")).otherwise(F.lit(0.0))
-    joined = sized.withColumn("__key", key).join(goals.select("__key", F.struct("source_size", "target").alias("__goal")), "__key")
+    key, goal, weight = private(docs, "key", "goal", "weight")
+    of = F.concat(F.col("source").isNull().cast("string"), F.coalesce(F.col("source"), F.lit("")))
+    keyed, small = docs.withColumn(key, of), goals.select(of.alias(key), F.struct("source_size", "target").alias(goal), F.col("rows").alias(weight))
+    if goals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(small), key, "left")
+    else:
+        joined = join_salted(keyed, small, key, weight, goals.agg(F.sum("rows")).first()[0], "doc_id", "text" if "text" in docs.columns else "source")
+    size, target = F.col(f"{goal}.source_size"), F.col(f"{goal}.target")
+    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(uniform(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    mix = F.struct(F.col("__size").alias("size"), F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"), copies.cast("int").alias("copies"))
-    return joined.withColumn("__mix", mix).select(*docs.columns, "__mix")
+    return joined.withColumn(name, F.struct(size.alias("source_size"), target.alias("target"), copies.cast("int").alias("copies"))).select(*docs.columns, name)
+
+
+def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, name: str = "__mix") -> DataFrame:
+    """docs (doc_id, text, source) with a struct column `name`: source_size, target and copies.
+
+    Null texts have size 0; null is a source like any other. Rows that repeat a doc_id draw the same number.
+    """
+    sizes = staged(source_sizes(docs.select("source", words(F.col("text")).alias("size"))), "sizes")
+    return _with_copies(docs, source_targets(sizes, weights, cap), name, seed)
 
 
-def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) a row of docs."""
-    m = with_copies(docs.select("doc_id", "text", "source"), **options)
-    return m.select("doc_id", *[F.col(f"__mix.{c}").alias(c) for c in ("size", "source_size", "target")], (F.col("__mix.size") * F.col("__mix.copies")).alias("taken"))
+def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) a row of docs. Texts are counted once, into a table of their sizes."""
+    sized = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sized")
+    m = _with_copies(sized, source_targets(staged(source_sizes(sized), "sizes"), weights, cap), "__mix", seed)
+    return m.select("doc_id", "size", F.col("__mix.source_size").alias("source_size"), F.col("__mix.target").alias("target"), (F.col("size") * F.col("__mix.copies")).alias("taken"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it (0 to cap times)."""
-    m = with_copies(docs, **options).where("__mix.copies > 0")
-    return m.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).select(*docs.columns)
+    name, copy = private(docs, "mix", "copy")
+    m = with_copies(docs, name=name, **options).where(F.col(f"{name}.copies") > 0)
+    return m.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies")))).select(*docs.columns)
 
 
 #: The same rows by DuckDB; the md5 gives the same draws.

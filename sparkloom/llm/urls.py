@@ -83,7 +83,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     domains = staged(_moments(hosts, ["suffix", "domain"]), "domains")
     suffixes = staged(_moments(domains, ["suffix"]), "suffixes")
     root = _moments(suffixes, []).select(F.coalesce((F.col("k") + 1.0) / (F.col("n") + 2.0), F.lit(0.5)).alias("mean0"), F.coalesce("strength", F.lit(STRENGTH)).alias("strength0"))  # one row
-    s = suffixes.crossJoin(F.broadcast(root)).select("suffix", ((F.col("k") + F.col("strength0") * F.col("mean0")) / (F.col("n") + F.col("strength0"))).alias("mean_s"), F.col("strength").alias("strength_s"), F.col("members").alias("w"))
+    prior = root.first()  # two numbers
+    mean0, strength0 = F.lit(prior["mean0"]), F.lit(prior["strength0"])
+    s = suffixes.select("suffix", ((F.col("k") + strength0 * mean0) / (F.col("n") + strength0)).alias("mean_s"), F.col("strength").alias("strength_s"), F.col("members").alias("w"))
     d = join_salted(domains, s, "suffix", "w", domains.count(), "domain")
     d = d.select("domain", ((F.col("k") + F.col("strength_s") * F.col("mean_s")) / (F.col("n") + F.col("strength_s"))).alias("mean_d"), F.col("strength").alias("strength_d"), F.col("members").alias("w"))
     h = join_salted(hosts, d, "domain", "w", hosts.count(), "host")
@@ -103,11 +105,14 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     host, path = host_and_path(F.col("url"))
     sites = pages.select("page_id", host.alias("host"), path.alias("path"))
     number = F.regexp_extract("path", r"([0-9]{1,18})[^0-9]*$", 1)
-    keyed = sites.withColumn("doc", F.when(number != "", number.cast("long"))).groupBy("host", "doc").agg(F.count("*").alias("pages"))
+    keyed = staged(sites.withColumn("doc", F.when(number != "", number.cast("long"))).groupBy("host", "doc").agg(F.count("*").alias("pages")), "pages")
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg(F.min(good).alias("good"))
     n = F.when(F.col("good").isNotNull(), F.col("pages")).otherwise(0)
-    outcomes = keyed.join(known, "doc", "left").groupBy("host").agg(F.sum("pages").alias("pages"), F.sum(n).alias("n"), F.sum(n * F.coalesce("good", F.lit(0))).alias("k"))
+    # One number may be on many hosts, and pages without one share the null: neither is one task's.
+    held = known.join(keyed.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.count("*").alias("w")), "doc")
+    paired = join_salted(keyed, held, "doc", "w", keyed.count(), "host")
+    outcomes = paired.groupBy("host").agg(F.sum("pages").alias("pages"), F.sum(n).alias("n"), F.sum(n * F.coalesce("good", F.lit(0))).alias("k"))
     hosts = staged(host_reputation(outcomes).select("host", "bound", "pages"), "reputation")
     found = join_salted(sites, hosts, "host", "pages", pages.count(), "page_id")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

@@ -210,6 +210,23 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix_report(docs.where("false")).count() == 0
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """As many sources as rows and one hot source, joined by a salted shuffle; targets as by filling step by step."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    rows = [(i, "w " * (i % 23), f"s{i:04}" if i % 3 else "hot") for i in range(900)] + [(None, "x y", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__mix", F.lit(1)).withColumn("__key", F.lit(2))
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = water_filling(sizes)
+    got = mixing.mix_report(docs).collect()
+    source = {i: s for i, _, s in rows}
+    assert len(got) == 903 and all(r.target == pytest.approx(want[source[r.doc_id]]) for r in got)
+    assert mixing.mix_sources(docs).columns == docs.columns
+    assert mixing.mix_report(docs.withColumn("text", F.lit(""))).where("target <> 0 or taken <> 0").count() == 0
+
+
 def test_tokens_round_trip(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
@@ -525,6 +542,13 @@ def test_language_model_is_a_distribution():
         assert 0.9 < total < 1.0001  # the rest is what the uniform floor keeps for unseen letters
 
 
+def test_letters_beyond_the_first_plane_differ():
+    chars = langid.Characters()
+    gothic, old = "\U00010330\U00010331\U00010332\U00010333", "\U00010480\U00010481\U00010482\U00010483"
+    codes = [chars.of([t])[0].tolist() for t in (gothic, old, "\U0001F600")]
+    assert len(set(codes[0][3:] + codes[1][3:])) == 8 and not codes[2][3:]
+
+
 def test_language_held_out_and_odd_rows(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -570,6 +594,15 @@ def test_urls(spark, url, host, path, rule):
     assert r.verdict == ("allow" if rule in ("example.net/en/", "org/fr/") else "block") or rule is None
 
 
+def test_urls_by_salted_joins(spark, monkeypatch):
+    """Half of the pages without a number and one number on every host: the same verdicts by broadcast and by salted joins."""
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 90).cast("string"), F.lit(".com/"), F.when(F.col("id") % 2 == 0, "x").when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string"))).alias("url"))
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 4 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    a = sorted(map(tuple, urls.judge_urls(pages, labels).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    assert sorted(map(tuple, urls.judge_urls(pages, labels).collect())) == a and len(a) == 600
+
+
 def test_reputation_shrinks(spark):
     rows = [("good.a.com", 100, 100, 95), ("bad.b.com", 100, 100, 5), ("few.b.com", 1, 1, 1), ("none.c.com", 3, 0, 0), ("", 1, 0, 0), ("1.2.3.4", 1, 1, 1)]
     got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(rows, "host string, pages long, n long, k long")).collect()}

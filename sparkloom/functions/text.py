@@ -6,6 +6,7 @@ import json
 import re
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,44 +76,149 @@ def labelled_answer(text: Column) -> Column:
     return F.coalesce(F.trim(last_match(tail(text, 300), r"(?i)Answer\s*:\s*([^\n]+)")), F.lit("[INVALID]"))
 
 
-def balanced_boxes(values: pd.Series) -> pd.Series:
-    """The last boxed expression with balanced braces of each text, braces and command left out; None if unbalanced."""
+def _bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def one(text: str | None) -> str | None:
-        if text is None or (at := text.rfind("\\boxed{")) < 0:
-            return None
-        depth = 0
-        for i in range(at + 6, len(text)):
-            depth += {"{": 1, "}": -1}.get(text[i], 0)
-            if depth == 0:
-                return text[at + 7 : i]
-        return None
 
-    return values.map(one)
+def _braced(rest: Column) -> Column:
+    """What the first brace of a text holds up to its partner; null if there is none. One fold over its characters."""
+    step = lambda a, c: F.struct(
+        (a["i"] + 1).alias("i"),
+        F.when(a["end"] > 0, a["depth"]).when(c == "{", a["depth"] + 1).when(c == "}", a["depth"] - 1).otherwise(a["depth"]).alias("depth"),
+        F.when((a["end"] == 0) & (c == "}") & (a["depth"] == 1), a["i"] + 1).otherwise(a["end"]).alias("end"),
+    )
+    end = lambda x: F.aggregate(F.split(x, ""), F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("end")), step, lambda a: a["end"])
+    return _bound(rest, lambda x: _bound(end(x), lambda n: F.when(n > 0, F.substring(x, F.instr(x, "{") + 1, n - F.instr(x, "{") - 1))))
 
 
 def last_boxed(text: Column) -> Column:
-    return F.pandas_udf(balanced_boxes, T.StringType())(text)
+    """What the last `\\boxed{` holds up to its partner, braces and command left out; null if unbalanced or none."""
+    return F.when(text.contains("\\boxed{"), _braced(F.concat(F.lit("{"), F.substring_index(text, "\\boxed{", -1))))
 
 
-def clean_number(text: Column) -> Column:
-    """A final answer after its last =, without units, thousands commas and a final point."""
-    x = F.trim(F.element_at(F.split(text, "="), -1))
-    x = F.regexp_replace(x, r"\\(?:text|mbox)\{[^}]*\}|\\[!,;: ]|[$%]", "")
-    x = F.regexp_replace(x, r"(?i)\b(?:units?|dollars?|percent|degrees?|cm|meters?|minutes?|hours?|points?)\b", "")
-    x = F.regexp_replace(x, r"(?<=[0-9]),(?=[0-9]{3})", "")
-    return F.trim(F.regexp_replace(x, r"\.$", ""))
+# What a final answer's normalisation replaces, in this order, and what it takes out.
+ANSWER_REPLACED = (
+    ("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"),
+)
+ANSWER_REMOVED = (
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students",
+    "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
+)
+
+
+def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, text)
+
+
+def _stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def final_answer(text: Column) -> Column:
+    """A quantitative answer after its last =: articles, units and text commands out, short fractions and roots spelled
+    out, digits without their commas."""
+    x = F.element_at(F.split(text, "="), -1)
+    x = _replaced(x, *ANSWER_REPLACED, *[(w, "") for w in ANSWER_REMOVED])
+    x = F.regexp_replace(x, r".*?\$(.*?)\$.*", r"\$$1\$")
+    for command in ("text", "textbf", "overline"):
+        x = F.regexp_replace(x, r"\\" + command + r"\{(.*?)\}", "$1")
+    x = F.regexp_replace(x, r"\\boxed\{(.*)\}", "$1")
+    x = F.regexp_replace(x, r"frac([^{])(.)", r"frac{$1}{$2}")
+    x = F.regexp_replace(x, r"sqrt([^{])", r"sqrt{$1}")
+    x = F.replace(x, F.lit("$"), F.lit(""))
+    digits = lambda x: F.replace(x, F.lit(","), F.lit(""))
+    return _stripped(_bound(x, lambda x: F.when(digits(x).rlike(r"^\p{Nd}+$"), digits(x)).otherwise(x)))
 
 
 def strip_latex(text: Column) -> Column:
-    """LaTeX spellings of the same value made equal: spaces, size commands, fractions of two characters, roots, leading points."""
-    x = F.regexp_replace(text, r"\\!|\\left|\\right|\^\{?\\circ\}?|\\?\$|\\?%|\s+", "")
-    x = F.regexp_replace(x, r"[td]frac", "frac")
-    x = F.regexp_replace(x, r"\\frac([0-9a-zA-Z])([0-9a-zA-Z])", r"\\frac{$1}{$2}")
-    x = F.regexp_replace(x, r"\\sqrt([0-9a-zA-Z])", r"\\sqrt{$1}")
-    x = F.regexp_replace(x, r"^(-?[0-9]+)/(-?[0-9]+)$", r"\\frac{$1}{$2}")
-    x = F.regexp_replace(F.regexp_replace(x, r"^\.", "0."), r"\{\.", "{0.")
-    return x
+    """LaTeX spellings of the same value made equal: line ends, size commands, degrees, dollars, units on the right, percent
+    signs, leading points, a short left side of one =, spaces; short roots and fractions and a/b spelled out."""
+    x = _replaced(text, ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""))
+    x = F.substring_index(x, "\\text{ ", 1)
+    x = _replaced(x, ("\\\\%", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0."))
+    x = F.regexp_replace(x, r"^\.", "0.")
+    x = _bound(x, lambda x: _bound(F.split(x, "="), lambda sides: F.when((F.size(sides) == 2) & (F.length(sides[0]) <= 2), sides[1]).otherwise(x)))
+    x = F.replace(F.regexp_replace(x, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
+    whole = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+    x = _bound(x, lambda x: F.when(x.rlike(r"\\frac(?:[^{]?$|[^{]?\\frac)"), x).otherwise(whole(x)))
+    x = _bound(x, lambda x: F.when(x == "0.5", F.lit(r"\frac{1}{2}")).otherwise(x))
+    return F.regexp_replace(x, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
+
+
+def normalized_math(text: Column) -> Column:
+    """strip_latex of an answer without white space around it or a text command that holds all of it."""
+    inner = lambda x: F.regexp_extract(x, r"^\\text\{(.+?)\}$", 1)
+    return strip_latex(_bound(_stripped(text), lambda x: F.when(inner(x) != "", _stripped(inner(x))).otherwise(x)))
+
+
+def clean_number(text: Column) -> Column:
+    """A number with its units, thousands commas and a final point out: a looser final_answer for parts of tuples."""
+    return F.regexp_replace(F.regexp_replace(final_answer(text), r"(?<=[0-9]),(?=[0-9]{3})", ""), r"\.$", "")
+
+
+def _cut_at(markers: tuple[str, ...], state: Column, after: bool) -> Column:
+    """(found, x) after cutting x, for each marker in turn, behind the last one in any case (or before it)."""
+
+    def step(s: Column, marker: Column) -> Column:
+        low = F.lower(s["x"])
+        rest = F.length(F.call_function("substring_index", low, marker, F.lit(-1)))
+        kept = F.right(s["x"], rest) if after else F.left(s["x"], F.length(s["x"]) - rest - F.length(marker))
+        return F.struct((s["found"] | low.contains(marker)).alias("found"), F.when(low.contains(marker), _stripped(kept)).otherwise(s["x"]).alias("x"))
+
+    return F.aggregate(F.array(*[F.lit(m) for m in markers]), state, step)
+
+
+def answer_in_prose(response: Column) -> Column:
+    """(matched, answer): the answer that a response's words point to.
+
+    What follows "answer is" and the like, then what stands before "is the answer" and the like, then the last boxed
+    expression, then the part before the last sentence end, then what follows the last copula or sign. It counts as
+    matched if any of these but the sentence end is there and the rest has a digit.
+    """
+    state = lambda found, x: F.struct(found.alias("found"), x.alias("x"))
+
+    def boxed(s: Column) -> Column:
+        command = F.when(s["x"].contains("\\boxed"), F.substring_index(s["x"], "\\boxed", -1)).when(s["x"].contains("\\fbox"), F.substring_index(s["x"], "\\fbox", -1))
+        return _bound(F.coalesce(_stripped(_braced(command)), F.lit("")), lambda b: state(s["found"] | (b != ""), F.when(b != "", b).otherwise(s["x"])))
+
+    def sentence(s: Column) -> Column:
+        rest = F.length(F.substring_index(s["x"], ". ", -1))
+        return state(s["found"], F.when(s["x"].contains(". "), _stripped(F.left(s["x"], F.length(s["x"]) - rest - 2))).otherwise(s["x"]))
+
+    s = _cut_at(("answer:", "answer is", "answers are"), state(F.lit(False), response), True)
+    s = _cut_at(("is answer", "is the answer", "are answers", "are the answers"), s, False)
+    s = _bound(_bound(s, boxed), sentence)
+    s = _cut_at(("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"), s, True)
+    return _bound(s, lambda s: F.struct((s["found"] & s["x"].rlike(r"\p{Nd}")).alias("matched"), s["x"].alias("answer")))
+
+
+def graded(given: Column, gold: Column) -> Column:
+    """Whether two answers are equal once normalised, as numbers, or part by part as tuples."""
+    parts = lambda t: F.transform(F.split(F.regexp_replace(t, r"^[(\[]|[)\]]$", ""), ","), lambda p: final_answer(p))
+    tuples = given.rlike(r"^\s*[(\[].*,.*[)\]]\s*$") & gold.rlike(r"^\s*[(\[].*,.*[)\]]\s*$")
+    same = lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)) | F.coalesce(numbers_equal(p["a"], p["b"], 1e-9), F.lit(False)) | F.coalesce(tuples & (parts(p["a"]) == parts(p["b"])), F.lit(False))
+    return _bound(F.struct(normalized_math(given).alias("a"), normalized_math(gold).alias("b")), same)
+
+
+def score_batch(solutions: Column, golds: Column, scorer) -> Column:
+    """scorer(solution, gold) for the pairs of two arrays; arrays of different lengths are an error."""
+    same = F.when(F.size(solutions) == F.size(golds), solutions).otherwise(F.raise_error(F.lit("solutions and golds differ in number")))
+    return F.zip_with(same, golds, lambda s, g: scorer(s, g))
+
+
+def score_by_source(source: Column, scorers: dict[tuple[str, ...], Column]) -> Column:
+    """The scorer that lists the row's source; a source that none lists is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null"))))
+    return reduce(lambda rest, x: F.when(source.isin(*x[0]), x[1]).otherwise(rest), reversed(scorers.items()), unknown.cast("double"))
+
+
+def answer_feedback(messages: Column, gold: Column) -> Column:
+    """(done, response, reward) of a conversation (array of role and content): the last assistant message's answer against gold."""
+    said = F.try_element_at(F.filter(messages, lambda m: m["role"] == "assistant"), F.lit(-1))["content"]
+    reward = number_score(F.coalesce(said, F.lit("")), gold)
+    right = reward == 1.0
+    return F.struct(right.alias("done"), F.when(right, "Your response is correct!").otherwise("Your response is incorrect! You need to reflect on your answer and try again.").alias("response"), reward.alias("reward"))
 
 
 def numbers_equal(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
@@ -170,40 +276,32 @@ def think_format(text: Column) -> Column:
 def repetition(values: pd.Series) -> pd.Series:
     """2 sum(lcp) / (n (n + 1)) over each text's sorted suffixes, 0 for at most one character.
 
-    The sum of the longest common prefixes of neighbouring suffixes is n (n + 1) / 2 less the number of different
-    substrings, which a suffix automaton counts in linear time and memory.
+    Suffixes are ranked by prefixes of doubling length, in arrays; the ranks of all lengths then give the common prefixes
+    of neighbours, longest steps first. Memory is a few words a character and length.
     """
 
     def one(text: str | None) -> float:
         n = len(text or "")
         if n <= 1:
             return 0.0
-        link, length, step, last, distinct = [-1], [0], [{}], 0, 0
-        for c in text:
-            now = len(link)
-            link.append(0)
-            length.append(length[last] + 1)
-            step.append({})
-            p = last
-            while p >= 0 and c not in step[p]:
-                step[p][c] = now
-                p = link[p]
-            if p >= 0:
-                q = step[p][c]
-                if length[p] + 1 == length[q]:
-                    link[now] = q
-                else:
-                    copy = len(link)
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    step.append(dict(step[q]))
-                    while p >= 0 and step[p].get(c) == q:
-                        step[p][c] = copy
-                        p = link[p]
-                    link[q] = link[now] = copy
-            distinct += length[now] - length[link[now]]
-            last = now
-        return 1 - 2 * distinct / (n * (n + 1))
+        rank = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)[1].astype(np.int64)
+        levels = [rank.astype(np.int32)]
+        while rank.max() < n - 1:
+            k = 1 << (len(levels) - 1)
+            after = np.zeros(n, np.int64)
+            after[: max(n - k, 0)] = rank[k:] + 1
+            rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
+            levels.append(rank.astype(np.int32))
+        order = np.argsort(rank)
+        a, b = order[:-1].copy(), order[1:].copy()
+        total = 0
+        for j in range(len(levels) - 1, -1, -1):
+            inside = np.flatnonzero((a < n) & (b < n))
+            same = inside[levels[j][a[inside]] == levels[j][b[inside]]]
+            a[same] += 1 << j
+            b[same] += 1 << j
+            total += len(same) << j
+        return 2 * total / (n * (n + 1))
 
     return values.map(one)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def largest_differencing(sizes: list[float], k: int, equal: bool = False) -> list[int]:
@@ -86,3 +87,36 @@ def micro_batches(df: DataFrame, group: str, key: str, size: str, budget: int) -
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return df.select(group, key, size).groupBy(group).applyInPandas(split, f"{group} {kinds[group]}, {key} {kinds[key]}, part int, of int")
+
+
+def trainer_batches(key: Column, seed: str, batches: int) -> Column:
+    """The batch of a row: the hash of seed and key over so many batches, so that groups stay one trainer batch's size."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(batches))
+
+
+def prepare_batches(df: DataFrame, group: str, key: str, size: str, budget: int) -> DataFrame:
+    """df with part (its micro-batch), of (their number) and slot (its place when micro-batches follow one another): rows
+    travel with their micro-batch, and slot is the index list that restores them."""
+    from pyspark.sql import Window
+
+    parts = micro_batches(df, group, key, size, budget)
+    slot = F.row_number().over(Window.partitionBy(group).orderBy("part", key)) - 1
+    return df.join(parts.withColumn("slot", slot), [group, key])
+
+
+def restore_batches(dealt: DataFrame, group: str, values: str, index: DataFrame, key: str) -> DataFrame:
+    """(group, key, value): the value at each slot of a group (array column `values` in the order of the micro-batches) back
+    at the key that index (group, key, slot) names for that slot."""
+    long = dealt.select(group, F.posexplode(values).alias("slot", "value"))
+    return index.select(group, key, "slot").join(long, [group, "slot"]).select(group, key, "value")
+
+
+def curriculum_order(items: DataFrame, results: DataFrame, key: str, score: str, seed: str) -> DataFrame:
+    """(key, mean, place): items ordered by their mean result so far, the best solved first and those without results last;
+    equal ones by the hash of seed and key. Places come from ranges, not from one task's sort."""
+    from .batch import with_position
+
+    means = results.groupBy(key).agg(F.avg(score).alias("mean"))
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    ranked = items.select(key).join(means, key, "left").withColumn("__m", F.coalesce(-F.col("mean"), F.lit(float("inf")))).withColumn("__d", draw)
+    return with_position(ranked, ["__m", "__d"], key, name="place").select(key, "mean", "place")

@@ -180,3 +180,21 @@ def informative_groups(df: DataFrame, group: str, score: str) -> DataFrame:
     """Rows of groups whose scores differ (population deviation above 0) or that have one row."""
     w = Window.partitionBy(group)
     return df.withColumn("__s", F.stddev_pop(score).over(w)).withColumn("__n", F.count("*").over(w)).where((F.col("__s") > 0) | (F.col("__n") == 1)).drop("__s", "__n")
+
+
+def equal_sizes(df: DataFrame, *arrays: str) -> DataFrame:
+    """df, if in each row all these arrays are of one length; another row is an error when it is read."""
+    same = reduce(lambda a, c: a & (F.size(c) == F.size(arrays[0])), arrays[1:], F.lit(True))
+    sizes = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.size(c).cast("string")) for c in arrays])
+    return df.withColumn(arrays[0], F.when(same, F.col(arrays[0])).otherwise(F.raise_error(F.concat(F.lit("sizes differ: "), sizes))))
+
+
+def ragged(df: DataFrame, group: str, order: str, *arrays: str) -> DataFrame:
+    """(group, values and offsets of each array column): rows of a group, a batch, end to end without padding.
+
+    Row i of a batch has offsets[i]:offsets[i + 1] of the values. A null array is empty.
+    """
+    held = F.sort_array(F.collect_list(F.struct(order, *[F.coalesce(a, F.array().cast(df.schema[a].dataType)).alias(a) for a in arrays])))
+    rows = df.groupBy(group).agg(held.alias("__h"))
+    offsets = lambda a: F.aggregate(F.col(f"__h.{a}"), F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + F.size(x))))
+    return rows.select(group, *[c for a in arrays for c in (F.flatten(F.col(f"__h.{a}")).alias(a), offsets(a).alias(f"{a}_offsets"))])

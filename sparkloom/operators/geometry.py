@@ -71,35 +71,132 @@ def flatten_groups(groups: Column) -> Column:
 
 def remove_objects(objects: Column, target: Column) -> Column:
     """Without every object whose jid or uid is the target; an empty target matches nothing."""
-    hit = lambda o: (target != "") & (o["jid"].eqNullSafe(target) | o["uid"].eqNullSafe(target))
-    return F.filter(objects, lambda o: ~hit(o))
+    return F.filter(objects, lambda o: ~is_target(o, target))
 
 
 def change_first(objects: Column, target: Column, field: str, value: Column) -> Column:
     """The first object whose jid or uid is the target with another value of a field; none is no fault."""
-    hit = lambda o: (target != "") & (o["jid"].eqNullSafe(target) | o["uid"].eqNullSafe(target))
-    at = F.array_position(F.transform(objects, hit), True)
+    at = F.array_position(F.transform(objects, lambda o: is_target(o, target)), True)
     return F.transform(objects, lambda o, i: F.when(i + 1 == at, o.withField(field, value)).otherwise(o))
 
 
+#: An edit's fields besides its order: which of them count depends on its name.
+EDIT = "name string, target string, desc string, pos array<double>, rot array<double>, size array<double>, group string"
+
+
+def new_object(e: Column) -> Column:
+    """The object that an add describes, without jid and uid, with what is left out filled in."""
+    vector = lambda c, *v: F.coalesce(c, F.array(*[F.lit(float(x)) for x in v]))
+    none = F.lit(None).cast("string")
+    return F.struct(F.coalesce(e["desc"], F.lit("New furniture piece")).alias("desc"), none.alias("jid"), none.alias("uid"), vector(e["size"], 1, 1, 1).alias("size"), vector(e["pos"], 0, 0, 0).alias("pos"), vector(e["rot"], 0, 0, 0, 1).alias("rot"))
+
+
+def is_target(o: Column, target: Column) -> Column:
+    return (target != "") & (o["jid"].eqNullSafe(target) | o["uid"].eqNullSafe(target))
+
+
+def replace_first(objects: Column, target: Column, desc: Column) -> Column:
+    """The first object that is the target as a new one without jid and uid, with its place, turn and size."""
+    none = F.lit(None).cast("string")
+    at = F.array_position(F.transform(objects, lambda o: is_target(o, target)), True)
+    return F.transform(objects, lambda o, i: F.when(i + 1 == at, F.struct(F.coalesce(desc, F.lit("Replacement object")).alias("desc"), none.alias("jid"), none.alias("uid"), o["size"].alias("size"), o["pos"].alias("pos"), o["rot"].alias("rot"))).otherwise(o))
+
+
+def _edited(objects: Column, e: Column) -> Column:
+    """Objects after any edit but add; unknown names change nothing."""
+    change = lambda field: change_first(objects, e["target"], field, e[field])
+    return (
+        F.when(is_edit(e, "remove"), remove_objects(objects, e["target"]))
+        .when(is_edit(e, "move"), change("pos")).when(is_edit(e, "rotate"), change("rot")).when(is_edit(e, "scale"), change("size"))
+        .when(is_edit(e, "replace"), replace_first(objects, e["target"], e["desc"])).otherwise(objects)
+    )
+
+
+def is_edit(e: Column, kind: str) -> Column:
+    return e["name"].isin(kind, f"{kind}_object")
+
+
+def whole_object(o: Column, have: list[str]) -> Column:
+    """An object with all fields, null where it has none of the name."""
+    kinds = {"desc": "string", "jid": "string", "uid": "string", "size": "array<double>", "pos": "array<double>", "rot": "array<double>"}
+    return F.struct(*[(o[n] if n in have else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+
+
+def _first_group(groups: Column, target: Column) -> Column:
+    """Number (from 1) of the first group that holds the target; 0 if none."""
+    return F.coalesce(F.array_position(F.transform(groups, lambda g: F.exists(g["objects"], lambda o: is_target(o, target))), True), F.lit(0))
+
+
 def apply_edits(scenes: DataFrame, edits: DataFrame, scene: str, order: str) -> DataFrame:
     """(scene, objects) after each scene's edits in order, folded in one expression.
 
-    scenes: (scene, objects array<struct<jid, uid, pos array<double>>>); edits: (scene, order, name, target, pos). Known
-    names are add, remove and move; terminate ends a scene's edits, others are skipped. A scene's edits are one array:
-    their number is that of one scene's turns.
+    scenes: (scene, objects array<struct<desc, jid, uid, size, pos, rot>>, of which some may be missing); edits: (scene,
+    order, and the fields of EDIT). Names are add, remove, move, rotate, scale and replace, also with `_object`; all but
+    add and remove change the first object that is the target; terminate ends a scene's edits, others are skipped. A
+    scene's edits are one array: their number is that of one scene's turns.
     """
-    listed = edits.groupBy(scene).agg(F.sort_array(F.collect_list(F.struct(order, "name", "target", "pos"))).alias("__e"))
+    have = scenes.schema["objects"].dataType.elementType.fieldNames()
+    whole = scenes.withColumn("objects", F.transform("objects", lambda o: whole_object(o, have)))
+    return _fold(whole, edits, scene, order, "objects", lambda o, e: F.when(is_edit(e, "add"), F.concat(o, F.array(new_object(e)))).otherwise(_edited(o, e)))
 
-    def step(s: Column, e: Column) -> Column:
-        o = s["objects"]
-        added = F.concat(o, F.array(F.struct(e["target"].alias("jid"), F.lit(None).cast("string").alias("uid"), e["pos"].alias("pos"))))
-        changed = F.when(e["name"] == "add", added).when(e["name"] == "remove", remove_objects(o, e["target"])).when(e["name"] == "move", change_first(o, e["target"], "pos", e["pos"])).otherwise(o)
-        return F.struct((s["done"] | (e["name"] == "terminate")).alias("done"), F.when(s["done"], o).otherwise(changed).alias("objects"))
 
+def apply_group_edits(scenes: DataFrame, edits: DataFrame, scene: str, order: str) -> DataFrame:
+    """(scene, groups) after each scene's edits; scenes: (scene, groups array<struct<group_name, objects>>).
+
+    An add goes to the group it names (default_group if none), which is made if it isn't there; a remove takes the target
+    out of all groups, other edits change the first group that holds it.
+    """
+
+    def step(groups: Column, e: Column) -> Column:
+        name = F.coalesce(e["group"], F.lit("default_group"))
+        mine = F.coalesce(F.array_position(F.transform(groups, lambda g: g["group_name"]), name), F.lit(0))
+        put = F.transform(groups, lambda g, i: F.when(i + 1 == mine, g.withField("objects", F.concat(g["objects"], F.array(new_object(e))))).otherwise(g))
+        made = F.concat(groups, F.array(F.struct(name.alias("group_name"), F.array(new_object(e)).alias("objects"))))
+        removed = F.transform(groups, lambda g: g.withField("objects", remove_objects(g["objects"], e["target"])))
+        at = _first_group(groups, e["target"])
+        changed = F.transform(groups, lambda g, i: F.when(i + 1 == at, g.withField("objects", _edited(g["objects"], e))).otherwise(g))
+        return F.when(is_edit(e, "add"), F.when(mine > 0, put).otherwise(made)).when(is_edit(e, "remove"), removed).otherwise(changed)
+
+    have = scenes.schema["groups"].dataType.elementType["objects"].dataType.elementType.fieldNames()
+    whole = scenes.withColumn("groups", F.transform("groups", lambda g: F.struct(g["group_name"].alias("group_name"), F.transform(g["objects"], lambda o: whole_object(o, have)).alias("objects"))))
+    return _fold(whole, edits, scene, order, "groups", step)
+
+
+def _fold(scenes: DataFrame, edits: DataFrame, scene: str, order: str, field: str, change) -> DataFrame:
+    kinds = [x.split() for x in EDIT.split(", ")]
+    have = {c.lower() for c in edits.columns}
+    fields = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in kinds]
+    listed = edits.groupBy(scene).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("__e"))
+    step = lambda s, e: F.struct((s["done"] | (e["name"] == "terminate")).alias("done"), F.when(s["done"], s["x"]).otherwise(change(s["x"], e)).alias("x"))
     joined = scenes.join(listed, scene, "left")
-    state = F.aggregate("__e", F.struct(F.lit(False).alias("done"), F.col("objects").alias("objects")), step, lambda s: s["objects"])
-    return joined.select(scene, F.when(F.col("__e").isNull(), F.col("objects")).otherwise(state).alias("objects"))
+    state = F.aggregate("__e", F.struct(F.lit(False).alias("done"), F.col(field).alias("x")), step, lambda s: s["x"])
+    return joined.select(scene, F.when(F.col("__e").isNull(), F.col(field)).otherwise(state).alias(field))
+
+
+def inside_polygon(x: Column, z: Column, corners: Column) -> Column:
+    """Whether a point is in a polygon (array of (x, z) arrays): an odd number of sides cross the ray to its right."""
+    n = F.size(corners)
+    crosses = lambda i: _crosses(x, z, F.get(corners, i), F.get(corners, (i + 1) % n))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), lambda a, i: a != crosses(i))
+
+
+def _crosses(x: Column, z: Column, a: Column, b: Column) -> Column:
+    over = (a[1] > z) != (b[1] > z)
+    return over & (x < (b[0] - a[0]) * (z - a[1]) / F.nullif(b[1] - a[1], F.lit(0.0)) + a[0])
+
+
+def outside_share(lo: list[Column], hi: list[Column], floor: Column, height: Column, steps: int = 8, slack: float = 0.001) -> Column:
+    """Share of a box's points, at the middles of steps ** 3 cells, that lie outside a room: a polygon floor and a height.
+
+    Sampling at random estimates the same share; the grid makes it repeatable. Points within `slack` of the height count as
+    inside.
+    """
+    at = lambda i, j: lo[i] + (hi[i] - lo[i]) * (j + 0.5) / steps
+    cells = F.sequence(F.lit(0), F.lit(steps - 1))
+    count = lambda cells, f: F.size(F.filter(cells, f))
+    flat = F.aggregate(cells, F.lit(0), lambda a, i: a + count(cells, lambda k: inside_polygon(at(0, i), at(2, k), floor)))
+    tall = count(cells, lambda j: (at(1, j) >= -slack) & (at(1, j) <= height + slack))
+    return 1 - flat * tall / F.lit(float(steps**3))
 
 
 def convex_overlap(p: list, q: list) -> float:
@@ -140,7 +237,7 @@ def footprint_overlap(a: Column, b: Column) -> Column:
 def repair(scenes: DataFrame, scene: str, size: float, step: float = 0.2, rounds: int = 50) -> DataFrame:
     """(scene, key, x, z, removed): boxes outside [0, size] move step by step towards the middle, those that never fit are removed.
 
-    scenes: (scene, key, x, z, w), w being the side of a box. A scene is one task's group; nothing is random.
+    scenes: (scene, key, x, z, w), w being the side of a box. A scene is one room's boxes, so a small group; nothing is random.
     """
 
     def fix(pdf: pd.DataFrame) -> pd.DataFrame:

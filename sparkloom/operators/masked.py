@@ -56,5 +56,5 @@ def aggregate_loss(df: DataFrame, row: str, loss: Column, mask: Column, mode: st
 
 def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     """df with a 0-based number for each distinct key, in order; the distinct keys are numbered by ranges, not in one task."""
-    keys = with_position(df.select(key).distinct(), key, name=name)
-    return df.join(keys, F.col(key).eqNullSafe(keys[key])).drop(keys[key]) if df.schema[key].nullable else df.join(keys, key)
+    keys = with_position(df.select(F.col(key).alias("__key")).distinct(), "__key", name=name)
+    return df.join(keys, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import losses as L
 from ..functions import text as X
-from ..operators import batch, groups, masked
+from ..operators import batch, groups, masked, matching
 from ..operators import metrics as M
 from ..session import scratch
 from ..sources import files
@@ -93,19 +93,17 @@ def s22_cache_stats(s, d):
 
 
 def s23_step_order(s, d):
-    e = table(s, d, "events").select((F.col("event_id") % 12).cast("string").alias("stem")).distinct()
-    return e.select("stem", F.row_number().over(Window.orderBy(F.col("stem").cast("int"))).alias("place"))
+    e = table(s, d, "events").select((F.col("event_id") % 12).cast("string").alias("stem")).distinct().withColumn("step", F.col("stem").cast("int"))
+    return batch.with_position(e, "step", name="place").select("stem", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def j03_prompt_index(s, d):
-    """Exact match of a text, else the first longer text that contains it (texts over 50 characters only)."""
-    b = table(s, d, "benchmark")
-    first = F.substring("text", 1, 60)
-    probe = b.select(F.col("item_id").alias("probe"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(first).alias("t"))
-    exact = probe.join(b, F.col("t") == F.col("text")).groupBy("probe").agg(F.min("item_id").alias("item"), F.first(F.lit(1)).alias("tier"))
-    near = probe.where(F.length("t") > 50).join(b, F.col("text").startswith(F.substring("t", 1, 40)) & F.col("text").contains(F.col("t"))).groupBy("probe").agg(F.min("item_id").alias("item"), F.first(F.lit(2)).alias("tier"))
-    w = Window.partitionBy("probe").orderBy("tier")
-    return exact.unionByName(near).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("probe", "item", "tier")
+    """Whole prompts and passages from inside and at the ends of stored texts; and stored texts inside longer prompts."""
+    b = table(s, d, "benchmark").where(F.length("text") > 60)
+    n = F.length("text")
+    inner = F.when(F.col("item_id") % 4 == 1, F.substring("text", 1, 60)).when(F.col("item_id") % 4 == 2, F.col("text").substr(n - 59, F.lit(60))).when(F.col("item_id") % 4 == 3, F.concat(F.lit("Please: "), "text", F.lit(" Thanks."))).otherwise(F.col("text"))
+    probes = b.select(F.col("item_id").alias("probe"), inner.alias("prompt"))
+    return matching.prompt_index(probes, "probe", "prompt", table(s, d, "benchmark"), "item_id", "text").select("probe", F.col("item_id").alias("item"), "tier")
 
 
 def a08_kinds(s, d):
@@ -206,7 +204,7 @@ def n46_support_reward(s, d):
 
 def n56_topk_divergence(s, d):
     """Divergence of two softmaxes over the first one's four largest entries."""
-    e = table(s, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("t"), F.slice(F.col("embedding").cast("array<double>"), 17, 16).alias("u"))
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("t"), F.reverse(F.col("embedding").cast("array<double>")).alias("u"))
     both = e.select("vec_id", F.posexplode(F.arrays_zip("t", "u")).alias("i", "x"))
     w = Window.partitionBy("vec_id")
     norm = both.withColumn("lt", F.col("x.t") - F.log(F.sum(F.exp("x.t")).over(w))).withColumn("lu", F.col("x.u") - F.log(F.sum(F.exp("x.u")).over(w)))
@@ -337,7 +335,7 @@ QUERIES = {
     "d08_padded_chunks": (d08_padded_chunks, "with n as (select count(*) as n, ((count(*) + 15) // 16) as k from orders) select i as chunk, k as n, greatest(0, least(k, (i + 1) * k - n)) as pads from n, range(16) t(i)"),
     "g09_block_leave_one_out": (g09_block_leave_one_out, "with o as (select *, (row_number() over (order by o_orderkey) - 1) // 4 as g, o_totalprice / 1000 as a, (o_custkey % 7)::double as b from orders), x as (select *, count(*) over (partition by g) as n, sum(a) over (partition by g) as sa, sum(b) over (partition by g) as sb from o) select o_orderkey, round(0.70710678::double * case when n > 1 then a - (sa - a) / (n - 1) else a end + 0.29289322::double * case when n > 1 then b - (sb - b) / (n - 1) else b end, 5) + 0.0 as advantage from x"),
     "g14_dispatch": (g14_dispatch, "select l_orderkey, round(sum(l_quantity - case when n > 1 then base else 0 end), 5) + 0.0 as total from (select *, count(*) over (partition by l_orderkey) as n, sum(l_quantity * l_linenumber) over (partition by l_orderkey) / sum(l_linenumber) over (partition by l_orderkey) as base from lineitem) group by 1"),
-    "j03_prompt_index": (j03_prompt_index, "with p as (select item_id as probe, case when item_id % 2 = 0 then text else substr(text, 1, 60) end as t from benchmark), x as (select probe, min(item_id) as item, 1 as tier from p join benchmark on t = text group by 1 union all select probe, min(item_id), 2 from p join benchmark on contains(text, t) and starts_with(text, substr(t, 1, 40)) where length(t) > 50 group by 1) select probe, item, tier from x qualify row_number() over (partition by probe order by tier) = 1"),
+    "j03_prompt_index": (j03_prompt_index, "with p as (select item_id as probe, case item_id % 4 when 1 then substr(text, 1, 60) when 2 then substr(text, length(text) - 59, 60) when 3 then 'Please: ' || text || ' Thanks.' else text end as t from benchmark where length(text) > 60), x as (select probe, item_id as item, case when t = text then 1 else 2 end as tier from p join benchmark on t = text or (length(t) > 50 and (contains(text, t) or (text <> '' and contains(t, text))))) select probe, item, tier from x qualify row_number() over (partition by probe order by tier, item) = 1"),
     "m12_limited": (m12_limited, "select event_type, round(avg(case when value > 99 then 0 else value end), 4) as score, count(case when value > 99 then 1 end) as timeouts from events group by 1"),
     "n01_penalty_names": (n01_penalty_names, "select l_suppkey, round(sum(l_tax - l_discount), 5) + 0.0 as kl, round(sum(0.5 * pow(l_tax - l_discount, 2)), 5) as mse, round(sum(exp(l_discount - l_tax) - (l_discount - l_tax) - 1), 5) as low_var_kl from lineitem group by 1"),
     "n08_clip_cov": (n08_clip_cov, f"with x as {_LG}, m as (select avg(lp) as ml, avg(adv) as ma from x), y as (select *, (lp - ml) * (adv - ma) > 0.05 and (lp - ml) * (adv - ma) < 0.5 and cast('0x' || substr(md5(l_orderkey || ':' || l_partkey || ':' || l_suppkey), 1, 8) as bigint) % 10 = 0 as off from x, m) select l_suppkey, count(case when off then 1 end) as off, round(avg(case when off then 0 else -adv * lp end), 5) + 0.0 as loss from y group by 1"),
@@ -349,7 +347,7 @@ QUERIES = {
     "n36_hybrid": (n36_hybrid, "select p_partkey, round(0.7 * p_size / 50.0::double + 0.3 * exp(-p_size / 25.0::double), 6) as score from part"),
     "n44_area_reward": (n44_area_reward, f"select p_partkey, round({_PW}, 5) + 0.0 as reward from (select *, p_size::double as a from part)"),
     "n46_support_reward": (n46_support_reward, "select p_brand, round(case when rate = 0 then 1 when rate <= 0.1 then 1 - rate / 0.1 else -(rate - 0.1) / 0.9 end, 5) + 0.0 as reward from (select p_brand, avg(case when p_size < 4 then 1.0::double else 0 end) as rate from part group by 1)"),
-    "n56_topk_divergence": (n56_topk_divergence, "with e as (select vec_id, unnest(range(16)) as i, unnest(embedding[1:16])::double as t, unnest(embedding[17:32])::double as u from embeddings), n as (select *, t - ln(sum(exp(t)) over (partition by vec_id)) as lt, u - ln(sum(exp(u)) over (partition by vec_id)) as lu from e), k as (select *, row_number() over (partition by vec_id order by t desc, i) as rn from n) select vec_id, round(sum(exp(lt) * (lt - lu)), 5) + 0.0 as kl from k where rn <= 4 group by 1"),
+    "n56_topk_divergence": (n56_topk_divergence, "with e as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding)::double as t, unnest(list_reverse(embedding))::double as u from embeddings), n as (select *, t - ln(sum(exp(t)) over (partition by vec_id)) as lt, u - ln(sum(exp(u)) over (partition by vec_id)) as lu from e), k as (select *, row_number() over (partition by vec_id order by t desc, i) as rn from n) select vec_id, round(sum(exp(lt) * (lt - lu)), 5) + 0.0 as kl from k where rn <= 4 group by 1"),
     "n58_sequence": (n58_sequence, "select p_partkey, case when (p_size + 6) % 10 = (p_size + p_partkey % 3 + 5) % 10 then 1.0::double else 0 end as reward from part"),
     "s01_sampled_parquet": (s01_sampled_parquet, "select o_orderkey from orders order by md5('42:' || o_orderkey), o_orderkey limit 50"),
     "s02_nested_fields": (s02_nested_fields, "select conv_id, turn, text as question, role as answer from conversations"),

@@ -10,7 +10,7 @@ from ..functions import losses as L
 from ..functions import text as X
 from ..operators import balance, batch, geometry, retrieval
 from ..operators import groups as G
-from ..session import scratch
+from ..session import if_small, scratch
 from ..streaming import queues as Q
 from .common import r, table
 
@@ -25,7 +25,7 @@ def s07_tolerant_load(s, d):
 def s13_append_log(s, d):
     path = scratch(s, "log")
     e = table(s, d, "events").select((F.col("event_id") % 3).alias("step"), F.struct("event_type", "value").alias("data"))
-    for i in range(2):
+    for i in range(3):
         e.where(F.col("step") == i).write.mode("append").json(path)
     return s.read.schema("step long, data struct<event_type:string,value:double>").json(path).groupBy("step").agg(F.count("*").alias("n"), r(F.sum("data.value"), 3).alias("value"))
 
@@ -54,8 +54,8 @@ def b11_zip(s, d):
 
 def b33_gather_ragged(s, d):
     u = table(s, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids")).withColumnRenamed("user_id", "pos")
-    picks = s.range(0, 10).select(F.col("id").alias("slot"), F.pmod(F.col("id") * 3, F.lit(5)).cast("long").alias("pos"))
-    return batch.select_positions(u.where("pos < 5"), picks).select("slot", F.size("ids").alias("n"))
+    picks = table(s, d, "orders").select(F.col("o_orderkey").alias("slot"), F.col("o_custkey").cast("long").alias("pos"))
+    return batch.select_positions(u, picks).select("slot", F.size("ids").alias("n"))
 
 
 def b34_concat_ragged(s, d):
@@ -122,7 +122,7 @@ def k14_cascade(s, d):
     p = table(s, d, "part").select("p_partkey", "p_brand", "p_size")
     a = table(s, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("a"))
     b = table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("p_size"), F.col("n_name").alias("b"))
-    return p.join(a, "p_partkey", "left").join(F.broadcast(b), "p_size", "left").select("p_partkey", F.coalesce("a", "b", F.lit("none")).alias("asset"))
+    return p.join(a, "p_partkey", "left").join(if_small(b), "p_size", "left").select("p_partkey", F.coalesce("a", "b", F.lit("none")).alias("asset"))
 
 
 def n12_loss_registry(s, d):
@@ -282,13 +282,106 @@ def t65_any_gold(s, d):
     return p.select("p_partkey", F.when(a.isNull(), 0.0).when(hit, 1.0).otherwise(0.0).alias("score"), a.isNotNull().cast("double").alias("format"))
 
 
+def d05_prepare(s, d):
+    """Rows with their micro-batch: every part within the budget, unless it is a single row."""
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("size"))
+    x = balance.prepare_batches(o, "o_custkey", "o_orderkey", "size", 500_000)
+    loads = x.groupBy("o_custkey", "part").agg(F.sum("size").alias("load"), F.count("*").alias("rows"))
+    return loads.groupBy("o_custkey").agg(F.sum("rows").alias("orders"), F.sum("load").alias("total"), F.count("*").alias("parts"))
+
+
 def d06_restore(s, d):
-    o = table(s, d, "documents").select("doc_id", "source", "n_chars")
-    parts = balance.micro_batches(o, "source", "doc_id", "n_chars", 20000)
-    w = Window.partitionBy("source").orderBy("part", "doc_id")
-    dealt = parts.withColumn("slot", F.row_number().over(w))
-    back = dealt.join(o.select("doc_id", "n_chars"), "doc_id")
-    return back.select("doc_id", "n_chars")
+    """Results in the order of the micro-batches go back to their rows by the index lists."""
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("size"))
+    x = balance.prepare_batches(o, "o_custkey", "o_orderkey", "size", 500_000)
+    dealt = x.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "size"))), lambda v: v["size"] * 2).alias("results"))
+    return balance.restore_batches(dealt, "o_custkey", "results", x, "o_orderkey").select("o_orderkey", F.col("value").alias("doubled"))
+
+
+def d11_curriculum(s, d):
+    """Parts by the mean quantity ordered of them so far, most first; parts without orders last."""
+    li = table(s, d, "lineitem").where("l_shipdate < '1995-01-01'").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("double").alias("q"))
+    return balance.curriculum_order(table(s, d, "part"), li, "p_partkey", "q", "7").select("p_partkey", "place")
+
+
+def b02_equal_sizes(s, d):
+    u = table(s, d, "events").groupBy("user_id").agg(F.collect_list("event_id").alias("ids"), F.collect_list(F.coalesce("value", F.lit(0.0))).alias("values"))
+    return batch.equal_sizes(u, "ids", "values").select("user_id", F.size("ids").alias("n"))
+
+
+def b29_ragged(s, d):
+    words = table(s, d, "conversations").select("conv_id", "turn", F.split(F.trim("text"), r"\s+").alias("words"))
+    x = batch.ragged(words, "conv_id", "turn", "words")
+    return x.select("conv_id", F.size("words").alias("n"), F.array_join(F.transform("words_offsets", lambda v: v.cast("string")), ",").alias("offsets"))
+
+
+def f15_feedback(s, d):
+    """A conversation's last answer against a gold number."""
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
+    said = F.transform("h", lambda m: F.struct(m["role"].alias("role"), F.concat(m["text"], F.lit(" #### "), m["turn"].cast("string")).alias("content")))
+    x = c.select("conv_id", X.answer_feedback(said, F.lit("1")).alias("f"))
+    return x.select("conv_id", F.col("f.done").alias("done"), F.col("f.reward").alias("reward"))
+
+
+def t12_batched(s, d):
+    c = table(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    text = F.transform("k", lambda v: F.concat(F.lit("#### "), (v % 4).cast("string")))
+    scores = X.score_batch(text, F.transform("k", lambda v: F.lit("3")), X.number_score)
+    return c.select("o_custkey", F.aggregate(scores, F.lit(0.0), lambda a, v: a + v).alias("score"))
+
+
+def t17_prose(s, d):
+    p = table(s, d, "part")
+    t = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Thus the answer is "), F.col("p_size").cast("string"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(r"we find \boxed{"), F.col("p_size").cast("string"), F.lit("} here"))).otherwise("no idea")
+    return p.select("p_partkey", X.answer_in_prose(t).alias("a")).select("p_partkey", F.col("a.matched").alias("matched"), F.col("a.answer").alias("answer"))
+
+
+def t19_normalized(s, d):
+    p = table(s, d, "part")
+    t = F.concat(F.lit(r" \text{ \dfrac"), (F.col("p_size") % 9 + 1).cast("string"), F.lit(r"7 } "))
+    return p.select("p_partkey", X.normalized_math(t).alias("value"))
+
+
+def t49_add(s, d):
+    """An object a part, to the group that its size names; groups are made as they come."""
+    p = table(s, d, "part")
+    scenes = p.select("p_brand").distinct().withColumn("groups", F.from_json(F.lit("[]"), "array<struct<group_name:string,objects:array<struct<desc:string,jid:string,uid:string,size:array<double>,pos:array<double>,rot:array<double>>>>>"))
+    edits = p.select("p_brand", F.col("p_partkey").alias("order"), F.lit("add_object").alias("name"), F.lit("").alias("target"), F.col("p_name").alias("desc"), F.concat(F.lit("g"), (F.col("p_size") % 3).cast("string")).alias("group"))
+    x = geometry.apply_group_edits(scenes, edits, "p_brand", "order").select("p_brand", F.explode("groups").alias("g"))
+    return x.select("p_brand", F.col("g.group_name").alias("name"), F.size("g.objects").alias("n"), F.array_join("g.objects.desc", "|").alias("descs"))
+
+
+def t52_replace(s, d):
+    """Each even part's object replaced: it keeps its place and loses its id."""
+    p = table(s, d, "part")
+    o = F.struct(F.lit("old").alias("desc"), F.col("p_partkey").cast("string").alias("jid"), F.lit(None).cast("string").alias("uid"), F.array(F.lit(1.0)).alias("size"), F.array(F.col("p_size") * 1.0).alias("pos"), F.array(F.lit(0.0)).alias("rot"))
+    scenes = p.groupBy("p_brand").agg(F.sort_array(F.collect_list(o)).alias("objects"))
+    edits = p.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("order"), F.lit("replace_object").alias("name"), F.col("p_partkey").cast("string").alias("target"), F.lit("new").alias("desc"))
+    x = geometry.apply_edits(scenes, edits, "p_brand", "order").select("p_brand", F.explode("objects").alias("o"))
+    return x.groupBy("p_brand", F.col("o.desc").alias("desc")).agg(F.count("o.jid").alias("ids"), F.count("*").alias("n"), r(F.sum(F.col("o.pos")[0]), 2).alias("total"))
+
+
+def t68_by_source(s, d):
+    o = table(s, d, "orders")
+    text = F.concat(F.lit("#### "), (F.col("o_orderkey") % 3).cast("string"))
+    scorers = {("O", "P"): X.number_score(text, F.lit("2")), ("F",): X.number_score(text, F.lit("1"), score=0.5)}
+    return o.select("o_orderkey", X.score_by_source(F.col("o_orderstatus"), scorers).alias("score"))
+
+
+def m06_back_pressure(s, d):
+    """Views may run five ahead of clicks, user by user."""
+    e = table(s, d, "events").select("user_id", "event_id", "event_type")
+    views, clicks = e.where("event_type = 'view'"), e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("at"))
+    return Q.admitted(views, "user_id", "event_id", clicks, "at", 5).select("event_id", "admitted")
+
+
+def n53_outside(s, d):
+    """Boxes beyond the sloping side of a triangular room, by a grid of points."""
+    p = table(s, d, "part")
+    x = F.col("p_size") / 10.0
+    lo, hi = [x, F.lit(0.0), F.lit(0.0)], [x + 1.0, F.lit(2.0), F.lit(1.0)]
+    room = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))])
+    return p.select("p_partkey", r(geometry.outside_share(lo, hi, room, F.lit(1.0))).alias("share"))
 
 
 def d03_equal_parts(s, d):
@@ -298,7 +391,7 @@ def d03_equal_parts(s, d):
 
 
 def d10_broadcast(s, d):
-    return table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    return table(s, d, "customer").join(if_small(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
 def m09_version(s, d):
@@ -370,10 +463,23 @@ _NORMAL = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(low
 QUERIES = {
     "a14_throughput": (a14_throughput, "select event_type, round(sum(user_id) / (sum(value) * 16), 6) as throughput, sum(user_id) as tokens from events group by 1"),
     "b11_zip": (b11_zip, "select c_custkey, round(c_acctbal, 2) as c_acctbal, c_mktsegment from customer"),
-    "b33_gather_ragged": (b33_gather_ragged, "select s as slot, count(*) as n from range(10) t(s) join events on user_id = s * 3 % 5 group by 1"),
+    "b33_gather_ragged": (b33_gather_ragged, "select o_orderkey as slot, n from orders join (select user_id, count(*) as n from events group by 1) on user_id = o_custkey"),
     "b34_concat_ragged": (b34_concat_ragged, "select user_id, count(*) as n from events group by 1"),
     "d03_equal_parts": (d03_equal_parts, "select (rn - 1) // 30 as batch, count(*) as n, 5 as parts from (select row_number() over (order by o_orderkey) as rn from orders) group by 1"),
-    "d06_restore": (d06_restore, "select doc_id, n_chars from documents"),
+    "b02_equal_sizes": (b02_equal_sizes, "select user_id, count(*) as n from events group by 1"),
+    "b29_ragged": (b29_ragged, r"with w as (select conv_id, turn, len(regexp_split_to_array(trim(text), '\s+')) as k from conversations), c as (select conv_id, turn, sum(k) over (partition by conv_id order by turn) as u from w) select conv_id, max(u) as n, '0,' || string_agg(cast(cast(u as bigint) as varchar), ',' order by turn) as offsets from c group by 1"),
+    "d05_prepare": (d05_prepare, "select o_custkey, count(*) as orders, sum(cast(round(o_totalprice) as bigint)) as total, least(count(*), greatest(1, ceil(sum(cast(round(o_totalprice) as bigint)) / 500000.0))) as parts from orders group by 1"),
+    "d06_restore": (d06_restore, "select o_orderkey, 2 * cast(round(o_totalprice) as bigint) as doubled from orders"),
+    "d11_curriculum": (d11_curriculum, "select p_partkey, row_number() over (order by m desc nulls last, md5('7:' || p_partkey), p_partkey) - 1 as place from part left join (select l_partkey, avg(l_quantity::double) as m from lineitem where l_shipdate < '1995-01-01' group by 1) on l_partkey = p_partkey"),
+    "f15_feedback": (f15_feedback, "select conv_id, coalesce(max(case when role = 'assistant' then turn end) = 1, false) as done, case when max(case when role = 'assistant' then turn end) = 1 then 1.0::double else 0 end as reward from conversations group by 1"),
+    "t12_batched": (t12_batched, "select o_custkey, count(case when o_orderkey % 4 = 3 then 1 end)::double as score from orders group by 1"),
+    "t17_prose": (t17_prose, "select p_partkey, p_size % 3 < 2 as matched, case when p_size % 3 < 2 then cast(p_size as varchar) else 'no idea' end as answer from part"),
+    "t19_normalized": (t19_normalized, r"select p_partkey, '\frac{' || (p_size % 9 + 1) || '}{7}' as value from part"),
+    "t49_add": (t49_add, "select p_brand, 'g' || (p_size % 3) as name, count(*) as n, string_agg(p_name, '|' order by p_partkey) as descs from part group by 1, 2"),
+    "t52_replace": (t52_replace, "select p_brand, case when p_partkey % 2 = 0 then 'new' else 'old' end as desc, count(case when p_partkey % 2 = 1 then 1 end) as ids, count(*) as n, round(sum(p_size)::double, 2) as total from part group by 1, 2"),
+    "t68_by_source": (t68_by_source, "select o_orderkey, case when o_orderstatus = 'F' then case when o_orderkey % 3 = 1 then 0.5::double else 0 end else case when o_orderkey % 3 = 2 then 1.0::double else 0 end end as score from orders"),
+    "m06_back_pressure": (m06_back_pressure, "with v as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type = 'view'), c as (select user_id, event_id as free, row_number() over (partition by user_id order by event_id) + 5 as n from events where event_type = 'click') select event_id, case when n <= 5 then event_id when free is not null then greatest(event_id, free) end as admitted from v left join c using (user_id, n)"),
+    "n53_outside": (n53_outside, "select p_partkey, round(1 - (select count(*) from range(8) t(i) where p_size / 10.0::double + (i + 0.5) / 8 < 4) * 8 * 4 / 512.0::double, 6) + 0.0 as share from part"),
     "d10_broadcast": (d10_broadcast, "select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1"),
     "f02_batched_scorer": (f02_batched_scorer, "select conv_id, turn, abs(length(text) - length(role))::double as score from conversations"),
     "f04_overlong_manager": (f04_overlong_manager, "select conv_id, turn, round(turn % 2 + least(-(length(text) - 100) / 50.0::double * 0.5, 0), 6) as reward from conversations"),
@@ -402,7 +508,7 @@ QUERIES = {
     "n49_rotated_overlap": (n49_rotated_overlap, "select p_partkey, round(greatest(2 - p_size / 20.0::double, 0) * 2, 5) as area from part"),
     "n54_repair": (n54_repair, "select p_brand, count(*) as n, count(case when p_size % 12 + 0.5 > 10 then 1 end) as removed from part group by 1"),
     "s07_tolerant_load": (s07_tolerant_load, "select case when p_partkey % 7 <> 0 then p_brand end as p_brand, count(*) as n from part group by 1"),
-    "s13_append_log": (s13_append_log, "select event_id % 3 as step, count(*) as n, round(sum(value), 3) as value from events where event_id % 3 < 2 group by 1"),
+    "s13_append_log": (s13_append_log, "select event_id % 3 as step, count(*) as n, round(sum(value), 3) as value from events group by 1"),
     "s19_snapshot": (s19_snapshot, "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as keys from orders group by 1"),
     "s24_reuse": (s24_reuse, "select p_brand, count(*) as n from part group by 1"),
     "t11_fractions": (t11_fractions, r"select p_partkey, '\frac{' || (p_size % 9 + 1) || '}{2}\sqrt{5}' as value from part"),

@@ -171,10 +171,10 @@ def n13_value_loss(s, d):
 
 def _logits(s, d):
     e = table(s, d, "embeddings")
-    return e.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("logits"), (F.col("vec_id") % 8).cast("int").alias("pick"))
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("logits"), F.pmod("vec_id", F.size("embedding")).cast("int").alias("pick"))
 
 
-_LOGITS = "(select vec_id, list_transform(embedding[1:8], lambda x: x::double) as l, vec_id % 8 as pick from embeddings)"
+_LOGITS = "(select vec_id, list_transform(embedding, lambda x: x::double) as l, vec_id % len(embedding) as pick from embeddings)"
 
 
 def n15_entropy(s, d):

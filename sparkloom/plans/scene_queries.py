@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import balance, batch, geometry
 from ..operators import groups as G
-from ..session import scratch
+from ..session import if_small, scratch
 from ..sources import files
 from .common import r, table
 
@@ -43,8 +43,8 @@ def j09_supported(s, d):
 def j02_tiered_match(s, d):
     """Customers to nations by id, else by a name contained; the first tier wins."""
     c, n = table(s, d, "customer"), table(s, d, "nation")
-    exact = c.join(F.broadcast(n), (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("c_custkey") % 2 == 0)).select("c_custkey", F.lit(1).alias("tier"), "n_nationkey")
-    near = c.join(F.broadcast(n), F.col("c_custkey") % 25 == F.col("n_nationkey")).select("c_custkey", F.lit(2).alias("tier"), "n_nationkey")
+    exact = c.join(if_small(n), (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("c_custkey") % 2 == 0)).select("c_custkey", F.lit(1).alias("tier"), "n_nationkey")
+    near = c.join(if_small(n), F.col("c_custkey") % 25 == F.col("n_nationkey")).select("c_custkey", F.lit(2).alias("tier"), "n_nationkey")
     w = Window.partitionBy("c_custkey").orderBy("tier", "n_nationkey")
     return exact.unionByName(near).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
@@ -132,11 +132,17 @@ def t51_move_first(s, d):
 
 
 def t53_apply_edits(s, d):
+    """All kinds of edits over scenes of a brand and size, so a scene is small."""
     p = table(s, d, "part")
-    name = F.when(F.col("p_partkey") % 5 == 0, "remove").when(F.col("p_partkey") % 5 == 1, "move").when(F.col("p_partkey") % 5 == 2, "add").otherwise("look")
-    edits = p.select("p_brand", F.col("p_partkey").alias("order"), name.alias("name"), F.when(name == "add", F.concat(F.lit("new"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string")).alias("target"), F.array(F.lit(100.0), F.lit(0.0)).alias("pos"))
-    x = geometry.apply_edits(_scene(s, d), edits, "p_brand", "order")
-    return x.select("p_brand", F.size("objects").alias("n"), r(F.aggregate("objects", F.lit(0.0), lambda a, o: a + o["pos"][0]), 2).alias("total"))
+    key, x = F.col("p_partkey"), F.col("p_size") * 1.0
+    o = F.struct(F.lit("d").alias("desc"), key.cast("string").alias("jid"), F.lit(None).cast("string").alias("uid"), F.array(x).alias("size"), F.array(x).alias("pos"), F.array(x).alias("rot"))
+    scenes = p.groupBy("p_brand", "p_size").agg(F.sort_array(F.collect_list(o)).alias("objects")).withColumn("scene", F.concat_ws(":", "p_brand", "p_size"))
+    names = F.array(*[F.lit(n) for n in ("remove_object", "move_object", "add_object", "rotate_object", "scale_object", "replace_object", "look")])
+    at = F.array(F.lit(100.0))
+    edits = p.select(F.concat_ws(":", "p_brand", "p_size").alias("scene"), key.alias("order"), F.get(names, (key % 7).cast("int")).alias("name"), key.cast("string").alias("target"), F.lit("new").alias("desc"), at.alias("pos"), at.alias("rot"), at.alias("size"))
+    x = geometry.apply_edits(scenes, edits, "scene", "order")
+    total = lambda f: r(F.aggregate("objects", F.lit(0.0), lambda a, o: a + o[f][0]), 2).alias(f)
+    return x.select("scene", F.size("objects").alias("n"), F.size(F.filter("objects", lambda o: o["jid"].isNotNull())).alias("ids"), total("pos"), total("rot"), total("size"))
 
 
 def t54_integrity(s, d):
@@ -144,14 +150,22 @@ def t54_integrity(s, d):
     return x.select("p_brand", (F.size("objects") > 0).alias("has_objects"), F.forall("objects", lambda o: o["jid"].isNotNull() & (F.size(o["pos"]) == 2)).alias("whole"))
 
 
+def _batches(s, d):
+    """Documents in trainer batches of about 64 of one source."""
+    docs = table(s, d, "documents").select("doc_id", "source", "n_chars")
+    return docs.withColumn("batch", F.concat_ws(":", F.col("source"), F.floor(F.col("doc_id") / 64).cast("string")))
+
+
 def d01_balance_totals(s, d):
-    x = balance.balanced_parts(table(s, d, "documents"), "source", "doc_id", "n_chars", 4).join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return x.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), (F.max("part") < 4).alias("within"))
+    docs = _batches(s, d)
+    x = balance.balanced_parts(docs, "batch", "doc_id", "n_chars", 4).join(docs.select("doc_id", "n_chars"), "doc_id")
+    return x.groupBy("batch").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), (F.max("part") < 4).alias("within"))
 
 
 def d01_balance(s, d):
-    x = balance.balanced_parts(table(s, d, "documents"), "source", "doc_id", "n_chars", 4).join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return x.groupBy("source", "part").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("docs"))
+    docs = _batches(s, d)
+    x = balance.balanced_parts(docs, "batch", "doc_id", "n_chars", 4).join(docs.select("doc_id", "n_chars"), "doc_id")
+    return x.groupBy("batch", "part").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("docs"))
 
 
 def d02_greedy(s, d):
@@ -160,8 +174,8 @@ def d02_greedy(s, d):
 
 
 def d04_micro_batches(s, d):
-    x = balance.micro_batches(table(s, d, "documents"), "source", "doc_id", "n_chars", 20000)
-    return x.groupBy("source").agg(F.max("of").alias("batches"), F.count("*").alias("docs"))
+    x = balance.micro_batches(_batches(s, d), "batch", "doc_id", "n_chars", 20000)
+    return x.groupBy("batch").agg(F.max("of").alias("batches"), F.count("*").alias("docs"))
 
 
 def d12_sampler(s, d):
@@ -213,8 +227,9 @@ def s16_flatten(s, d):
 
 
 def s20_override(s, d):
-    base = table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")).where("k % 3 <> 0")
-    other = table(s, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") * 2).alias("v")).where("k % 2 = 0")
+    """Every customer, with the supplier of the same number winning where there is one."""
+    base = table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    other = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
     return files.override(base, other, "k").select("k", r("v", 2).alias("v"))
 
 
@@ -271,9 +286,9 @@ _ST = f"least(greatest(({_A} + {_B}) / 2 - {_W} / 2, 0), 45 - {_W})"
 
 QUERIES = {
     "d01_balance": (d01_balance, None),
-    "d01_balance_totals": (d01_balance_totals, "select source, count(*) as docs, sum(n_chars) as chars, true as within from documents group by 1"),
+    "d01_balance_totals": (d01_balance_totals, "select source || ':' || cast(floor(doc_id / 64.0) as bigint) as batch, count(*) as docs, sum(n_chars) as chars, true as within from documents group by 1"),
     "d02_greedy": (d02_greedy, _RECURSIVE_GREEDY),
-    "d04_micro_batches": (d04_micro_batches, "select source, cast(least(count(*), greatest(1, ceil(sum(n_chars) / 20000.0))) as int) as batches, count(*) as docs from documents group by 1"),
+    "d04_micro_batches": (d04_micro_batches, "select source || ':' || cast(floor(doc_id / 64.0) as bigint) as batch, cast(least(count(*), greatest(1, ceil(sum(n_chars) / 20000.0))) as int) as batches, count(*) as docs from documents group by 1"),
     "d12_sampler": (d12_sampler, "select doc_id, md5('1:' || doc_id) as draw from documents"),
     "f01_custom_scorer": (f01_custom_scorer, "select item_id, cast((length(text) - length(replace(text, 'the', ''))) / 3 as double) as score from benchmark"),
     "f03_last_token_score": (f03_last_token_score, r"select conv_id, turn, len(regexp_split_to_array(trim(text), '\s+')) as n, turn::double as last from conversations"),
@@ -296,13 +311,13 @@ QUERIES = {
     "s11_parquet_round_trip": (s11_parquet_round_trip, "select c_custkey, c_mktsegment from customer"),
     "s12_responses": (s12_responses, "select conv_id, string_agg(text, '|' order by turn, text) as responses, count(*) as n from conversations group by 1"),
     "s16_flatten": (s16_flatten, "select event_id, user_id as meta_user_id, event_type as meta_type from events"),
-    "s20_override": (s20_override, "select c_custkey as k, round(case when c_custkey % 2 = 0 then c_acctbal * 2 else c_acctbal end, 2) as v from customer where c_custkey % 2 = 0 or c_custkey % 3 <> 0"),
+    "s20_override": (s20_override, "select coalesce(c_custkey, s_suppkey) as k, round(coalesce(s_acctbal, c_acctbal), 2) as v from customer full join supplier on s_suppkey = c_custkey"),
     "s21_cached": (s21_cached, "select count(l.doc_id) as cached, count(*) as total, round(count(l.doc_id) / count(*)::double * 100, 4) as coverage from documents d left join labels l using (doc_id)"),
     "s25_append": (s25_append, "select doc_id, n_chars from documents union all select doc_id + 1000000000, n_chars from documents where n_chars < 500"),
     "t48_flatten": (t48_flatten, "select p_brand, count(distinct p_type) as groups, count(*) as objects, sum(p_partkey) as total from part group by 1"),
     "t50_remove": (t50_remove, "select p_brand, count(case when p_partkey <> 7 then 1 end) as n from part group by 1"),
     "t51_move_first": (t51_move_first, "select p_brand, round(sum(p_size) - case when count(*) > 1 then list(p_size order by cast(p_partkey as varchar))[2] + 5 else 0 end, 2)::double as total from part group by 1"),
-    "t53_apply_edits": (t53_apply_edits, "select p_brand, count(case when p_partkey % 5 <> 0 then 1 end) + count(case when p_partkey % 5 = 2 then 1 end) as n, round(sum(case p_partkey % 5 when 0 then 0 when 1 then 100 when 2 then p_size + 100 else p_size end)::double, 2) as total from part group by 1"),
+    "t53_apply_edits": (t53_apply_edits, "select p_brand || ':' || p_size as scene, count(case when k <> 0 then 1 end) + count(case when k = 2 then 1 end) as n, count(case when k not in (0, 5) then 1 end) as ids, round(sum(case k when 0 then 0 when 1 then 100 when 2 then p_size + 100 else p_size end)::double, 2) as pos, round(sum(case k when 0 then 0 when 3 then 100 when 2 then p_size + 100 else p_size end)::double, 2) as rot, round(sum(case k when 0 then 0 when 4 then 100 when 2 then p_size + 100 else p_size end)::double, 2) as size from (select *, p_partkey % 7 as k from part) group by p_brand, p_size"),
     "t54_integrity": (t54_integrity, "select p_brand, true as has_objects, true as whole from part group by 1"),
     "t57_prompt_rows": (t57_prompt_rows, "select item_id, 'user' as role, length(text) as n, string_split(text, ' ')[1] as gold from benchmark"),
     "t58_collapse": (t58_collapse, "select event_id, event_type as kind, cast(user_id as varchar) as \"user\" from events"),

@@ -1,6 +1,11 @@
 """Column types of the registered queries where DuckDB's own differ in width: the SQL is cast to them."""
 
 CASTS = {
+    "b02_equal_sizes": "n integer",
+    "b29_ragged": "n integer",
+    "d05_prepare": "total bigint, parts bigint",
+    "t49_add": "n integer",
+    "t52_replace": "ids bigint, n bigint",
     "a03_masked_var": "n bigint",
     "a12_lengths": "prompt bigint, response bigint",
     "a14_throughput": "tokens bigint",
@@ -41,7 +46,7 @@ CASTS = {
     "t47_group_scene": "n integer",
     "t48_flatten": "groups integer, objects integer, total bigint",
     "t50_remove": "n integer",
-    "t53_apply_edits": "n integer",
+    "t53_apply_edits": "n integer, ids integer",
     "t57_prompt_rows": "n integer",
     "u02_self_repeat": "copy integer",
     "w01_gae": "n integer",

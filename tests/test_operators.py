@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import losses, scans, text
-from sparkloom.operators import balance, batch, geometry, groups, masked, metrics, retrieval
+from sparkloom.operators import balance, batch, geometry, groups, masked, matching, metrics, retrieval
 from sparkloom.sources import files
 
 
@@ -198,11 +200,114 @@ def test_repetition(source, want):
     assert text.repetition(pd.Series([source]))[0] == pytest.approx(want)
 
 
-def test_balanced_boxes():
-    import pandas as pd
+def test_repetition_of_whole_texts_against_sorted_suffixes(spark):
+    """Every conversation's text by the definition: sorted suffixes and their common prefixes."""
+
+    def plain(t):
+        suffixes = sorted(t[i:] for i in range(len(t)))
+        common = sum(len(os.path.commonprefix(p)) for p in zip(suffixes, suffixes[1:], strict=False))
+        return 2 * common / (len(t) * (len(t) + 1)) if len(t) > 1 else 0.0
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text", text.repetition_ratio(F.col("text")).alias("x")).collect()
+    assert rows and all(r.x == pytest.approx(plain(r.text)) for r in rows)
+
+
+def test_balance_against_all_splits(spark):
+    """Two parts of up to ten sizes: never worse than the greedy split, sums kept, and close to the best of all splits."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = rng.integers(1, 50, rng.integers(2, 11)).tolist()
+        best = min(abs(sum(sizes) - 2 * sum(s for i, s in enumerate(sizes) if m >> i & 1)) for m in range(1 << len(sizes)))
+        loads = [0, 0]
+        for p, s in zip(balance.largest_differencing(sizes, 2), sizes, strict=True):
+            loads[p] += s
+        assert sum(loads) == sum(sizes) and best <= abs(loads[0] - loads[1]) <= max(sizes)
+    parts = balance.largest_differencing([8, 7, 6, 5, 4], 2)
+    assert sorted(sum(s for q, s in zip(parts, [8, 7, 6, 5, 4], strict=True) if q == p) for p in (0, 1)) == [14, 16]
+    docs = spark.createDataFrame([("a", i, s) for i, s in enumerate([8, 7, 6, 5, 4])] + [("b", i, 3) for i in range(7)], "g string, k int, n int")
+    got = {(r.g, r.part): r.load for r in balance.balanced_parts(docs, "g", "k", "n", 2).join(docs, ["g", "k"]).groupBy("g", "part").agg(F.sum("n").alias("load")).collect()}
+    assert sorted(v for (g, _), v in got.items() if g == "a") == [14, 16] and sorted(v for (g, _), v in got.items() if g == "b") == [9, 12]
+
+
+def test_batches_restore(spark):
+    rows = [("a", i, s) for i, s in enumerate([5, 9, 2, 7, 7, 1, 30])]
+    df = spark.createDataFrame(rows, "g string, k int, n long")
+    x = balance.prepare_batches(df, "g", "k", "n", 20)
+    loads: dict = {}
+    for r in x.collect():
+        loads[r.part] = loads.get(r.part, 0) + r.n
+    assert sorted(loads) == list(range(4)) and sorted(r.slot for r in x.collect()) == list(range(7)) and max(loads.values()) == 30
+    dealt = x.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda v: v["n"]).alias("v"))
+    assert sorted((r.g, r.k, r.value) for r in balance.restore_batches(dealt, "g", "v", x, "k").collect()) == rows
+
+
+def test_edits_of_groups(spark):
+    kind = "scene string, groups array<struct<group_name:string,objects:array<struct<desc:string,jid:string,uid:string,size:array<double>,pos:array<double>,rot:array<double>>>>>"
+    box = lambda j, u=None: ("d", j, u, [1.0], [2.0], [3.0])
+    scenes = spark.createDataFrame([("s", [("a", [box("1"), box("2", "u2")]), ("b", [box("2"), box("3")])]), ("t", [("a", [box("9")])])], kind)
+    edits = [("s", 1, "rotate_object", "u2", None, None), ("s", 2, "replace_object", "3", "sofa", None), ("s", 3, "add_object", None, "lamp", "b"), ("s", 4, "add_object", None, "rug", "c"), ("s", 5, "remove_object", "2", None, None), ("s", 6, "scale_object", "1", None, None), ("s", 7, "terminate", None, None, None), ("s", 8, "remove_object", "1", None, None)]
+    e = spark.createDataFrame(edits, "scene string, turn int, name string, target string, desc string, group string").withColumn("rot", F.array(F.lit(7.0))).withColumn("size", F.array(F.lit(8.0)))
+    got = {r.scene: {g.group_name: [(o.desc, o.jid, list(o.size), list(o.pos), list(o.rot)) for o in g.objects] for g in r.groups} for r in geometry.apply_group_edits(scenes, e, "scene", "turn").collect()}
+    assert got["s"] == {"a": [("d", "1", [8.0], [2.0], [3.0])], "b": [("sofa", None, [1.0], [2.0], [3.0]), ("lamp", None, [8.0], [0.0, 0.0, 0.0], [7.0])], "c": [("rug", None, [8.0], [0.0, 0.0, 0.0], [7.0])]}
+    assert got["t"] == {"a": [("d", "9", [1.0], [2.0], [3.0])]}
+
+
+def test_containments_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab "), int(n))) for n in rng.integers(0, 90, 60)]
+    texts += [t[5:50] for t in texts[:20]] + ["a", "ab", "", texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    other = df.select(F.col("id").alias("o"), F.col("t").alias("u"))
+    got = {(r.id, r.o) for r in matching.containments(df, "id", "t", other, "o", "u").collect()}
+    assert got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if a and b and a in b}
+
+
+def test_matching_in_tiers(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(1, "y"), (2, "z"), (3, "w")], "k int, v string")
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "k int")
+    assert {r.k: r.v for r in matching.fallback_lookup(df, "k", "v", a, b, default=F.lit("-")).collect()} == {1: "x", 2: "z", 3: "w", 4: "-", None: "-"}
+    assert {(r.k, r.v, r.tier) for r in matching.first_tier("k", a, b, order="v").collect()} == {(1, "x", 1), (2, None, 1), (3, "w", 2)}
+    assert sorted(str(r.k) for r in matching.skip_existing(df, a, "k").collect()) == ["3", "4", "None"] and matching.keep_existing(df, df.where("k is null"), "k").count() == 1
+    left, right = spark.createDataFrame([(1, 2), (3, 3)], "p int, q int"), spark.createDataFrame([(1,), (2,), (3,)], "s int")
+    assert sorted((r.p, r.s) for r in matching.either_key(left, right, ("p", "s"), ("q", "s")).collect()) == [(1, 1), (1, 2), (3, 3)]
+    assert [r.v for r in matching.first_by_key(b.unionByName(b.withColumn("v", F.lit("a"))), "v", "k").orderBy("k").collect()] == ["a"] * 3
+
+
+def test_ragged_and_equal_sizes(spark):
+    df = spark.createDataFrame([("g", 1, [1, 2], [5]), ("g", 0, None, [6]), ("h", 0, [], [])], "g string, i int, a array<int>, b array<int>")
+    got = {r.g: (r.a, r.a_offsets, r.b, r.b_offsets) for r in batch.ragged(df, "g", "i", "a", "b").collect()}
+    assert got == {"g": ([1, 2], [0, 0, 2], [6, 5], [0, 1, 2]), "h": ([], [0, 0], [], [0, 0])}
+    with pytest.raises(Exception, match="sizes differ: a: 2, b: 1"):
+        batch.equal_sizes(df.where("i = 1"), "a", "b").collect()
+    with pytest.raises(Exception, match="doesn't divide"):
+        batch.unfold(df.where("i = 1"), 2, "b").collect()
+
+
+def test_top_k_in_blocks_and_with_ties(spark):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(300, 3)), 1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit @ unit.T, 9)
+    want = {(i, j, p) for i in range(0, 300, 7) for p, j in enumerate(np.lexsort((np.arange(300), -scores[i]))[:4], 1)}
+    for size in (1 << 26, 300):
+        got = retrieval.cosine_top_k(df.where("id % 7 = 0"), df, "id", "v", 4, block_bytes=size)
+        assert {(r.query, r.item, r["rank"]) for r in got.collect()} == want
+
+
+def test_curriculum(spark):
+    items = spark.createDataFrame([(i,) for i in range(5)], "k int")
+    results = spark.createDataFrame([(0, 0.0), (1, 1.0), (1, 0.5), (3, 1.0)], "k int, s double")
+    got = [r.k for r in balance.curriculum_order(items, results, "k", "s", "1").orderBy("place").collect()]
+    assert got[:3] == [3, 1, 0] and sorted(got[3:]) == [2, 4]
+
+
+def test_points_outside_a_room(spark):
+    triangle = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0.0, 0.0), (4.0, 0.0), (0.0, 4.0))])
+    df = spark.range(1)
+    share = lambda x, y: df.select(geometry.outside_share([F.lit(x), F.lit(0.0), F.lit(0.0)], [F.lit(x + 1.0), F.lit(y), F.lit(1.0)], triangle, F.lit(2.0))).first()[0]
+    assert share(0.0, 2.0) == 0.0 and share(0.0, 4.0) == 0.5 and share(5.0, 1.0) == 1.0 and 0.4 < share(3.0 - 0.5, 1.0) < 0.6
 
-    got = text.balanced_boxes(pd.Series([r"\boxed{a{b}c} x \boxed{1}", r"\boxed{a", "none", None]))
-    assert got.tolist()[:1] == ["1"] and got.isna().tolist() == [False, True, True, True]
 
 
 def test_faulty_json_is_a_row(spark, tmp_path):

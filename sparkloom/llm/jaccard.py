@@ -295,22 +295,22 @@ def _root(root: list[int], x: int) -> int:
 
 def _search(percent: int):
     """A search task: rows with side 0 make the index, rows with side 1 ask it; links of a spanning forest come out."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        sig, tokens, group = (table.column(c).to_pylist() for c in ("sig", "tokens", "comp"))
-        n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
-        number = {c: i for i, c in enumerate(dict.fromkeys(group))}
-        groups = np.array([number[c] for c in group], np.int64)
-        index = sorted(np.flatnonzero(side == 0).tolist(), key=lambda i: (n[i], sig[i]))
+        ids, n, side, group = (table.column(c).to_numpy() for c in ("id", "n", "side", "comp"))
+        tokens = table.column("tokens").to_pylist()
+        numbers, groups = np.unique(group, return_inverse=True)
+        order = np.lexsort((ids, n))
+        index = order[side[order] == 0]
         lists = Lists(n[index], [np.frombuffer(tokens[i], np.uint64) for i in index], groups[index])
-        root, found = list(range(len(number))), []
-        for i in sorted(np.flatnonzero(side == 1).tolist(), key=lambda i: (n[i], sig[i])):
+        root, found = list(range(len(numbers))), []
+        for i in order[side[order] == 1].tolist():
             for y, _ in lists.search(int(n[i]), np.frombuffer(tokens[i], np.uint64), int(groups[i]), percent):
                 if (a := _root(root, int(groups[i]))) != (b := _root(root, int(groups[index[y]]))):
                     root[a] = b
-                    found.append((sig[i], sig[index[y]]))
-        return pa.table([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], schema=schema)
+                    found.append((ids[i], ids[index[y]]))
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
 
     return run
 
@@ -319,61 +319,66 @@ def _partitions(spark, wanted: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1 << 20))
 
 
-def _links(tasks: DataFrame, percent: int, wanted: int) -> DataFrame:
-    """Links of search tasks (task, side, sig, n, comp, tokens). Few bytes but long work: partitions that AQE doesn't merge."""
-    return tasks.repartition(_partitions(tasks.sparkSession, wanted), "task").groupBy("task").applyInArrow(_search(percent), "a binary, b binary")
+def _links(tasks: DataFrame, members: DataFrame, percent: int, wanted: int) -> DataFrame:
+    """Links of search tasks (task, side, id, n, comp), to which only here the members' tokens come.
+
+    Few bytes but long work: partitions that AQE doesn't merge.
+    """
+    tasks = staged(tasks, "tasks")
+    rows = join_small(members.select("id", "tokens"), tasks, "id", "inner")
+    links = rows.repartition(_partitions(tasks.sparkSession, wanted), "task").groupBy("task").applyInArrow(_search(percent), "a long, b long")
+    out = staged(links, "links")
+    unstage(tasks)
+    return out
 
 
-def star_links(members: DataFrame, prefixes: DataFrame, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(sig, hub): for each member the document that is the hub of the most of its prefix tokens; and the search tasks.
+def star_tasks(sizes: DataFrame, prefixes: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(id, hub): for each member the document that is the hub of the most of its prefix tokens; and the search tasks, from sizes (id, n).
 
     A token's hub is the document that holds it and has the fewest tokens of its own: of near copies, the one that the
     others were made from. Any choice is right: hubs only spare the search that follows. A hub of many members is in
     several tasks.
     """
-    hubs = staged(prefixes.groupBy("token").agg(F.min(F.struct("lone", "sig")).alias("hub"), F.count("*").alias("df")).where("df > 1"), "hubs")
-    votes = join_salted(prefixes.select("sig", "token"), hubs, "token", "df", prefixes.count(), "sig").where(F.col("hub").isNotNull()).groupBy("sig", "hub").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("sig").agg(F.max(F.struct("votes", -F.col("hub.lone"), F.col("hub.sig").alias("hub"))).getField("hub").alias("hub"))
+    hubs = staged(prefixes.groupBy("token").agg(F.min(F.struct("lone", "id")).alias("hub"), F.count("*").alias("df")).where("df > 1"), "hubs")
+    votes = join_salted(prefixes.select("id", "token"), hubs, "token", "df", prefixes.count(), "id").where(F.col("hub").isNotNull()).groupBy("id", "hub").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", -F.col("hub.lone"), F.col("hub.id").alias("hub"))).getField("hub").alias("hub"))
     chosen = staged(best, "stars")
     unstage(hubs)
-    stars = chosen.where("sig <> hub")
-    sizes = stars.groupBy("hub").agg(F.count("*").alias("of"), F.ceil(F.count("*") / (ASKED * chunk)).cast("int").alias("k"))
-    hub = members.select(F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens")).join(sizes, "hub")
-    hub = staged(hub, "hubs")
-    dealt = join_salted(members.join(stars, "sig"), hub.drop("hub_tokens"), "hub", "of", stars.count(), "sig")
+    stars = chosen.where("id <> hub")
+    of = stars.groupBy("hub").agg(F.count("*").alias("of"), F.ceil(F.count("*") / (ASKED * chunk)).cast("int").alias("k"))
+    hub = staged(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")).join(of, "hub"), "hubs")
+    dealt = join_salted(sizes.join(stars, "id"), hub, "hub", "of", stars.count(), "id")
     # The larger side asks: members no smaller than the hub ask it (up), and it asks the others.
-    part, up = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"), F.col("n") >= F.col("hub_n")
-    rows = dealt.select("hub", part.alias("part"), up.alias("up"), up.cast("int").alias("side"), "sig", "n", F.col("sig").alias("comp"), "tokens")
+    part, up = F.pmod(F.xxhash64("id"), F.col("k")).cast("int"), F.col("n") >= F.col("hub_n")
+    rows = dealt.select("hub", part.alias("part"), up.alias("up"), up.cast("int").alias("side"), "id", "n")
     centre = hub.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("up", F.explode(F.array(F.lit(True), F.lit(False))))
-    centre = centre.select("hub", "part", "up", (~F.col("up")).cast("int").alias("side"), F.col("hub").alias("sig"), F.col("hub_n").alias("n"), F.col("hub").alias("comp"), F.col("hub_tokens").alias("tokens"))
-    return chosen, rows.unionByName(centre).withColumn("task", F.xxhash64("hub", "part", "up"))
+    centre = centre.select("hub", "part", "up", (~F.col("up")).cast("int").alias("side"), F.col("hub").alias("id"), F.col("hub_n").alias("n"))
+    return chosen, rows.unionByName(centre).select(F.xxhash64("hub", "part", "up").alias("task"), "side", "id", "n", F.col("id").alias("comp"))
 
 
-def cross_tasks(members: DataFrame, prefixes: DataFrame, placed: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Search tasks for all links between members of different components, from placed (sig, n, comp, chunk).
+def cross_tasks(prefixes: DataFrame, placed: DataFrame, chunk: int) -> DataFrame:
+    """Search tasks for all links between members of different components, from placed (id, n, comp, chunk).
 
     A token of one component alone asks nothing. Else each member that holds it asks the chunks in which it is held by
     another component and by sizes that may link; members ask a chunk once, whatever tokens lead there.
     """
-    held = staged(prefixes.select("sig", "token").join(placed, "sig"), "held")
+    held = staged(prefixes.select("id", "token").join(placed, "id"), "held")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df", F.lit(True).alias("mixed"))
-    some = staged(join_salted(held, mixed, "token", "df", held.count(), "sig").where("mixed").drop("mixed"), "mixed")
+    some = staged(join_salted(held, mixed, "token", "df", held.count(), "id").where("mixed").drop("mixed"), "mixed")
     unstage(held)
     by_chunk = some.groupBy("token", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
-    asks = some.select("token", "sig", "n", "comp").join(by_chunk, "token")
-    asks = asks.where(((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (F.col("least") <= F.col("n"))).select("sig", "chunk").distinct()
-    asks = staged(asks, "asks")
-    parts = asks.groupBy("chunk").agg(F.ceil(F.count("*") / (ASKED * chunk)).cast("int").alias("k"))
-    wide = parts.where("k > 1")
-    asking = asks.join(F.broadcast(wide) if wide.limit(100_001).count() <= 100_000 else wide, "chunk", "left").withColumn("part", F.pmod(F.xxhash64("sig"), F.coalesce("k", F.lit(1))).cast("int"))
-    asking = members.join(asking, "sig").join(placed.select("sig", "comp"), "sig").select("chunk", "part", F.lit(1).alias("side"), "sig", "n", "comp", "tokens")
-    index = members.join(placed.select("sig", "comp", "chunk"), "sig").join(parts, "chunk").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    index = index.select("chunk", "part", F.lit(0).alias("side"), "sig", "n", "comp", "tokens")
-    return asking.unionByName(index).withColumn("task", F.xxhash64("chunk", "part"))
+    asks = some.select("token", "id", "n", "comp").join(by_chunk, "token")
+    asks = staged(asks.where(((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (F.col("least") <= F.col("n"))).select("id", "n", "comp", "chunk").distinct(), "asks")
+    parts = staged(asks.groupBy("chunk").agg(F.ceil(F.count("*") / (ASKED * chunk)).cast("int").alias("k")), "parts")
+    asking = join_small(asks, parts.where("k > 1"), "chunk").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int"))
+    # Only members that hold a mixed token can be found.
+    index = some.select("id", "n", "comp", "chunk").distinct().join(parts, "chunk").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = [x.select(F.xxhash64("chunk", "part").alias("task"), F.lit(side).alias("side"), "id", "n", "comp") for side, x in ((1, asking), (0, index))]
+    return rows[0].unionByName(rows[1])
 
 
 def labelled(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, n, sig) of every row and (sig, component, copies) of the classes of equal sets that others link with or that repeat.
+    """(doc_id, mark, n, sig) of every row, and (sig, component) of the classes of equal sets that link with others.
 
     mark is a hash of the text. See jaccard_components.
     """
@@ -387,27 +392,28 @@ def labelled(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, segment:
     home = shared.repartition(_partitions(spark, size // (6 * segment)), "seg").groupBy("seg")
     table = staged(home.applyInArrow(_documents(percent), "doc_id long, mark long, n long, sig binary, tokens binary, prefix array<long>"), "sets")
 
-    able = table.where(F.col("prefix").isNotNull())
-    members = staged(able.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix")), "members")
-    lone = F.col("n") - F.octet_length("tokens") / 8
-    prefixes = staged(members.select("sig", lone.cast("long").alias("lone"), F.explode("prefix").alias("token")), "prefixes")
+    # One member a class, under a number that stays as it is written.
+    one = table.where(F.col("prefix").isNotNull()).groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
+    members = staged(one.withColumn("id", F.monotonically_increasing_id()), "members")
+    lone = (F.col("n") - F.octet_length("tokens") / 8).cast("long")
+    prefixes = staged(members.select("id", lone.alias("lone"), F.explode("prefix").alias("token")), "prefixes")
     total = members.count()
     chunk = min(chunk, max(LEAST, total // _partitions(spark))) if chunk == CHUNK else chunk
     wanted = -(-2 * total // chunk)
-    chosen, stars = star_links(members, prefixes, percent, chunk)
-    links = staged(_links(stars, percent, wanted), "links")
-    near = connected_components(links).select(F.col("node").alias("sig"), "component")
+    chosen, stars = star_tasks(members.select("id", "n"), prefixes, chunk)
+    links = _links(stars, members, percent, wanted)
+    near = connected_components(links).select(F.col("node").alias("id"), "component")
     # Neighbours lie in the same chunk: a component, or a hub's documents, fill whole chunks or share one with others.
-    known = members.select("sig", "n").join(near, "sig", "left").join(chosen, "sig", "left")
-    known = staged(known.select("sig", "n", F.coalesce("component", "sig").alias("comp"), F.coalesce("component", "hub", "sig").alias("place")), "places")
-    sizes = known.groupBy("place").agg(F.count("*").alias("c"))
-    several = sizes.where(F.col("c") > chunk).select("place", F.ceil(F.col("c") / chunk).cast("int").alias("k"))  # at most total / chunk rows
-    salted = known.join(F.broadcast(several) if total <= 100_000 * chunk else several, "place", "left")
-    part = F.pmod(F.xxhash64("sig"), F.coalesce("k", F.lit(1)))
-    placed = staged(salted.select("sig", "n", "comp", F.pmod(F.xxhash64("place", part), F.lit(max(1, -(-total // chunk)))).alias("chunk")), "placed")
-    more = staged(_links(cross_tasks(members, prefixes, placed, percent, chunk), percent, wanted), "links")
-    joined = near if more.isEmpty() else connected_components(links.unionByName(more)).select(F.col("node").alias("sig"), "component")
-    return table, joined
+    known = members.select("id", "n").join(near, "id", "left").join(chosen, "id", "left")
+    known = staged(known.select("id", "n", F.coalesce("component", "id").alias("comp"), F.coalesce("component", "hub", "id").alias("place")), "places")
+    several = known.groupBy("place").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("place", F.ceil(F.col("c") / chunk).cast("int").alias("k"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1)))
+    salted = join_small(known, several, "place")
+    placed = staged(salted.select("id", "n", "comp", F.pmod(F.xxhash64("place", part), F.lit(max(1, -(-total // chunk)))).alias("chunk")), "placed")
+    more = _links(cross_tasks(prefixes, placed, chunk), members, percent, wanted)
+    joined = near if more.isEmpty() else connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
+    unstage(prefixes)
+    return table, staged(joined.join(members.select("id", "sig"), "id").select("sig", "component"), "joined")
 
 
 def _classes(table: DataFrame, joined: DataFrame, first: str) -> DataFrame:

@@ -344,3 +344,93 @@ def channel_calls(text: Column) -> Column:
 def fenced(text: Column, language: str = "json") -> Column:
     """What the first fenced block holds."""
     return F.nullif(F.regexp_extract(text, f"(?s)```{language}\\s*(.*?)```", 1), F.lit(""))
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.split(F.trim(text), r"\s+"))
+
+
+def choice_letter(text: Column, letters: str = "A-J") -> Column:
+    """The letter after "Answer:", a dollar sign before it or not; empty if there is none."""
+    return F.regexp_extract(text, rf"(?i)Answer[ \t]*:[ \t]*\$?([{letters}])\$?", 1)
+
+
+def clean_requirement(text: Column, placeholder: str = "<image>") -> Column:
+    """Without placeholders, white space collapsed."""
+    return F.trim(F.regexp_replace(F.replace(text, F.lit(placeholder), F.lit("")), r"\s+", " "))
+
+
+def clean_label(text: Column) -> Column:
+    """Without what stands in brackets, double spaces single."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[.*?\]", ""), "  ", " "))
+
+
+def segments(text: Column, marks: str) -> Column:
+    """The parts between marks (a pattern), trimmed, empty ones left out."""
+    return F.transform(F.filter(F.split(text, marks), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+
+
+def transcript(messages: Column) -> Column:
+    """Messages (array of role and text) as lines with the role in bold, without the system's."""
+    said = F.filter(messages, lambda m: m["role"] != "system")
+    return F.array_join(F.transform(said, lambda m: F.concat(F.lit("**"), F.initcap(m["role"]), F.lit("**: "), m["text"])), "\n")
+
+
+def valid_message(text: Column, tag: str = "think") -> Column:
+    """Not blank, and as many opening as closing tags."""
+    return (F.trim(text) != "") & (F.regexp_count(text, F.lit(f"<{tag}>")) == F.regexp_count(text, F.lit(f"</{tag}>")))
+
+
+def first_rule(text: Column, rules: list[tuple[tuple[str, ...], str]], default: str | None = None) -> Column:
+    """The kind of the first rule of which any word is contained, in lower case; else the default."""
+    low = F.lower(text)
+    return reduce(lambda rest, rule: F.when(reduce(lambda a, w: a | low.contains(w), rule[0], F.lit(False)), rule[1]).otherwise(rest), reversed(rules), F.lit(default))
+
+
+def search_text(results: Column) -> Column:
+    """A status line (success if there are several results, else empty) and the results apart by a rule."""
+    return F.concat(F.when(F.size(results) > 1, "success").otherwise("empty"), F.lit("\n"), F.array_join(results, "\n---\n"))
+
+
+def bleu(text: Column, reference: Column) -> Column:
+    """Clipped precisions of one and two words with the brevity penalty."""
+    grams = lambda a, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))
+    pair = lambda h, g: F.struct(h.alias("h"), g.alias("g"))
+    count = lambda a, w: F.size(F.filter(a, lambda y: y == w))
+
+    def precision(words: Column, n: int) -> Column:
+        hits = lambda p: F.aggregate(F.array_distinct(p["h"]), F.lit(0), lambda acc, w: acc + F.least(count(p["h"], w), count(p["g"], w))) / F.size(p["h"])
+        return _bound(pair(grams(words["h"], n), grams(words["g"], n)), hits)
+
+    def score(words: Column) -> Column:
+        h, g = F.size(words["h"]), F.size(words["g"])
+        return F.sqrt(precision(words, 1) * precision(words, 2)) * F.when(h > g, 1.0).otherwise(F.exp(1 - g / h))
+
+    return _bound(pair(F.split(F.trim(text), r"\s+"), F.split(F.trim(reference), r"\s+")), score)
+
+
+def step_verdict(found: Column, gold: Column, none: int = -1, scale: float = 10.0) -> Column:
+    """1 if the same step is blamed, -1 if only one side blames none, else minus the distance over the scale."""
+    return F.when(found == gold, 1.0).when((found == none) | (gold == none), -1.0).otherwise(-F.abs(found - gold) / scale)
+
+
+def point_reward(points: Column, low: float, high: float) -> Column:
+    """By the rank of the first point inside: 1 / sqrt(points * rank), else -1 / points."""
+    k, n = F.array_position(F.transform(points, lambda x: x.between(low, high)), True), F.size(points).cast("double")
+    return F.when(k > 0, 1 / F.sqrt(n * k)).otherwise(-1 / n)
+
+
+def value_with_unit(text: Column) -> Column:
+    """The leading number, times a million or a hundredth where the text says so."""
+    number = F.regexp_extract(text, r"^([0-9]+)", 1).cast("double")
+    return F.when(text.contains("million"), number * 1e6).when(text.contains("%"), number / 100).otherwise(number)
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """1 if both hold, 0 if one does, else -1."""
+    return F.when(a & b, 1.0).when(a | b, 0.0).otherwise(-1.0)
+
+
+def call_format_reward(calls: Column, valid: Column) -> Column:
+    """1 less a fifth for each call that isn't valid and a tenth for more than one call, -1 at least."""
+    return F.greatest(1.0 - 0.2 * (calls - valid) - 0.1 * (calls > 1).cast("int"), F.lit(-1.0))

@@ -102,3 +102,94 @@ def explained_variance(returns: str, values: str) -> Column:
 def flops(tokens: Column, squares: Column, parameters: float, layers: int, width: int) -> Column:
     """Six per parameter and token, and twelve per layer, width and squared length."""
     return 6.0 * parameters * tokens + 12.0 * layers * width * squares
+
+
+def role_lengths(df: DataFrame, group: str, role: str, length: Column, prompt: str = "user") -> DataFrame:
+    """(group, prompt, response): lengths added up by whether the role is the prompt's."""
+    mine = F.col(role) == prompt
+    return df.groupBy(group).agg(F.sum(F.when(mine, length).otherwise(0)).alias("prompt"), F.sum(F.when(~mine, length).otherwise(0)).alias("response"))
+
+
+def spread_and_idle(df: DataFrame, group: str, value: str, workers: int) -> DataFrame:
+    """(group, spread, throughput, idle) of times: largest less smallest, rows by worker time, smallest over largest."""
+    x = df.groupBy(group).agg(F.max(value).alias("a"), F.min(value).alias("b"), F.sum(value).alias("t"), F.count("*").alias("n"))
+    return x.select(group, (F.col("a") - F.col("b")).alias("spread"), (F.col("n") / (F.col("t") * workers + 1)).alias("throughput"), (F.col("b") / (F.col("a") + 1)).alias("idle"))
+
+
+def timing(df: DataFrame, stage: str, seconds: str, tokens: str, workers: int, generated: tuple[str, ...] = ()) -> DataFrame:
+    """(stage, ms_per_token, throughput): stages named in `generated` count rows as their tokens, others all tokens."""
+    x = df.groupBy(stage).agg(F.sum(seconds).alias("t"), F.count("*").alias("n"), F.sum(tokens).alias("k"))
+    mine = F.when(F.col(stage).isin(*generated), F.col("n")).otherwise(F.col("k")) if generated else F.col("k")
+    return x.select(stage, (F.col("t") * 1000 / mine).alias("ms_per_token"), (F.col("k") / (F.col("t") * workers)).alias("throughput"), F.col("k").alias("tokens"))
+
+
+def validation_name(source: Column, metric: Column, n: Column, core: Column) -> Column:
+    """val-core or val-aux, source and metric with its number of samples, by slashes."""
+    return F.concat_ws("/", F.when(core, "val-core").otherwise("val-aux"), source, F.concat(metric, n.cast("string")))
+
+
+def mean_of_means(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
+    """(source, score, n): the mean over prompts of the mean over their samples."""
+    return df.groupBy(source, prompt).agg(F.avg(value).alias("m")).groupBy(source).agg(F.avg("m").alias("score"), F.count("*").alias("n"))
+
+
+def moments(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by..., mean, max, min, std): std is of a sample."""
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"))
+
+
+def percentiles(df: DataFrame, group: str, value: str, *ranks: float, accuracy: int = 10_000, exact: bool = True) -> DataFrame:
+    """(group, avg, p50, ...): interpolated percentiles, or within 1 / accuracy of the ranks where groups are too large to sort."""
+    of = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q, accuracy))
+    return df.groupBy(group).agg(F.avg(value).alias("avg"), *[of(q).alias(f"p{round(q * 100)}") for q in ranks])
+
+
+def slowest(df: DataFrame, group: str, value: str, key: str, *columns: str) -> DataFrame:
+    """(group, key, columns..., top): the row of the largest value of each group, equal ones by the largest key."""
+    x = df.groupBy(group).agg(F.max_by(F.struct(key, *columns), F.struct(value, key)).alias("m"), F.max(value).alias("top"))
+    return x.select(group, F.col(f"m.{key}").alias(key), *[F.col(f"m.{c}").alias(c) for c in columns], "top")
+
+
+def unbalance(df: DataFrame, part: str, size: str) -> DataFrame:
+    """(least, most, spread) of the parts' total sizes."""
+    x = df.groupBy(part).agg(F.sum(size).alias("t"))
+    return x.agg(F.min("t").alias("least"), F.max("t").alias("most"), (F.max("t") - F.min("t")).alias("spread"))
+
+
+def extents(df: DataFrame, group: str, value: Column, low: float, high: float) -> DataFrame:
+    """(group, extent, n, in_range): largest less smallest value, rows, and those within [low, high]."""
+    return df.groupBy(group).agg((F.max(value) - F.min(value)).alias("extent"), F.count("*").alias("n"), F.sum(F.when(value.between(low, high), 1).otherwise(0)).alias("in_range"))
+
+
+def preference_metrics(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
+    """(chosen, rejected, margin, accuracy): mean scores, their mean difference and how often the chosen one is higher."""
+    return df.agg(F.avg(chosen).alias("chosen"), F.avg(rejected).alias("rejected"), F.avg(F.col(chosen) - F.col(rejected)).alias("margin"), F.avg((F.col(chosen) > F.col(rejected)).cast("double")).alias("accuracy"))
+
+
+def weighted_rewards(df: DataFrame, group: str, kind: str, value: str, weights: dict[str, float], other: float) -> DataFrame:
+    """(group, reward): the mean of each kind, weighted, cut to [-1, 1] and added up."""
+    weight = F.lit(other)
+    for k, w in weights.items():
+        weight = F.when(F.col(kind) == k, w).otherwise(weight)
+    per = df.groupBy(group, kind).agg((F.sum(F.col(value) * weight) / F.count("*")).alias("x"))
+    return per.groupBy(group).agg(F.sum(F.least(F.greatest("x", F.lit(-1.0)), F.lit(1.0))).alias("reward"))
+
+
+def worst_named(df: DataFrame, group: str, value: str, key: str, n: int = 3) -> DataFrame:
+    """(group, text): the keys of each group's n largest values by commas, and how many more there are."""
+    w = Window.partitionBy(group)
+    x = df.withColumn("__rn", F.row_number().over(w.orderBy(F.desc(value), key))).withColumn("__n", F.count("*").over(w)).where(F.col("__rn") <= n)
+    named = x.groupBy(group, "__n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__rn", key))), lambda y: y[key].cast("string")), ", ").alias("t"))
+    more = F.when(F.col("__n") > n, F.concat(F.lit(" and "), (F.col("__n") - n).cast("string"), F.lit(" more"))).otherwise("")
+    return named.select(group, F.concat("t", more).alias("text"))
+
+
+def lines_of(df: DataFrame, group: str, line: Column) -> DataFrame:
+    """(group, text): a line a row, sorted."""
+    return df.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+
+
+def loss_report(df: DataFrame, oob: str, collision: str, limit: float) -> DataFrame:
+    """(oob, oob_std, col, valid): mean losses in thousandths and the share of scenes whose losses add up to the limit at most."""
+    total = F.round(F.col(oob) + F.col(collision), 9)
+    return df.agg((F.avg(oob) * 1000).alias("oob"), (F.stddev_pop(oob) * 1000).alias("oob_std"), (F.avg(collision) * 1000).alias("col"), F.avg((total <= limit).cast("double")).alias("valid"))

@@ -34,6 +34,11 @@ def size_similarity(a: Column, b: Column, sigma: float) -> Column:
     return F.exp(-F.pow(distance(a, b), F.lit(2)) / (2 * sigma * sigma))
 
 
+def hybrid(cosine: Column, size: Column, weight: float) -> Column:
+    """The two similarities, weighted; a missing one counts as 0."""
+    return weight * F.coalesce(cosine, F.lit(0.0)) + (1 - weight) * F.coalesce(size, F.lit(0.0))
+
+
 def aspect_difference(a: Column, b: Column) -> Column:
     """Mean distance of the logs of the three side ratios; sides count as 0.001 at least, null as ones."""
     side = lambda v, i: F.greatest(F.coalesce(F.get(v, i), F.lit(1.0)), F.lit(0.001))

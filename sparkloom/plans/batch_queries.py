@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import batch as B
+from ..operators import matching
+from ..operators import prepare as P
 from .common import r, table
 
 _POS = "(select *, row_number() over (order by {k}) - 1 as pos from {t})"
@@ -153,18 +156,16 @@ def b43_remove_padding(s, d):
 
 
 def b44_length_filter(s, d):
-    n = F.size(F.split(F.trim("text"), r"\s+"))
-    return table(s, d, "documents").where(F.coalesce(n, F.lit(1 << 30)) <= 300).select("doc_id", n.alias("n"))
+    return P.length_filter(table(s, d, "documents"), X.word_count(F.col("text")), 300).where("text is not null").select("doc_id", "n")
 
 
 def b45_segments(s, d):
-    c = table(s, d, "conversations")
-    parts = F.filter(F.split(F.regexp_replace("text", r"[.!?]", "<mark>"), "<mark>"), lambda x: F.trim(x) != "")
-    return c.select("conv_id", "turn", F.size(parts).alias("n"), F.array_join(F.transform(parts, lambda x: F.trim(x)), "|").alias("joined"))
+    c = table(s, d, "conversations").withColumn("parts", X.segments(F.col("text"), r"[.!?]"))
+    return c.select("conv_id", "turn", F.size("parts").alias("n"), F.array_join("parts", "|").alias("joined"))
 
 
 def b46_skip_existing(s, d):
-    return table(s, d, "documents").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+    return matching.skip_existing(table(s, d, "documents"), table(s, d, "labels"), "doc_id").select("doc_id", "source")
 
 
 def b47_suffix_budget(s, d):
@@ -173,10 +174,8 @@ def b47_suffix_budget(s, d):
 
 
 def b48_accuracy_band(s, d):
-    li = table(s, d, "lineitem").withColumn("acc", (F.col("l_returnflag") == "R").cast("double")).withColumn("cut", F.col("l_quantity") > 48)
-    w = Window.partitionBy("l_orderkey")
-    g = li.withColumn("m", F.avg("acc").over(w)).withColumn("c", F.max(F.col("cut").cast("int")).over(w))
-    return g.where((F.col("m") >= 0.2) & (F.col("m") <= 0.8) & (F.col("c") == 0)).groupBy("l_orderkey").agg(F.count("*").alias("n"), r(F.avg("acc")).alias("acc"))
+    li = table(s, d, "lineitem").withColumn("acc", (F.col("l_returnflag") == "R").cast("double"))
+    return P.accuracy_band(li, "l_orderkey", "acc", 0.2, 0.8, F.col("l_quantity") > 48).groupBy("l_orderkey").agg(F.count("*").alias("n"), r(F.avg("acc")).alias("acc"))
 
 
 def b49_informative_groups(s, d):
@@ -185,19 +184,17 @@ def b49_informative_groups(s, d):
 
 
 def b50_label_cleanup(s, d):
-    x = F.trim(F.regexp_replace(F.regexp_replace("text", r"\[.*?\]", ""), "  ", " "))
-    return table(s, d, "benchmark").where(F.length("text") > 0).select("item_id", x.alias("text"))
+    return table(s, d, "benchmark").where(F.length("text") > 0).select("item_id", X.clean_label(F.col("text")).alias("text"))
 
 
 def u03_problem_union(s, d):
     li = table(s, d, "lineitem")
-    a, b = li.where("l_quantity > 49").select("l_orderkey"), li.where("l_discount > 0.09").select("l_orderkey")
-    return a.union(b).distinct()
+    return P.union_of_keys(li.where("l_quantity > 49").select("l_orderkey"), li.where("l_discount > 0.09").select("l_orderkey"))
 
 
 def u04_distinct_first(s, d):
-    w = Window.partitionBy(F.lower(F.trim("text"))).orderBy("doc_id")
-    return table(s, d, "documents").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("doc_id")
+    x = table(s, d, "documents").select("doc_id", F.xxhash64(F.lower(F.trim("text"))).alias("h"), F.sha2(F.lower(F.trim("text")), 256).alias("key"))
+    return matching.first_by_key(x, "doc_id", "h", "key").select("doc_id")
 
 
 def u05_except(s, d):
@@ -205,8 +202,7 @@ def u05_except(s, d):
 
 
 def u06_split(s, d):
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    return table(s, d, "documents").select("doc_id", F.when(draw % 10 < 9, "train").otherwise("test").alias("split"))
+    return table(s, d, "documents").select("doc_id", P.split_label(F.col("doc_id"), "42").alias("split"))
 
 
 def u06_split_by_position(s, d):
@@ -216,16 +212,16 @@ def u06_split_by_position(s, d):
 
 
 def u07_preference_rows(s, d):
-    t = table(s, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("chosen"), F.max_by("text", "turn").alias("rejected"))
-    return t.selectExpr("conv_id", "stack(2, 0, chosen, 1, rejected) as (rank, text)")
+    return P.preference_rows(table(s, d, "conversations"), "conv_id", "text", "turn")
 
 
 def u08_intersect(s, d):
-    return table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("k")))
+    a, b = table(s, d, "customer").select(F.col("c_nationkey").alias("k")), table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return matching.keep_existing(a.distinct(), b, "k")
 
 
 def u02_self_repeat(s, d):
-    return table(s, d, "benchmark").select("item_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    return P.repeat_self(table(s, d, "benchmark").select("item_id"), 20)
 
 
 QUERIES = {

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import losses as L
 from ..functions import text as X
-from ..operators import batch, groups, masked, matching
+from ..operators import batch, groups, masked, matching, prepare, retrieval
 from ..operators import metrics as M
 from ..session import scratch
 from ..sources import files
@@ -38,7 +38,10 @@ def b31_sizes(s, d):
 
 
 def b36_keys(s, d):
-    return table(s, d, "part").select("p_partkey", "p_name")
+    """Named columns of a batch, and what is left of it, side by side again."""
+    got, rest = batch.pop(table(s, d, "part").withColumn("key", F.col("p_partkey")), "p_partkey", "p_name")
+    left = rest.select("key", F.col("p_size").alias("left"))
+    return got.join(left, F.col("p_partkey") == F.col("key")).select("p_partkey", "p_name", "left")
 
 
 def b39_padded_to_ragged(s, d):
@@ -59,8 +62,7 @@ def s02_nested_fields(s, d):
 
 
 def s03_optional_columns(s, d):
-    c = table(s, d, "conversations")
-    return c.select("conv_id", "turn", *[F.col(n) if n in c.columns else F.lit(None).cast("string").alias(n) for n in ("role", "tools")])
+    return prepare.missing_columns(table(s, d, "conversations"), role="string", tools="string").select("conv_id", "turn", "role", "tools")
 
 
 def s04_preferences(s, d):
@@ -107,9 +109,11 @@ def j03_prompt_index(s, d):
 
 
 def a08_kinds(s, d):
-    names = ["timing_s/gen_max", "x/mean_max", "loss_max", "minibatch", "tokens_total", "weighted_avg", "other"]
-    df = s.createDataFrame([(n,) for n in names], "name string")
-    return df.select("name", M.aggregation_kind(F.col("name")).alias("kind"), M.reduce_kind(F.col("name")).alias("reduced"))
+    """Every event type with every ending: which rule its name falls under."""
+    ends = ("_max", "_min", "/mean", "_total", "_avg_max", "", "batch")
+    names = table(s, d, "events").select("event_type").distinct().withColumn("end", F.explode(F.array(*[F.lit(e) for e in ends])))
+    df = names.select(F.concat(F.when(F.col("event_type") == "click", "timing_s/").otherwise(""), "event_type", "end").alias("name"))
+    return df.select("name", M.aggregation_kind(F.col("name"), last=("view",), weighted=("purchase_avg_max",)).alias("kind"), M.reduce_kind(F.col("name")).alias("reduced"))
 
 
 def a25_rejection_metrics(s, d):
@@ -186,9 +190,14 @@ def n33_round_up(s, d):
 
 
 def n36_hybrid(s, d):
-    p = table(s, d, "part")
-    cos, size = F.col("p_size") / 50.0, F.exp(-F.col("p_size") / 25.0)
-    return p.select("p_partkey", r(0.7 * cos + 0.3 * size).alias("score"))
+    """Cosine to the first part's vector and closeness in size, weighted."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    one = e.where("vec_id = 0").first()
+    if one is None:
+        return e.select("vec_id", F.lit(0.0).alias("score"))
+    size = lambda i: F.array((i % 7 + 1).cast("double"), (i % 5 + 1).cast("double"), (i % 3 + 1).cast("double"))
+    near = retrieval.size_similarity(size(F.col("vec_id")), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)), 2.0)
+    return e.select("vec_id", r(retrieval.hybrid(retrieval.cosine(F.col("v"), F.array(*[F.lit(x) for x in one.v])), near, 0.7), 5).alias("score"))
 
 
 def n44_area_reward(s, d):
@@ -232,10 +241,8 @@ def t09_boxed_equal(s, d):
 
 
 def t15_units(s, d):
-    p = table(s, d, "part")
     t = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, " million").otherwise(" %"))
-    number = F.regexp_extract(t, r"^([0-9]+)", 1).cast("double")
-    return p.select("p_partkey", r(F.when(t.contains("million"), number * 1e6).when(t.contains("%"), number / 100).otherwise(number), 4).alias("value"))
+    return table(s, d, "part").select("p_partkey", r(X.value_with_unit(t), 4).alias("value"))
 
 
 def t26_contains_score(s, d):
@@ -245,16 +252,12 @@ def t26_contains_score(s, d):
 
 
 def t30_step_judge(s, d):
-    p = table(s, d, "part")
-    found, gold = F.col("p_size") % 6 - 1, F.col("p_partkey") % 6 - 1
-    return p.select("p_partkey", r(F.when(found == gold, 1.0).when((found == -1) | (gold == -1), -1.0).otherwise(-F.abs(found - gold) / 10.0), 4).alias("score"))
+    return table(s, d, "part").select("p_partkey", r(X.step_verdict(F.col("p_size") % 6 - 1, F.col("p_partkey") % 6 - 1), 4).alias("score"))
 
 
 def t31_point_reward(s, d):
-    """Rank of the first point that lies in the box."""
-    p = table(s, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (F.col("p_size") * i) % 20).alias("points"))
-    k = F.array_position(F.transform("points", lambda x: x.between(5, 9)), True)
-    return p.select("p_partkey", r(F.when(k > 0, 1 / F.sqrt(3.0 * k)).otherwise(-1 / 3.0), 5).alias("reward"))
+    points = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (F.col("p_size") * i) % 20)
+    return table(s, d, "part").select("p_partkey", r(X.point_reward(points, 5, 9), 5).alias("reward"))
 
 
 def t38_embedded_scene(s, d):
@@ -265,9 +268,8 @@ def t38_embedded_scene(s, d):
 
 def t44_first_pattern(s, d):
     """The first pattern of an ordered table that a name contains."""
-    patterns = s.createDataFrame([(1, "red", "warm"), (2, "blue", "cold"), (3, "e", "any")], "rank int, pattern string, kind string")
-    x = table(s, d, "part").join(F.broadcast(patterns), F.lower("p_name").contains(F.col("pattern")))
-    return x.groupBy("p_partkey").agg(F.min_by("kind", "rank").alias("kind"))
+    kind = X.first_rule(F.col("p_name"), [(("red",), "warm"), (("blue",), "cold"), (("e",), "any")])
+    return table(s, d, "part").select("p_partkey", kind.alias("kind")).where("kind is not null")
 
 
 def t66_tag_balance(s, d):
@@ -278,26 +280,15 @@ def t66_tag_balance(s, d):
 
 
 def t72_bleu(s, d):
-    """Clipped unigram and bigram precisions against the conversation's first turn, with the brevity penalty."""
+    """Against the conversation's first turn."""
     c = table(s, d, "conversations")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("ref"))
-    x = c.join(first, "conv_id").select("conv_id", "turn", F.split(F.trim("text"), r"\s+").alias("h"), F.split(F.trim("ref"), r"\s+").alias("g"))
-
-    def precision(n: int):
-        grams = lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))
-        h, g = grams(F.col("h")), grams(F.col("g"))
-        count = lambda a, w: F.size(F.filter(a, lambda y: y == w))
-        hits = F.aggregate(F.array_distinct(h), F.lit(0), lambda acc, w: acc + F.least(count(h, w), count(g, w)))
-        return hits / F.size(h)
-
-    p = F.sqrt(precision(1) * precision(2))
-    short = F.when(F.size("h") > F.size("g"), 1.0).otherwise(F.exp(1 - F.size("g") / F.size("h")))
-    return x.select("conv_id", "turn", r(p * short, 5).alias("bleu"))
+    return c.join(first, "conv_id").select("conv_id", "turn", r(X.bleu(F.col("text"), F.col("ref")), 5).alias("bleu"))
 
 
 def t75_search_text(s, d):
     b = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("h"))
-    return b.select("conv_id", F.concat(F.when(F.size("h") > 1, "success").otherwise("empty"), F.lit("\n"), F.array_join(F.transform("h", lambda x: x["text"]), "\n---\n")).alias("text"))
+    return b.select("conv_id", X.search_text(F.transform("h", lambda x: x["text"])).alias("text"))
 
 
 def d07_packed_order(s, d):
@@ -322,14 +313,14 @@ _GRAMS = "list_transform(range(1, greatest(len({0}) - {1}, 1) + 1), lambda i: ar
 _PREC = "(list_sum(list_transform(list_distinct({0}), lambda w: least(len(list_filter({0}, lambda y: y = w)), len(list_filter({1}, lambda y: y = w)))))::double / len({0}))"
 
 QUERIES = {
-    "a08_kinds": (a08_kinds, "select * from (values ('timing_s/gen_max', 'sum', 'max'), ('x/mean_max', 'avg', 'max'), ('loss_max', 'max', 'max'), ('minibatch', 'min', 'min'), ('tokens_total', 'sum', 'mean'), ('weighted_avg', 'avg', 'mean'), ('other', 'avg', 'mean')) t(name, kind, reduced)"),
+    "a08_kinds": (a08_kinds, "select n as name, case when n = 'view' then 'last' when n = 'purchase_avg_max' then 'weighted_avg' when n like 'timing_s/%' then 'sum' when n like '%mean%' or n like '%avg%' then 'avg' when n like '%max%' then 'max' when n like '%min%' then 'min' when n like '%sum%' or n like '%total%' then 'sum' else 'avg' end as kind, case when n like '%max%' then 'max' when n like '%min%' then 'min' else 'mean' end as reduced from (select distinct case when event_type = 'click' then 'timing_s/' else '' end || event_type || e as n from events, (values ('_max'), ('_min'), ('/mean'), ('_total'), ('_avg_max'), (''), ('batch')) t(e))"),
     "a25_rejection_metrics": (a25_rejection_metrics, "select round(avg(case when w between 0.5 and 2 then 0.0::double else 1 end), 6) as rejected, round(sum(case when w between 0.5 and 2 then 0 else n end) / sum(n), 6) as rejected_tokens, round(avg(case when w > 2 then 1.0::double else 0 end), 6) as high, round(avg(case when w < 0.5 then 1.0::double else 0 end), 6) as low from (select exp(sum(10 * (l_tax - l_discount))) as w, count(*) as n from lineitem where l_returnflag <> 'R' group by l_orderkey)"),
     "a29_distributed_mean": (a29_distributed_mean, "select round(avg(l_quantity), 6) as mean from lineitem where l_returnflag = 'R'"),
     "b01_columns_by_kind": (b01_columns_by_kind, "select * from (values ('event_id', 'number'), ('ts', 'object'), ('user_id', 'number'), ('event_type', 'object'), ('value', 'number'), ('props', 'object')) t(name, kind)"),
     "b12_equal_maps": (b12_equal_maps, "select event_id, event_id % 5 <> 0 or value is null as same from events"),
     "b30_consistency": (b30_consistency, "select count(l_orderkey) as l_orderkey, count(l_partkey) as l_partkey, count(l_quantity) as l_quantity, count(*) as rows from lineitem"),
     "b31_sizes": (b31_sizes, "select sum(octet_length(encode(text))) as text_bytes, count(*) as rows from documents"),
-    "b36_keys": (b36_keys, "select p_partkey, p_name from part"),
+    "b36_keys": (b36_keys, "select p_partkey, p_name, p_size as left from part"),
     "b39_padded_to_ragged": (b39_padded_to_ragged, "select user_id, count(*) as n, greatest(count(*), 40) as width from events group by 1"),
     "d07_packed_order": (d07_packed_order, "select doc_id, row_number() over (partition by source order by 24576 * n_chars + n_chars * n_chars, doc_id) % 2 = 1 as rising from documents"),
     "d08_padded_chunks": (d08_padded_chunks, "with n as (select count(*) as n, ((count(*) + 15) // 16) as k from orders) select i as chunk, k as n, greatest(0, least(k, (i + 1) * k - n)) as pads from n, range(16) t(i)"),
@@ -344,7 +335,7 @@ QUERIES = {
     "n19_clip": (n19_clip, "select p_partkey, least(greatest(p_size, 10), 30) as size from part"),
     "n29_contrast": (n29_contrast, "with g as (select o_custkey, o_orderstatus = 'O' as acc, avg(o_totalprice) as other from orders group by 1, 2), x as (select o_orderkey, case when o_orderstatus = 'O' then o_totalprice - other else other - o_totalprice end / 100000 as z from orders join g on g.o_custkey = orders.o_custkey and g.acc <> (o_orderstatus = 'O')) select o_orderkey, round(greatest(-z, 0) + ln(1 + exp(-abs(z))), 5) as loss from x"),
     "n33_round_up": (n33_round_up, "select p_partkey, (p_size + 7) // 8 as parts, (p_size + 7) // 8 * 8 as size from part"),
-    "n36_hybrid": (n36_hybrid, "select p_partkey, round(0.7 * p_size / 50.0::double + 0.3 * exp(-p_size / 25.0::double), 6) as score from part"),
+    "n36_hybrid": (n36_hybrid, "select b.vec_id, round(0.7 * list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) + 0.3::double * exp(-(pow(b.vec_id % 7, 2) + pow(b.vec_id % 5, 2) + pow(b.vec_id % 3, 2)) / 8.0::double), 5) as score from embeddings a, embeddings b where a.vec_id = 0"),
     "n44_area_reward": (n44_area_reward, f"select p_partkey, round({_PW}, 5) + 0.0 as reward from (select *, p_size::double as a from part)"),
     "n46_support_reward": (n46_support_reward, "select p_brand, round(case when rate = 0 then 1 when rate <= 0.1 then 1 - rate / 0.1 else -(rate - 0.1) / 0.9 end, 5) + 0.0 as reward from (select p_brand, avg(case when p_size < 4 then 1.0::double else 0 end) as rate from part group by 1)"),
     "n56_topk_divergence": (n56_topk_divergence, "with e as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding)::double as t, unnest(list_reverse(embedding))::double as u from embeddings), n as (select *, t - ln(sum(exp(t)) over (partition by vec_id)) as lt, u - ln(sum(exp(u)) over (partition by vec_id)) as lu from e), k as (select *, row_number() over (partition by vec_id order by t desc, i) as rn from n) select vec_id, round(sum(exp(lt) * (lt - lu)), 5) + 0.0 as kl from k where rn <= 4 group by 1"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import metrics as M
+from ..operators import prepare as P
 from ..operators import retrieval
 from .common import r, table
 
@@ -36,8 +38,8 @@ def a09_weighted(s, d):
 
 
 def a10_special(s, d):
-    x = table(s, d, "events").groupBy("user_id").agg(F.max("value").alias("mx"), F.min("value").alias("mn"), F.sum("value").alias("t"), F.count("*").alias("n"))
-    return x.select("user_id", r(F.col("mx") - F.col("mn"), 4).alias("spread"), r(F.col("n") / (F.col("t") * 4 + 1)).alias("throughput"), r(F.col("mn") / (F.col("mx") + 1)).alias("idle"))
+    x = M.spread_and_idle(table(s, d, "events"), "user_id", "value", 4)
+    return x.select("user_id", r("spread", 4).alias("spread"), r("throughput").alias("throughput"), r("idle").alias("idle"))
 
 
 def a11_data_metrics(s, d):
@@ -49,15 +51,12 @@ def a11_data_metrics(s, d):
 
 
 def a12_lengths(s, d):
-    c = table(s, d, "conversations")
-    n = F.size(F.split(F.trim("text"), r"\s+"))
-    return c.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "user", n).otherwise(0)).alias("prompt"), F.sum(F.when(F.col("role") != "user", n).otherwise(0)).alias("response"))
+    return M.role_lengths(table(s, d, "conversations"), "conv_id", "role", X.word_count(F.col("text")))
 
 
 def a13_timing(s, d):
-    e = table(s, d, "events").groupBy("event_type").agg(F.sum("value").alias("t"), F.count("*").alias("n"), F.sum("user_id").alias("all_tokens"))
-    tokens = F.when(F.col("event_type") == "click", F.col("n")).otherwise(F.col("all_tokens"))
-    return e.select("event_type", r(F.col("t") * 1000 / tokens, 4).alias("ms_per_token"), r(F.col("all_tokens") / (F.col("t") * 8), 6).alias("throughput"))
+    x = M.timing(table(s, d, "events"), "event_type", "value", "user_id", 8, ("click",))
+    return x.select("event_type", r("ms_per_token", 4).alias("ms_per_token"), r("throughput", 6).alias("throughput"))
 
 
 def a15_best_at_n(s, d):
@@ -93,15 +92,13 @@ def a17_validation(s, d):
 
 def a18_core_names(s, d):
     names = table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("mean@", "std@", "best@", "worst@")]))
-    x = names.withColumn("kind", kinds).withColumn("top", F.lit(None).isNull())
+    x = names.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("mean@", "std@", "best@", "worst@")])))
     core = F.col("event_type").isin("click", "view") & F.col("kind").isin("mean@", "best@")
-    return x.select(F.concat_ws("/", F.when(core, "val-core").otherwise("val-aux"), "event_type", F.concat("kind", F.col("n").cast("string"))).alias("name"))
+    return x.select(M.validation_name(F.col("event_type"), F.col("kind"), F.col("n"), core).alias("name"))
 
 
 def a19_mean_of_means(s, d):
-    x = table(s, d, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.avg("l_quantity").alias("m"))
-    return x.groupBy("l_returnflag").agg(r(F.avg("m"), 5).alias("score"), F.count("*").alias("n"))
+    return M.mean_of_means(table(s, d, "lineitem"), "l_returnflag", "l_orderkey", "l_quantity").select("l_returnflag", r("score", 5).alias("score"), "n")
 
 
 def a20_summary(s, d):
@@ -116,58 +113,49 @@ def a21_unpivot(s, d):
 
 def a22_losses(s, d):
     li = table(s, d, "lineitem").groupBy("l_orderkey").agg((F.sum("l_discount") / 10).alias("oob"), (F.sum("l_tax") / 10).alias("col"))
-    x = li.withColumn("total", F.col("oob") + F.col("col"))
-    return x.agg(r(F.avg("oob") * 1000, 4).alias("oob"), r(F.stddev_pop("oob") * 1000, 4).alias("oob_std"), r(F.avg("col") * 1000, 4).alias("col"), r(F.avg((F.round("total", 9) <= 0.03).cast("double"))).alias("valid"))
+    return M.loss_report(li, "oob", "col", 0.03).select(r("oob", 4).alias("oob"), r("oob_std", 4).alias("oob_std"), r("col", 4).alias("col"), r("valid").alias("valid"))
 
 
 def a28_moments(s, d):
-    return table(s, d, "lineitem").agg(r(F.avg("l_quantity"), 5).alias("mean"), F.max("l_quantity").alias("max"), F.min("l_quantity").alias("min"), r(F.stddev_samp("l_quantity"), 5).alias("std"))
+    return M.moments(table(s, d, "lineitem"), "l_quantity").select(r("mean", 5).alias("mean"), "max", "min", r("std", 5).alias("std"))
 
 
 def a31_percentiles(s, d):
-    p = lambda q: r(F.percentile("value", q), 4)
-    return table(s, d, "events").groupBy("event_type").agg(r(F.avg("value"), 4).alias("avg"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count_distinct("user_id").alias("users"))
+    e = table(s, d, "events")
+    x = M.percentiles(e, "event_type", "value", 0.5, 0.95, 0.99).join(e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users")), "event_type")
+    return x.select("event_type", *[r(c, 4).alias(c) for c in ("avg", "p50", "p95", "p99")], "users")
 
 
 def a32_slowest(s, d):
-    x = table(s, d, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("value", "event_id")).alias("m"), r(F.max("value"), 4).alias("top"))
-    return x.select("user_id", F.col("m.event_id").alias("event_id"), F.col("m.event_type").alias("event_type"), "top")
+    return M.slowest(table(s, d, "events"), "user_id", "value", "event_id", "event_type").withColumn("top", r("top", 4))
 
 
 def a33_unbalance(s, d):
-    x = table(s, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("t"))
-    return x.agg(F.min("t").alias("least"), F.max("t").alias("most"), (F.max("t") - F.min("t")).alias("spread"))
+    return M.unbalance(table(s, d, "documents"), "source", "n_chars")
 
 
 def a34_extents(s, d):
-    p = table(s, d, "part").withColumn("area", F.col("p_size") * F.col("p_retailprice") / 1000)
-    return p.groupBy("p_brand").agg(r(F.max("area") - F.min("area"), 4).alias("extent"), F.count("*").alias("n"), F.sum(F.when(F.col("area").between(10, 30), 1).otherwise(0)).alias("in_range"))
+    x = M.extents(table(s, d, "part"), "p_brand", F.col("p_size") * F.col("p_retailprice") / 1000, 10, 30)
+    return x.withColumn("extent", r("extent", 4))
 
 
 def a35_preference_metrics(s, d):
     x = table(s, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("c"), F.min("o_totalprice").alias("j"))
-    return x.agg(r(F.avg("c"), 2).alias("chosen"), r(F.avg("j"), 2).alias("rejected"), r(F.avg(F.col("c") - F.col("j")), 2).alias("margin"), r(F.avg((F.col("c") > F.col("j")).cast("double"))).alias("accuracy"))
+    return M.preference_metrics(x, "c", "j").select(r("chosen", 2).alias("chosen"), r("rejected", 2).alias("rejected"), r("margin", 2).alias("margin"), r("accuracy").alias("accuracy"))
 
 
 def a37_weighted_rewards(s, d):
-    weights = F.when(F.col("event_type") == "click", 0.01).when(F.col("event_type") == "view", 0.02).otherwise(0.005)
-    e = table(s, d, "events").withColumn("w", weights)
-    per = e.groupBy("user_id", "event_type").agg((F.sum(F.col("value") * F.col("w")) / F.count("*")).alias("x"))
-    return per.groupBy("user_id").agg(r(F.sum(F.least(F.greatest("x", F.lit(-1.0)), F.lit(1.0))), 5).alias("reward"))
+    x = M.weighted_rewards(table(s, d, "events"), "user_id", "event_type", "value", {"click": 0.01, "view": 0.02}, 0.005)
+    return x.select("user_id", r("reward", 5).alias("reward"))
 
 
 def a38_feedback(s, d):
-    o = table(s, d, "orders")
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    x = o.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("o_custkey")))
-    top = x.where("rn <= 3").groupBy("o_custkey", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "o_orderkey"))), lambda y: y["o_orderkey"].cast("string")), ", ").alias("t"))
-    return top.select("o_custkey", F.concat("t", F.when(F.col("n") > 3, F.concat(F.lit(" and "), (F.col("n") - 3).cast("string"), F.lit(" more"))).otherwise("")).alias("text"))
+    return M.worst_named(table(s, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
 def a39_summary_lines(s, d):
-    p = table(s, d, "supplier")
     line = F.concat(F.lit("- "), F.col("s_name"), F.lit(" @ "), F.format_string("%.2f", "s_acctbal"))
-    return p.groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    return M.lines_of(table(s, d, "supplier"), "s_nationkey", line)
 
 
 def a40_flops(s, d):
@@ -227,23 +215,19 @@ def k05_greedy(s, d):
 
 
 def k07_distinct_cache(s, d):
-    p = table(s, d, "part").select("p_partkey", "p_type", "p_size")
-    first = p.groupBy("p_type", "p_size").agg(F.min("p_partkey").alias("cached"))
-    return p.join(first, ["p_type", "p_size"]).select("p_partkey", "cached")
+    return P.cached_by(table(s, d, "part").select("p_partkey", "p_type", "p_size"), "p_partkey", "p_type", "p_size").select("p_partkey", "cached")
 
 
 def k08_last(s, d):
-    return table(s, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    return P.last_of(table(s, d, "conversations"), "conv_id", "text", "turn")
 
 
 def k09_sample_log(s, d):
-    draw = F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))
-    return table(s, d, "documents").select("doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(10).select("doc_id")
+    return P.sample_by_hash(table(s, d, "documents"), "doc_id", "42", 10).select("doc_id")
 
 
 def k10_best_per_conversation(s, d):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc(F.length("text")), "text")
-    return table(s, d, "conversations").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("conv_id", "turn", "role")
+    return P.best_of(table(s, d, "conversations"), "conv_id", F.desc("turn"), F.desc(F.length("text")), F.col("text")).select("conv_id", "turn", "role")
 
 
 def n35_size_similarity(s, d):

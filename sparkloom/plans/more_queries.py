@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import losses as L
 from ..functions import text as X
-from ..operators import balance, batch, geometry, retrieval
+from ..operators import balance, batch, geometry, matching, retrieval
 from ..operators import groups as G
+from ..operators import metrics as M
 from ..session import if_small, scratch
 from ..streaming import queues as Q
 from .common import r, table
@@ -70,8 +71,8 @@ def j01_positional_join(s, d):
 
 
 def a14_throughput(s, d):
-    e = table(s, d, "events").groupBy("event_type").agg(F.sum("user_id").alias("tokens"), F.sum("value").alias("time"))
-    return e.select("event_type", r(F.col("tokens") / (F.col("time") * 16)).alias("throughput"), "tokens")
+    x = M.timing(table(s, d, "events"), "event_type", "value", "user_id", 16)
+    return x.select("event_type", r("throughput").alias("throughput"), "tokens")
 
 
 def w06_nucleus(s, d):
@@ -104,25 +105,20 @@ def k06_reuse(s, d):
 
 
 def k12_band_draw(s, d):
-    p = table(s, d, "part")
-    draw = F.md5(F.concat(F.lit("5:"), F.col("p_partkey").cast("string")))
-    w = Window.partitionBy("p_brand").orderBy(draw, "p_partkey")
-    x = p.where("p_size between 10 and 20").withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("p_brand")))
-    return x.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))).select("p_brand", "p_partkey")
+    return matching.band_draw(table(s, d, "part"), "p_brand", "p_partkey", F.col("p_size").between(10, 20), 0.1, "5").select("p_brand", "p_partkey")
 
 
 def k13_search(s, d):
-    x = table(s, d, "conversations").where(F.lower("text").contains("the"))
-    w = Window.partitionBy("role").orderBy(F.desc(F.length("text")), "conv_id", "turn")
-    return x.withColumn("place", F.row_number().over(w)).select("role", "conv_id", "turn", "place")
+    order = [F.desc(F.length("text")), F.col("conv_id"), F.col("turn")]
+    return matching.search(table(s, d, "conversations"), "text", "the", order, "role").select("role", "conv_id", "turn", "place")
 
 
 def k14_cascade(s, d):
-    """Catalog A, then B only for what is unresolved, then a fixed fallback."""
-    p = table(s, d, "part").select("p_partkey", "p_brand", "p_size")
-    a = table(s, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("a"))
-    b = table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("p_size"), F.col("n_name").alias("b"))
-    return p.join(a, "p_partkey", "left").join(if_small(b), "p_size", "left").select("p_partkey", F.coalesce("a", "b", F.lit("none")).alias("asset"))
+    """Catalog A, then B for what is unresolved, then a fixed fallback."""
+    a = table(s, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("asset"))
+    sizes = table(s, d, "part").select("p_partkey", "p_size")
+    b = sizes.join(if_small(table(s, d, "nation")), F.col("p_size") == F.col("n_nationkey")).select("p_partkey", F.col("n_name").alias("asset"))
+    return matching.fallback_lookup(sizes.select("p_partkey"), "p_partkey", "asset", a, b, default=F.lit("none"))
 
 
 def n12_loss_registry(s, d):
@@ -195,13 +191,11 @@ def n48_yaw(s, d):
 
 
 def n49_rotated_overlap(s, d):
-    """Squares of side 2 turned by a quarter turn share what unturned ones share."""
+    """A square of side 2 turned about its centre by any angle shares 8 / (1 + |sin| + |cos|) with the unturned one."""
     p = table(s, d, "part")
-    size = F.array(F.lit(2.0), F.lit(1.0), F.lit(2.0))
-    pos = lambda x: F.array(x, F.lit(0.0), F.lit(0.0))
-    turn = (F.col("p_partkey") % 4) * F.lit(1.5707963267948966)
-    a, b = geometry.footprint(pos(F.lit(0.0)), size, turn), geometry.footprint(pos(F.col("p_size") / 20.0), size, F.lit(0.0))
-    return p.select("p_partkey", r(geometry.footprint_overlap(a, b), 5).alias("area"))
+    size, pos = F.array(F.lit(2.0), F.lit(1.0), F.lit(2.0)), F.array(F.lit(0.5), F.lit(0.0), F.lit(-3.0))
+    turned, plain = geometry.footprint(pos, size, F.radians(F.col("p_partkey") % 360)), geometry.footprint(pos, size, F.lit(0.0))
+    return p.select("p_partkey", r(geometry.footprint_overlap(turned, plain), 5).alias("area"))
 
 
 def n54_repair(s, d):
@@ -505,7 +499,7 @@ QUERIES = {
     "n42_turn_reward": (n42_turn_reward, f"select event_id, round(case when ob < 4 and tn = 3 then -1 else (0.50771::double + 0.1 * tn) * {_DEP} + (0.49229::double - 0.1 * tn) * case when ob >= 15 then 1 when ob >= 5 then (ob - 5) / 10.0::double else -1 end end, 4) + 0.0 as reward from (select *, event_id % 4 as tn, value / 100 as dp, user_id % 20 as ob from events)"),
     "n43_object_count": (n43_object_count, "select p_partkey, round(case when p_size % 20 >= 15 then 1 when p_size % 20 >= 5 then (p_size % 20 - 5) / 10.0::double else -1 end, 6) as reward, p_size % 20 < 4 as override from part"),
     "n48_yaw": (n48_yaw, "select p_partkey, round((p_size - 25) / 10.0::double, 6) as yaw from part"),
-    "n49_rotated_overlap": (n49_rotated_overlap, "select p_partkey, round(greatest(2 - p_size / 20.0::double, 0) * 2, 5) as area from part"),
+    "n49_rotated_overlap": (n49_rotated_overlap, "select p_partkey, round(8 / (1 + abs(sin(radians(p_partkey % 360))) + abs(cos(radians(p_partkey % 360)))), 5) as area from part"),
     "n54_repair": (n54_repair, "select p_brand, count(*) as n, count(case when p_size % 12 + 0.5 > 10 then 1 end) as removed from part group by 1"),
     "s07_tolerant_load": (s07_tolerant_load, "select case when p_partkey % 7 <> 0 then p_brand end as p_brand, count(*) as n from part group by 1"),
     "s13_append_log": (s13_append_log, "select event_id % 3 as step, count(*) as n, round(sum(value), 3) as value from events group by 1"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import balance, batch, geometry
+from ..operators import balance, batch, geometry, matching, prepare
 from ..operators import groups as G
 from ..session import if_small, scratch
 from ..sources import files
@@ -41,37 +41,33 @@ def j09_supported(s, d):
 
 
 def j02_tiered_match(s, d):
-    """Customers to nations by id, else by a name contained; the first tier wins."""
-    c, n = table(s, d, "customer"), table(s, d, "nation")
-    exact = c.join(if_small(n), (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("c_custkey") % 2 == 0)).select("c_custkey", F.lit(1).alias("tier"), "n_nationkey")
-    near = c.join(if_small(n), F.col("c_custkey") % 25 == F.col("n_nationkey")).select("c_custkey", F.lit(2).alias("tier"), "n_nationkey")
-    w = Window.partitionBy("c_custkey").orderBy("tier", "n_nationkey")
-    return exact.unionByName(near).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """Customers to nations by id, else by a number derived from theirs; the first tier wins."""
+    c, n = table(s, d, "customer"), if_small(table(s, d, "nation"))
+    exact = c.where("c_custkey % 2 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey")
+    near = c.join(n, F.col("c_custkey") % 25 == F.col("n_nationkey")).select("c_custkey", F.col("n_nationkey"))
+    return matching.first_tier("c_custkey", exact, near, order="n_nationkey")
 
 
 def j04_fallback_lookup(s, d):
-    p = table(s, d, "part").select("p_partkey", "p_type", "p_brand")
-    a = table(s, d, "lineitem").where("l_discount > 0.05").groupBy("l_partkey").agg(F.max("l_quantity").alias("q1"))
-    b = table(s, d, "lineitem").groupBy("l_partkey").agg(F.min("l_quantity").alias("q2"))
-    return p.join(a, p.p_partkey == a.l_partkey, "left").drop("l_partkey").join(b, p.p_partkey == b.l_partkey, "left").select("p_partkey", F.coalesce("q1", "q2").alias("q"))
+    li = table(s, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    a = li.where("l_discount > 0.05").groupBy("p_partkey").agg(F.max("l_quantity").alias("q"))
+    b = li.groupBy("p_partkey").agg(F.min("l_quantity").alias("q"))
+    return matching.fallback_lookup(table(s, d, "part").select("p_partkey"), "p_partkey", "q", a, b)
 
 
 def j05_either_key(s, d):
     """OR of two keys as a union of two equi-joins."""
-    s1 = table(s, d, "supplier").select("s_suppkey", "s_nationkey")
-    li = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    a = li.join(s1, li.l_suppkey == s1.s_suppkey).select("l_orderkey", "l_partkey", "l_suppkey", "s_suppkey")
-    b = li.join(s1, li.l_partkey == s1.s_suppkey).select("l_orderkey", "l_partkey", "l_suppkey", "s_suppkey")
-    return a.union(b).distinct().groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    s1, li = table(s, d, "supplier").select("s_suppkey"), table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    return matching.either_key(li, s1, ("l_suppkey", "s_suppkey"), ("l_partkey", "s_suppkey")).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
 def j06_resume(s, d):
-    return table(s, d, "documents").join(table(s, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+    return matching.skip_existing(table(s, d, "documents"), table(s, d, "labels").where("quality = 1"), "doc_id").groupBy("source").agg(F.count("*").alias("n"))
 
 
 def j10_valid_ids(s, d):
-    e, c = table(s, d, "events"), table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(1).alias("known"))
-    return e.join(c, "user_id", "left").groupBy("event_type").agg(F.count("known").alias("valid"), r(F.count(F.when(F.col("known").isNull(), 1)) * 0.2, 4).alias("penalty"))
+    x = prepare.known_ids(table(s, d, "events"), "user_id", table(s, d, "customer").select("c_custkey"), "event_type", 0.2)
+    return x.withColumn("penalty", r("penalty", 4))
 
 
 def n47_footprint(s, d):
@@ -234,8 +230,8 @@ def s20_override(s, d):
 
 
 def s21_cached(s, d):
-    x = table(s, d, "documents").join(table(s, d, "labels").select("doc_id", F.lit(True).alias("cached")), "doc_id", "left")
-    return x.agg(F.count("cached").alias("cached"), F.count("*").alias("total"), r(F.count("cached") / F.count("*") * 100, 4).alias("coverage"))
+    x = prepare.coverage(table(s, d, "documents"), "doc_id", table(s, d, "labels"))
+    return x.withColumn("coverage", r("coverage", 4))
 
 
 def s25_append(s, d):

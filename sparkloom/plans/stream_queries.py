@@ -18,8 +18,9 @@ def m01_bounded_queue(s, d):
 
 
 def m03_statistics(s, d):
-    x = _events(s, d).groupBy("event_type").agg(F.count("*").alias("produced"), F.sum((F.col("value") > 50).cast("int")).alias("consumed"))
-    return Q.run_available(x, "complete", "statistics")
+    """What a queue of 40 a type has taken in, dropped and still holds."""
+    x = Q.run_available(Q.bounded_queue(_events(s, d), "event_type", "event_id", 40), "update", "statistics")
+    return x.select("event_type", "produced", "dropped", (F.col("produced") - F.col("dropped")).alias("size"), "oldest", "newest")
 
 
 def m05_batches(s, d):
@@ -28,7 +29,9 @@ def m05_batches(s, d):
 
 
 def m07_capacity(s, d):
-    return s.range(1, 6).select(F.col("id").alias("n"), (F.col("id") * 2 * 4).alias("capacity"))
+    """What a queue of each event type would have to hold, by its users."""
+    x = _events(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.max("user_id").alias("top"))
+    return Q.run_available(x, "complete", "capacity").select("event_type", Q.queue_capacity(F.col("top"), 4, 0.5).alias("capacity"), "n")
 
 
 def m08_stale(s, d):
@@ -77,9 +80,9 @@ def m19_termination(s, d):
 
 QUERIES = {
     "m01_bounded_queue": (m01_bounded_queue, "select user_id, count(*) as produced, greatest(count(*) - 20, 0) as dropped, list_min(list_reverse_sort(list(event_id))[1:20]) as oldest, max(event_id) as newest from events group by 1"),
-    "m03_statistics": (m03_statistics, "select event_type, count(*) as produced, count(case when value > 50 then 1 end) as consumed from events group by 1"),
+    "m03_statistics": (m03_statistics, "select event_type, count(*) as produced, greatest(count(*) - 40, 0) as dropped, least(count(*), 40) as size, list_min(list_reverse_sort(list(event_id))[1:40]) as oldest, max(event_id) as newest from events group by 1"),
     "m05_batches": (m05_batches, "select event_id // 64 as window, count(*) as n, min(event_id) as first from events group by 1 having count(*) = 64"),
-    "m07_capacity": (m07_capacity, "select n, n * 8 as capacity from range(1, 6) t(n)"),
+    "m07_capacity": (m07_capacity, "select event_type, cast(ceil(max(user_id) * 4 * 1.5) as bigint) as capacity, count(*) as n from events group by 1"),
     "m08_stale": (m08_stale, "select user_id, count(case when 3 - event_id // 1000 >= 1 then 1 end) as stale, count(*) as n from events group by 1"),
     "m10_metric_windows": (m10_metric_windows, "select event_id // 100 as window, round(avg(value), 4) as mean, round(max(value), 4) as max, round(sum(value), 2) as sum from events group by 1"),
     "m13_state_machine": (m13_state_machine, "select user_id, case when count(case when event_type = 'purchase' then 1 end) > 0 then 'TERMINATED' else case arg_max(event_type, event_id) when 'click' then 'GENERATING' when 'view' then 'TOOLS' else 'PENDING' end end as state, count(*) as steps from events group by 1"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import prepare
 from .common import r, table
 
 
@@ -118,14 +119,12 @@ def t27_format(s, d):
 
 
 def t29_choice(s, d):
-    c = table(s, d, "conversations")
-    letter = F.regexp_extract(F.concat(F.lit("Answer: "), F.upper(F.substring("text", 1, 1))), r"(?i)Answer[ \t]*:[ \t]*\$?([A-J])\$?", 1)
-    return c.select("conv_id", "turn", (letter == "A").cast("double").alias("score"), letter.alias("letter"))
+    c = table(s, d, "conversations").withColumn("letter", X.choice_letter(F.concat(F.lit("Answer: "), F.upper(F.substring("text", 1, 1)))))
+    return c.select("conv_id", "turn", (F.col("letter") == "A").cast("double").alias("score"), "letter")
 
 
 def t34_token_amount(s, d):
-    c = table(s, d, "conversations").where("turn > 0")
-    return c.groupBy("conv_id").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("tokens"))
+    return table(s, d, "conversations").where("turn > 0").groupBy("conv_id").agg(F.sum(X.word_count(F.col("text"))).alias("tokens"))
 
 
 _CALL = "name string, arguments map<string,string>"
@@ -166,9 +165,7 @@ def t41_first_score(s, d):
 
 
 def t42_clean(s, d):
-    c = table(s, d, "conversations")
-    x = F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit("<image> "), "text"), "<image>", ""), r"\s+", " "))
-    return c.select("conv_id", "turn", x.alias("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", X.clean_requirement(F.concat(F.lit("<image> "), "text")).alias("text"))
 
 
 def t43_room_type(s, d):
@@ -177,16 +174,12 @@ def t43_room_type(s, d):
 
 
 def t45_type_reward(s, d):
-    p = table(s, d, "part")
-    a, b = F.col("p_type").contains("S"), F.col("p_brand").contains("1")
-    return p.select("p_partkey", F.when(a & b, 1.0).when(a | b, 0.0).otherwise(-1.0).alias("reward"))
+    return table(s, d, "part").select("p_partkey", X.agreement(F.col("p_type").contains("S"), F.col("p_brand").contains("1")).alias("reward"))
 
 
 def t46_format_reward(s, d):
     x = _calls(s, d)
-    calls = F.regexp_count("t", F.lit("<tool_call>"))
-    valid = F.size(X.tool_calls(F.col("t"), _CALL))
-    return x.select("event_id", r(F.greatest(1.0 - 0.2 * (calls - valid) - 0.1 * (calls > 1).cast("int"), F.lit(-1.0))).alias("reward"))
+    return x.select("event_id", r(X.call_format_reward(F.regexp_count("t", F.lit("<tool_call>")), F.size(X.tool_calls(F.col("t"), _CALL)))).alias("reward"))
 
 
 def t60_numbered(s, d):
@@ -205,8 +198,8 @@ def t67_verdict(s, d):
 
 
 def t69_messages(s, d):
-    c = table(s, d, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
-    return c.select("conv_id", F.array_join(F.transform("h", lambda m: F.concat(F.lit("**"), F.initcap(m["role"]), F.lit("**: "), m["text"])), "\n").alias("text"))
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
+    return c.select("conv_id", X.transcript(F.col("h")).alias("text")).where("text <> ''")
 
 
 def t70_without_thoughts(s, d):
@@ -214,23 +207,18 @@ def t70_without_thoughts(s, d):
 
 
 def t71_valid_messages(s, d):
-    x = _answers(s, d)
-    return x.select("conv_id", "turn", ((F.trim("t") != "") & (F.regexp_count("t", F.lit("<think>")) == F.regexp_count("t", F.lit("</think>")))).alias("valid"))
+    return _answers(s, d).select("conv_id", "turn", X.valid_message(F.col("t")).alias("valid"))
 
 
 def t73_support_type(s, d):
-    p = table(s, d, "part")
-    n = F.lower("p_name")
-    kind = F.when(n.contains("lamp"), "ceiling").when(n.contains("red") | n.contains("blue"), "wall").when(n.contains("e"), "surface").otherwise("floor")
-    return p.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    kind = X.first_rule(F.col("p_name"), [(("lamp",), "ceiling"), (("red", "blue"), "wall"), (("e",), "surface")], "floor")
+    return table(s, d, "part").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def t74_choices(s, d):
-    b = table(s, d, "benchmark")
     options = F.array(*[F.lit(x) for x in ("right", "wrong1", "wrong2", "wrong3")])
-    draws = b.select("item_id", F.posexplode(options).alias("i", "option")).withColumn("draw", F.md5(F.concat_ws(":", F.lit("7"), F.col("item_id").cast("string"), F.col("option"))))
-    listed = draws.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("draw", "option"))).alias("h"))
-    return listed.select("item_id", F.array_join("h.option", ",").alias("options"), F.array_position("h.option", "right").cast("int").alias("answer"))
+    x = prepare.multiple_choice(table(s, d, "benchmark"), "item_id", options, "7", "right")
+    return x.select("item_id", F.array_join("options", ",").alias("options"), F.array_position("options", "right").cast("int").alias("answer"), "letter")
 
 
 def s15_metric_keys(s, d):
@@ -275,5 +263,5 @@ QUERIES = {
     "t70_without_thoughts": (t70_without_thoughts, f"select conv_id, turn, trim(replace(t, '<think>x</think>', '')) as text from {_ANS}"),
     "t71_valid_messages": (t71_valid_messages, "select conv_id, turn, true as valid from conversations"),
     "t73_support_type": (t73_support_type, "select case when contains(lower(p_name), 'lamp') then 'ceiling' when contains(lower(p_name), 'red') or contains(lower(p_name), 'blue') then 'wall' when contains(lower(p_name), 'e') then 'surface' else 'floor' end as kind, count(*) as n from part group by 1"),
-    "t74_choices": (t74_choices, "select item_id, string_agg(o, ',' order by md5('7:' || item_id || ':' || o), o) as options, cast(list_position(list(o order by md5('7:' || item_id || ':' || o), o), 'right') as int) as answer from benchmark, (values ('right'), ('wrong1'), ('wrong2'), ('wrong3')) t(o) group by 1"),
+    "t74_choices": (t74_choices, "select item_id, string_agg(o, ',' order by md5('7:' || item_id || ':' || o), o) as options, cast(list_position(list(o order by md5('7:' || item_id || ':' || o), o), 'right') as int) as answer, chr(cast(64 + list_position(list(o order by md5('7:' || item_id || ':' || o), o), 'right') as int)) as letter from benchmark, (values ('right'), ('wrong1'), ('wrong2'), ('wrong3')) t(o) group by 1"),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -108,3 +108,8 @@ def state_machine(stream: DataFrame, key: str, order: str, event: str, first: st
 def count_windows(stream: DataFrame, sequence: str, size: int, *aggregates) -> DataFrame:
     """Aggregates of every `size` consecutive numbers of a sequence that starts at 0."""
     return stream.groupBy(F.floor(F.col(sequence) / size).cast("long").alias("window")).agg(*aggregates)
+
+
+def queue_capacity(workers: Column, batch: int, ahead: float) -> Column:
+    """Samples that a queue holds at most: each worker's batches, and as many more as they may run ahead."""
+    return F.ceil(workers * batch * (1 + ahead)).cast("long")

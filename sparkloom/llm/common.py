@@ -243,7 +243,7 @@ def with_struct(df: DataFrame, name: str, fields: str, columns: list, make: Call
     if name in df.columns:
         raise ValueError(f"the rows have a column {name} already; choose another name")
     bound_batches(df.sparkSession)
-    arguments = [c.alias(f"__in{i}") for i, c in enumerate(columns)]
+    arguments = [c.alias(n) for c, n in zip(columns, private(df, *[f"in{i}" for i in range(len(columns))]), strict=True)]
     kind = T.StructType.fromDDL(fields)
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
     arrow, inputs = to_arrow_schema(kind), len(arguments)

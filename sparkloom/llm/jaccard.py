@@ -332,7 +332,7 @@ def _links(tasks: DataFrame, members: DataFrame, percent: int, wanted: int) -> D
     return out
 
 
-def star_tasks(sizes: DataFrame, prefixes: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+def star_tasks(sizes: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, hub): for each member the document that is the hub of the most of its prefix tokens; and the search tasks, from sizes (id, n).
 
     A token's hub is the document that holds it and has the fewest tokens of its own: of near copies, the one that the
@@ -345,7 +345,7 @@ def star_tasks(sizes: DataFrame, prefixes: DataFrame, chunk: int) -> tuple[DataF
     chosen = staged(best, "stars")
     unstage(hubs)
     stars = chosen.where("id <> hub")
-    of = stars.groupBy("hub").agg(F.count("*").alias("of"), F.ceil(F.count("*") / (ASKED * chunk)).cast("int").alias("k"))
+    of = stars.groupBy("hub").agg(F.count("*").alias("of"), F.ceil(F.count("*") / LEAST).cast("int").alias("k"))
     hub = staged(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")).join(of, "hub"), "hubs")
     dealt = join_salted(sizes.join(stars, "id"), hub, "hub", "of", stars.count(), "id")
     # The larger side asks: members no smaller than the hub ask it (up), and it asks the others.
@@ -400,7 +400,7 @@ def labelled(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, segment:
     total = members.count()
     chunk = min(chunk, max(LEAST, total // _partitions(spark))) if chunk == CHUNK else chunk
     wanted = -(-2 * total // chunk)
-    chosen, stars = star_tasks(members.select("id", "n"), prefixes, chunk)
+    chosen, stars = star_tasks(members.select("id", "n"), prefixes)
     links = _links(stars, members, percent, wanted)
     near = connected_components(links).select(F.col("node").alias("id"), "component")
     # Neighbours lie in the same chunk: a component, or a hub's documents, fill whole chunks or share one with others.

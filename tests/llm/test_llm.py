@@ -759,6 +759,45 @@ def test_pipeline_against_brute_force(spark):
     assert got == want and len(want) < len(rows) * 3
 
 
+def test_empty_tables_and_clashing_names(spark, odd):
+    """No rows give no rows, and columns by inner names pass through."""
+    none = odd.where("false")
+    assert media.media_report(none).count() == 0 and secrets.secret_report(none).count() == 0 and html.page_report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = odd.select("doc_id", "text", "source", *[F.lit(7).alias(n) for n in ("__found", "__toxic", "__mix", "__key", "__copy", "__row", "__kept", "__times", "__salt", "__in0", "sig", "n", "comp")])
+    labels, bench = spark.createDataFrame([(1, 0)], "doc_id long, toxic int"), spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    for kept in (toxicity.drop_toxic(clash, labels), jaccard.keep_one_per_component(clash), decontaminate.drop_contaminated(clash, bench), mixing.mix_sources(clash)):
+        assert kept.columns == clash.columns and kept.where("__found <> 7 or sig <> 7 or __row <> 7").count() == 0 and kept.count() > 0
+    with pytest.raises(ValueError, match="__found"):
+        decontaminate.mark_contamination(clash, bench)
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    """Rows are told apart by id and text: only the copies of a repeated id go, null ids too, and equal rows leave one."""
+    same, near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen", "another text that has nothing in common with the first one at all"
+    rows = [(1, same), (1, near), (2, same), (None, same), (None, near + " x y z w v u t s r q p o n m"), (3, near), (4, same), (4, same), (5, "alone and different from every other row here"), (5, "alone and different from every other row here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit("e"))
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one_per_component(docs).collect()), key=str)
+    assert got == sorted([(1, same), (1, near), rows[4], (5, rows[8][1])], key=str)
+
+
+def test_pipeline_with_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated ids and extra columns; and no rows at all."""
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd.select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("__mix"))), ("none", odd.where("false"))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (6, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "tail5 word6 tail6 word7 tail7 word8 tail8 word9 tail9 word10"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: r.start)
+        at = 0
+        for r in got:
+            assert r.start == at
+            at += r.n_tokens
+        ids = [r.doc_id for r in got]
+        assert ids == sorted(ids, key=lambda i: (i is None, i or 0)) and not {4, 7, 9} & set(ids) and (len(ids) > 0) == (name == "odd")
+
+
 def test_registered_sql(spark):
     import duckdb
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator

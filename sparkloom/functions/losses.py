@@ -144,3 +144,37 @@ def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
     for (a, ya), (b, yb) in zip(knots, knots[1:], strict=False):
         out = out.when(x <= b, ya + (yb - ya) * (x - a) / (b - a))
     return out.otherwise(F.lit(knots[-1][1]))
+
+
+def kl_reward(score: Column, log_p: Column, reference: Column, beta: float) -> Column:
+    """Score less beta times the log ratio to the reference."""
+    return score - beta * (log_p - reference)
+
+
+def geometric_mean_loss(log_p: Column, old: Column, advantage: Column, mask: Column, limit: float) -> Column:
+    """An aggregate over a sequence: minus mean advantage times the geometric mean of ratios, whose logs are cut at the limit
+    on the side that the advantage's sign gains from."""
+    step = F.when(advantage >= 0, F.least(log_p - old, F.lit(limit))).otherwise(F.greatest(log_p - old, F.lit(-limit)))
+    n = F.sum(mask) + 1e-8
+    return -(F.sum(advantage * mask) / n) * F.exp(F.sum(step * mask) / n)
+
+
+def sequence_log_prob(log_p: Column, on: Column, mean: bool = False) -> Column:
+    """An aggregate over a sequence: the log-probabilities of the tokens that are on, added up or averaged."""
+    kept = F.when(on, log_p)
+    return F.avg(kept) if mean else F.sum(kept)
+
+
+def flow_loss(log_p: Column, old: Column, advantage: Column, log_z: float = 0.5, beta: float = 15.0, limit: float = 10.0) -> Column:
+    """Squared flow balance of mean log-probabilities and advantage, weighted by the ratio up to a limit."""
+    return F.least(F.exp(log_p - old), F.lit(limit)) * (log_z + log_p - beta * advantage - old) ** 2
+
+
+def shape_reward(corners: Column) -> Column:
+    """1 for a room of four corners, a half for six or eight, else -1."""
+    return F.when(corners == 4, 1.0).when(corners.isin(6, 8), 0.5).otherwise(-1.0)
+
+
+def rate_reward(rate: Column, limit: float) -> Column:
+    """1 where nothing fails, down to 0 at the limit, then down to -1 where all does."""
+    return F.when(rate == 0, 1.0).when(rate <= limit, 1 - rate / limit).otherwise(-(rate - limit) / (1 - limit))

@@ -89,3 +89,19 @@ def token_bucket(arrivals: Column, rate: float, size: float) -> Column:
     first = F.get(arrivals, F.lit(0))["at"]
     start = F.struct(first.alias("at"), F.lit(size).alias("have"), F.array().cast("array<double>").alias("out"))
     return F.aggregate(arrivals, start, step, lambda a: a["out"])
+
+
+def mismatches(a: Column, b: Column, mask: Column) -> Column:
+    """At how many masked places two arrays differ."""
+    differ = F.zip_with(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), mask, lambda x, m: x * m)
+    return F.aggregate(differ, F.lit(0), lambda s, x: s + x)
+
+
+def last_elements(a: Column, n: int) -> Column:
+    """The last n elements (all if fewer)."""
+    return F.slice(a, F.greatest(F.lit(1), F.size(a) - (n - 1)), F.lit(n))
+
+
+def at_last(n: Column, value: Column) -> Column:
+    """An array of n zeros but for the value at its end."""
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == n, value).otherwise(0.0))

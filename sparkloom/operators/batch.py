@@ -198,3 +198,43 @@ def ragged(df: DataFrame, group: str, order: str, *arrays: str) -> DataFrame:
     rows = df.groupBy(group).agg(held.alias("__h"))
     offsets = lambda a: F.aggregate(F.col(f"__h.{a}"), F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + F.size(x))))
     return rows.select(group, *[c for a in arrays for c in (F.flatten(F.col(f"__h.{a}")).alias(a), offsets(a).alias(f"{a}_offsets"))])
+
+
+def reorder(df: DataFrame, order: Column, pos: str = "pos") -> DataFrame:
+    """df with `slot`, the place that each row takes: order is a permutation of the positions, as an expression."""
+    return df.withColumn("slot", order.cast("long")).drop(pos)
+
+
+def inverse_permutation(df: DataFrame, group: str, key: str, *order: str) -> DataFrame:
+    """(group, at, was): the place of each row in the given order, and by key, both from 1 within the group."""
+    w = Window.partitionBy(group)
+    return df.select(group, F.row_number().over(w.orderBy(*order)).alias("at"), F.row_number().over(w.orderBy(key)).alias("was"))
+
+
+def union_maps(a: Column, b: Column) -> Column:
+    """Both maps' entries; a key that both have must have one value (null with null), else the query fails."""
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    same = F.forall(shared, lambda k: a[k].eqNullSafe(b[k]))
+    rest = F.map_filter(b, lambda k, _: ~F.array_contains(shared, k))
+    return F.when(same, F.map_concat(a, rest)).otherwise(F.raise_error(F.lit("maps differ in a shared key")))
+
+
+def lists_by_key(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+    """(key, values...): each column's values as an array, in order."""
+    held = F.sort_array(F.collect_list(F.struct(order, *[v for v in values if v != order])))
+    return df.groupBy(key).agg(held.alias("__h")).select(key, *[F.col(f"__h.{v}").alias(v) for v in values])
+
+
+def rows_where(df: DataFrame, mask: Column) -> DataFrame:
+    """The rows whose mask holds; null counts as not."""
+    return df.where(F.coalesce(mask, F.lit(False)))
+
+
+def consistent(df: DataFrame, *columns: str) -> DataFrame:
+    """(columns..., rows): how many values each column has, and how many rows there are."""
+    return df.agg(*[F.count(c).alias(c) for c in columns], F.count("*").alias("rows"))
+
+
+def text_size(df: DataFrame, *columns: str) -> DataFrame:
+    """(`column`_bytes..., rows): bytes of the columns' texts, and rows."""
+    return df.agg(*[F.sum(F.octet_length(c)).alias(f"{c}_bytes") for c in columns], F.count("*").alias("rows"))

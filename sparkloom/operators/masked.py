@@ -58,3 +58,10 @@ def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     """df with a 0-based number for each distinct key, in order; the distinct keys are numbered by ranges, not in one task."""
     keys = with_position(df.select(F.col(key).alias("__key")).distinct(), "__key", name=name)
     return df.join(keys, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+
+
+def next_token_loss(df: DataFrame, row: str, order: list[str], log_p: str, mask: str) -> DataFrame:
+    """(row, loss): minus the log-probabilities of the tokens before masked ones, averaged over the masked ones."""
+    after = F.lead(mask).over(Window.partitionBy(row).orderBy(*order))
+    x = df.withColumn("__next", after)
+    return x.groupBy(row).agg((F.sum(F.when(F.col("__next") == 1, -F.col(log_p)).otherwise(0.0)) / F.greatest(F.sum(F.coalesce("__next", F.lit(0))), F.lit(1))).alias("loss"))

@@ -193,3 +193,23 @@ def loss_report(df: DataFrame, oob: str, collision: str, limit: float) -> DataFr
     """(oob, oob_std, col, valid): mean losses in thousandths and the share of scenes whose losses add up to the limit at most."""
     total = F.round(F.col(oob) + F.col(collision), 9)
     return df.agg((F.avg(oob) * 1000).alias("oob"), (F.stddev_pop(oob) * 1000).alias("oob_std"), (F.avg(collision) * 1000).alias("col"), F.avg((total <= limit).cast("double")).alias("valid"))
+
+
+def probability_gap(df: DataFrame, by: str, log_p: str, other: str) -> DataFrame:
+    """(by, max, mean, std, pearson) of two policies' token probabilities: their distance and correlation."""
+    x = df.withColumn("__p", F.exp(log_p)).withColumn("__q", F.exp(other)).withColumn("__d", F.abs(F.col("__p") - F.col("__q")))
+    return x.groupBy(by).agg(F.max("__d").alias("max"), F.avg("__d").alias("mean"), F.stddev_samp("__d").alias("std"), F.corr("__p", "__q").alias("pearson"))
+
+
+def top_covariance(df: DataFrame, group: str, a: str, b: str, share: float, *ties: str) -> DataFrame:
+    """The share (at least one) of each group's rows with the largest covariance of a and b (at nine digits), as `cov`."""
+    w = Window.partitionBy(group)
+    cov = F.round((F.col(a) - F.avg(a).over(w)) * (F.col(b) - F.avg(b).over(w)), 9)
+    x = df.withColumn("cov", cov).withColumn("__rn", F.row_number().over(w.orderBy(F.desc("cov"), *ties))).withColumn("__n", F.count("*").over(w))
+    return x.where(F.col("__rn") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share))).drop("__rn", "__n")
+
+
+def non_improvement(df: DataFrame, key: str, order: str, value: str, penalty: float) -> DataFrame:
+    """df with `penalty` where the value is no larger than the one before it, else 0."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    return df.withColumn("penalty", F.when(before.isNotNull() & (F.col(value) <= before), penalty).otherwise(0.0))

@@ -96,3 +96,20 @@ def coverage(df: DataFrame, key: str, cache: DataFrame) -> DataFrame:
 def missing_columns(df: DataFrame, **kinds: str) -> DataFrame:
     """df with a null column of the given type for each name that it lacks."""
     return df.select("*", *[F.lit(None).cast(k).alias(n) for n, k in kinds.items() if n not in df.columns])
+
+
+def last_turns(df: DataFrame, group: str, turn: str, least: int) -> DataFrame:
+    """(group, last): the last turn of the groups that have got to `least`."""
+    return df.groupBy(group).agg(F.max(turn).alias("last")).where(F.col("last") >= least)
+
+
+def prompt_columns(text: Column, gold: Column, style: str = "rule") -> list[Column]:
+    """prompt (one user message) and reward_model (style and ground truth) of a training row."""
+    message = F.struct(F.lit("user").alias("role"), text.alias("content"))
+    return [F.array(message).alias("prompt"), F.struct(F.lit(style).alias("style"), F.coalesce(gold, F.lit("")).alias("ground_truth")).alias("reward_model")]
+
+
+def collapsed(**columns: Column) -> Column:
+    """Columns as one map of strings, null ones left out."""
+    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in columns]), F.array(*[c.cast("string") for c in columns.values()]))
+    return F.map_filter(pairs, lambda _, v: v.isNotNull())

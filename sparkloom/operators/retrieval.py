@@ -120,7 +120,8 @@ def threshold_with_fallback(df: DataFrame, group: str, score: str, threshold: fl
 
 def reuse_earlier(df: DataFrame, group: str, order: str, description: str, size: str, limit: float) -> DataFrame:
     """(group, order, source): each row reuses the first earlier row of its group that wasn't itself reused, has the same
-    description and a size within limit; else its own order. The decision depends on those before, so a group is one task's."""
+    description and a size within limit; else its own order. The decision depends on those before, so the rows of one group
+    and description are one task's."""
     import pandas as pd
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +136,7 @@ def reuse_earlier(df: DataFrame, group: str, order: str, description: str, size:
         return pd.DataFrame({group: pdf[group], order: pdf[order], "source": source})
 
     kinds = dict(df.dtypes)
-    return df.select(group, order, description, size).groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {order} {kinds[order]}, source {kinds[order]}")
+    return df.select(group, order, description, size).groupBy(group, description).applyInPandas(pick, f"{group} {kinds[group]}, {order} {kinds[order]}, source {kinds[order]}")
 
 
 def views_max(df: DataFrame, query: str, item: str, image: str, text: str, threshold: float) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -20,7 +19,7 @@ def _orders(s, d):
 
 
 def b04_mask(s, d):
-    return _orders(s, d).where(F.col("o_totalprice") > 200000).select("pos", "o_orderkey")
+    return B.rows_where(_orders(s, d), F.col("o_totalprice") > 200000).select("pos", "o_orderkey")
 
 
 def b05_select(s, d):
@@ -52,10 +51,11 @@ def b10_union_columns(s, d):
 
 
 def b13_union_maps(s, d):
+    """Maps that share a key with one value."""
     e = table(s, d, "events")
-    a, b = F.create_map(F.lit("user"), F.col("user_id").cast("string")), F.create_map(F.lit("type"), F.col("event_type"))
-    m = F.map_concat(a, b)
-    return e.select("event_id", m["user"].alias("user"), m["type"].alias("type"), F.size(m).alias("n"))
+    user = lambda k: F.create_map(F.lit("user"), F.col("user_id").cast("string"), *k)
+    m = B.union_maps(user([]), user([F.lit("type"), F.col("event_type")]))
+    return e.select("event_id", m.alias("m")).select("event_id", F.col("m")["user"].alias("user"), F.col("m")["type"].alias("type"), F.size("m").alias("n"))
 
 
 def b14_concat(s, d):
@@ -64,9 +64,8 @@ def b14_concat(s, d):
 
 
 def b15_lists_by_key(s, d):
-    e = table(s, d, "events")
-    held = F.sort_array(F.collect_list(F.struct("event_id", "value")))
-    return e.groupBy("event_type").agg(held.alias("h")).select("event_type", F.size("h").alias("n"), r(F.element_at(F.col("h"), 1)["value"], 4).alias("first"), r(F.element_at(F.col("h"), -1)["value"], 4).alias("last"))
+    x = B.lists_by_key(table(s, d, "events"), "event_type", "event_id", "value")
+    return x.select("event_type", F.size("value").alias("n"), r(F.element_at("value", 1), 4).alias("first"), r(F.element_at("value", -1), 4).alias("last"))
 
 
 def b16_chunk(s, d):
@@ -80,8 +79,7 @@ def b17_split(s, d):
 
 def b18_reorder(s, d):
     o = _orders(s, d)
-    n = o.count()
-    return o.select((F.lit(n - 1) - F.col("pos")).alias("slot"), "o_orderkey")
+    return B.reorder(o, F.lit(o.count() - 1) - F.col("pos")).select("slot", "o_orderkey")
 
 
 def b19_repeat_interleave(s, d):

@@ -29,12 +29,11 @@ def b12_equal_maps(s, d):
 
 
 def b30_consistency(s, d):
-    li = table(s, d, "lineitem")
-    return li.agg(*[F.count(c).alias(c) for c in ("l_orderkey", "l_partkey", "l_quantity")], F.count("*").alias("rows"))
+    return batch.consistent(table(s, d, "lineitem"), "l_orderkey", "l_partkey", "l_quantity")
 
 
 def b31_sizes(s, d):
-    return table(s, d, "documents").agg(F.sum(F.octet_length("text")).alias("text_bytes"), F.count("*").alias("rows"))
+    return batch.text_size(table(s, d, "documents"), "text")
 
 
 def b36_keys(s, d):
@@ -73,20 +72,17 @@ def s04_preferences(s, d):
 
 
 def s08_class_from_name(s, d):
-    """One file a class; the class is the file's folder."""
+    """The class of a file is its folder."""
     path = scratch(s, "classes")
     table(s, d, "part").select("p_partkey", "p_size").write.partitionBy("p_size").parquet(path)
-    x = s.read.parquet(path).select("p_partkey", F.regexp_extract(F.col("_metadata.file_path"), r"p_size=([0-9]+)/", 1).alias("class"))
-    return x.groupBy("class").agg(F.count("*").alias("n"))
+    return files.class_from_folder(s, path, "p_size").groupBy("class").agg(F.count("*").alias("n"))
 
 
 def s14_fan_out(s, d):
     """The same rows to two sinks."""
-    df = table(s, d, "customer").select("c_custkey", "c_mktsegment")
-    a, b = scratch(s, "a"), scratch(s, "b")
-    df.write.parquet(a)
-    df.write.json(b)
-    return s.read.parquet(a).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("k")).withColumn("sink", F.lit("parquet")).unionByName(s.read.schema(df.schema).json(b).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("k")).withColumn("sink", F.lit("json")))
+    made = files.fan_out(table(s, d, "customer").select("c_custkey", "c_mktsegment"), parquet=scratch(s, "a"), json=scratch(s, "b"))
+    parts = [x.agg(F.count("*").alias("n"), F.sum("c_custkey").alias("k")).withColumn("sink", F.lit(n)) for n, x in made.items()]
+    return batch.concat(*parts)
 
 
 def s22_cache_stats(s, d):
@@ -208,7 +204,7 @@ def n44_area_reward(s, d):
 
 def n46_support_reward(s, d):
     p = table(s, d, "part").groupBy("p_brand").agg(F.avg((F.col("p_size") < 4).cast("double")).alias("rate"))
-    return p.select("p_brand", r(F.when(F.col("rate") == 0, 1.0).when(F.col("rate") <= 0.1, 1 - F.col("rate") / 0.1).otherwise(-(F.col("rate") - 0.1) / 0.9), 5).alias("reward"))
+    return p.select("p_brand", r(L.rate_reward(F.col("rate"), 0.1), 5).alias("reward"))
 
 
 def n56_topk_divergence(s, d):

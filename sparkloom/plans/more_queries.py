@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import losses as L
@@ -12,6 +11,7 @@ from ..operators import balance, batch, geometry, matching, retrieval
 from ..operators import groups as G
 from ..operators import metrics as M
 from ..session import if_small, scratch
+from ..sources import files
 from ..streaming import queues as Q
 from .common import r, table
 
@@ -19,31 +19,27 @@ from .common import r, table
 def s07_tolerant_load(s, d):
     path = scratch(s, "scenes")
     table(s, d, "part").select(F.when(F.col("p_partkey") % 7 == 0, "nope").otherwise(F.to_json(F.struct("p_partkey", "p_brand"))).alias("value")).write.text(path)
-    x = s.read.schema("p_partkey long, p_brand string").option("mode", "PERMISSIVE").json(path)
-    return x.groupBy("p_brand").agg(F.count("*").alias("n"))
+    return files.read_tolerant(s, path, "p_partkey long, p_brand string").groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 def s13_append_log(s, d):
     path = scratch(s, "log")
     e = table(s, d, "events").select((F.col("event_id") % 3).alias("step"), F.struct("event_type", "value").alias("data"))
-    for i in range(3):
-        e.where(F.col("step") == i).write.mode("append").json(path)
+    files.append_log(e, path, "step", [0, 1, 2])
     return s.read.schema("step long, data struct<event_type:string,value:double>").json(path).groupBy("step").agg(F.count("*").alias("n"), r(F.sum("data.value"), 3).alias("value"))
 
 
 def s19_snapshot(s, d):
-    path = scratch(s, "snapshot")
     held = table(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
-    held.write.parquet(path)
-    return s.read.parquet(path).select("o_custkey", F.array_join("keys", ",").alias("keys"))
+    return files.snapshot(held, scratch(s, "snapshot")).select("o_custkey", F.array_join("keys", ",").alias("keys"))
 
 
 def s24_reuse(s, d):
     """A materialised batch is read again, not computed again."""
     path = scratch(s, "rollout")
-    make = lambda: table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    make().write.mode("ignore").parquet(path)
-    make().where("false").write.mode("ignore").parquet(path)  # ignored: there already
+    made = table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    files.write_once(made, path)
+    files.write_once(made.where("false"), path)  # there already
     return s.read.parquet(path)
 
 
@@ -199,9 +195,11 @@ def n49_rotated_overlap(s, d):
 
 
 def n54_repair(s, d):
-    p = table(s, d, "part").select("p_brand", F.col("p_partkey").alias("key"), (F.col("p_size") / 5.0 - 1).alias("x"), (F.col("p_size") / 6.0).alias("z"), (F.col("p_size") % 12 + 0.5).alias("w"))
-    x = geometry.repair(p, "p_brand", 10.0)
-    return x.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.col("removed").cast("int")).alias("removed"))
+    """Scenes of a brand and size, so a scene is small."""
+    scene = F.concat_ws(":", "p_brand", "p_size").alias("scene")
+    p = table(s, d, "part").select(scene, F.col("p_partkey").alias("key"), (F.col("p_size") / 5.0 - 1).alias("x"), (F.col("p_size") / 6.0).alias("z"), (F.col("p_size") % 12 + 0.5).alias("w"))
+    x = geometry.repair(p, "scene", 10.0)
+    return x.groupBy("scene").agg(F.count("*").alias("n"), F.sum(F.col("removed").cast("int")).alias("removed"))
 
 
 def t11_fractions(s, d):
@@ -500,7 +498,7 @@ QUERIES = {
     "n43_object_count": (n43_object_count, "select p_partkey, round(case when p_size % 20 >= 15 then 1 when p_size % 20 >= 5 then (p_size % 20 - 5) / 10.0::double else -1 end, 6) as reward, p_size % 20 < 4 as override from part"),
     "n48_yaw": (n48_yaw, "select p_partkey, round((p_size - 25) / 10.0::double, 6) as yaw from part"),
     "n49_rotated_overlap": (n49_rotated_overlap, "select p_partkey, round(8 / (1 + abs(sin(radians(p_partkey % 360))) + abs(cos(radians(p_partkey % 360)))), 5) as area from part"),
-    "n54_repair": (n54_repair, "select p_brand, count(*) as n, count(case when p_size % 12 + 0.5 > 10 then 1 end) as removed from part group by 1"),
+    "n54_repair": (n54_repair, "select p_brand || ':' || p_size as scene, count(*) as n, count(case when p_size % 12 + 0.5 > 10 then 1 end) as removed from part group by p_brand, p_size"),
     "s07_tolerant_load": (s07_tolerant_load, "select case when p_partkey % 7 <> 0 then p_brand end as p_brand, count(*) as n from part group by 1"),
     "s13_append_log": (s13_append_log, "select event_id % 3 as step, count(*) as n, round(sum(value), 3) as value from events group by 1"),
     "s19_snapshot": (s19_snapshot, "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as keys from orders group by 1"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import losses as L
 from ..functions import scans as S
+from ..operators import batch, masked, prepare
+from ..operators import metrics as M
 from .common import r, table
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
@@ -45,18 +47,15 @@ def w04_response_mask(s, d):
 
 
 def w05_last_columns(s, d):
-    return _arrays(s, d).select("l_orderkey", F.array_join(F.slice("mask", F.greatest(F.lit(1), F.size("mask") - 1), F.lit(2)).cast("array<string>"), "").alias("mask"))
+    return _arrays(s, d).select("l_orderkey", F.array_join(S.last_elements(F.col("mask"), 2).cast("array<string>"), "").alias("mask"))
 
 
 def w08_inverse_permutation(s, d):
-    w, v = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = table(s, d, "orders").select("o_custkey", F.row_number().over(v).alias("pos"), F.row_number().over(w).alias("rank"))
-    return o.select("o_custkey", F.col("rank").alias("at"), F.col("pos").alias("was"))
+    return batch.inverse_permutation(table(s, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice", "o_orderkey")
 
 
 def w09_iteration_max(s, d):
-    c = table(s, d, "conversations")
-    return c.groupBy("conv_id").agg(F.max("turn").alias("last")).where("last >= 1")
+    return prepare.last_turns(table(s, d, "conversations"), "conv_id", "turn", 1)
 
 
 def w10_turn_weighted(s, d):
@@ -87,10 +86,7 @@ def m11_token_bucket(s, d):
 
 
 def m18_non_improvement(s, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(s, d, "events")
-    before = F.lag("value").over(w)
-    return e.select("event_id", F.when(before.isNotNull() & (F.col("value") <= before), -0.05).otherwise(0.0).alias("penalty"))
+    return M.non_improvement(table(s, d, "events"), "user_id", "event_id", "value", -0.05).select("event_id", "penalty")
 
 
 _KEYS = ["l_orderkey", *_ORDER[:3]]
@@ -112,7 +108,7 @@ def n02_kl(s, d):
 
 
 def n03_rewards(s, d):
-    return _logs(s, d).select(*_KEYS, r(F.col("adv") - 0.1 * (F.col("old") - F.col("lp"))).alias("reward"))
+    return _logs(s, d).select(*_KEYS, r(L.kl_reward(F.col("adv"), F.col("old"), F.col("lp"), 0.1)).alias("reward"))
 
 
 def n04_policy_loss(s, d):
@@ -141,11 +137,8 @@ def n07_gpg_loss(s, d):
 
 def k11_covariance_top(s, d):
     """The masked tokens of each supplier with the largest covariance of advantage and log-probability."""
-    x = _logs(s, d).where("m = 1")
-    w = Window.partitionBy("l_suppkey")
-    cov = (F.col("adv") - F.avg("adv").over(w)) * (F.col("lp") - F.avg("lp").over(w))
-    y = x.withColumn("cov", F.round(cov, 9)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("cov"), "l_orderkey", *_ORDER))).withColumn("n", F.count("*").over(w))
-    return y.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.02))).groupBy("l_suppkey").agg(F.count("*").alias("kept"), r(F.sum("cov"), 4).alias("cov"))
+    y = M.top_covariance(_logs(s, d).where("m = 1"), "l_suppkey", "adv", "lp", 0.02, "l_orderkey", *_ORDER)
+    return y.groupBy("l_suppkey").agg(F.count("*").alias("kept"), r(F.sum("cov"), 4).alias("cov"))
 
 
 def n09_kl_cov(s, d):
@@ -159,10 +152,8 @@ def n09_kl_cov(s, d):
 
 
 def n10_geometric_mean(s, d):
-    x = _logs(s, d)
-    step = F.when(F.col("adv") >= 0, F.least(F.col("lp") - F.col("old"), F.lit(0.4))).otherwise(F.greatest(F.col("lp") - F.col("old"), F.lit(-0.4)))
-    z = x.groupBy("l_orderkey").agg(F.sum("m").alias("n"), F.exp(F.sum(step * F.col("m")) / (F.sum("m") + 1e-8)).alias("q"), (F.sum(F.col("adv") * F.col("m")) / (F.sum("m") + 1e-8)).alias("a"))
-    return z.select("l_orderkey", r(-F.col("a") * F.col("q")).alias("loss"))
+    loss = L.geometric_mean_loss(F.col("lp"), F.col("old"), F.col("adv"), F.col("m"), 0.4)
+    return _logs(s, d).groupBy("l_orderkey").agg(loss.alias("x")).select("l_orderkey", r("x").alias("loss"))
 
 
 def n13_value_loss(s, d):
@@ -230,15 +221,12 @@ def a24_weight_metrics(s, d):
 
 
 def a26_debug_metrics(s, d):
-    p, q = F.exp("lp"), F.exp("old")
-    x = _logs(s, d).where("m = 1").withColumns({"p": p, "q": q, "diff": F.abs(p - q)})
-    return x.groupBy("l_suppkey").agg(r(F.max("diff")).alias("max"), r(F.avg("diff")).alias("mean"), r(F.stddev_samp("diff")).alias("std"), r(F.corr("p", "q")).alias("pearson"))
+    x = M.probability_gap(_logs(s, d).where("m = 1"), "l_suppkey", "lp", "old")
+    return x.select("l_suppkey", *[r(c).alias(c) for c in ("max", "mean", "std", "pearson")])
 
 
 def a27_mismatches(s, d):
-    a = _arrays(s, d)
-    diff = F.zip_with("rew", "val", lambda x, y: (x != y).cast("int"))
-    return a.select("l_orderkey", F.aggregate(F.zip_with(diff, "mask", lambda x, m: x * m), F.lit(0), lambda x, y: x + y).alias("n"))
+    return _arrays(s, d).select("l_orderkey", S.mismatches(F.col("rew"), F.col("val"), F.col("mask")).alias("n"))
 
 
 def n26_dpo(s, d):
@@ -252,9 +240,8 @@ def n25_sppo(s, d):
 
 
 def n27_batch_logps(s, d):
-    x = _logs(s, d)
     on = F.col("l_linenumber") != 7
-    return x.groupBy("l_orderkey").agg(r(F.sum(F.when(on, F.col("lp")))).alias("total"), r(F.avg(F.when(on, F.col("lp")))).alias("mean"))
+    return _logs(s, d).groupBy("l_orderkey").agg(r(L.sequence_log_prob(F.col("lp"), on)).alias("total"), r(L.sequence_log_prob(F.col("lp"), on, mean=True)).alias("mean"))
 
 
 def n28_ce_dpo(s, d):
@@ -264,14 +251,11 @@ def n28_ce_dpo(s, d):
 
 def n30_flow(s, d):
     x = _logs(s, d).groupBy("l_orderkey").agg(F.avg("lp").alias("p"), F.avg("old").alias("q"), F.avg("adv").alias("a"))
-    w = F.least(F.exp(F.col("p") - F.col("q")), F.lit(10.0))
-    return x.select("l_orderkey", r(w * (0.5 + F.col("p") - 15 * F.col("a") - F.col("q")) ** 2, 4).alias("loss"))
+    return x.select("l_orderkey", r(L.flow_loss(F.col("p"), F.col("q"), F.col("a")), 4).alias("loss"))
 
 
 def n31_sft_loss(s, d):
-    w = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
-    x = _logs(s, d).withColumn("next", F.lead("m").over(w))
-    return x.groupBy("l_orderkey").agg(r(F.sum(F.when(F.col("next") == 1, -F.col("lp")).otherwise(0.0)) / F.greatest(F.sum(F.coalesce("next", F.lit(0))), F.lit(1))).alias("loss"))
+    return masked.next_token_loss(_logs(s, d), "l_orderkey", list(_ORDER), "lp", "m").select("l_orderkey", r("loss").alias("loss"))
 
 
 def n32_workload(s, d):
@@ -286,8 +270,7 @@ def n40_rewards(s, d):
 
 
 def n45_shape_reward(s, d):
-    n = F.col("p_size") % 10
-    return table(s, d, "part").select("p_partkey", F.when(n == 4, 1.0).when(n.isin(6, 8), 0.5).otherwise(-1.0).alias("reward"))
+    return table(s, d, "part").select("p_partkey", L.shape_reward(F.col("p_size") % 10).alias("reward"))
 
 
 _ARR = f"(select l_orderkey, list(l_discount order by {_O}, l_returnflag) as rew, list(l_tax order by {_O}, l_returnflag) as val, list(case when l_returnflag <> 'R' then 1 else 0 end order by {_O}, l_returnflag) as mask, list(l_linenumber order by {_O}, l_returnflag) as lines from lineitem group by 1)"

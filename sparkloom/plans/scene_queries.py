@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scans
 from ..functions import text as X
 from ..operators import balance, batch, geometry, matching, prepare
 from ..operators import groups as G
@@ -213,8 +213,7 @@ def s11_parquet_round_trip(s, d):
 
 
 def s12_responses(s, d):
-    c = table(s, d, "conversations")
-    return c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("h")).select("conv_id", F.array_join("h.text", "|").alias("responses"), F.size("h").alias("n"))
+    return files.joined_turns(table(s, d, "conversations"), "conv_id", "turn", "text")
 
 
 def s16_flatten(s, d):
@@ -240,13 +239,12 @@ def s25_append(s, d):
 
 
 def t57_prompt_rows(s, d):
-    b = table(s, d, "benchmark")
-    row = b.select("item_id", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt"), F.struct(F.lit("rule").alias("style"), F.coalesce(F.get(F.split("text", " "), F.lit(0)), F.lit("")).alias("ground_truth")).alias("reward_model"))
+    row = table(s, d, "benchmark").select("item_id", *prepare.prompt_columns(F.col("text"), F.get(F.split("text", " "), F.lit(0))))
     return row.select("item_id", F.col("prompt")[0]["role"].alias("role"), F.length(F.col("prompt")[0]["content"]).alias("n"), F.col("reward_model.ground_truth").alias("gold"))
 
 
 def t58_collapse(s, d):
-    e = table(s, d, "events").select("event_id", F.map_concat(F.create_map(F.lit("kind"), F.col("event_type")), F.create_map(F.lit("user"), F.col("user_id").cast("string"))).alias("extra"))
+    e = table(s, d, "events").select("event_id", prepare.collapsed(kind=F.col("event_type"), user=F.col("user_id")).alias("extra"))
     return e.select("event_id", F.col("extra")["kind"].alias("kind"), F.col("extra")["user"].alias("user"))
 
 
@@ -259,9 +257,8 @@ def f01_custom_scorer(s, d):
 
 
 def f03_last_token_score(s, d):
-    c = table(s, d, "conversations").withColumn("n", F.size(F.split(F.trim("text"), r"\s+")))
-    scores = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(i == F.col("n"), F.col("turn").cast("double")).otherwise(0.0))
-    return c.select("conv_id", "turn", F.size(scores).alias("n"), r(F.element_at(scores, -1)).alias("last"))
+    c = table(s, d, "conversations").withColumn("scores", scans.at_last(X.word_count(F.col("text")), F.col("turn").cast("double")))
+    return c.select("conv_id", "turn", F.size("scores").alias("n"), r(F.element_at("scores", -1)).alias("last"))
 
 
 def f07_registry(s, d):

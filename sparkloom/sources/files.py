@@ -64,3 +64,45 @@ def override(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
     columns = [c for c in base.columns if c != key]
     o = other.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
     return base.join(o, key, "full").select(key, *[F.coalesce(f"__{c}", c).alias(c) for c in columns])
+
+
+def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines in which a broken line is a row of nulls."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def append_log(df: DataFrame, path: str, step: str, steps: list[int]) -> None:
+    """JSON lines, one append a step, in this order."""
+    for i in steps:
+        df.where(F.col(step) == i).write.mode("append").json(path)
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """Write df unless there is something at the path already, which then stays."""
+    df.write.mode("ignore").parquet(path)
+
+
+def snapshot(df: DataFrame, path: str) -> DataFrame:
+    """df written to the path and read from it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fan_out(df: DataFrame, **paths: str) -> dict[str, DataFrame]:
+    """The same rows written in several formats (format=path), each read back."""
+    out = {}
+    for kind, path in paths.items():
+        df.write.format(kind).save(path)
+        out[kind] = df.sparkSession.read.schema(df.schema).format(kind).load(path)
+    return out
+
+
+def joined_turns(df: DataFrame, group: str, order: str, text: str, separator: str = "|") -> DataFrame:
+    """(group, responses, n): a group's texts in order, joined, and how many they are."""
+    held = F.sort_array(F.collect_list(F.struct(order, text)))
+    return df.groupBy(group).agg(held.alias("__h")).select(group, F.array_join(F.transform("__h", lambda x: x[text]), separator).alias("responses"), F.size("__h").alias("n"))
+
+
+def class_from_folder(spark: SparkSession, path: str, column: str, name: str = "class") -> DataFrame:
+    """Parquet files by folder, with what their folder says of a column as text."""
+    return spark.read.parquet(path).withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), rf"{column}=([^/]+)/", 1))

@@ -27,6 +27,8 @@ from .common import bound_batches, private, small, staged, with_struct
 MAX_TOXIC, MAX_OTHER = 10_000, 20_000
 #: Lengths of the word beginnings that can be lexicon entries besides whole words.
 STEMS = (4, 5, 6)
+#: Share of accented letters up to which a text counts as written without accents.
+ACCENTS = 0.003
 #: Entries that a task counts before it hands its counts on.
 HELD = 200_000
 MIN_TOXIC, MIN_WEIGHT, MIN_Z = 3, 3.0, 3.0
@@ -52,7 +54,7 @@ FOLD |= {c: _SPACE for c in (0x85, 0xA0, 0xA1, 0xAB, 0xB7, 0xBB, 0xBF, *range(0x
 FOLD |= {c: None for r in (range(0x300, 0x370), range(0x1AB0, 0x1B00), range(0x1DC0, 0x1E00), range(0x20D0, 0x2100), range(0xFE20, 0xFE30)) for c in r}
 WORD = re.compile(r"[^\W\d_]+")
 INSIDE = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
-DOLLAR = re.compile(r"\$+(?=[^\W\d_])|(?<=[^\W\d_])\$+")
+DOLLAR = re.compile(r"\$+(?=[^\W\d_])|(?<=[^\W\d_])\${1,2}(?![\w$])")
 SPELLED = re.compile(r"(?<![^ ])(?:[^\W\d_] ){3,}[^\W\d_](?![^ ])")
 
 
@@ -67,12 +69,16 @@ class Model(NamedTuple):
 def fold(text: str) -> str:
     """Folded words with one space between, before and after.
 
-    Lower case; look-alikes, digits and signs that stand for letters become those, accents and invisible characters go,
-    every other sign is a space. Four or more letters that stand alone side by side are one word.
+    Lower case; look-alikes, digits and signs that stand for letters become those, invisible characters go, every other
+    sign is a space. Accents go where a text has hardly any, so that they are decoration and not its spelling (at most
+    three, or so many by ACCENTS); else letters are composed. Four or more letters that stand alone side by side are one word.
     """
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFD", text)
+        text = unicodedata.normalize("NFC", text)
+        apart = unicodedata.normalize("NFD", text)
+        if len(apart) - len(text) <= max(3, ACCENTS * len(text)):
+            text = apart
     if "$" in text:
         text = DOLLAR.sub(lambda m: "s" * len(m[0]), text)
     if "!" in text:

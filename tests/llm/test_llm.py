@@ -365,9 +365,10 @@ def test_toxicity_folds_and_exceptions():
     m = toxicity.Matcher(toxicity.Model({" idiot ": 5.0, " clow": 4.0, " ass ": 2.0}, (-3.0, 2.0, 1.0), ("clown fish", "a clown")))
     for text in ("an id1ot", "an IDIОT!", "ｉｄｉｏｔ", "ídiot", "i\u0301diot", "id!ot", "i d i o t", "i.d.i.o.t", "id\u200biot", "a$$", "(idiot)"):
         assert m.features(text)[2] == 1, text
-    for text in ("idiotic", "clown fish", "Clown  FISH!", "a clown fish", "he is it", None, "", "$5 a b c"):
+    for text in ("idiotic", "clown fish", "Clown  FISH!", "a clown fish", "he is it", None, "", "$5 a b c", "as$$$"):
         assert m.features(text)[2] == 0, text
     assert m.features("clowns")[2] == 1 and m.features("a clown, a clown fish, one clown")[2] == 1
+    assert toxicity.fold("déjà été élève à côté, cafe\u0301") == " déjà été élève à côté café "  # a text that is spelled with accents keeps them
     assert m.features(None) == (0.0, 0.0, 0) and m.features("x " * 1000 + "idiot")[0] < m.features("idiot")[0]
     assert m.features("you idiot")[0] == m.features("you idiot" + "." * 500 + " " * 500)[0]
     assert m.phrases("one idiot, clowns") == {"one idiot", "idiot clowns"} and m.phrases("idiot") == set()

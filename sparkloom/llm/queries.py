@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, langid, media, mixing, secrets, tokens, toxicity, urls
+from . import decontaminate, divergence, html, jaccard, langid, media, mixing, secrets, tokens, toxicity, urls, veccodes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +51,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.code_report(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_token_output, op4_language_id, op5_url_filter, op6_html_extraction, op7_source_mixing, op8_decontamination, op9_jaccard_join, op10_secret_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_token_output, op4_language_id, op5_url_filter, op6_html_extraction, op7_source_mixing, op8_decontamination, op9_jaccard_join, op10_secret_scan, op12_source_divergence, op13_vector_codes, pipeline)}
 
 #: Window containment over word positions: every window of an item against every run of as many words of a document.
 DECONTAMINATION = r"""
@@ -85,4 +93,4 @@ reach as (select r, r as c from d union select reach.r, sides.y from reach join
 select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(e.doc_id) as component_id from d left join n using (r) join reach using (r) join d e on e.r = reach.c group by d.r, d.doc_id
 """
 
-ORACLES = {"op5_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": DECONTAMINATION, "op9_jaccard_join": JACCARD}
+ORACLES = {"op5_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": DECONTAMINATION, "op9_jaccard_join": JACCARD, "op12_source_divergence": divergence.ORACLE, "op13_vector_codes": veccodes.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, html, jaccard, langid, media, mixing, secrets, tokens, toxicity, urls, veccodes
+from . import decontaminate, divergence, html, jaccard, langid, media, mixing, repeats, secrets, tokens, toxicity, urls, veccodes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_token_output, op4_language_id, op5_url_filter, op6_html_extraction, op7_source_mixing, op8_decontamination, op9_jaccard_join, op10_secret_scan, op12_source_divergence, op13_vector_codes, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_token_output, op4_language_id, op5_url_filter, op6_html_extraction, op7_source_mixing, op8_decontamination, op9_jaccard_join, op10_secret_scan, op11_suffix_dedup, op12_source_divergence, op13_vector_codes, pipeline)}
 
 #: Window containment over word positions: every window of an item against every run of as many words of a document.
 DECONTAMINATION = r"""

@@ -27,8 +27,8 @@ from .common import bound_batches, private, small, staged, with_struct
 MAX_TOXIC, MAX_OTHER = 10_000, 20_000
 #: Lengths of the word beginnings that can be lexicon entries besides whole words.
 STEMS = (4, 5, 6)
-#: Share of accented letters up to which a text counts as written without accents.
-ACCENTS = 0.003
+#: A text without a match scores a quarter at most, whatever share of the labelled rows is toxic.
+NO_MATCH = -float(np.log(3))
 #: Entries that a task counts before it hands its counts on.
 HELD = 200_000
 MIN_TOXIC, MIN_WEIGHT, MIN_Z = 3, 3.0, 3.0
@@ -70,15 +70,12 @@ def fold(text: str) -> str:
     """Folded words with one space between, before and after.
 
     Lower case; look-alikes, digits and signs that stand for letters become those, invisible characters go, every other
-    sign is a space. Accents go where a text has hardly any, so that they are decoration and not its spelling (at most
-    three, or so many by ACCENTS); else letters are composed. Four or more letters that stand alone side by side are one word.
+    sign is a space. Letters are composed and keep their accents: see `plain`. Four or more letters that stand alone side
+    by side are one word.
     """
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-        apart = unicodedata.normalize("NFD", text)
-        if len(apart) - len(text) <= max(3, ACCENTS * len(text)):
-            text = apart
     if "$" in text:
         text = DOLLAR.sub(lambda m: "s" * len(m[0]), text)
     if "!" in text:
@@ -87,10 +84,16 @@ def fold(text: str) -> str:
     return SPELLED.sub(lambda m: m[0].replace(" ", ""), text)
 
 
+def plain(folded: str) -> str:
+    """The same words without accents, which may be decoration or spelling: every word is looked for in both forms."""
+    return folded if folded.isascii() else unicodedata.normalize("NFD", folded).translate(FOLD)
+
+
 def entries(text: str) -> set[str]:
-    """The lexicon entries that a text could hold: its words and their beginnings."""
+    """The lexicon entries that a text could hold: its words and their beginnings, as they are spelled."""
     out = set()
-    for w in set(WORD.findall(fold(text))):
+    folded = fold(text)
+    for w in set(WORD.findall(folded)):
         if len(w) >= 3:
             out.add(f" {w} ")
             out.update(f" {w[:n]}" for n in STEMS if len(w) >= n)
@@ -109,8 +112,8 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def matches(self, folded: str) -> dict[int, tuple[int, float]]:
-        """Place to (length, weight) of the longest entry there, without those inside an exception phrase."""
+    def _found(self, folded: str) -> dict[int, tuple[int, float]]:
+        """Number of the word to (length, weight) of the longest entry that begins with it, without those inside an exception phrase."""
         best: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
         for end, (length, weight) in self.automaton.iter(folded) if len(self.automaton) else ():
@@ -125,10 +128,19 @@ class Matcher:
             for _, e in spared:
                 reach.append(max(e, reach[-1] if reach else 0))
             best = {at: x for at, x in best.items() if not (i := bisect_right(starts, at)) or reach[i - 1] < at + x[0] - 1}
-        return best
+        out, word, seen = {}, 0, 0
+        for at in sorted(best):  # entries begin with the space before a word
+            word, seen = word + folded.count(" ", seen, at), at
+            out[word] = best[at]
+        return out
+
+    def matches(self, folded: str) -> dict[int, tuple[int, float]]:
+        """What is found in the words as they are, and else in their forms without accents."""
+        best = self._found(folded)
+        return best if folded.isascii() else self._found(plain(folded)) | best
 
     def features(self, text: str | None) -> tuple[float, float, int]:
-        """Log weight by 100 words, log weight, and the number of matches; the longest entry at a place counts."""
+        """Log weight by 100 words, log weight, and the number of matches; the longest entry of a word counts."""
         folded = fold(text or "")
         best = self.matches(folded)
         total = sum(w for _, w in best.values())
@@ -136,15 +148,16 @@ class Matcher:
         return float(np.log1p(100 * total / words)), float(np.log1p(total)), len(best)
 
     def phrases(self, text: str | None) -> set[str]:
-        """The pairs of words in which a match stands."""
+        """The pairs of words in which a match stands, with and without accents."""
         folded = fold(text or "")
-        out = set()
-        for at in self.matches(folded):
-            end = folded.find(" ", at + 1)
-            if at > 0:
-                out.add(folded[folded.rfind(" ", 0, at) + 1 : end])
-            if end + 1 < len(folded):
-                out.add(folded[at + 1 : folded.find(" ", end + 1)])
+        best, out = self.matches(folded), set()
+        for form in {folded, plain(folded)} if best else ():
+            words = form.split()
+            for i in best:
+                if i > 0:
+                    out.add(f"{words[i - 1]} {words[i]}")
+                if i + 1 < len(words):
+                    out.add(f"{words[i]} {words[i + 1]}")
         return out
 
     def score(self, text: str | None) -> tuple[float, int]:
@@ -179,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
     labelled ids, those of least hash, are used, with one text each (of rows that repeat an id, that of the least hash);
     only these and the entries and phrases that pass are ever gathered. Null labels and ids are left out; if an id has
     several labels, the greater counts. Without toxic or without other rows the model has no entries and scores the share
-    of toxic rows, a quarter if there are none at all.
+    of toxic rows. A text without a match scores a quarter at most: nothing is toxic without evidence.
     """
     spark = bound_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "toxic")
@@ -194,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
     p, q = sizes.get(True, 0), sizes.get(False, 0)
     if not p or not q:
         rate = (p + 0.5) / (p + q + 2)
-        return Model({}, (float(np.log(rate / (1 - rate))), 0.0, 0.0))
+        return Model({}, (min(float(np.log(rate / (1 - rate))), NO_MATCH), 0.0, 0.0))
 
     def tallies(of: Callable) -> DataFrame:
         return sample.mapInArrow(_tally(of), "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -237,16 +250,23 @@ def lexicon(a: dict[str, int], b: dict[str, int], p: int, q: int) -> dict[str, f
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, most: float = NO_MATCH) -> tuple[float, float, float]:
+    """Ridge logistic regression by Newton's method; an intercept above `most` is held there and the slopes are fitted again."""
     x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
-    for _ in range(30):
-        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x.T * (mu * (1 - mu))) @ x + ridge * np.eye(x.shape[1]), x.T @ (y - mu) - ridge * beta)
-        beta += step
-        if np.abs(step).max() < 1e-8:
-            break
+
+    def fitted(beta: np.ndarray, free: slice) -> np.ndarray:
+        z = x[:, free]
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            step = np.linalg.solve((z.T * (mu * (1 - mu))) @ z + ridge * np.eye(z.shape[1]), z.T @ (y - mu) - ridge * beta[free])
+            beta[free] += step
+            if np.abs(step).max() < 1e-8:
+                break
+        return beta
+
+    beta = fitted(np.zeros(x.shape[1]), slice(None))
+    if beta[0] > most:
+        beta = fitted(np.array([most, *np.zeros(x.shape[1] - 1)]), slice(1, None))
     return tuple(float(v) for v in beta)
 
 

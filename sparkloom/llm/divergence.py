@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,39 +26,73 @@ from .common import BROADCAST_ROWS, bound_batches, small, staged, unstage
 #: A term counts if so many documents of its language hold it; ranks of terms end at TOP.
 LEAST_DOCS, TOP = 10, 10
 SEATS = 8
-#: Numbers that a block unpacks to, at most about: terms of a slice times sources of a seat.
-CELLS = 1 << 20
-#: Entries that a task counts before it hands its counts on.
-HELD = 300_000
+#: Numbers that a block unpacks to, at most about (terms of a slice times sources of a seat), and limits of a slice's terms.
+CELLS, LEAST_TERMS, MOST_TERMS = 1 << 20, 1 << 10, 1 << 14
+#: Counts, and different terms, that a task holds before it hands its counts on.
+HELD, KNOWN = 2_000_000, 500_000
 ONE = 1_000_000_000
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class Tally:
+    """Occurrences and documents of each term in each group, as sorted arrays of (group, term) numbers."""
+
+    def __init__(self):
+        self.groups, self.terms, self.size = Numbers(), Numbers(), 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, langs: list, sources: list, texts: list[bytes]) -> None:
+        found = [TERM.findall(t.lower()) for t in texts]  # of bytes: A-Z alone
+        lengths = np.array([len(f) for f in found], np.int64)
+        term = np.fromiter(map(self.terms.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
+        group = np.array([self.groups[g] for g in zip(langs, sources, strict=True)], np.int64)
+        held, n = np.unique(np.repeat(np.arange(len(texts)), lengths) << 32 | term, return_counts=True)
+        key = group[held >> 32] << 32 | (held & 0xFFFFFFFF)
+        self.parts.append((key, n, np.ones(len(key), np.int64)))
+        self.size += len(key)
+        if self.size > HELD:
+            self.parts = [self.summed()]
+            self.size = len(self.parts[0][0])
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+        return (key[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, docs)))
+
+    def batches(self, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+        """Rows (lang, source, term, n, docs); each group has one with the empty term."""
+        key, n, docs = self.summed()
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in range(2))
+        terms = pa.array([*self.terms, b""], pa.binary()).cast(pa.string())
+        none = np.zeros(len(self.groups), np.int64)
+        group = np.concatenate((np.arange(len(none)), key >> 32))
+        term = np.concatenate((none + len(self.terms), key & 0xFFFFFFFF))
+        n, docs = np.concatenate((none, n)), np.concatenate((none, docs))
+        for at in range(0, len(group), rows):
+            some = slice(at, at + rows)
+            yield pa.RecordBatch.from_arrays([langs.take(group[some]), sources.take(group[some]), terms.take(term[some]), pa.array(n[some]), pa.array(docs[some])], names=["lang", "source", "term", "n", "docs"])
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, text as bytes) to (lang, source, term, n, docs) of the task; the empty term says that a group is there."""
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def batch_of() -> pa.RecordBatch:
-        langs, sources, terms, ns, docs = [], [], [], [], []
-        for (lang, source), (n, d) in counts.items():
-            terms += [b"", *n]
-            ns += [0, *n.values()]
-            docs += [0, *(d[t] for t in n)]
-            langs += [lang] * (len(n) + 1)
-            sources += [source] * (len(n) + 1)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
-
+    held = Tally()
     for batch in small(batches):
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n, d = counts.setdefault((lang, source), (Counter(), Counter()))
-            terms = TERM.findall(text.lower())  # of bytes: A-Z alone
-            n.update(terms)
-            d.update(set(terms))
-        if sum(len(n) for n, _ in counts.values()) + len(counts) > HELD:
-            yield batch_of()
-            counts.clear()
-    if counts:
-        yield batch_of()
+        held.add(*[c.to_pylist() for c in batch.columns])
+        if held.size > HELD // 2 or len(held.terms) > KNOWN:
+            yield from held.batches()
+            held = Tally()
+    if held.groups:
+        yield from held.batches()
 
 
 def share(counts: np.ndarray, total: int, v: int) -> np.ndarray:
@@ -135,22 +169,24 @@ def _pack(top: int):
 
     def run(table: pa.Table) -> pa.Table:
         """Counts of one (lang, slice, seat) to its block and the best terms of each source; a row without a term tells a source's total."""
-        c = {n: table.column(n).to_pylist() for n in table.column_names}
-        lang, number, seat, v, terms, of_lang = (c[n][0] for n in ("lang", "slice", "seat", "v", "terms", "of_lang"))
-        sources: dict[str, tuple[int, list]] = {s: (total, []) for s, total, t in zip(c["source"], c["total"], c["term"], strict=True) if t is None}
-        for s, t, place, n, n_lang in zip(c["source"], c["term"], c["place"], c["n"], c["n_lang"], strict=True):
-            if t is not None:
-                sources[s][1].append((place, n, n_lang, t))
+        lang, number, seat, v, terms, of_lang = (table.column(n)[0].as_py() for n in ("lang", "slice", "seat", "v", "terms", "of_lang"))
+        table = table.sort_by([("source", "ascending"), ("place", "ascending")])  # the row without a term comes last
+        place, n, n_lang = (table.column(c).fill_null(-1).to_numpy() for c in ("place", "n", "n_lang"))
+        last = np.flatnonzero(place < 0)
+        sources, totals = table.column("source").take(last).to_pylist(), table.column("total").take(last).to_pylist()
+        term = table.column("term").combine_chunks()
         block, rows = Block(v, terms), []
-        for s in sorted(sources):
-            total, held = sources[s]
-            held.sort()
-            places, counts, of = (np.array([h[i] for h in held], np.int64) for i in range(3))
+        for s, total, lo, hi in zip(sources, totals, np.concatenate(([0], last[:-1] + 1)).tolist(), last.tolist(), strict=True):
+            places, counts, of = place[lo:hi].astype(np.int64), n[lo:hi], n_lang[lo:hi]
             block[s] = (total, places, counts)
             p, q = share(counts, total, v), share(of, of_lang, v)
             more = np.flatnonzero(p > q)
-            f = difference(p[more], q[more]).tolist()
-            best = heapq.nsmallest(top, ((-x, held[i][3].encode("utf-8", "surrogatepass"), held[i][3]) for x, i in zip(f, more.tolist(), strict=True)))
+            f = difference(p[more], q[more])
+            if len(f) > top:  # equal ones at the limit come along
+                some = f >= np.partition(f, len(f) - top)[len(f) - top]
+                more, f = more[some], f[some]
+            names = term.take(pa.array(lo + more)).to_pylist()
+            best = heapq.nsmallest(top, ((-x, t.encode("utf-8", "surrogatepass"), t) for x, t in zip(f.tolist(), names, strict=True)))
             rows += [(lang, number, seat, None, s, t, -x) for x, _, t in best]
         rows.append((lang, number, seat, block.pack(), None, None, None))
         return pa.table([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -214,7 +250,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     # Slices of a language: so many terms that a seat's block has at most about `cells` numbers.
     widest = groups.groupBy("lang", "seat").count().groupBy("lang").agg(F.max("count").alias("widest"))
     sizes = groups.select("lang").distinct().join(words.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("of_lang")), "lang", "left").join(widest, "lang")
-    sizes = staged(sizes.select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("of_lang", F.lit(0)).alias("of_lang"), F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) * F.col("widest") / cells)).alias("slices")), "langs")
+    sizes = staged(sizes.select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("of_lang", F.lit(0)).alias("of_lang"), F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) / F.least(F.greatest(F.lit(cells) / F.col("widest"), F.lit(LEAST_TERMS)), F.lit(MOST_TERMS)))).alias("slices")), "langs")
     langs = _if_small(sizes)
     placed = words.join(langs, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")))
     # A slice has a bounded number of terms, so its window does, too.

@@ -1,63 +1,33 @@
-"""Ordered scans over array columns as higher-order folds, and over rows as windows."""
+"""Ordered scans over array columns: linear recurrences as parallel scans, the rest as higher-order folds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _zip(**arrays: Column) -> Column:
-    return F.arrays_zip(*[a.alias(n) for n, a in arrays.items()])
-
-
-def _back(zipped: Column, start: Column, step, out) -> Column:
-    """Fold from the end; state has a field `out` that collects one value an element, in the original order."""
-    return F.reverse(F.aggregate(F.reverse(zipped), start, step, out))
+from ..operators import recurrences as R
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages before whitening: masked elements carry the next value and the advantage through."""
-
-    def step(a: Column, x: Column) -> Column:
-        delta = x["r"] + F.lit(gamma) * a["v"] - x["v"]
-        now = delta + F.lit(gamma * lam) * a["g"]
-        on = x["m"] == 1
-        g = F.when(on, now).otherwise(a["g"])
-        return F.struct(F.when(on, x["v"]).otherwise(a["v"]).alias("v"), g.alias("g"), F.concat(a["out"], F.array(g)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-    return _back(_zip(r=rewards, v=values, m=mask), start, step, lambda a: a["out"])
+    return R.scan_arrays(R.gae_maps(gamma, lam), 3, 1, rewards, values, mask)
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sums; the running return starts again at 0 after a masked element."""
-
-    def step(a: Column, x: Column) -> Column:
-        now = x["r"] + F.lit(gamma) * a["g"]
-        return F.struct((now * x["m"]).alias("g"), F.concat(a["out"], F.array(now)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-    return _back(_zip(r=rewards, m=mask), start, step, lambda a: a["out"])
+    return R.scan_arrays(R.return_maps(gamma), 3, 0, rewards, mask)
 
 
 def suffix_sums(rewards: Column, mask: Column) -> Column:
     """For each element the sum of the masked rewards from it to the end."""
-
-    def step(a: Column, x: Column) -> Column:
-        now = a["g"] + x["r"] * x["m"]
-        return F.struct(now.alias("g"), F.concat(a["out"], F.array(now)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-    return _back(_zip(r=rewards, m=mask), start, step, lambda a: a["out"])
+    return R.scan_arrays(R.sum_maps(), 2, 0, rewards, mask)
 
 
 def response_mask(ids: Column, ends: Column) -> Column:
     """1 up to and including the first element that is among ends, then 0."""
 
-    def step(a: Column, x: Column) -> Column:
-        return F.struct((a["done"] | F.array_contains(ends, x)).alias("done"), F.concat(a["out"], F.array(F.when(a["done"], 0).otherwise(1))).alias("out"))
-
-    return F.aggregate(ids, F.struct(F.lit(False).alias("done"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+    last = F.array_position(F.transform(ids, lambda x: F.coalesce(F.array_contains(ends, x), F.lit(False))), True)
+    return F.transform(ids, lambda _, i: F.when((last > 0) & (i >= last), 0).otherwise(1))
 
 
 def turn_weighted_score(scores: Column) -> Column:

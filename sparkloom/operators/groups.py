@@ -133,12 +133,12 @@ def pairwise_accuracy(df: DataFrame, group: str, position: str, score: str, accu
 
 
 def preference_weights(score: Column, lowest: Column, highest: Column, how: str, power: float = 2.0) -> Column:
-    """Weights by which rows are drawn again: pow (|s| to a power), max_min (1 for a group's extremes) or max_random (1 for
-    the best, 0.4 for the lowest, 0.1 for others); at least 1e-8."""
+    """Weights by which rows are drawn again (see sampling.weighted_draws): pow (|s| to a power), max_min (1 for a group's
+    extremes, 0 for others) or max_random (0.4 for the best, 0.1 for others); each and 1e-8 more."""
     w = {
         "pow": F.pow(F.abs(score), F.lit(power)),
         "max_min": F.when((score == highest) | (score == lowest), 1.0).otherwise(0.0),
         "max_random": F.when(score == highest, 0.4).otherwise(0.1),
     }[how]
-    return F.greatest(w, F.lit(1e-8))
+    return F.greatest(w + F.lit(1e-8), F.lit(1e-8))
 

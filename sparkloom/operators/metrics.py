@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -213,3 +214,26 @@ def non_improvement(df: DataFrame, key: str, order: str, value: str, penalty: fl
     """df with `penalty` where the value is no larger than the one before it, else 0."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
     return df.withColumn("penalty", F.when(before.isNotNull() & (F.col(value) <= before), penalty).otherwise(0.0))
+
+
+#: Least 16-bit numbers at which a Poisson variable of mean 1 is at least 1, 2, ...: 65536 times its distribution function.
+POISSON = tuple(int(65536 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(8))
+
+
+def bootstrap_mean(df: DataFrame, group: str, key: str, value: str, replicates: int = 32, seed: str = "boot") -> DataFrame:
+    """(group, mean, deviation): mean and population deviation of the group's mean over resamples of its rows.
+
+    In each replicate a row counts as often as a Poisson variable of mean 1 says, which the md5 of seed, block and the
+    row's key gives. All replicates are sums that tasks add up before anything moves, so a hot group is many tasks. Null
+    values are left out; a replicate without rows is none.
+    """
+    blocks = -(-replicates // 8)
+    drawn = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("__v"), *[F.md5(F.concat(F.lit(f"{seed}:{b}:"), F.col(key).cast("string"))).alias(f"__h{b}") for b in range(blocks)])
+    digit = lambda i: F.conv(F.substring(f"__h{i // 8}", i % 8 * 4 + 1, 4), 16, 10).cast("int")
+    counted = drawn.select(group, "__v", *[digit(i).alias(f"__u{i}") for i in range(replicates)])
+    times = lambda i: reduce(lambda a, b: a + b, [(F.col(f"__u{i}") >= t).cast("int") for t in POISSON])
+    weighted = counted.select(group, "__v", *[times(i).alias(f"__w{i}") for i in range(replicates)])
+    sums = weighted.groupBy(group).agg(*[x for i in range(replicates) for x in (F.sum(F.col("__v") * F.col(f"__w{i}")).alias(f"__s{i}"), F.sum(f"__w{i}").alias(f"__n{i}"))])
+    means = F.array(*[F.when(F.col(f"__n{i}") > 0, F.col(f"__s{i}") / F.col(f"__n{i}")) for i in range(replicates)])
+    m = sums.select(group, F.explode(means).alias("m")).where(F.col("m").isNotNull())
+    return m.groupBy(group).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("deviation"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.types import cast
 
-MODULES: tuple[str, ...] = tuple(f"sparkloom.plans.{m}_queries" for m in ("batch", "group", "scan", "metric", "text", "scene", "stream", "extra", "more"))
+MODULES: tuple[str, ...] = tuple(f"sparkloom.plans.{m}_queries" for m in ("batch", "group", "scan", "metric", "text", "scene", "stream", "extra", "more", "scale"))
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -1,19 +1,14 @@
-"""Similarity retrieval: cosine top-k of a query set against all rows, softmax, nucleus cut and re-ranking."""
+"""Similarity retrieval: cosine top-k of a query set against all rows (see cells), softmax, nucleus cut and re-ranking."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batch import with_position
-
-#: Scores that a task holds at a time.
-CELLS = 1 << 22
+from .cells import cosine_top_k  # noqa: F401
 
 
 def norm(v: Column) -> Column:
@@ -47,60 +42,6 @@ def aspect_difference(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, [F.abs(log_ratio(a, i, j) - log_ratio(b, i, j)) for i, j in pairs]) / len(pairs)
 
 
-def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
-    """Places of each row's k largest scores, equal ones by the least key."""
-    if scores.shape[1] <= k:
-        return np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)
-    limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    width = int((scores >= limit).sum(axis=1).max())  # ties at the limit come along
-    some = np.argpartition(-scores, min(width, scores.shape[1]) - 1, axis=1)[:, :width]
-    order = np.lexsort((keys[some], -np.take_along_axis(scores, some, 1)), axis=1)[:, :k]
-    return np.take_along_axis(some, order, 1)
-
-
-def cosine_top_k(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, block_bytes: int = 64 << 20) -> DataFrame:
-    """(query, item, score, rank): each query's k most similar items; ties (at nine digits) go to the least item key.
-
-    Queries go through in blocks of at most block_bytes of vectors, each a broadcast (the block's size is counted first, and
-    blocks are ranges of positions, so none exceeds it); all blocks meet the items in one scan, and a task keeps k
-    candidates a query and batch, so what is shuffled is batches x queries x k rows. Zero vectors score 0.
-    """
-    spark = queries.sparkSession
-    asked = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n:
-        return spark.createDataFrame([], "query long, item long, score double, rank int")
-    per = max(1, block_bytes // (8 * max(width, 1) + 8))
-    placed = with_position(asked, "q", name="pos") if n > per else asked.withColumn("pos", F.lit(0))
-    shared = []
-    for b in range(-(-n // per)):
-        part = placed.where((F.col("pos") >= b * per) & (F.col("pos") < (b + 1) * per)).collect()
-        q = np.array([r.v for r in part], np.float64)
-        lengths = np.linalg.norm(q, axis=1, keepdims=True)
-        shared.append(spark.sparkContext.broadcast((np.array([r.q for r in part], np.int64), q / np.where(lengths == 0, 1, lengths))))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            if not len(keys):
-                continue
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            v = (v / np.where(size == 0, 1, size)).T
-            for x in shared:
-                ids, unit = x.value
-                step = max(1, CELLS // len(keys))
-                for at in range(0, len(ids), step):
-                    scores = np.round(unit[at : at + step] @ v, 9)
-                    best = _best(scores, keys, k)
-                    rows = np.repeat(np.arange(len(scores)), best.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][rows]), pa.array(keys[best.ravel()]), pa.array(scores[rows, best.ravel()])], names=["query", "item", "score"])
-
-    found = items.select(F.col(key).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(search, "query long, item long, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def nucleus(df: DataFrame, group: str, score: str, tie: str, temperature: float = 1.0, top_p: float = 1.0) -> DataFrame:
     """df with p: softmax of score / temperature in each group; what lies beyond top_p (the row that crosses it stays) goes."""
     w = Window.partitionBy(group)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import batch, groups, sampling
 from ..operators import metrics as M
 from ..operators import recurrences as R
+from ..streaming import queues as Q
+from ..streaming import stateful
 from .common import r, table
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -50,6 +52,15 @@ def a15_bootstrap_mean(s, d):
     return x.select("event_type", r("mean", 5).alias("mean"), r("deviation", 5).alias("deviation"))
 
 
+def m02_consumed_queue(s, d):
+    """A queue a user: clicks and signups are put, views take, some errors clear and some purchases close."""
+    e = Q.stream_of(s, f"{d}/events.parquet")
+    t, v = F.col("event_type"), F.col("value")
+    kind = F.when(t.isin("click", "signup"), "put").when(t == "view", "take").when((t == "error") & (v > 100), "clear").when((t == "purchase") & (v > 150), "close")
+    with stateful.list_state(s):
+        return Q.run_available(stateful.consumed_queue(e.withColumn("kind", kind), "user_id", "event_id", F.col("kind")), "update", "consumed")
+
+
 _SEQ = "with recursive a as (select user_id, list(event_id order by event_id) as e, list(value * 0.010307718293::double order by event_id) as r, list(event_id % 7 / 10.0::double order by event_id) as v, list(case when event_type <> 'view' then 1 else 0 end order by event_id) as m from events group by 1)"
 _HEX = "cast('0x' || substr(h, {}, 15) as bigint)::hugeint"
 
@@ -65,7 +76,10 @@ def _feistel(rounds: int = 4) -> str:
 _DIGITS = ", ".join(f"('0x' || substr(md5('boot:{i // 8}:' || event_id), {i % 8 * 4 + 1}, 4))::int as u{i}" for i in range(32))
 _POISSON = " + ".join(f"(u >= {t})::int" for t in M.POISSON)
 
+_KIND = "case when event_type in ('click', 'signup') then 'put' when event_type = 'view' then 'take' when event_type = 'error' and value > 100 then 'clear' when event_type = 'purchase' and value > 150 then 'close' end"
+
 QUERIES = {
+    "m02_consumed_queue": (m02_consumed_queue, f"with recursive a as (select user_id, list({_KIND} order by event_id) as k from events group by 1), f as (select user_id, 1 as i, 0 as taken, 0 as held, 0 as waiting, false as closed from a union all select f.user_id, i + 1, case when k[i] = 'put' and waiting > 0 or k[i] = 'take' and held > 0 then taken + 1 else taken end, case when k[i] = 'put' and waiting = 0 then held + 1 when k[i] = 'take' and held > 0 then held - 1 when k[i] = 'clear' then 0 else held end, case when k[i] = 'put' and waiting > 0 then waiting - 1 when k[i] = 'take' and held = 0 and not closed then waiting + 1 when k[i] = 'close' then 0 else waiting end, closed or coalesce(k[i] = 'close', false) from f join a using (user_id) where i <= len(k)) select user_id, cast(taken as bigint) as taken, cast(held as bigint) as left, closed from f join a using (user_id) where i = len(k) + 1"),
     "g12_resample": (g12_resample, f"with x as (select {_K}, cast(round((pow(abs(l_quantity), 2) + 1e-8) / 1e-8) as hugeint) as w from lineitem), s as (select *, coalesce(sum(w) over (order by {_K} rows between unbounded preceding and 1 preceding), 0) as at from x), p as (select i as draw, ({_HEX.format(1)} * 1152921504606846976 + {_HEX.format(16)}) % (select sum(w) from x) as p from (select i, md5('42:' || i) as h from range((select count(*) from x)) t(i))) select draw, {_K} from p asof join s on p.p >= s.at"),
     "w01_gae_rows": (w01_gae_rows, f"{_SEQ}, f as (select user_id, len(e) + 1 as i, 0.0::double as nv, 0.0::double as g, null::bigint as event_id from a union all select f.user_id, i - 1, case when m[i - 1] = 1 then v[i - 1] else nv end, case when m[i - 1] = 1 then r[i - 1] + 0.9531::double * nv - v[i - 1] + 0.9531::double * 0.9173::double * g else g end, e[i - 1] from f join a using (user_id) where i > 1) select event_id, round(g, 6) + 0.0 as advantage from f where event_id is not null"),
     "w02_return_rows": (w02_return_rows, f"{_SEQ}, f as (select user_id, len(e) + 1 as i, 0.0::double as c, 0.0::double as o, null::bigint as event_id from a union all select f.user_id, i - 1, (r[i - 1] + 0.9531::double * c) * m[i - 1], r[i - 1] + 0.9531::double * c, e[i - 1] from f join a using (user_id) where i > 1) select event_id, round(o, 6) + 0.0 as return from f where event_id is not null"),

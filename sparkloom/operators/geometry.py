@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import regions
+
 
 def overlap(lo_a: list[Column], hi_a: list[Column], lo_b: list[Column], hi_b: list[Column]) -> Column:
     """Volume (or area) shared by two axis-aligned boxes."""
@@ -16,21 +20,14 @@ def overlap(lo_a: list[Column], hi_a: list[Column], lo_b: list[Column], hi_b: li
 
 
 def box_pairs(boxes: DataFrame, scene: str, key: str, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(scene, a, b, volume) of the pairs a < b of a scene whose boxes overlap.
+    """(scene, a, b, volume) of the pairs a < b of a scene whose boxes overlap; boxes has `{axis}0` and `{axis}1`.
 
-    boxes has `{axis}0` and `{axis}1`. Pairs are found by a grid along the first axis whose cell is the scene's widest box:
-    a box lies in at most two cells, and only boxes that share a cell meet, each pair in the first cell both touch.
+    Pairs are found in adaptive cells along the first and the last axis: see regions.quad_cells.
     """
-    x0, x1 = f"{axes[0]}0", f"{axes[0]}1"
-    cells = boxes.groupBy(scene).agg(F.greatest(F.max(F.col(x1) - F.col(x0)), F.lit(1e-9)).alias("__w"))
-    placed = boxes.join(cells, scene)
-    placed = placed.withColumn("__c0", F.floor(F.col(x0) / F.col("__w"))).withColumn("__c", F.explode(F.sequence(F.floor(F.col(x0) / F.col("__w")), F.floor(F.col(x1) / F.col("__w")))))
-    a, b = placed.alias("a"), placed.alias("b")
-    meet = (F.col(f"a.{scene}") == F.col(f"b.{scene}")) & (F.col("a.__c") == F.col("b.__c")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    first = F.col("a.__c") == F.greatest("a.__c0", "b.__c0")
     side = lambda t, i: [F.col(f"{t}.{x}{i}") for x in axes]
     volume = overlap(side("a", 0), side("a", 1), side("b", 0), side("b", 1))
-    return a.join(b, meet & first).select(F.col(f"a.{scene}").alias(scene), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), volume.alias("volume")).where("volume > 0")
+    met = regions.touching_pairs(boxes, scene, key, (axes[0], axes[-1]))
+    return met.select(F.col(f"a.{scene}").alias(scene), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), volume.alias("volume")).where("volume > 0")
 
 
 def outside_volume(lo: list[Column], hi: list[Column], room_lo: list[Column], room_hi: list[Column]) -> Column:
@@ -225,13 +222,56 @@ def convex_overlap(p: list, q: list) -> float:
     return abs(area(p))
 
 
-def footprint_overlap(a: Column, b: Column) -> Column:
-    """convex_overlap of two footprint columns, in Arrow batches."""
+def _turned(p: np.ndarray) -> np.ndarray:
+    """Twice the signed area of each polygon of (rows, corners, 2)."""
+    x, z = p[:, :, 0], p[:, :, 1]
+    return (x * np.roll(z, -1, 1) - np.roll(x, -1, 1) * z).sum(axis=1)
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([convex_overlap([list(v) for v in p], [list(v) for v in q]) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return F.pandas_udf(run, "double")(a, b)
+def convex_overlaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """convex_overlap of many pairs at once: (rows, corners, 2) each.
+
+    Every row's p is cut by the same side of its q in one step: corners are marked as kept, cuts are put before them, and
+    what is left moves to the front. Rows differ in how many corners they have left, so that number goes along.
+    """
+    q = np.where((_turned(q) < 0)[:, None, None], q[:, ::-1], q)
+    n, m = p.shape[:2]
+    count = np.full(n, m)
+    for a, b in zip(np.moveaxis(q, 1, 0), np.moveaxis(np.roll(q, -1, 1), 1, 0), strict=True):
+        there = np.arange(p.shape[1])[None, :] < count[:, None]
+        side = (b - a)[:, None, 0] * (p[:, :, 1] - a[:, None, 1]) - (b - a)[:, None, 1] * (p[:, :, 0] - a[:, None, 0])
+        prior = (np.arange(p.shape[1])[None, :] - 1) % np.maximum(count, 1)[:, None]
+        before, was = np.take_along_axis(side, prior, 1), np.take_along_axis(p, prior[:, :, None], 1)
+        crosses = there & (before * side < 0)
+        t = before / np.where(crosses, before - side, 1.0)
+        cut = was + t[:, :, None] * (p - was)
+        points = np.stack((cut, p), axis=2).reshape(n, -1, 2)
+        keep = np.stack((crosses, there & (side >= 0)), axis=2).reshape(n, -1)
+        order = np.argsort(~keep, axis=1, kind="stable")
+        count = keep.sum(axis=1)
+        width = max(int(count.max(initial=0)), 1)
+        p = np.take_along_axis(points, order[:, :width, None], 1)
+    there = np.arange(p.shape[1])[None, :] < count[:, None]
+    p = np.where(there[:, :, None], p, p[:, :1])  # corners beyond the last fall on the first and add nothing
+    return np.where(count < 3, 0.0, np.abs(_turned(p)) / 2)
+
+
+def footprint_overlap(a: Column, b: Column) -> Column:
+    """convex_overlap of two footprint columns (arrays of corners), whole Arrow batches at a time; null for null or fewer than three corners."""
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        sizes = [np.asarray(v.value_lengths().fill_null(0)) for v in (x, y)]
+        out = np.full(len(x), np.nan)
+        for m, k in {*zip(sizes[0].tolist(), sizes[1].tolist(), strict=True)}:  # a few kinds of polygons, not rows
+            if min(m, k) < 3:
+                continue
+            rows = np.flatnonzero((sizes[0] == m) & (sizes[1] == k))
+            p, q = (v.take(pa.array(rows)).flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), c, 2) for v, c in ((x, m), (y, k)))
+            out[rows] = convex_overlaps(p, q)
+        return pa.array(out, mask=np.isnan(out))
+
+    run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(a, b)
 
 
 def repair(scenes: DataFrame, scene: str, size: float, step: float = 0.2, rounds: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import scans
 from ..functions import text as X
-from ..operators import balance, batch, geometry, matching, prepare
+from ..operators import balance, batch, geometry, matching, prepare, regions
 from ..operators import groups as G
 from ..session import if_small, scratch
 from ..sources import files
@@ -33,11 +33,7 @@ def j07_box_pairs(s, d):
 
 
 def j09_supported(s, d):
-    b = _boxes(s, d)
-    under = b.select("p_brand", F.col("key").alias("k2"), F.floor(F.round(F.col("y1") * 20)).alias("level"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("z0").alias("v0"), F.col("z1").alias("v1"), F.col("y1").alias("top"))
-    low = b.withColumn("level", F.explode(F.array(*[F.floor(F.round(F.col("y0") * 20)) + i for i in (-1, 0, 1)])))
-    hit = low.join(under, ["p_brand", "level"]).where((F.col("key") != F.col("k2")) & (F.abs(F.round(F.col("y0") - F.col("top"), 6)) <= 0.05) & (F.col("x0") < F.col("u1")) & (F.col("u0") < F.col("x1")) & (F.col("z0") < F.col("v1")) & (F.col("v0") < F.col("z1")))
-    return b.join(hit.select("key").distinct(), "key", "left_semi").select("key")
+    return regions.supported(_boxes(s, d), "p_brand", "key").select("key").distinct()
 
 
 def j02_tiered_match(s, d):
@@ -89,11 +85,15 @@ def n50_outside(s, d):
 
 def n51_cells(s, d):
     """Voxels of side 5 that boxes of a scene share."""
+    return regions.voxel_overlap(_boxes(s, d), "p_brand", 5).select("p_brand", "cells", r("volume", 1).alias("volume"))
+
+
+def n52_voxel_outside(s, d):
+    """Voxels of side 5 of each box outside its scene's room, which is two boxes."""
     b = _boxes(s, d)
-    cells = b.select("p_brand", "key", F.explode(F.sequence(F.floor(F.col("x0") / 5), F.floor(F.col("x1") / 5))).alias("i"), "y0", "y1", "z0", "z1")
-    cells = cells.withColumn("j", F.explode(F.sequence(F.floor(F.col("y0") / 5), F.floor(F.col("y1") / 5)))).withColumn("k", F.explode(F.sequence(F.floor(F.col("z0") / 5), F.floor(F.col("z1") / 5))))
-    shared = cells.groupBy("p_brand", "i", "j", "k").agg(F.count("*").alias("n")).where("n > 1")
-    return shared.groupBy("p_brand").agg(F.count("*").alias("cells"), r(F.count("*") * 125.0, 1).alias("volume"))
+    corner = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("x0", "x1", "y0", "y1", "z0", "z1"), v, strict=True)])
+    rooms = b.select("p_brand").distinct().withColumn("r", F.explode(F.array(corner(0, 49, 0, 39, 0, 29), corner(0, 24, 0, 39, 0, 44)))).select("p_brand", "r.*")
+    return regions.voxel_outside(b, rooms, "p_brand", "key", 5).select("key", "cells", r("volume", 1).alias("volume"))
 
 
 def n57_clip_box(s, d):
@@ -296,6 +296,7 @@ QUERIES = {
     "n47_footprint": (n47_footprint, "select p_partkey, round(w, 6) + 0.0 as yaw, round(1 - p_size / 20.0::double * cos(w) - sin(w), 6) + 0.0 as x, round(3 + p_size / 20.0::double * sin(w) - cos(w), 6) + 0.0 as z from (select *, (p_size % 7) / 5.0::double as w from part)"),
     "n50_outside": (n50_outside, f"select key, round({_OUT}, 4) + 0.0 as outside, round({_OUT}, 6) > 0 as out from {_BOX}"),
     "n51_cells": (n51_cells, f"with c as (select p_brand, key, i, j, k from (select *, unnest(range(cast(floor(x0 / 5) as bigint), cast(floor(x1 / 5) as bigint) + 1)) as i from {_BOX}), lateral (select unnest(range(cast(floor(y0 / 5) as bigint), cast(floor(y1 / 5) as bigint) + 1)) as j), lateral (select unnest(range(cast(floor(z0 / 5) as bigint), cast(floor(z1 / 5) as bigint) + 1)) as k)), g as (select p_brand, i, j, k from c group by all having count(*) > 1) select p_brand, count(*) as cells, round(count(*) * 125.0::double, 1) as volume from g group by 1"),
+    "n52_voxel_outside": (n52_voxel_outside, f"with c as (select p_brand, key, unnest(range(cast(floor(x0 / 5) as bigint), cast(floor(x1 / 5) as bigint) + 1)) as i, y0, y1, z0, z1 from {_BOX}), e as (select p_brand, key, i, unnest(range(cast(floor(y0 / 5) as bigint), cast(floor(y1 / 5) as bigint) + 1)) as j, z0, z1 from c), f as (select key, i, j, unnest(range(cast(floor(z0 / 5) as bigint), cast(floor(z1 / 5) as bigint) + 1)) as k from e) select key, count(case when not (i between 0 and 9 and j between 0 and 7 and k between 0 and 5 or i between 0 and 4 and j between 0 and 7 and k between 0 and 8) then 1 end) as cells, round(count(case when not (i between 0 and 9 and j between 0 and 7 and k between 0 and 5 or i between 0 and 4 and j between 0 and 7 and k between 0 and 8) then 1 end) * 125.0::double, 1) as volume from f group by key"),
     "n57_clip_box": (n57_clip_box, f"select p_partkey, cast(floor({_ST}) as bigint) as lo, cast(ceil({_ST} + {_W}) as bigint) as hi from part"),
     "s05_prompts": (s05_prompts, "select trim(p) as prompt, count(*) as n from (select unnest(string_split(text, chr(10))) as p from benchmark) where trim(p) <> '' group by 1"),
     "s06_json_documents": (s06_json_documents, "select event_id % 10 = 0 as broken, count(*) as n, count(case when event_id % 10 <> 0 then 1 end) as ids from events group by 1"),

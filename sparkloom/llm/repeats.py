@@ -25,15 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bound_batches, mix, private, small, staged, unstage, with_struct
+from .common import bound_batches, join_salted, mix, private, small, staged, unstage, with_struct
 
 LENGTH = 400
 #: Starts of windows that are looked at together, and bytes of runs that a sorting task gets.
 PIECE, BUCKET = 1 << 19, 2 << 20
 #: Different runs of an anchor that are sorted in one task, at most; windows of a part of a run beyond it.
 LIMIT, PART = 1000, 40
-#: Numbers of removed places that are broadcast, at most; beyond it the join shuffles.
-BROADCAST = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _ODD = np.uint64(0xA24BAED4963EE407)
@@ -237,12 +235,6 @@ def _cut(length: int):
     return run
 
 
-def _join_lists(rows: DataFrame, lists: DataFrame, key: str, column: str, how: str) -> DataFrame:
-    """Join with a table of arrays: broadcast if they hold at most BROADCAST values together, else shuffled."""
-    size = lists.agg(F.sum(F.size(column) + 4)).first()[0] or 0
-    return rows.join(F.broadcast(lists) if size <= BROADCAST else lists, key, how)
-
-
 def _mixed_windows(texts: DataFrame, mixed: DataFrame, length: int, digit: int, limit: int, bucket: int) -> DataFrame:
     """(anchor, content, spans) of runs of anchors that have different ones: null where all windows are repeated, else the intervals of those that are."""
     spark, part = texts.sparkSession, min(PART, max(1, length // 10))
@@ -250,7 +242,7 @@ def _mixed_windows(texts: DataFrame, mixed: DataFrame, length: int, digit: int,
     hot = contents.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > limit).select("anchor", F.lit(True).alias("hot"))
     entry = F.struct("one.at", "one.span", "one.shift", "anchor", "content", "copies", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = staged(contents.join(hot, "anchor", "left").groupBy(F.col("one.id").alias("id")).agg(F.collect_list(entry).alias("wanted")), "wanted")
-    cuts = staged(_join_lists(texts.select("id", "text"), wanted, "id", "wanted", "inner").select("text", "wanted").mapInArrow(_cut(length), CUT), "cuts", compression="zstd")
+    cuts = staged(texts.select("id", "text").join(wanted, "id").select("text", "wanted").mapInArrow(_cut(length), CUT), "cuts", compression="zstd")
     unstage(wanted)
     total = cuts.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket)
@@ -286,9 +278,10 @@ def with_repeats(docs: DataFrame, name: str = "__repeats", length: int = LENGTH,
     rows = staged(docs.withColumn(place, F.monotonically_increasing_id()), "texts", compression="zstd")
     texts = rows.select(F.col(place).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     runs = staged(texts.where(F.octet_length("text") >= length).mapInArrow(_runs(length, digit, size), RUN), "runs")
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1").drop("n")
-    shared = staged(runs.join(anchors, "anchor"), "shared")
+    anchors = staged(runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1"), "anchors")
+    shared = staged(join_salted(runs, anchors, "anchor", "n", runs.count(), "id", "at").where(F.col("mixed").isNotNull()), "shared")
     unstage(runs)
+    unstage(anchors)
     judged = _mixed_windows(texts, shared.where("mixed"), length, digit, limit, bucket)
     whole = F.array(F.col("at"), F.col("at") + F.col("span"))
     some = F.transform("spans", lambda x: F.col("at") + x)
@@ -297,7 +290,7 @@ def with_repeats(docs: DataFrame, name: str = "__repeats", length: int = LENGTH,
     removed = staged(hits.groupBy("id").agg(F.flatten(F.collect_list("where")).alias("where")), "removed")
     unstage(shared)
     marks = private(rows, "where")[0]
-    joined = _join_lists(rows, removed.select(F.col("id").alias(place), F.col("where").alias(marks)), place, marks, "left")
+    joined = rows.join(removed.select(F.col("id").alias(place), F.col("where").alias(marks)), place, "left")
     merged = private(joined, "merged")[0]
 
     def make():

@@ -19,7 +19,9 @@ from .common import BROADCAST_ROWS, bound_batches, join_salted, private, small,
 from .urls import host_and_path
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'][^>]*\Z)*+)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another: a name and, if there is one, its value, so that no value is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'=]""")
+TOLD = frozenset("class id role hidden itemprop aria-hidden style".split())
 
 # Kinds of elements, and words of their classes and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -110,7 +112,10 @@ class Page:
                 if tag in INLINE:
                     if tag == "a":
                         link = max(0, link - 1)
-                    if tag != "span" or not any(t == "span" for t, _, _ in stack[-3:]):
+                    if tag != "span" or not opened.get("span"):
+                        continue
+                    if stack[-1][0] == "span" and stack[-1][1] == stack[-2][1]:  # a plain one
+                        pop()
                         continue
                 if opened.get(tag):
                     flush()
@@ -145,6 +150,9 @@ class Page:
             if tag in INLINE and not ((bad or soft) and tag == "span"):
                 if tag == "a":
                     link += 1
+                elif tag == "span" and opened.get("span"):  # within a span that counts, plain ones do until they close
+                    stack.append(("span", *stack[-1][1:]))
+                    opened["span"] += 1
                 continue
             flush()
             if tag not in INLINE and stack[-1][0] == "p":
@@ -170,7 +178,9 @@ class Page:
         """Generalised classes, whether kind or role make the element boilerplate, the word by which class or id do, and its bonus as a container."""
         bad, soft, words, good = tag in DROPPED and tag != "form", "form" if tag == "form" else None, [], False
         for m in ATTRIBUTE.finditer(text) if text and not text.isspace() else ():
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name not in TOLD:
+                continue
             if name in ("class", "id", "itemprop"):
                 for token in value.split():
                     word = boilerplate_word(token)
@@ -205,16 +215,18 @@ class Page:
             else:
                 outside += max(len(text) - linked, 0)
                 good |= better[e]
+        readers = [False] * size  # in comments, at any depth
+        for i in range(1, size):
+            readers[i] = readers[self.parent[i]] or self.soft.get(i, False)
         spared: set[int] = set()
         for e in sorted(own, key=lambda e: (-own[e], e)):
             if good or not own[e] or outside >= LEFT * own[e]:
                 break
-            chain, i = [], e
-            while i:
-                chain.append(i)
-                i = nearest[self.parent[i]]
-            if not any(self.soft[i] for i in chain):
-                spared.update(chain)
+            if not readers[e]:
+                i = e
+                while i and i not in spared:
+                    spared.add(i)
+                    i = nearest[self.parent[i]]
                 outside += own[e]
         gone = [False] * size
         for i in range(1, size):

@@ -104,8 +104,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     """
     host, path = host_and_path(F.col("url"))
     sites = pages.select("page_id", host.alias("host"), path.alias("path"))
-    number = F.regexp_extract("path", r"([0-9]{1,18})[^0-9]*$", 1)
-    keyed = staged(sites.withColumn("doc", F.when(number != "", number.cast("long"))).groupBy("host", "doc").agg(F.count("*").alias("pages")), "pages")
+    number = F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1)  # the whole run; longer ones are no document's
+    keyed = staged(sites.withColumn("doc", F.when(F.length(number).between(1, 18), number.cast("long"))).groupBy("host", "doc").agg(F.count("*").alias("pages")), "pages")
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg(F.min(good).alias("good"))
     n = F.when(F.col("good").isNotNull(), F.col("pages")).otherwise(0)
@@ -131,7 +131,7 @@ _TWO = ", ".join(f"'{x}'" for x in SUFFIXES)
 ORACLE = rf"""
 with cut as (select page_id, case when coalesce(instr(url, '://'), 0) > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 sites as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{ASCII_UPPER}', '{ASCII_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
-keyed as (select *, try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') as bigint) as doc from sites),
+keyed as (select *, case when len(regexp_extract(path, '([0-9]+)[^0-9]*$', 1)) between 1 and 18 then cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as bigint) end as doc from sites),
 known as (select doc_id as doc, min(case when quality = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end) as good from labels where doc_id is not null and quality is not null group by doc_id),
 named as (select host, regexp_replace(host, ':[0-9]*$', '') as name, count(*) as pages, count(good) as n, coalesce(sum(good), 0) as k from keyed left join known using (doc) group by host),
 two as (select *, regexp_extract(name, '([^.]+\.[^.]+)$', 1) as last_two, regexp_matches(name, '^[0-9.]+$|^\[') as address from named),

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import batch, groups, sampling
+from ..functions import algebra
+from ..operators import batch, groups, sampling, tools
 from ..operators import metrics as M
 from ..operators import recurrences as R
+from ..session import scratch
+from ..sources import log
 from ..streaming import queues as Q
 from ..streaming import stateful
 from .common import r, table
@@ -61,6 +64,30 @@ def m02_consumed_queue(s, d):
         return Q.run_available(stateful.consumed_queue(e.withColumn("kind", kind), "user_id", "event_id", F.col("kind")), "update", "consumed")
 
 
+def s25_append_log(s, d):
+    """Two commits of an append log, read as a table."""
+    path, x = scratch(s, "log"), table(s, d, "documents").select("doc_id", "n_chars")
+    log.append(x, path)
+    log.append(x.where("n_chars < 500").withColumn("doc_id", F.col("doc_id") + 1_000_000_000), path)
+    return log.read(s, path)
+
+
+def f09_tool_session(s, d):
+    """A tool a conversation: made by its first turn, called by each, released at the end."""
+    tools.register(s)
+    table(s, d, "conversations").createOrReplaceTempView("loom_conversations")
+    x = s.sql("select * from tool_session(table(select conv_id, turn, text from loom_conversations), 'conv_id', 'turn', 'text', 'chars')")
+    return x.select("conv_id", "turn", "call", "chars", "total")
+
+
+def t14_symbolic(s, d):
+    """(x + a)^2 against its expansion, in which every third is off by one."""
+    a, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    given = F.concat(F.lit("(x + "), a, F.lit(")^2"))
+    gold = F.concat(F.lit("x^2 + "), (F.col("p_size") * 2).cast("string"), F.lit(r"x + \frac{"), (F.col("p_size") * F.col("p_size") * 3 + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"), F.lit("}{3}"))
+    return table(s, d, "part").select("p_partkey", algebra.expressions_equal(given, gold).alias("equal"), algebra.expressions_equal(F.concat(a, F.lit("/4")), F.concat(F.lit("0.25 * "), a)).alias("quarter"))
+
+
 _SEQ = "with recursive a as (select user_id, list(event_id order by event_id) as e, list(value * 0.010307718293::double order by event_id) as r, list(event_id % 7 / 10.0::double order by event_id) as v, list(case when event_type <> 'view' then 1 else 0 end order by event_id) as m from events group by 1)"
 _HEX = "cast('0x' || substr(h, {}, 15) as bigint)::hugeint"
 
@@ -79,6 +106,9 @@ _POISSON = " + ".join(f"(u >= {t})::int" for t in M.POISSON)
 _KIND = "case when event_type in ('click', 'signup') then 'put' when event_type = 'view' then 'take' when event_type = 'error' and value > 100 then 'clear' when event_type = 'purchase' and value > 150 then 'close' end"
 
 QUERIES = {
+    "s25_append_log": (s25_append_log, "select doc_id, n_chars from documents union all select doc_id + 1000000000, n_chars from documents where n_chars < 500"),
+    "f09_tool_session": (f09_tool_session, "with x as (select conv_id, turn, coalesce(length(text), 0) as chars from conversations) select conv_id, turn, row_number() over w as call, chars, cast(sum(chars) over w as bigint) as total from x window w as (partition by conv_id order by turn rows unbounded preceding) union all select conv_id, null, count(*), null, cast(sum(chars) as bigint) from x group by conv_id"),
+    "t14_symbolic": (t14_symbolic, "select p_partkey, p_partkey % 3 <> 0 as equal, true as quarter from part"),
     "m02_consumed_queue": (m02_consumed_queue, f"with recursive a as (select user_id, list({_KIND} order by event_id) as k from events group by 1), f as (select user_id, 1 as i, 0 as taken, 0 as held, 0 as waiting, false as closed from a union all select f.user_id, i + 1, case when k[i] = 'put' and waiting > 0 or k[i] = 'take' and held > 0 then taken + 1 else taken end, case when k[i] = 'put' and waiting = 0 then held + 1 when k[i] = 'take' and held > 0 then held - 1 when k[i] = 'clear' then 0 else held end, case when k[i] = 'put' and waiting > 0 then waiting - 1 when k[i] = 'take' and held = 0 and not closed then waiting + 1 when k[i] = 'close' then 0 else waiting end, closed or coalesce(k[i] = 'close', false) from f join a using (user_id) where i <= len(k)) select user_id, cast(taken as bigint) as taken, cast(held as bigint) as left, closed from f join a using (user_id) where i = len(k) + 1"),
     "g12_resample": (g12_resample, f"with x as (select {_K}, cast(round((pow(abs(l_quantity), 2) + 1e-8) / 1e-8) as hugeint) as w from lineitem), s as (select *, coalesce(sum(w) over (order by {_K} rows between unbounded preceding and 1 preceding), 0) as at from x), p as (select i as draw, ({_HEX.format(1)} * 1152921504606846976 + {_HEX.format(16)}) % (select sum(w) from x) as p from (select i, md5('42:' || i) as h from range((select count(*) from x)) t(i))) select draw, {_K} from p asof join s on p.p >= s.at"),
     "w01_gae_rows": (w01_gae_rows, f"{_SEQ}, f as (select user_id, len(e) + 1 as i, 0.0::double as nv, 0.0::double as g, null::bigint as event_id from a union all select f.user_id, i - 1, case when m[i - 1] = 1 then v[i - 1] else nv end, case when m[i - 1] = 1 then r[i - 1] + 0.9531::double * nv - v[i - 1] + 0.9531::double * 0.9173::double * g else g end, e[i - 1] from f join a using (user_id) where i > 1) select event_id, round(g, 6) + 0.0 as advantage from f where event_id is not null"),

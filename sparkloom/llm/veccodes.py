@@ -25,8 +25,8 @@ PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 BITS = 4
 #: Vectors with components under this size are computed in 64-bit integers (squared distances stay under 2 ** 63 up to thousands of components), others in Python's.
 WIDE = 1 << 17
-#: Sums travel as two numbers, so that no vector of doubles overflows them.
-LOW = 60
+#: Sums travel in pieces of so many bits, one for all but huge numbers, so that no vector of doubles overflows them.
+LIMB = 60
 
 
 class Codebooks(NamedTuple):
@@ -109,7 +109,7 @@ def assign(x: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(books: Codebooks):
-    """Rows of vectors to (slot, n, high, low): how many vectors each entry has and the sums of their components, a task."""
+    """Rows of vectors to (slot, limb, n, value): how many vectors each entry has and the sums of their components, a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, entries, wide = books.entries.shape
@@ -122,13 +122,15 @@ def _sums(books: Codebooks):
                 mine = np.zeros((entries, wide), x.dtype)
                 np.add.at(mine, codes[:, p], x[:, p * wide : (p + 1) * wide])
                 sums[p] += mine.astype(object)
-        some = np.flatnonzero(np.repeat(counts.ravel(), wide))
-        flat, n = sums.ravel(), np.repeat(counts.ravel(), wide)
-        number = pa.decimal128(38, 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int64()), pa.array(n[some], pa.int64()), pa.array([int(flat[i]) >> LOW for i in some], number), pa.array([int(flat[i]) & ((1 << LOW) - 1) for i in some], number)],
-            names=["slot", "n", "high", "low"],
-        )
+        rows = []
+        for slot in np.flatnonzero(np.repeat(counts.ravel(), wide)).tolist():
+            total, limb = int(sums.flat[slot]), 0
+            sign, left = (-1 if total < 0 else 1), abs(total)
+            while left or not limb:
+                rows.append((slot, limb, int(counts.flat[slot // wide]), sign * (left & ((1 << LIMB) - 1))))
+                left, limb = left >> LIMB, limb + 1
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.decimal128(38, 0))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["slot", "limb", "n", "value"])
 
     return run
 
@@ -153,10 +155,13 @@ def train(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     first = [r[0] for r in vectors.orderBy(F.col(key).asc_nulls_last(), embedding).select(embedding).limit(entries).collect()]
     books = Codebooks(integers(first, parts * wide).reshape(len(first), parts, wide).transpose(1, 0, 2))
     for _ in range(rounds):
-        sums = vectors.select(F.col(embedding).cast("array<double>").alias("v")).mapInArrow(_sums(books), "slot long, n long, high decimal(38,0), low decimal(38,0)")
-        new = books.entries.astype(object).ravel()
-        for r in sums.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low")).collect():
-            new[r.slot] = ((int(r.high) << LOW) + int(r.low)) // r.n
+        sums = vectors.select(F.col(embedding).cast("array<double>").alias("v")).mapInArrow(_sums(books), "slot long, limb int, n long, value decimal(38,0)")
+        new, found = books.entries.astype(object).ravel(), {}
+        for r in sums.groupBy("slot", "limb").agg(F.sum("n").alias("n"), F.sum("value").alias("value")).collect():
+            n, total = found.get(r.slot, (0, 0))
+            found[r.slot] = (r.n if r.limb == 0 else n, total + (int(r.value) << (LIMB * r.limb)))
+        for slot, (n, total) in found.items():
+            new[slot] = total // n
         fits = all(abs(x) < WIDE * SCALE for x in new)
         books = Codebooks((new.astype(np.int64) if fits else new).reshape(books.entries.shape))
     return books

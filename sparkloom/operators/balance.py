@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,41 +53,62 @@ def lightest_first(sizes: list[float], k: int) -> list[int]:
     return out
 
 
-def balanced_parts(df: DataFrame, group: str, key: str, size: str, k: int, method: str = "differencing") -> DataFrame:
-    """(group, key, part) with each group's rows split into k parts of near equal sums of size.
+def _by_group(df: DataFrame, group: str, key: str, size: str, split: Callable[[list], list[list]], names: list[str]) -> DataFrame:
+    """(group, key, names...): split gives one list of integers a name for the sizes of a group in the order of its keys.
 
-    A group is one batch of a trainer, so it is small; groups are independent tasks.
+    Rows are sorted by (group, key) within partitions and cut into groups as they come; a group that goes over the end of an
+    Arrow batch is carried into the next, so thousands of small groups cost no call each.
     """
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        sizes = pdf[size].tolist()
-        part = largest_differencing(sizes, k) if method == "differencing" else lightest_first(sizes, k)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "part": part})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def made(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            sizes = table.column(2).to_pylist()
+            parts = [split(sizes[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            columns = [pa.array([x for p in parts for x in p[i]], pa.int32()) for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in table.columns[:2]], *columns], names=[group, key, *names])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            groups = table.column(0).to_pylist()
+            cuts = [0, *[i for i in range(1, len(groups)) if groups[i] != groups[i - 1]]]
+            if len(cuts) > 1:
+                yield made(table.slice(0, cuts[-1]), cuts)
+            held = table.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield made(held, [0, held.num_rows])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(group, key, size).groupBy(group).applyInPandas(split, f"{group} {kinds[group]}, {key} {kinds[key]}, part int")
+    rows = df.select(group, key, size).repartition(group).sortWithinPartitions(group, key)
+    return rows.mapInArrow(run, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, {', '.join(f'{n} int' for n in names)}")
+
+
+def balanced_parts(df: DataFrame, group: str, key: str, size: str, k: int, method: str = "differencing") -> DataFrame:
+    """(group, key, part) with each group's rows split into k parts of near equal sums of size.
+
+    A group is one batch of a trainer, so it is small.
+    """
+    of = largest_differencing if method == "differencing" else lightest_first
+    return _by_group(df, group, key, size, lambda sizes: [of(sizes, k)], ["part"])
 
 
 def micro_batches(df: DataFrame, group: str, key: str, size: str, budget: int) -> DataFrame:
     """(group, key, part, of): each group's rows in ceil(total / budget) parts (at most one a row), the parts ordered by
     falling load and dealt from both ends, so the lightest lie in the middle."""
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        sizes = pdf[size].tolist()
+    def split(sizes: list) -> list[list[int]]:
         k = min(len(sizes), max(1, -(-int(sum(sizes)) // budget)))
         part = largest_differencing(sizes, k)
         loads = [0.0] * k
         for p, s in zip(part, sizes, strict=True):
             loads[p] += s
         ranked = sorted(range(k), key=lambda p: (-loads[p], p))
-        order = ranked[::2] + ranked[1::2][::-1]
-        place = {p: i for i, p in enumerate(order)}
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "part": [place[p] for p in part], "of": k})
+        place = {p: i for i, p in enumerate(ranked[::2] + ranked[1::2][::-1])}
+        return [[place[p] for p in part], [k] * len(part)]
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(group, key, size).groupBy(group).applyInPandas(split, f"{group} {kinds[group]}, {key} {kinds[key]}, part int, of int")
+    return _by_group(df, group, key, size, split, ["part", "of"])
 
 
 def trainer_batches(key: Column, seed: str, batches: int) -> Column:

@@ -68,6 +68,17 @@ def sum_maps() -> Maps:
     return of
 
 
+def tally_maps() -> Maps:
+    """State (number, sum, 1) of the elements that count."""
+
+    def of(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        m = _identity(len(value), 3)
+        m[:, 0, 2], m[:, 1, 2] = counts, value * counts
+        return m
+
+    return of
+
+
 def prefix_products(maps: np.ndarray) -> np.ndarray:
     """The composition of each map with all before it: in round i each takes in the one 2 ** i places before."""
     out, shift = maps.copy(), 1
@@ -152,13 +163,13 @@ def _apply(maps: Maps, k: int, inputs: int, outputs: int, handed: dict[int, tupl
                 key = keys[hi - 1]
             rest = batch.columns[2 + inputs :]
             made = [pa.array(out[:, i]) for i in range(outputs)]
-            yield pa.RecordBatch.from_arrays([*rest, *made], names=[*batch.schema.names[2 + inputs :], *[f"__out{i}" for i in range(outputs)]])
+            yield pa.RecordBatch.from_arrays([*rest, *made], names=[*batch.schema.names[2 + inputs :], *[f"__scan_out{i}" for i in range(outputs)]])
 
     return run
 
 
-def scan_rows(df: DataFrame, sequence: str, order: list, maps: Maps, k: int, inputs: list[Column], name: str, component: int = 0) -> DataFrame:
-    """df with `name`: a component of the state after each row of its sequence, rows taken in the given order.
+def scan_rows(df: DataFrame, sequence: str, order: list, maps: Maps, k: int, inputs: list[Column], name: str | list[str], component: int = 0) -> DataFrame:
+    """df with `name`: a component of the state after each row of its sequence (or names for the first ones), rows taken in the given order.
 
     `order` are columns or their descending forms. Rows are sorted into ranges of (sequence, order) and written once; the
     driver sees one row a range. Ranges are read by batches, so a range needs no more memory than one. Null inputs count
@@ -166,11 +177,11 @@ def scan_rows(df: DataFrame, sequence: str, order: list, maps: Maps, k: int, inp
     """
     spark = df.sparkSession
     key = F.to_json(F.struct(F.col(sequence))).cast("binary")
-    given = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__in{i}") for i, c in enumerate(inputs)]
-    sorted_rows = df.repartitionByRange(F.col(sequence).asc_nulls_first(), *order).withColumn("__range", F.spark_partition_id())
+    given = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__scan_in{i}") for i, c in enumerate(inputs)]
+    sorted_rows = df.repartitionByRange(F.col(sequence).asc_nulls_first(), *order).withColumn("__scan_range", F.spark_partition_id())
     held = staged(sorted_rows, "ranges")
-    plain = held.repartitionByRange("__range").sortWithinPartitions(F.col("__range"), F.col(sequence).asc_nulls_first(), *order)
-    needed = plain.select("__range", key.alias("__key"), *given)
+    plain = held.repartitionByRange("__scan_range").sortWithinPartitions(F.col("__scan_range"), F.col(sequence).asc_nulls_first(), *order)
+    needed = plain.select("__scan_range", key.alias("__scan_key"), *given)
     edges = needed.mapInArrow(_edges(maps, k, len(inputs)), "range int, head binary, tail binary, map array<double>, state array<double>").orderBy("range").collect()
     handed, last, state = {}, _NOTHING, _start(k)
     for e in edges:
@@ -179,10 +190,11 @@ def scan_rows(df: DataFrame, sequence: str, order: list, maps: Maps, k: int, inp
         handed[e["range"]] = (bytes(e["head"]), state.tolist())
         state = np.array(e["map"]).reshape(k, k) @ state if e["state"] is None else np.array(e["state"])
         last = bytes(e["tail"])
-    outputs = component + 1
-    schema = T.StructType([*df.schema.fields, *[T.StructField(f"__out{i}", T.DoubleType()) for i in range(outputs)]])
-    rows = plain.select("__range", key.alias("__key"), *given, *df.columns).mapInArrow(_apply(maps, k, len(inputs), outputs, handed), schema)
-    return rows.select(*df.columns, F.col(f"__out{component}").alias(name))
+    outputs = component + 1 if isinstance(name, str) else len(name)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"__scan_out{i}", T.DoubleType()) for i in range(outputs)]])
+    rows = plain.select("__scan_range", key.alias("__scan_key"), *given, *df.columns).mapInArrow(_apply(maps, k, len(inputs), outputs, handed), schema)
+    found = [F.col(f"__scan_out{component}").alias(name)] if isinstance(name, str) else [F.col(f"__scan_out{i}").alias(n) for i, n in enumerate(name)]
+    return rows.select(*df.columns, *found)
 
 
 def gae_rows(df: DataFrame, sequence: str, position: str, reward: str, value: str, mask: str, gamma: float, lam: float, name: str = "advantage") -> DataFrame:

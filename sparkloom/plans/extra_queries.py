@@ -305,8 +305,7 @@ def m12_limited(s, d):
 
 _LG = "(select *, -l_discount * 10 as lp, -l_tax * 10 as old, (l_quantity - 25) / 25 as adv from lineitem)"
 _PW = "case when a <= 4 then -1 when a <= 8 then -1 + (a - 4) / 4 when a <= 15 then (a - 8) / 7 when a <= 30 then 1 when a <= 40 then 1 - (a - 30) / 10 when a <= 50 then -(a - 40) / 10 else -1 end"
-_GRAMS = "list_transform(range(1, greatest(len({0}) - {1}, 1) + 1), lambda i: array_to_string({0}[i:i + {1}], ' '))"
-_PREC = "(list_sum(list_transform(list_distinct({0}), lambda w: least(len(list_filter({0}, lambda y: y = w)), len(list_filter({1}, lambda y: y = w)))))::double / len({0}))"
+_GRAMS = "select conv_id, turn, n, substr({0}, i, n) as s, count(*) as c from (select *, unnest(range(1, length({0}) - n + 2)) as i from x) group by all"
 
 QUERIES = {
     "a08_kinds": (a08_kinds, "select n as name, case when n = 'view' then 'last' when n = 'purchase_avg_max' then 'weighted_avg' when n like 'timing_s/%' then 'sum' when n like '%mean%' or n like '%avg%' then 'avg' when n like '%max%' then 'max' when n like '%min%' then 'min' when n like '%sum%' or n like '%total%' then 'sum' else 'avg' end as kind, case when n like '%max%' then 'max' when n like '%min%' then 'min' else 'mean' end as reduced from (select distinct case when event_type = 'click' then 'timing_s/' else '' end || event_type || e as n from events, (values ('_max'), ('_min'), ('/mean'), ('_total'), ('_avg_max'), (''), ('batch')) t(e))"),
@@ -353,6 +352,6 @@ QUERIES = {
     "t38_embedded_scene": (t38_embedded_scene, "select event_id, case when event_id % 3 <> 0 then cast(json_extract(props, '$.k') as int) end as k, 'make it  nice' as prompt from events"),
     "t44_first_pattern": (t44_first_pattern, "select p_partkey, case when contains(lower(p_name), 'red') then 'warm' when contains(lower(p_name), 'blue') then 'cold' else 'any' end as kind from part where contains(lower(p_name), 'e') or contains(lower(p_name), 'red') or contains(lower(p_name), 'blue')"),
     "t66_tag_balance": (t66_tag_balance, "select conv_id, turn, turn % 3 = 0 as balanced, case when length(text) >= 1000 then '' else nullif(text, '') end as answer from conversations"),
-    "t72_bleu": (t72_bleu, rf"with f as (select conv_id, arg_min(text, turn) as ref from conversations group by 1), x as (select conv_id, turn, regexp_split_to_array(trim(text), '\s+') as h, regexp_split_to_array(trim(ref), '\s+') as g from conversations join f using (conv_id)), y as (select *, {_GRAMS.format('h', 0)} as h1, {_GRAMS.format('g', 0)} as g1, {_GRAMS.format('h', 1)} as h2, {_GRAMS.format('g', 1)} as g2 from x) select conv_id, turn, round(sqrt({_PREC.format('h1', 'g1')} * {_PREC.format('h2', 'g2')}) * case when len(h) > len(g) then 1 else exp(1 - len(g)::double / len(h)) end, 5) as bleu from y"),
+    "t72_bleu": (t72_bleu, f"with f as (select conv_id, arg_min(text, turn) as ref from conversations group by 1), x as (select conv_id, turn, text as h, ref as g, unnest([1, 2, 3, 4]) as n from conversations join f using (conv_id)), a as ({_GRAMS.format('h')}), b as ({_GRAMS.format('g')}), m as (select conv_id, turn, n, sum(least(a.c, coalesce(b.c, 0))) as hits, sum(a.c) as total from a left join b using (conv_id, turn, n, s) group by 1, 2, 3), y as (select conv_id, turn, any_value(h) as h, any_value(g) as g, max(case when n = 1 then hits else 0 end) as one, exp(sum(0.25 * ln(case when hits > 0 then hits / total else 2.2250738585072014e-308 end))) as p from x left join m using (conv_id, turn, n) group by 1, 2) select conv_id, turn, round(case when coalesce(one, 0) = 0 then 0.0 else p * case when length(h) > length(g) then 1.0 else exp(1 - length(g)::double / length(h)) end end, 5) as bleu from y"),
     "t75_search_text": (t75_search_text, "select conv_id, case when count(*) > 1 then 'success' else 'empty' end || chr(10) || string_agg(text, chr(10) || '---' || chr(10) order by turn, text) as text from conversations group by 1"),
 }

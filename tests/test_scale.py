@@ -17,11 +17,13 @@ from sparkloom.operators import recurrences as R
 
 @pytest.fixture
 def apart(spark):
-    """Small partitions stay apart."""
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")
+    """Small partitions stay apart and small sides are shuffled, as large ones would be."""
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset(key)
+    for k in keys:
+        spark.conf.unset(k)
 
 
 def brute_gae(reward, value, mask, gamma, lam):
@@ -132,3 +134,49 @@ def test_bootstrap_mean_against_the_closed_form(spark):
         assert abs(got[g]["mean"] - v.mean()) < 4 * v.std() / math.sqrt(64 * len(v)) + 1e-3
         assert 0.7 < got[g].deviation / (v.std() / math.sqrt(len(v))) < 1.35
     assert got["one"]["mean"] == 2.5 and got["one"].deviation == 0 and "none" not in got
+
+
+def test_pairwise_accuracy_without_pairs(spark):
+    """Ties in both, nulls, groups of one and a group of most rows, against all pairs."""
+    from sparkloom.operators import groups
+
+    rng = random.Random(12)
+    rows = [("hot" if i % 4 else f"g{i % 7}", i, rng.choice([None, *range(30)]) if i % 3 else rng.random(), rng.choice([0.0, 0.25, 0.5, 1.0, None])) for i in range(600)]
+    rows += [("one", 1000, 1.0, 1.0), ("flat", 1001, 1.0, 0.5), ("flat", 1002, 2.0, 0.5), (None, 1003, 1.0, 0.0), (None, 1004, 2.0, 1.0), ("back", 1005, 1.0, 1.0), ("back", 1006, 2.0, 0.0)]
+    rows = [(g, i, None if s is None else float(s), a) for g, i, s, a in rows]
+    got = {r.g: r.agreement for r in groups.pairwise_accuracy(spark.createDataFrame(rows, "g string, i long, s double, a double"), "g", "i", "s", "a").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = [(s, a) for h, _, s, a in rows if h == g and a is not None]
+        pairs = [(x, y) for n, x in enumerate(mine) for y in mine[:n]]
+        weight = sum(abs(x[1] - y[1]) for x, y in pairs)
+        agree = sum(abs(x[1] - y[1]) for x, y in pairs if x[0] is not None and y[0] is not None and (x[0] - y[0]) * (x[1] - y[1]) > 0)
+        if pairs:
+            want[g] = agree / weight if weight else 0.5
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_estimators_take_null_and_hot_groups(spark):
+    from sparkloom.operators import groups
+
+    rows = [(None if i % 2 else f"g{i % 3}", float(i % 5)) for i in range(40)] + [("one", 3.0)]
+    df = spark.createDataFrame(rows, "g string, s double")
+    for name, extra in (("grpo", {}), ("rloo", {}), ("soft_mean", {}), ("gpg", {})):
+        out = groups.estimate(name, df, "g", "s", **extra)
+        assert out.columns == ["g", "s", "advantage"] and out.count() == 41 and out.where("advantage is null").count() == 0
+    mean = sum(s for g, s in rows if g is None) / 20
+    assert {round(r.advantage - r.s, 9) for r in groups.estimate("grpo", df, "g", "s", by_std=False).where("g is null").collect()} == {round(-mean, 9)}
+
+
+def test_bootstrap_replays_numpy(spark):
+    """a15_bootstrap_exact draws what the generator of numpy draws in each group."""
+    from sparkloom.plans import metric_queries
+
+    folder = "/root/testdata/sf0.001"
+    held: dict = {}
+    for r in sorted(spark.read.parquet(f"{folder}/events.parquet").collect(), key=lambda r: r.event_id):
+        held.setdefault(r.user_id, []).append(r.value)
+    for r in metric_queries.a15_bootstrap_exact(spark, folder).collect():
+        rng, v = np.random.RandomState(42), np.array(held[r.user_id])
+        best = [max(v[j] for j in rng.choice(len(v), size=4, replace=True)) for _ in range(1000)]
+        assert (r["mean"], r["std"]) == (round(float(np.mean(best)), 6), round(float(np.std(best)), 6))

@@ -17,27 +17,34 @@ UNIT = 1e-8
 _NUMBER = "decimal(38,0)"
 
 
-def with_running_sum(df: DataFrame, order: list[str], weight: str, name: str = "before") -> tuple[DataFrame, DataFrame]:
-    """df with `name`, the sum of the weights of the rows before it, and `__range`; and (range, from, to) of the ranges.
+def with_running_sums(df: DataFrame, order: list[str], weights: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """df with a column a name: the sum of that weight over the rows before it, and `__range`; and, by range, what is before it and after it.
 
-    Ranges of the order are sorted and summed by themselves and written once; each is moved by the sum of those before it, a
-    table of one row a range. Sums are exact decimals, so they don't depend on the ranges. Rows that are equal in the whole
-    order stand in any order among themselves. The number of ranges is the session's number of shuffle partitions.
+    Ranges of the order are sorted and summed by themselves and written once; each is moved by the sums of those before it,
+    a table of one row a range. Sums are exact decimals, so they don't depend on the ranges. Rows that are equal in the
+    whole order stand in any order among themselves. The number of ranges is the session's number of shuffle partitions.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    inner = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    held = staged(ranged, "ranges")
-    sizes = held.groupBy("__range").agg(F.sum(F.col(weight).cast(_NUMBER)).alias("w")).orderBy("__range").collect()
-    starts, total = [], Decimal(0)
+    held = staged(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    number = lambda c: F.coalesce(F.col(c).cast(_NUMBER), F.lit(Decimal(0)).cast(_NUMBER))
+    sizes = held.groupBy("__range").agg(*[F.sum(number(w)).alias(n) for n, w in weights.items()]).orderBy("__range").collect()
+    rows, totals = [], dict.fromkeys(weights, Decimal(0))
     for r in sizes:
-        starts.append((r["__range"], total, total + r.w))
-        total += r.w
-    schema = T.StructType([T.StructField("__range", T.IntegerType()), T.StructField("from", T.DecimalType(38, 0)), T.StructField("to", T.DecimalType(38, 0))])
-    ranges = spark.createDataFrame(starts, schema)
-    summed = held.withColumn(name, F.coalesce(F.sum(F.col(weight).cast(_NUMBER)).over(inner), F.lit(Decimal(0))).cast(_NUMBER))
-    moved = summed.join(F.broadcast(ranges.select("__range", "from")), "__range").withColumn(name, (F.col(name) + F.col("from")).cast(_NUMBER)).drop("from")
-    return moved, ranges
+        rows.append((r["__range"], *[x for n in weights for x in (totals[n], totals[n] + r[n])]))
+        totals = {n: totals[n] + r[n] for n in weights}
+    schema = T.StructType([T.StructField("__range", T.IntegerType()), *[T.StructField(f"__{end}_{n}", T.DecimalType(38, 0)) for n in weights for end in ("from", "to")]])
+    ranges = spark.createDataFrame(rows, schema)
+    inner = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.join(F.broadcast(ranges.select("__range", *[f"__from_{n}" for n in weights])), "__range")
+    for n, w in weights.items():
+        out = out.withColumn(n, (F.coalesce(F.sum(number(w)).over(inner), F.lit(Decimal(0))) + F.col(f"__from_{n}")).cast(_NUMBER))
+    return out.drop(*[f"__from_{n}" for n in weights]), ranges
+
+
+def with_running_sum(df: DataFrame, order: list[str], weight: str, name: str = "before") -> tuple[DataFrame, DataFrame]:
+    """with_running_sums of one weight; the ranges are (__range, from, to)."""
+    out, ranges = with_running_sums(df, order, {name: weight})
+    return out, ranges.select("__range", F.col(f"__from_{name}").alias("from"), F.col(f"__to_{name}").alias("to"))
 
 
 def point(draw: Column, seed: str, total: Decimal) -> Column:

@@ -803,7 +803,7 @@ def test_registered_sql(spark):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, DATA)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import common, divergence, html, repeats, toxicity, veccodes
 
@@ -311,3 +312,30 @@ def test_registered_sql_of_the_new_operators(spark):
         df, rel = queries.QUERIES[name](spark, DATA), c.sql(queries.ORACLES[name])
         at = [rel.columns.index(x) for x in df.columns]
         assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, (tuple(r[i] for i in at) for r in rel.fetchall()))), name
+
+
+def test_mixing_draws_row_by_row(spark):
+    """A source whose ids are null, one of a repeated id and one of equal rows come near their targets; reruns agree."""
+    from sparkloom.llm import mixing
+
+    rows = [(None, "a", f"word{i} " * 4) for i in range(400)] + [(7, "b", f"other{i} " * 4) for i in range(400)] + [(None, "c", "same text in all rows")] * 400 + [(100 + i, "d", "one two three four") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_report(docs.repartition(7))
+    taken = mixing.with_copies(docs.repartition(5)).groupBy("source").agg(F.sum(mixing.words(F.col("text")) * F.col("__mix.copies")).alias("taken"), F.first("__mix.target").alias("target")).collect()
+    for r in taken:
+        assert abs(r.taken - r.target) < 0.1 * r.target, r
+    once = sorted((str(r.doc_id), r.size, r.target, r.taken) for r in got.collect())
+    assert once == sorted((str(r.doc_id), r.size, r.target, r.taken) for r in mixing.mix_report(docs.repartition(3)).collect())
+
+
+def test_targets_of_a_chain_of_sources(spark):
+    """Thousands of sources that cap one after another take one pass; the level leaves nothing over."""
+    from sparkloom.llm import mixing
+
+    sizes = [(f"s{i:05d}", 1 << min(i // 100, 40), 1) for i in range(5000)] + [(None, 10, 1), ("zero", 0, 1)]
+    got = mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long, rows long")).collect()
+    total = sum(n for _, n, _ in sizes)
+    assert sum(r.target for r in got) == pytest.approx(total, rel=1e-9) and all(r.target <= 3 * r.source_size + 1e-6 for r in got)
+    free = {round(r.target / w, 3) for (r, w) in zip(sorted(got, key=lambda r: (r.source is None, r.source or "")), [1, 2, 3] * 2000, strict=False) if r.target < 3 * r.source_size}
+    assert len(free) == 1
+    assert mixing.source_targets(spark.createDataFrame([("a", 0, 2), ("b", 0, 1)], "source string, source_size long, rows long")).agg({"target": "max"}).first()[0] == 0

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import with_position
+
 #: Characters of the pieces by which contained texts find each other.
 PIECE = 32
 
@@ -63,9 +65,12 @@ def hashed_split(df: DataFrame, key: str, share: float, seed: str) -> tuple[Data
 
 
 def search(df: DataFrame, text: str, needle: str, order: list[Column], group: str | None = None) -> DataFrame:
-    """Rows whose text contains the needle in any case, with their `place` by `order` in their group."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(*order)
-    return df.where(F.lower(text).contains(needle.lower())).withColumn("place", F.row_number().over(w))
+    """Rows whose text contains the needle in any case, with their `place` by `order` in their group; without a group all
+    rows are placed by ranges of the order."""
+    found = df.where(F.lower(text).contains(needle.lower()))
+    if group:
+        return found.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return with_position(found, order, name="place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def band_draw(df: DataFrame, group: str, key: str, band: Column, share: float, seed: str) -> DataFrame:

@@ -16,10 +16,11 @@ from .common import r, table
 
 
 def b01_columns_by_kind(s, d):
-    """Column kinds of a batch: dense numbers and objects."""
+    """Column kinds of a batch, dense numbers and objects, with how many values each has."""
     df = table(s, d, "events")
-    rows = [(f.name, "number" if isinstance(f.dataType, T.NumericType) else "object") for f in df.schema.fields]
-    return s.createDataFrame(rows, "name string, kind string")
+    kind = lambda f: "number" if isinstance(f.dataType, T.NumericType) else "object"
+    parts = [F.struct(F.lit(f.name).alias("name"), F.lit(kind(f)).alias("kind"), F.count(f.name).alias("n")) for f in df.schema.fields]
+    return df.agg(F.array(*parts).alias("c")).select(F.inline("c"))
 
 
 def b12_equal_maps(s, d):
@@ -311,7 +312,7 @@ QUERIES = {
     "a08_kinds": (a08_kinds, "select n as name, case when n = 'view' then 'last' when n = 'purchase_avg_max' then 'weighted_avg' when n like 'timing_s/%' then 'sum' when n like '%mean%' or n like '%avg%' then 'avg' when n like '%max%' then 'max' when n like '%min%' then 'min' when n like '%sum%' or n like '%total%' then 'sum' else 'avg' end as kind, case when n like '%max%' then 'max' when n like '%min%' then 'min' else 'mean' end as reduced from (select distinct case when event_type = 'click' then 'timing_s/' else '' end || event_type || e as n from events, (values ('_max'), ('_min'), ('/mean'), ('_total'), ('_avg_max'), (''), ('batch')) t(e))"),
     "a25_rejection_metrics": (a25_rejection_metrics, "select round(avg(case when w between 0.5 and 2 then 0.0::double else 1 end), 6) as rejected, round(sum(case when w between 0.5 and 2 then 0 else n end) / sum(n), 6) as rejected_tokens, round(avg(case when w > 2 then 1.0::double else 0 end), 6) as high, round(avg(case when w < 0.5 then 1.0::double else 0 end), 6) as low from (select exp(sum(10 * (l_tax - l_discount))) as w, count(*) as n from lineitem where l_returnflag <> 'R' group by l_orderkey)"),
     "a29_distributed_mean": (a29_distributed_mean, "select round(avg(l_quantity), 6) as mean from lineitem where l_returnflag = 'R'"),
-    "b01_columns_by_kind": (b01_columns_by_kind, "select * from (values ('event_id', 'number'), ('ts', 'object'), ('user_id', 'number'), ('event_type', 'object'), ('value', 'number'), ('props', 'object')) t(name, kind)"),
+    "b01_columns_by_kind": (b01_columns_by_kind, "select name, case when name in ('event_id', 'user_id', 'value') then 'number' else 'object' end as kind, n from (unpivot (select count(event_id) as event_id, count(ts) as ts, count(user_id) as user_id, count(event_type) as event_type, count(value) as value, count(props) as props from events) on columns(*) into name name value n)"),
     "b12_equal_maps": (b12_equal_maps, "select event_id, event_id % 5 <> 0 or value is null as same from events"),
     "b30_consistency": (b30_consistency, "select count(l_orderkey) as l_orderkey, count(l_partkey) as l_partkey, count(l_quantity) as l_quantity, count(*) as rows from lineitem"),
     "b31_sizes": (b31_sizes, "select sum(octet_length(encode(text))) as text_bytes, count(*) as rows from documents"),

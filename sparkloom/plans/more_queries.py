@@ -412,13 +412,23 @@ def f04_overlong_manager(s, d):
 
 
 def f06_registry_conflicts(s, d):
-    """A second, different estimator under a taken name is refused."""
+    """Events name their estimator: what the registry has under it gives their mean advantage, an unknown name is refused."""
     try:
         G.register("grpo")(lambda df, group, score: df)
-        refused = False
+        raise AssertionError("a taken name was given again")
     except ValueError:
-        refused = True
-    return s.range(1).select(F.lit(refused).alias("refused"), F.lit(len(G.REGISTRY)).alias("names"))
+        pass
+    e = table(s, d, "events").select("event_type", "user_id", "value")
+    found = None
+    for kind, name in (("click", "grpo"), ("view", "rloo"), ("signup", "no such estimator")):
+        rows = e.where(F.col("event_type") == kind)
+        try:
+            x = G.estimate(name, rows, "user_id", "value").agg(F.count("*").alias("n"), r(F.sum(F.abs("advantage")), 3).alias("total"))
+        except KeyError:
+            x = rows.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
+        x = x.select(F.lit(kind).alias("event_type"), "n", "total")
+        found = x if found is None else found.unionByName(x)
+    return found
 
 
 def f09_table_function(s, d):
@@ -475,7 +485,7 @@ QUERIES = {
     "d10_broadcast": (d10_broadcast, "select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1"),
     "f02_batched_scorer": (f02_batched_scorer, "select conv_id, turn, abs(length(text) - length(role))::double as score from conversations"),
     "f04_overlong_manager": (f04_overlong_manager, "select conv_id, turn, round(turn % 2 + least(-(length(text) - 100) / 50.0::double * 0.5, 0), 6) as reward from conversations"),
-    "f06_registry_conflicts": (f06_registry_conflicts, "select true as refused, 9 as names"),
+    "f06_registry_conflicts": (f06_registry_conflicts, "with x as (select event_type, value as s, count(*) over w as n, avg(value) over w as m, stddev_samp(value) over w as d from events window w as (partition by event_type, user_id)) select 'click' as event_type, count(*) as n, round(sum(abs(case when n = 1 then s / (1 + 1e-6) else (s - m) / (d + 1e-6) end)), 3) as total from x where event_type = 'click' union all select 'view', count(*), round(sum(abs(case when n = 1 then s else (s - m) * n / (n - 1) end)), 3) from x where event_type = 'view' union all select 'signup', count(*), null from x where event_type = 'signup'"),
     "f09_table_function": (f09_table_function, r"select item_id, len(w) - 2 as n, len(w) - 3 as last from (select item_id, regexp_split_to_array(trim(text), '\s+') as w from benchmark) where len(w) > 2"),
     "f12_generator": (f12_generator, "select item_id, length(text) as n from benchmark union all select item_id + 1000, length(text) from benchmark"),
     "f16_chunked_scores": (f16_chunked_scores, "select conv_id, round(avg(length(text)), 6) as score from conversations group by 1"),

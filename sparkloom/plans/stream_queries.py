@@ -35,8 +35,10 @@ def m07_capacity(s, d):
 
 
 def m08_stale(s, d):
-    version = F.floor(F.col("event_id") / 1000)
-    x = _events(s, d).groupBy("user_id").agg(F.sum((F.lit(3) - version >= 1).cast("int")).alias("stale"), F.count("*").alias("n"))
+    """Samples behind the current version: one is taken in every 1000 events, and the newest is now."""
+    now = s.read.parquet(f"{d}/events.parquet").agg(F.floor(F.max("event_id") / 1000).alias("v")).first()["v"]
+    behind = F.lit(now) - F.floor(F.col("event_id") / 1000)
+    x = _events(s, d).groupBy("user_id").agg(F.sum((behind >= 1).cast("int")).alias("stale"), F.count("*").alias("n"))
     return Q.run_available(x, "complete", "stale")
 
 
@@ -83,7 +85,7 @@ QUERIES = {
     "m03_statistics": (m03_statistics, "select event_type, count(*) as produced, greatest(count(*) - 40, 0) as dropped, least(count(*), 40) as size, list_min(list_reverse_sort(list(event_id))[1:40]) as oldest, max(event_id) as newest from events group by 1"),
     "m05_batches": (m05_batches, "select event_id // 64 as window, count(*) as n, min(event_id) as first from events group by 1 having count(*) = 64"),
     "m07_capacity": (m07_capacity, "select event_type, cast(ceil(max(user_id) * 4 * 1.5) as bigint) as capacity, count(*) as n from events group by 1"),
-    "m08_stale": (m08_stale, "select user_id, count(case when 3 - event_id // 1000 >= 1 then 1 end) as stale, count(*) as n from events group by 1"),
+    "m08_stale": (m08_stale, "select user_id, count(case when (select max(event_id) // 1000 from events) - event_id // 1000 >= 1 then 1 end) as stale, count(*) as n from events group by 1"),
     "m10_metric_windows": (m10_metric_windows, "select event_id // 100 as window, round(avg(value), 4) as mean, round(max(value), 4) as max, round(sum(value), 2) as sum from events group by 1"),
     "m13_state_machine": (m13_state_machine, "select user_id, case when count(case when event_type = 'purchase' then 1 end) > 0 then 'TERMINATED' else case arg_max(event_type, event_id) when 'click' then 'GENERATING' when 'view' then 'TOOLS' else 'PENDING' end end as state, count(*) as steps from events group by 1"),
     "m15_append": (m15_append, "select event_id, round(value, 4) as value from events where value > 90"),

@@ -11,6 +11,8 @@ from .batch import with_position
 
 #: Characters of the pieces by which contained texts find each other.
 PIECE = 32
+#: Places of a text that are hashed in one row.
+STRETCH = 4096
 
 
 def first_tier(key: str, *tiers: DataFrame, order: str) -> DataFrame:
@@ -81,10 +83,15 @@ def band_draw(df: DataFrame, group: str, key: str, band: Column, share: float, s
     return x.where(F.col("__rn") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share))).drop("__rn", "__n")
 
 
-def _pieces(text: Column, step: int) -> Column:
-    """Hashes of the pieces of a text that begin every `step` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (PIECE - 1), F.lit(1)), F.lit(step))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substr(text, i, F.lit(PIECE)))))
+def _pieces(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, __h): hashes of the pieces that begin at every character of the texts, each once a stretch.
+
+    A text is cut into stretches of STRETCH places first, so a long one is many rows and no row holds all of its pieces.
+    """
+    cut = df.select(key, F.col(text).alias("__t"), F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) - (PIECE - 1), F.lit(1)), F.lit(STRETCH))).alias("__at"))
+    part = cut.select(key, F.substr("__t", "__at", F.lit(STRETCH + PIECE - 1)).alias("__t"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("__t") - (PIECE - 1), F.lit(1)))
+    return part.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substr("__t", i, F.lit(PIECE)))))).alias("__h"))
 
 
 def containments(short: DataFrame, short_key: str, short_text: str, long: DataFrame, long_key: str, long_text: str) -> DataFrame:
@@ -96,12 +103,12 @@ def containments(short: DataFrame, short_key: str, short_text: str, long: DataFr
     """
     a = short.select(F.col(short_key).alias("__a"), F.col(short_text).alias("__s")).where(F.length("__s") > 0)
     b = long.select(F.col(long_key).alias("__b"), F.col(long_text).alias("__l")).where(F.length("__l") > 0)
-    places = b.where(F.length("__l") >= PIECE).select("__b", F.explode(_pieces(F.col("__l"), 1)).alias("__h"))
-    wanted = a.where(F.length("__s") >= PIECE).select("__a", F.explode(_pieces(F.col("__s"), 1)).alias("__h"))
+    places = _pieces(b.where(F.length("__l") >= PIECE), "__b", "__l")
+    wanted = _pieces(a.where(F.length("__s") >= PIECE), "__a", "__s")
     df = places.groupBy("__h").agg(F.count("*").alias("__n"))
     ranked = wanted.join(df, "__h", "left").groupBy("__a").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__h").alias("h"))).alias("__m"))
     rarest = ranked.where("__m.n > 0").select("__a", F.col("__m.h").alias("__h"))
-    pairs = rarest.join(places, "__h").select("__a", "__b")
+    pairs = rarest.join(places, "__h").select("__a", "__b").distinct()
     long_hits = pairs.join(a, "__a").join(b, "__b").where(F.contains("__l", "__s")).select("__a", "__b")
     tiny = a.where(F.length("__s") < PIECE).withColumn("__k", F.length("__s"))
     widths = tiny.select("__k").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -61,18 +62,26 @@ def threshold_with_fallback(df: DataFrame, group: str, score: str, threshold: fl
 
 def reuse_earlier(df: DataFrame, group: str, order: str, description: str, size: str, limit: float) -> DataFrame:
     """(group, order, source): each row reuses the first earlier row of its group that wasn't itself reused, has the same
-    description and a size within limit; else its own order. The decision depends on those before, so the rows of one group
-    and description are one task's."""
+    description and a size within limit; else its own order.
+
+    The decision depends on those before, so the rows of one group and description are one task's. Sizes lie in a grid of
+    cells as wide as the limit, and a row only looks into the cells around its own, so a row costs no more when many were
+    kept before it.
+    """
     import pandas as pd
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        held: dict = {}
+        sizes = np.array(pdf[size].tolist(), np.float64).reshape(len(pdf), -1)
+        cells = np.floor(sizes / limit if limit > 0 else sizes).astype(np.int64)
+        around = list(product((-1, 0, 1), repeat=sizes.shape[1]))
+        held: dict[tuple, list[tuple]] = {}
         source = []
-        for o, d, s in zip(pdf[order], pdf[description], pdf[size], strict=True):
-            found = next((q for q, t in held.get(d, []) if np.linalg.norm(np.asarray(s) - np.asarray(t)) <= limit), None)
+        for o, v, c in zip(pdf[order].tolist(), sizes, map(tuple, cells.tolist()), strict=True):
+            near = [x for step in around for x in held.get(tuple(i + j for i, j in zip(c, step, strict=True)), ()) if np.linalg.norm(v - x[1]) <= limit]
+            found = min((q for q, _ in near), default=None)
             if found is None:
-                held.setdefault(d, []).append((o, s))
+                held.setdefault(c, []).append((o, v))
             source.append(o if found is None else found)
         return pd.DataFrame({group: pdf[group], order: pdf[order], "source": source})
 

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, in_chunks, mix, private, small, staged, with_struct
+from .common import Words, bound_batches, in_chunks, mix, private, small, staged, unstage, with_struct
 
 #: Bytes below 0x80 that are no letters or digits once A-Z are lower-cased (A-Z hash as a-z, so they count as letters).
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -223,13 +223,16 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     rows = 1000 if n <= KEEP else MANY
     bound_batches(spark, rows)
 
+    if n > 1:  # written by block, so that each block is read once
+        items = staged(items.withColumn("block", F.pmod(F.xxhash64("item", "t"), F.lit(n)).cast("int")).repartition("block"), "items", by="block")
+
     def shared(b: int) -> Block:
-        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == b) if n > 1 else items
+        part = items.where(F.col("block") == b) if n > 1 else items
         return Block([(r.item, r.t) for r in part.collect()], window, shingle)  # at most about block_bytes
 
     plain = [spark.sparkContext.broadcast(shared(b)) for b in range(n)]
     counts = docs.select("text").mapInArrow(_counts(plain, rows), "block int, shingle long, df long").groupBy("block", "shingle").agg(F.sum("df").alias("df"))
-    counts = staged(counts, "frequencies")
+    counts = staged(counts.repartition("block"), "frequencies", by="block") if n > 1 else staged(counts, "frequencies")
     ranked = []
     for b in range(n):
         df = counts.where(F.col("block") == b).toArrow()  # at most the block's shingles
@@ -241,6 +244,9 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         plain[b].__dict__.pop("_value", None)
         plain[b].destroy()
         del block
+    unstage(counts)
+    if n > 1:
+        unstage(items)
     return with_struct(docs, name, FIELDS, [F.col("text")], _find(ranked), rows)
 
 

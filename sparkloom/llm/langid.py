@@ -18,14 +18,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix, small, staged, with_struct
+from .common import bound_batches, join_small, mix, small, staged, unstage, with_struct
 
 ORDER = 4
 #: Entries (n-gram and language) of a part of the model, about, and of the parts that a Python worker keeps; it loads the
 #: others for each piece of text again.
 PART, KEEP = 1_000_000, 4_000_000
-#: Training texts by which the limits of rejection are set (those of least hash), and the quantile and slack of their entropies.
-CALIBRATION, QUANTILE, SLACK = 2000, 0.99, 1.25
+#: Texts of each language by which its limit of rejection is set, about and at most a tenth of them, and from how many texts
+#: on it has any; they teach the model nothing. The quantile of their entropies, and what is allowed above it.
+CALIBRATION, TENTH, ENOUGH, QUANTILE, SLACK = 300, 0.1, 20, 0.99, 1.1
 UNKNOWN = "und"
 START, SPACE = 1, 32
 #: The codes of surrogates and private use, and how many there are (a prime below).
@@ -262,12 +263,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, learn: Callable[[Column], Column] | None = None) -> Model:
-    """Learn from docs (doc_id, text, lang), where learn(doc_id) holds (everywhere if None); null langs and texts teach nothing."""
+    """Learn from docs (doc_id, text, lang), where learn(doc_id) holds (everywhere if None); null langs and texts teach nothing.
+
+    A language's limit comes from texts that the hash of id and text sets aside before anything is counted; languages of
+    fewer than ENOUGH texts have none and take the largest limit of the others.
+    """
     spark = bound_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     if learn is not None:
         rows = rows.where(learn(F.col("doc_id")))
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    shares = staged(rows.groupBy("lang").agg(F.when(F.count("*") >= ENOUGH, F.least(F.lit(TENTH), CALIBRATION / F.count("*"))).otherwise(0.0).alias("share")), "languages")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
+    rows = join_small(rows, shares, "lang").withColumn("aside", F.coalesce(drawn, F.lit(False)))
+    counts = rows.where("not aside").select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     levels = [staged(counts, "grams")]
     for k in range(ORDER - 1, 0, -1):
         lower = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1).cast("long"))
@@ -282,9 +290,11 @@ def fit(docs: DataFrame, learn: Callable[[Column], Column] | None = None) -> Mod
     for k, level in enumerate(levels):
         discounts = np.array([discount(stats[k][name].n1, stats[k][name].n2) for name in languages])
         slices = -(-sum(r.size for r in stats[k].values()) // PART)
+        if slices > 1:  # each slice is read once
+            part_of = F.shiftrightunsigned("gram", 16) % 1_000_003 % slices
+            level = staged(level.withColumn("slice", part_of.cast("int")).repartition("slice"), "slices", by="slice")
         for i in range(slices):
-            context = F.shiftrightunsigned("gram", 16)
-            table = level.where(context % 1_000_003 % slices == i).toArrow() if slices > 1 else level.toArrow()
+            table = level.where(F.col("slice") == i).drop("slice").toArrow() if slices > 1 else level.toArrow()
             if not len(table):
                 continue
             lang = table.column("lang").combine_chunks().dictionary_encode()
@@ -292,7 +302,8 @@ def fit(docs: DataFrame, learn: Callable[[Column], Column] | None = None) -> Mod
             part = Part.of(which, table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), discounts)
             model.parts[k].append(spark.sparkContext.broadcast(part))
             del table, lang, which, part
-    picked = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).distinct()
+        if slices > 1:
+            unstage(level)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = Characters()
@@ -301,11 +312,12 @@ def fit(docs: DataFrame, learn: Callable[[Column], Column] | None = None) -> Mod
             mine = [(i, h[r, i]) for r, name in enumerate(batch.column(1).to_pylist()) if letters[r] and (i := place.get(name)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in mine], pa.int32()), pa.array([e for _, e in mine], pa.float64())], names=["i", "h"])
 
-    sample = rows.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "lang").mapInArrow(own, "i int, h double").limit(2 * CALIBRATION).collect()
-    limits = np.full(len(languages), np.inf)
-    for i in range(len(languages)):
-        if mine := [r.h for r in sample if r.i == i]:
-            limits[i] = SLACK * float(np.quantile(mine, QUANTILE))
+    sample = rows.where("aside").select("text", "lang").mapInArrow(own, "i int, h double")
+    found = {r.i: r.h for r in sample.groupBy("i").agg(F.percentile("h", F.lit(QUANTILE)).alias("h")).collect()}
+    most = max(found.values(), default=np.inf)
+    limits = np.array([SLACK * found.get(i, most) for i in range(len(languages))])
+    for x in [*levels, shares]:
+        unstage(x)
     return model._replace(limits=limits)
 
 

@@ -339,3 +339,23 @@ def test_targets_of_a_chain_of_sources(spark):
     free = {round(r.target / w, 3) for (r, w) in zip(sorted(got, key=lambda r: (r.source is None, r.source or "")), [1, 2, 3] * 2000, strict=False) if r.target < 3 * r.source_size}
     assert len(free) == 1
     assert mixing.source_targets(spark.createDataFrame([("a", 0, 2), ("b", 0, 1)], "source string, source_size long, rows long")).agg({"target": "max"}).first()[0] == 0
+
+
+def test_language_limits_come_from_texts_left_out(spark):
+    """Every language with enough texts has a limit of its own that accepts most of it and rejects others; few texts take the largest."""
+    from sparkloom.llm import langid
+
+    rng = random.Random(5)
+    letters = {"a": "abcdefgh", "b": "hgfedcba", "c": "mnopqrst", "few": "uvwxyz"}
+    word = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 6))) for _ in range(60)] for k, v in letters.items()}
+    rows = [(i, " ".join(rng.choice(word[k]) for _ in range(40)), k) for i, k in enumerate(["a"] * 400 + ["b"] * 300 + ["c"] * 60 + ["few"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert np.isfinite(model.limits).all() and model.limits[3] == model.limits.max() and len(set(model.limits.tolist())) == 3
+    fresh = [(k, " ".join(rng.choice(word[k]) for _ in range(40))) for k in "abc" for _ in range(40)] + [("other", "".join(rng.choice("äöüßéèñ ") for _ in range(200))) for _ in range(10)]
+    got = langid.with_language(spark.createDataFrame(fresh, "k string, text string"), model).collect()
+    mine = [r for r in got if r.k != "other"]
+    assert all(r["__lang"].lang == r.k for r in mine) and sum(r["__lang"].accepted for r in mine) >= 0.9 * len(mine)
+    assert not any(r["__lang"].accepted for r in got if r.k == "other")
+    again = langid.fit(docs.repartition(9))
+    assert np.allclose(again.limits, model.limits)

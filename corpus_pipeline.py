@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, jaccard, mixing, tokens, toxicity
-from sparkloom.llm.common import staged
+from sparkloom.llm.common import staged, unstage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +39,14 @@ STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("deconta
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written and read again as the next one's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = staged(docs, f"stage-{name}")
+            if before is not None:  # nothing reads it any more
+                unstage(before)
+            before = docs
     return docs
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, private, small, staged, with_struct
+from .common import bound_batches, private, small, staged, unstage, with_struct
 
 #: Labelled rows that are learned from, at most: those of least hash. The rest of the work covers every row.
 MAX_TOXIC, MAX_OTHER = 10_000, 20_000
@@ -226,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), batch.column(1)], names=["d", "t", "toxic"])
 
     x = np.array([(r.d, r.t, r.toxic) for r in sample.mapInArrow(features, "d double, t double, toxic boolean").collect()]).reshape(-1, 3)
+    unstage(sample)
     x = x[np.lexsort(x.T)]  # sums in one order whatever the tasks
     return model._replace(beta=logistic(x[:, :2], x[:, 2]))
 

@@ -180,3 +180,39 @@ def test_bootstrap_replays_numpy(spark):
         rng, v = np.random.RandomState(42), np.array(held[r.user_id])
         best = [max(v[j] for j in rng.choice(len(v), size=4, replace=True)) for _ in range(1000)]
         assert (r["mean"], r["std"]) == (round(float(np.mean(best)), 6), round(float(np.std(best)), 6))
+
+
+def test_contained_texts_far_inside(spark):
+    """Passages beyond the first stretch, over the seam of two, and of short texts; a text of one repeated letter."""
+    from sparkloom.operators import matching
+
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000))
+    stored = [(1, long), (2, "x" * 9000), (3, "short one"), (4, None), (5, "")]
+    probes = [(10, long[4080:4140]), (11, long[-50:]), (12, "x" * 40), (13, long[9000:9060] + "!"), (14, "ort"), (15, ""), (16, None), (17, long[:33])]
+    a, b = spark.createDataFrame(probes, "p long, t string"), spark.createDataFrame(stored, "s long, u string")
+    got = sorted((r.p, r.s) for r in matching.containments(a, "p", "t", b, "s", "u").collect())
+    assert got == sorted((p, s) for p, t in probes for s, u in stored if t and u and t in u)
+
+
+def test_reuse_by_a_grid(spark):
+    """The same rows as comparing with all kept before."""
+    from sparkloom.operators import retrieval
+
+    rng = random.Random(4)
+    rows = [(i % 2, i, rng.choice(["a", "b"]), [rng.uniform(0, 3) for _ in range(3)]) for i in range(300)]
+    got = {r.o: r.source for r in retrieval.reuse_earlier(spark.createDataFrame(rows, "g long, o long, d string, s array<double>"), "g", "o", "d", "s", 0.7).collect()}
+    held: dict = {}
+    for g, o, d, s in rows:
+        found = next((q for q, t in held.get((g, d), []) if math.dist(s, t) <= 0.7), None)
+        if found is None:
+            held.setdefault((g, d), []).append((o, s))
+        assert got[o] == (o if found is None else found)
+
+
+def test_search_without_a_group(spark):
+    from sparkloom.operators import matching
+
+    df = spark.createDataFrame([(i, f"The {i}" if i % 3 else "nothing") for i in range(200)], "k long, t string").repartition(6)
+    got = {r.k: r.place for r in matching.search(df, "t", "THE", [F.desc("k")]).collect()}
+    assert got == {k: i for i, k in enumerate(sorted((k for k in range(200) if k % 3), reverse=True), 1)}

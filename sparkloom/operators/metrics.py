@@ -75,17 +75,17 @@ def validation_metrics(df: DataFrame, source: str, prompt: str, value: str) -> D
 
     A prompt's values are sorted once; each best@n (worst@n) is one fold over them, for as many n as its N asks.
     """
-    g = df.groupBy(source, prompt).agg(F.sort_array(F.collect_list(value)).alias("v"), F.count(value).alias("N"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    N = F.col("N")
+    g = df.groupBy(source, prompt).agg(F.sort_array(F.collect_list(value)).alias("__v"), F.count(value).alias("__n"), F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    N = F.col("__n")
     doublings = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(N, F.lit(2)))), F.lit(1)).cast("int")), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda n: n < N)
     sizes = F.when(N > 1, F.concat(doublings, F.array(N))).otherwise(F.array().cast("array<long>"))
     at = lambda i, n: F.pow(i / N.cast("double"), n)
-    best = lambda n: F.aggregate(F.transform("v", lambda x, i: x * (at(i + 1, n) - at(i, n))), F.lit(0.0), lambda a, x: a + x)
-    worst = lambda n: F.aggregate(F.transform("v", lambda x, i: x * (at(N - i, n) - at(N - i - 1, n))), F.lit(0.0), lambda a, x: a + x)
+    best = lambda n: F.aggregate(F.transform("__v", lambda x, i: x * (at(i + 1, n) - at(i, n))), F.lit(0.0), lambda a, x: a + x)
+    worst = lambda n: F.aggregate(F.transform("__v", lambda x, i: x * (at(N - i, n) - at(N - i - 1, n))), F.lit(0.0), lambda a, x: a + x)
     row = lambda name, n, v: F.struct(F.concat(F.lit(f"{name}@"), n.cast("string")).alias("metric"), v.cast("double").alias("value"))
-    rows = F.concat(F.array(row("mean", N, F.col("m")), row("std", N, F.col("s"))), F.transform(sizes, lambda n: row("best", n, best(n))), F.transform(sizes, lambda n: row("worst", n, worst(n))))
-    long = g.where(N > 0).select(source, F.explode(rows).alias("x"))
-    return long.groupBy(source, F.col("x.metric").alias("metric")).agg(F.avg("x.value").alias("value"), F.count("*").alias("prompts"))
+    rows = F.concat(F.array(row("mean", N, F.col("__m")), row("std", N, F.col("__s"))), F.transform(sizes, lambda n: row("best", n, best(n))), F.transform(sizes, lambda n: row("worst", n, worst(n))))
+    long = g.where(N > 0).select(source, F.explode(rows).alias("__x"))
+    return long.groupBy(source, F.col("__x.metric").alias("metric")).agg(F.avg("__x.value").alias("value"), F.count("*").alias("prompts"))
 
 
 def summary(df: DataFrame, *columns: str) -> DataFrame:

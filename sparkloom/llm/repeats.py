@@ -6,7 +6,8 @@ alone with its digits so far leaves; what is equal after the last pass are exact
 1. The first digit is chosen by content: of the DIGIT-byte strings in a window the one of least hash, its anchor. Equal
    windows have equal anchors at equal places, and neighbouring windows share theirs, so a run of suffixes with one anchor
    is one row, about one in 150 bytes. Anchors that occur once leave here, and so most of the text.
-2. Runs with equal content are copies: all their windows are repeated, and one of them stands for all.
+2. Runs with equal content are copies: all their windows are repeated, and one of them stands for all. Where equal runs
+   follow one another, as in a text of one letter, they are one row from the start.
 3. Other runs of an anchor are sorted by their further bytes, digit by digit, in tasks of bounded size (`radix`).
 4. An anchor with more than LIMIT different runs, as where a common passage begins, is split by further passes in Spark:
    by the bytes that the next PART windows share, then by whole windows; these only count rows, so no group is one task's.
@@ -103,7 +104,8 @@ def runs_of(buffer: bytes, pieces: list[tuple[int, int, int, int]], length: int,
     return owner[first], starts[first], spans, mine[first] - starts[first], hashes[mine[first]].view(np.int64)
 
 
-RUN = "id long, at long, span int, shift int, anchor long, content long"
+#: times: so many equal runs follow one another, as where a text repeats a letter or a line over and over.
+RUN = "id long, at long, span int, shift int, anchor long, content long, times int"
 
 
 def _runs(length: int, digit: int, size: int):
@@ -116,7 +118,10 @@ def _runs(length: int, digit: int, size: int):
                 owner, at, spans, shift, anchor = runs_of(buffer, pieces, length, digit)
                 text, place, base, _ = np.array(pieces, np.int64)[owner].T
                 content = [xxhash.xxh3_64_intdigest(buffer[a : a + s + length - 1]) for a, s in zip(at.tolist(), spans.tolist(), strict=True)]
-                columns = (ids[text], place + at - base, spans, shift, anchor, np.array(content, np.uint64).view(np.int64))
+                content = np.array(content, np.uint64).view(np.int64)
+                follows = (owner[1:] == owner[:-1]) & (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]) & (spans[1:] == spans[:-1])
+                first = np.flatnonzero(np.concatenate(([True], ~follows)))
+                columns = (*(c[first] for c in (ids[text], place + at - base, spans, shift, anchor, content)), np.diff(np.append(first, len(at))))
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
@@ -238,7 +243,7 @@ def _cut(length: int):
 def _mixed_windows(texts: DataFrame, mixed: DataFrame, length: int, digit: int, limit: int, bucket: int) -> DataFrame:
     """(anchor, content, spans) of runs of anchors that have different ones: null where all windows are repeated, else the intervals of those that are."""
     spark, part = texts.sparkSession, min(PART, max(1, length // 10))
-    contents = staged(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at", "span", "shift")).alias("one")), "contents")
+    contents = staged(mixed.groupBy("anchor", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("id", "at", "span", "shift")).alias("one")), "contents")
     hot = contents.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > limit).select("anchor", F.lit(True).alias("hot"))
     entry = F.struct("one.at", "one.span", "one.shift", "anchor", "content", "copies", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = staged(contents.join(hot, "anchor", "left").groupBy(F.col("one.id").alias("id")).agg(F.collect_list(entry).alias("wanted")), "wanted")
@@ -278,12 +283,12 @@ def with_repeats(docs: DataFrame, name: str = "__repeats", length: int = LENGTH,
     rows = staged(docs.withColumn(place, F.monotonically_increasing_id()), "texts", compression="zstd")
     texts = rows.select(F.col(place).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     runs = staged(texts.where(F.octet_length("text") >= length).mapInArrow(_runs(length, digit, size), RUN), "runs")
-    anchors = staged(runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1"), "anchors")
+    anchors = staged(runs.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("times"), (F.min("content") != F.max("content")).alias("mixed")).where("times > 1").drop("times"), "anchors")
     shared = staged(join_salted(runs, anchors, "anchor", "n", runs.count(), "id", "at").where(F.col("mixed").isNotNull()), "shared")
     unstage(runs)
     unstage(anchors)
     judged = _mixed_windows(texts, shared.where("mixed"), length, digit, limit, bucket)
-    whole = F.array(F.col("at"), F.col("at") + F.col("span"))
+    whole = F.array(F.col("at"), F.col("at") + F.col("span") * F.col("times"))
     some = F.transform("spans", lambda x: F.col("at") + x)
     hits = shared.where("not mixed").select("id", whole.alias("where"))
     hits = hits.unionByName(shared.where("mixed").join(judged, ["anchor", "content"]).select("id", F.coalesce(some, whole).alias("where")))

@@ -359,3 +359,12 @@ def test_language_limits_come_from_texts_left_out(spark):
     assert not any(r["__lang"].accepted for r in got if r.k == "other")
     again = langid.fit(docs.repartition(9))
     assert np.allclose(again.limits, model.limits)
+
+
+def test_a_text_of_one_letter_is_one_run(spark):
+    """Runs that follow one another equal are one row, also over the ends of pieces."""
+    docs = spark.createDataFrame([(1, "x" * 50_000), (2, "abc" * 3000 + "d")], "id long, text string")
+    runs = docs.mapInArrow(repeats._runs(400, 100, 1 << 12), repeats.RUN).collect()
+    assert len(runs) < 60 and sum(r.span * r.times for r in runs) == 50_000 - 399 + 9001 - 399
+    want = sorted(((i, *w) for i, w in zip((1, 2), brute_repeats([r.text for r in docs.collect()], 40), strict=True)), key=str)
+    assert report(spark, docs.withColumnRenamed("id", "doc_id"), 40, size=1 << 12) == want

@@ -257,3 +257,29 @@ def expressions_equal(a: Column, b: Column) -> Column:
 
     run.__annotations__ = {}
     return F.pandas_udf(run, "boolean")(a, b)
+
+
+def any_equal(answer: Column, golds: Column) -> Column:
+    """Whether an answer is one of an array of right ones, as text or as an expression; false if it can't be read, null for null."""
+
+    def run(given: pd.Series, wanted: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, ...] | None] = {}
+
+        def of(text: str) -> tuple[int, ...] | None:
+            if text not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[text] = values(text)
+            return known[text]
+
+        out = []
+        for a, right in zip(given, wanted, strict=True):
+            if a is None or right is None:
+                out.append(None)
+            else:
+                x = of(a)
+                out.append(any(g is not None and (a == g or (x is not None and x == of(g))) for g in right))
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {}
+    return F.pandas_udf(run, "boolean")(answer, golds)

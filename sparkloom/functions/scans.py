@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,18 +49,26 @@ def adaptive_kl(kls: Column, start: float, target: float, horizon: float, n_step
     return F.aggregate(kls, F.lit(start), step)
 
 
+def waiting_times(at: np.ndarray, cost: np.ndarray, rate: float, size: float) -> np.ndarray:
+    """Waits of requests in order. What the bucket has, plus all costs and less all refills so far, is the least of what it
+    would be if it had been full at one of the requests: a running minimum."""
+    if not len(at):
+        return np.zeros(0)
+    refilled, spent = (at - at[0]) * rate, np.cumsum(cost)
+    have = refilled - spent + np.minimum.accumulate(size + (spent - cost) - refilled)
+    return np.maximum(0.0, -have / rate)
+
+
 def token_bucket(arrivals: Column, rate: float, size: float) -> Column:
     """Waiting time of each request (at, cost) of an ordered array: the bucket refills at `rate` up to `size`, and a
-    request takes its cost at once, waiting until the debt would be paid."""
+    request takes its cost at once, waiting until the debt would be paid. Linear in the requests; null for null."""
 
-    def step(a: Column, x: Column) -> Column:
-        have = F.least(F.lit(size), a["have"] + (x["at"] - a["at"]) * rate) - x["cost"]
-        wait = F.greatest(F.lit(0.0), -have / rate)
-        return F.struct(x["at"].alias("at"), have.alias("have"), F.concat(a["out"], F.array(wait)).alias("out"))
+    def run(at: pd.Series, cost: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else waiting_times(np.asarray(a, np.float64), np.asarray(c, np.float64), rate, size) for a, c in zip(at, cost, strict=True)], dtype=object)
 
-    first = F.get(arrivals, F.lit(0))["at"]
-    start = F.struct(first.alias("at"), F.lit(size).alias("have"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(arrivals, start, step, lambda a: a["out"])
+    run.__annotations__ = {}
+    part = lambda n: F.transform(arrivals, lambda x: x[n].cast("double"))
+    return F.pandas_udf(run, "array<double>")(part("at"), part("cost"))
 
 
 def mismatches(a: Column, b: Column, mask: Column) -> Column:

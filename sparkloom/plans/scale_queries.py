@@ -88,6 +88,12 @@ def t14_symbolic(s, d):
     return table(s, d, "part").select("p_partkey", algebra.expressions_equal(given, gold).alias("equal"), algebra.expressions_equal(F.concat(a, F.lit("/4")), F.concat(F.lit("0.25 * "), a)).alias("quarter"))
 
 
+def t65_any_expression(s, d):
+    """Sizes as fractions of ten against three right answers in other forms."""
+    golds = F.array(F.lit("0.5"), F.lit(r"\frac{6}{5}"), F.lit("2^3/5"), F.lit("no number"))
+    return table(s, d, "part").select("p_partkey", algebra.any_equal(F.concat(F.col("p_size").cast("string"), F.lit("/10")), golds).alias("hit"))
+
+
 _SEQ = "with recursive a as (select user_id, list(event_id order by event_id) as e, list(value * 0.010307718293::double order by event_id) as r, list(event_id % 7 / 10.0::double order by event_id) as v, list(case when event_type <> 'view' then 1 else 0 end order by event_id) as m from events group by 1)"
 _HEX = "cast('0x' || substr(h, {}, 15) as bigint)::hugeint"
 
@@ -108,6 +114,7 @@ _KIND = "case when event_type in ('click', 'signup') then 'put' when event_type
 QUERIES = {
     "s25_append_log": (s25_append_log, "select doc_id, n_chars from documents union all select doc_id + 1000000000, n_chars from documents where n_chars < 500"),
     "f09_tool_session": (f09_tool_session, "with x as (select conv_id, turn, coalesce(length(text), 0) as chars from conversations) select conv_id, turn, row_number() over w as call, chars, cast(sum(chars) over w as bigint) as total from x window w as (partition by conv_id order by turn rows unbounded preceding) union all select conv_id, null, count(*), null, cast(sum(chars) as bigint) from x group by conv_id"),
+    "t65_any_expression": (t65_any_expression, "select p_partkey, p_size in (5, 12, 16) as hit from part"),
     "t14_symbolic": (t14_symbolic, "select p_partkey, p_partkey % 3 <> 0 as equal, true as quarter from part"),
     "m02_consumed_queue": (m02_consumed_queue, f"with recursive a as (select user_id, list({_KIND} order by event_id) as k from events group by 1), f as (select user_id, 1 as i, 0 as taken, 0 as held, 0 as waiting, false as closed from a union all select f.user_id, i + 1, case when k[i] = 'put' and waiting > 0 or k[i] = 'take' and held > 0 then taken + 1 else taken end, case when k[i] = 'put' and waiting = 0 then held + 1 when k[i] = 'take' and held > 0 then held - 1 when k[i] = 'clear' then 0 else held end, case when k[i] = 'put' and waiting > 0 then waiting - 1 when k[i] = 'take' and held = 0 and not closed then waiting + 1 when k[i] = 'close' then 0 else waiting end, closed or coalesce(k[i] = 'close', false) from f join a using (user_id) where i <= len(k)) select user_id, cast(taken as bigint) as taken, cast(held as bigint) as left, closed from f join a using (user_id) where i = len(k) + 1"),
     "g12_resample": (g12_resample, f"with x as (select {_K}, cast(round((pow(abs(l_quantity), 2) + 1e-8) / 1e-8) as hugeint) as w from lineitem), s as (select *, coalesce(sum(w) over (order by {_K} rows between unbounded preceding and 1 preceding), 0) as at from x), p as (select i as draw, ({_HEX.format(1)} * 1152921504606846976 + {_HEX.format(16)}) % (select sum(w) from x) as p from (select i, md5('42:' || i) as h from range((select count(*) from x)) t(i))) select draw, {_K} from p asof join s on p.p >= s.at"),

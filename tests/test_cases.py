@@ -116,3 +116,24 @@ def test_columns_unfold_in_order(spark):
     assert rows_of(batch.unfold(df, 2, "v"), "k", "part", "v", "t") == [(1, 0, [1, 2], "a"), (1, 1, [3, 4], "a"), (2, 0, [5, 6], "b"), (2, 1, [7, 8], "b")]
     with pytest.raises(Exception, match="divide"):
         batch.unfold(df, 3, "v").collect()
+
+
+def test_token_bucket_by_hand_and_step_by_step(spark):
+    """A bucket of 10 that refills 1 a second; then random requests one at a time."""
+    import numpy as np
+
+    assert scans.waiting_times(np.array([0.0, 0.0, 5.0, 100.0]), np.array([8.0, 4.0, 5.0, 11.0]), 1.0, 10.0) == pytest.approx([0.0, 2.0, 2.0, 1.0])
+    rng = random.Random(3)
+    at, cost, have, now, want = 0.0, [], 4.0, 0.0, []
+    times = []
+    for _ in range(500):
+        at += rng.expovariate(1.0)
+        c = rng.uniform(0, 3)
+        have = min(4.0, have + (at - now) * 1.3) - c
+        now = at
+        times.append(at)
+        cost.append(c)
+        want.append(max(0.0, -have / 1.3))
+    assert scans.waiting_times(np.array(times), np.array(cost), 1.3, 4.0) == pytest.approx(want, abs=1e-9)
+    df = spark.createDataFrame([([(0.0, 8.0), (0.0, 4.0)],), ([],), (None,)], "a array<struct<at: double, cost: double>>")
+    assert [r[0] for r in df.select(scans.token_bucket(F.col("a"), 1.0, 10.0)).collect()] == [[0.0, 2.0], [], None]

@@ -91,3 +91,8 @@ def test_long_expressions_are_linear():
 def test_expressions_of_columns(spark):
     df = spark.createDataFrame([("2x", "x+x"), ("2x", "x"), (None, "x"), ("@", "x")], "a string, b string")
     assert [r[0] for r in df.select(algebra.expressions_equal(F.col("a"), F.col("b"))).collect()] == [True, False, None, None]
+
+
+def test_any_of_several_answers(spark):
+    df = spark.createDataFrame([("x+1", ["2", "1 + x"]), ("one", ["one", None]), ("one", ["1"]), (None, ["1"]), ("1", None), ("1", [])], "a string, g array<string>")
+    assert [r[0] for r in df.select(algebra.any_equal(F.col("a"), F.col("g"))).collect()] == [True, True, False, None, None, False]

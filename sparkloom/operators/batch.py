@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_position(df: DataFrame, by: str | list[str], *ties: str, name: str = "pos") -> DataFrame:
     """df with its 0-based position in the order of `by` and ties, nulls first, without sorting all rows in one task.
 
@@ -23,14 +31,15 @@ def with_position(df: DataFrame, by: str | list[str], *ties: str, name: str = "p
     keys = [by] if isinstance(by, str) else list(by)
     order = [*keys, *ties]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = staged(ranged.withColumn("__range", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sizes = numbered.groupBy("__range").agg(F.count("*").alias("n"), F.min("__row").alias("__first")).orderBy("__range").collect()
+    part, row, move = (unused(df, n) for n in ("__range", "__row", "__move"))
+    numbered = staged(ranged.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    sizes = numbered.groupBy(F.col(part).alias("range")).agg(F.count("*").alias("n"), F.min(row).alias("first")).orderBy("range").collect()
     before, starts = 0, []
     for s in sizes:
-        starts.append((s["__range"], before - s["__first"]))
+        starts.append((s["range"], before - s["first"]))
         before += s.n
-    moved = df.sparkSession.createDataFrame(starts, "__range int, __move long")
-    return numbered.join(F.broadcast(moved), "__range").withColumn(name, F.col("__row") + F.col("__move")).drop("__range", "__row", "__move")
+    moved = df.sparkSession.createDataFrame(starts, f"{part} int, {move} long")
+    return numbered.join(F.broadcast(moved), part).withColumn(name, F.col(row) + F.col(move)).drop(part, row, move)
 
 
 def select_positions(df: DataFrame, picks: DataFrame, pos: str = "pos") -> DataFrame:

@@ -137,3 +137,10 @@ def test_token_bucket_by_hand_and_step_by_step(spark):
     assert scans.waiting_times(np.array(times), np.array(cost), 1.3, 4.0) == pytest.approx(want, abs=1e-9)
     df = spark.createDataFrame([([(0.0, 8.0), (0.0, 4.0)],), ([],), (None,)], "a array<struct<at: double, cost: double>>")
     assert [r[0] for r in df.select(scans.token_bucket(F.col("a"), 1.0, 10.0)).collect()] == [[0.0, 2.0], [], None]
+
+
+def test_positions_beside_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(i % 7, i, "r", 5) for i in range(60)], "k long, __row long, __range string, __move int").repartition(4)
+    x = batch.with_position(df, "k", "__row")
+    assert x.columns == [*df.columns, "pos"] and rows_of(x, "pos", "__row") == [(p, i) for p, i in enumerate(i for _, i in sorted((i % 7, i) for i in range(60)))]
+    assert x.where("__range <> 'r' or __move <> 5").count() == 0

@@ -97,4 +97,4 @@ reach as (select r, r as c from d union select reach.r, sides.y from reach join
 select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(e.doc_id) as component_id from d left join n using (r) join reach using (r) join d e on e.r = reach.c group by d.r, d.doc_id
 """
 
-ORACLES = {"op5_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": DECONTAMINATION, "op9_jaccard_join": JACCARD, "op12_source_divergence": divergence.ORACLE, "op13_vector_codes": veccodes.ORACLE}
+ORACLES = {"op5_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_decontamination": DECONTAMINATION, "op9_jaccard_join": JACCARD, "op11_suffix_dedup": repeats.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_vector_codes": veccodes.ORACLE}

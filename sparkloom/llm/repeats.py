@@ -336,3 +336,18 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = with_repeats(docs.select("doc_id", "text"), "spans", length)
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return with_struct(found, "report", fields, [F.col("text"), F.col("spans")], make).select("doc_id", "report.*")
+
+
+#: The same rows by DuckDB, from the hashes of all windows.
+ORACLE = r"""
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select r, i, md5(b[i + 1:i + 400]) as h from (select r, b, unnest(range(0, octet_length(b) - 399)) as i from d)),
+again as (select h from w group by h having count(*) > 1),
+s as (select r, i, lag(i) over (partition by r order by i) as p from w join again using (h)),
+g as (select r, i, sum(case when p is null or i > p + 400 then 1 else 0 end) over (partition by r order by i) as span from s),
+spans as (select r, min(i) as a, max(i) + 400 as z from g group by r, span),
+kept as (select r, coalesce(lag(z) over (partition by r order by a), 0) as f, a as t from spans union all select d.r, coalesce(max(z), 0), octet_length(any_value(b)) from d left join spans on spans.r = d.r group by d.r),
+k as (select r, sha256(unhex(string_agg(hex(b[f + 1:t]), '' order by f))) as kept_sha256 from kept join d using (r) group by r),
+n as (select r, sum(z - a) as n_removed, count(*) as n_spans from spans group by r)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, kept_sha256 from d join k using (r) left join n using (r)
+"""

@@ -308,7 +308,7 @@ def test_registered_sql_of_the_new_operators(spark):
     c = duckdb.connect()
     for t in ("documents", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
-    for name in ("op12_source_divergence", "op13_vector_codes"):
+    for name in ("op11_suffix_dedup", "op12_source_divergence", "op13_vector_codes"):
         df, rel = queries.QUERIES[name](spark, DATA), c.sql(queries.ORACLES[name])
         at = [rel.columns.index(x) for x in df.columns]
         assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, (tuple(r[i] for i in at) for r in rel.fetchall()))), name

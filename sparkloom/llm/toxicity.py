@@ -51,7 +51,9 @@ FOLD |= {0x1D400 + 52 * s + i: chr(97 + i % 26) for s in range(13) for i in rang
 FOLD |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 FOLD |= {c: _SPACE for c in (0x85, 0xA0, 0xA1, 0xAB, 0xB7, 0xBB, 0xBF, *range(0x2000, 0x200B), *range(0x2010, 0x2030), 0x2039, 0x203A, 0x3000)}
 # Combining marks that decomposed letters carry.
-FOLD |= {c: None for r in (range(0x300, 0x370), range(0x1AB0, 0x1B00), range(0x1DC0, 0x1E00), range(0x20D0, 0x2100), range(0xFE20, 0xFE30)) for c in r}
+MARKS = "\u0300-\u036F\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\uFE20-\uFE2F"
+FOLD |= {ord(c): None for c in map(chr, range(0x300, 0xFE30)) if re.match(f"[{MARKS}]", c)}
+MARKED = re.compile(f"[{MARKS}]+")
 WORD = re.compile(r"[^\W\d_]+")
 INSIDE = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
 DOLLAR = re.compile(r"\$+(?=[^\W\d_])|(?<=[^\W\d_])\${1,2}(?![\w$])")
@@ -86,7 +88,10 @@ def fold(text: str) -> str:
 
 def plain(folded: str) -> str:
     """The same words without accents, which may be decoration or spelling: every word is looked for in both forms."""
-    return folded if folded.isascii() else unicodedata.normalize("NFD", folded).translate(FOLD)
+    if folded.isascii():
+        return folded
+    text = MARKED.sub("", unicodedata.normalize("NFD", folded))
+    return text if text.isascii() else text.translate(FOLD)
 
 
 def entries(text: str) -> set[str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or one like it that no column of df has."""
     taken = {c.lower() for c in df.columns}

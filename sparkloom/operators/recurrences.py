@@ -131,8 +131,9 @@ def _edges(maps: Maps, k: int, inputs: int):
                 e = held.setdefault(r, [mine[0], mine[0], np.eye(k), None])
                 new = np.flatnonzero(_new(mine, e[1]))
                 if e[3] is None:
-                    for at in range(lo, lo + (int(new[0]) if len(new) else hi - lo), STEP):
-                        e[2] = prefix_products(m[at : min(at + STEP, lo + (int(new[0]) if len(new) else hi - lo))])[-1] @ e[2]
+                    end = lo + (int(new[0]) if len(new) else hi - lo)  # of the first sequence's rows
+                    for at in range(lo, end, STEP):
+                        e[2] = prefix_products(m[at : min(at + STEP, end)])[-1] @ e[2]
                 if e[3] is not None or len(new):
                     first = np.zeros(hi - lo, bool)
                     first[new] = True
@@ -175,7 +176,6 @@ def scan_rows(df: DataFrame, sequence: str, order: list, maps: Maps, k: int, inp
     driver sees one row a range. Ranges are read by batches, so a range needs no more memory than one. Null inputs count
     as 0, null is a sequence like any other. The number of ranges is the session's number of shuffle partitions.
     """
-    spark = df.sparkSession
     key = F.to_json(F.struct(F.col(sequence))).cast("binary")
     given = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__scan_in{i}") for i, c in enumerate(inputs)]
     sorted_rows = df.repartitionByRange(F.col(sequence).asc_nulls_first(), *order).withColumn("__scan_range", F.spark_partition_id())
@@ -230,8 +230,4 @@ def scan_arrays(maps: Maps, k: int, component: int, *arrays: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     run.__annotations__ = {}
-    return F.pandas_udf(run, to_return())(*arrays)
-
-
-def to_return() -> T.ArrayType:
-    return T.ArrayType(T.DoubleType())
+    return F.pandas_udf(run, "array<double>")(*arrays)

@@ -204,9 +204,12 @@ def ragged(df: DataFrame, group: str, order: str, *arrays: str) -> DataFrame:
 
     Row i of a batch has offsets[i]:offsets[i + 1] of the values. A null array is empty.
     """
-    held = F.sort_array(F.collect_list(F.struct(order, *[F.coalesce(a, F.array().cast(df.schema[a].dataType)).alias(a) for a in arrays])))
-    rows = df.groupBy(group).agg(held.alias("__h"))
-    offsets = lambda a: F.aggregate(F.col(f"__h.{a}"), F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + F.size(x))))
+    whole = df.select(group, order, *[F.coalesce(a, F.array().cast(df.schema[a].dataType)).alias(a) for a in arrays])
+    w = Window.partitionBy(group).orderBy(order, *arrays).rowsBetween(Window.unboundedPreceding, 0)
+    ends = [F.sum(F.size(a)).over(w).cast("int").alias(f"__end_{a}") for a in arrays]
+    held = F.sort_array(F.collect_list(F.struct(order, *arrays, *[f"__end_{a}" for a in arrays])))
+    rows = whole.select("*", *ends).groupBy(group).agg(held.alias("__h"))
+    offsets = lambda a: F.concat(F.array(F.lit(0)), F.col(f"__h.__end_{a}"))
     return rows.select(group, *[c for a in arrays for c in (F.flatten(F.col(f"__h.{a}")).alias(a), offsets(a).alias(f"{a}_offsets"))])
 
 

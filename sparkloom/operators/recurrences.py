@@ -78,10 +78,11 @@ def tally_maps() -> Maps:
     return of
 
 
-def prefix_products(maps: np.ndarray) -> np.ndarray:
-    """The composition of each map with all before it: in round i each takes in the one 2 ** i places before."""
-    out, shift = maps.copy(), 1
-    while shift < len(out):
+def prefix_products(maps: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """The composition of each map with all before it, or at least with those back to the start of its sequence if none is
+    longer than `longest`: in round i each takes in the one 2 ** i places before."""
+    out, shift, longest = maps.copy(), 1, len(maps) if longest is None else min(longest, len(maps))
+    while shift < longest:
         out[shift:] = np.matmul(out[shift:], out[:-shift])
         shift *= 2
     return out
@@ -93,11 +94,16 @@ def forget(maps: np.ndarray, first: np.ndarray) -> np.ndarray:
     return maps
 
 
-def states(maps: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The state after each element, from the one before all of them, and the last one."""
+def longest_run(first: np.ndarray) -> int:
+    """Elements of the longest sequence, the first and the last one as far as they are here."""
+    return int(np.diff(np.concatenate(([0], np.flatnonzero(first), [len(first)]))).max(initial=1))
+
+
+def states(maps: np.ndarray, state: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The state after each element, from the one before all of them, and the last one; see prefix_products."""
     out = np.empty((len(maps), len(state)))
     for at in range(0, len(maps), STEP):
-        out[at : at + STEP] = prefix_products(maps[at : at + STEP]) @ state
+        out[at : at + STEP] = prefix_products(maps[at : at + STEP], longest) @ state
         state = out[min(at + STEP, len(maps)) - 1]
     return out, state
 
@@ -136,7 +142,7 @@ def _edges(maps: Maps, k: int, inputs: int):
                 if e[3] is not None or len(new):
                     first = np.zeros(hi - lo, bool)
                     first[new] = True
-                    _, e[3] = states(forget(m[lo:hi].copy(), first), _start(k) if e[3] is None else e[3])
+                    _, e[3] = states(forget(m[lo:hi].copy(), first), _start(k) if e[3] is None else e[3], longest_run(first))
                 e[1] = mine[-1]
         rows = [(r, e[0], e[1], e[2].ravel().tolist(), None if e[3] is None else e[3].tolist()) for r, e in held.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
@@ -159,7 +165,8 @@ def _apply(maps: Maps, k: int, inputs: int, outputs: int, handed: dict[int, tupl
                     now = int(ranges[lo])
                     key, state = handed[now]
                     state = np.array(state)
-                out[lo:hi], state = states(forget(m[lo:hi], _new(keys[lo:hi], key)), state)
+                first = _new(keys[lo:hi], key)
+                out[lo:hi], state = states(forget(m[lo:hi], first), state, longest_run(first))
                 key = keys[hi - 1]
             rest = batch.columns[2 + inputs :]
             made = [pa.array(out[:, i]) for i in range(outputs)]
@@ -223,7 +230,7 @@ def scan_arrays(maps: Maps, k: int, component: int, *arrays: Column) -> Column:
             ends = np.cumsum(lengths)
             first = np.zeros(int(ends[-1]), bool)
             first[[int(e - n) for e, n in zip(ends, lengths, strict=True) if n]] = True
-            made, _ = states(forget(maps(*flat), first), _start(k))
+            made, _ = states(forget(maps(*flat), first), _start(k), max(lengths))
             for i, e, n in zip(present, ends.tolist(), lengths, strict=True):
                 out[i] = made[e - n : e, component][::-1]
         return pd.Series(out, dtype=object)

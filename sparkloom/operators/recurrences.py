@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,21 +218,31 @@ def suffix_sum_rows(df: DataFrame, sequence: str, position: str, reward: str, ma
 
 
 def scan_arrays(maps: Maps, k: int, component: int, *arrays: Column) -> Column:
-    """The same over array columns, from the end of each array: all arrays of a batch are one scan, linear in their elements."""
-
-    def run(*columns: pd.Series) -> pd.Series:
-        present = [i for i in range(len(columns[0])) if all(c.iloc[i] is not None for c in columns)]
-        lengths = [len(columns[0].iloc[i]) for i in present]
-        out: list = [None] * len(columns[0])
-        if present:
-            flat = [np.concatenate([np.asarray(c.iloc[i], np.float64)[::-1] for i in present]) for c in columns]
-            ends = np.cumsum(lengths)
-            first = np.zeros(int(ends[-1]), bool)
-            first[[int(e - n) for e, n in zip(ends, lengths, strict=True) if n]] = True
-            made, _ = states(forget(maps(*flat), first), _start(k), max(lengths))
-            for i, e, n in zip(present, ends.tolist(), lengths, strict=True):
-                out[i] = made[e - n : e, component][::-1]
-        return pd.Series(out, dtype=object)
-
-    run.__annotations__ = {}
-    return F.pandas_udf(run, "array<double>")(*arrays)
+    """The same over array columns, from the end of each array: all arrays of a batch are one scan, linear in their elements.
+
+    Null where one of a row's arrays is null; the arrays of a row are of one length.
+    """
+
+    def of(*columns: pa.Array) -> pa.Array:
+        valid = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+        rows = pa.array(np.flatnonzero(valid))
+        flat = [c.take(rows).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in columns]
+        lengths = np.where(valid, columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+        n = lengths[valid]
+        start = np.cumsum(n) - n
+        back = np.repeat(2 * start + n - 1, n) - np.arange(len(flat[0]))  # the place of each element in its array reversed
+        first = np.zeros(len(back), bool)
+        first[start[n > 0]] = True
+        made, _ = states(forget(maps(*[f[back] for f in flat]), first), _start(k), int(n.max(initial=1)))
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[back, component]), mask=pa.array(~valid))
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return of(a, b)
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return of(a, b, c)
+
+    run = two if len(arrays) == 2 else three
+    run.__annotations__ = dict.fromkeys(("a", "b", "c", "return") if run is three else ("a", "b", "return"), pa.Array)
+    return F.arrow_udf(run, "array<double>")(*arrays)

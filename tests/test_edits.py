@@ -18,3 +18,20 @@ def test_change_first_of_a_large_scene(spark):
     x = scenes.select(geometry.change_first(F.col("objects"), F.lit("7"), "pos", F.array(F.lit(-1.0))).alias("o")).select(F.posexplode("o"))
     assert [(r.pos, r.col.pos) for r in x.where("col.pos[0] <> pos").collect()] == [(7, [-1.0])] and x.count() == n
     assert time.time() - at < 40
+
+
+def test_a_large_scene_grows_by_adds(spark):
+    """Each add goes behind those before it, into a group that the first one makes."""
+    n = 30_000
+    scenes = spark.createDataFrame([("s", []), ("t", None)], f"scene string, groups array<struct<group_name:string,objects:array<{OBJECT}>>>")
+    edits = spark.range(n).select(F.lit("s").alias("scene"), F.col("id").alias("turn"), F.lit("add").alias("name"), F.lit("").alias("target"), F.col("id").cast("string").alias("desc"), F.concat(F.lit("g"), F.col("id") % 3).alias("group"))
+    at = time.time()
+    got = {r.scene: r.groups for r in geometry.apply_group_edits(scenes, edits, "scene", "turn").collect()}
+    assert got["t"] is None and [(g.group_name, [int(o.desc) for o in g.objects]) for g in got["s"]] == [(f"g{i}", list(range(i, n, 3))) for i in range(3)]
+    assert time.time() - at < 60
+
+
+def test_null_is_nothings_id(spark):
+    scenes = spark.createDataFrame([("s", [("d", "1", None, [1.0], [1.0], [1.0])])], f"scene string, objects array<{OBJECT}>")
+    edits = spark.createDataFrame([("s", 1, "remove", None), ("s", 2, "move", None)], "scene string, turn int, name string, target string")
+    assert [o.jid for o in geometry.apply_edits(scenes, edits, "scene", "turn").first().objects] == ["1"]

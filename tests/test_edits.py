@@ -35,3 +35,20 @@ def test_null_is_nothings_id(spark):
     scenes = spark.createDataFrame([("s", [("d", "1", None, [1.0], [1.0], [1.0])])], f"scene string, objects array<{OBJECT}>")
     edits = spark.createDataFrame([("s", 1, "remove", None), ("s", 2, "move", None)], "scene string, turn int, name string, target string")
     assert [o.jid for o in geometry.apply_edits(scenes, edits, "scene", "turn").first().objects] == ["1"]
+
+
+def _scene(spark, n, name):
+    """n objects, of which each gets an edit by its id."""
+    at = lambda x: F.array(x * 1.0)
+    o = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.lit("d").alias("desc"), i.cast("string").alias("jid"), F.lit(None).cast("string").alias("uid"), at(i).alias("size"), at(i).alias("pos"), at(i).alias("rot")))
+    edits = spark.range(n).select(F.lit("s").alias("scene"), F.col("id").alias("turn"), name.alias("name"), F.col("id").cast("string").alias("target"), F.lit("new").alias("desc"), *[F.array(F.lit(-1.0)).alias(f) for f in ("pos", "rot", "size")])
+    return spark.range(1).select(F.lit("s").alias("scene"), o.alias("objects")), edits
+
+
+def test_a_large_scene_of_moves_turns_and_removals(spark):
+    n, names = 20_000, F.array(*[F.lit(x) for x in ("move", "rotate", "scale", "remove")])
+    scenes, edits = _scene(spark, n, F.get(names, (F.col("id") % 4).cast("int")))
+    at = time.time()
+    got = [(o.jid, o.pos[0], o.rot[0], o.size[0]) for o in geometry.apply_edits(scenes, edits, "scene", "turn").first().objects]
+    assert got == [(str(i), *[-1.0 if i % 4 == k else float(i) for k in range(3)]) for i in range(n) if i % 4 < 3]
+    assert time.time() - at < 60

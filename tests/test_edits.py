@@ -52,3 +52,16 @@ def test_a_large_scene_of_moves_turns_and_removals(spark):
     got = [(o.jid, o.pos[0], o.rot[0], o.size[0]) for o in geometry.apply_edits(scenes, edits, "scene", "turn").first().objects]
     assert got == [(str(i), *[-1.0 if i % 4 == k else float(i) for k in range(3)]) for i in range(n) if i % 4 < 3]
     assert time.time() - at < 60
+
+
+def test_one_id_of_many_objects(spark):
+    """Replacements of an id go from object to object; a removal takes what is left, also where objects have two ids."""
+    n = 6_000
+    for uid in (None, "u"):
+        scenes, _ = _scene(spark, n, F.lit("x"))
+        scenes = scenes.withColumn("objects", F.transform("objects", lambda o: F.struct(o["desc"], F.lit("a").alias("jid"), F.lit(uid).cast("string").alias("uid"), o["size"], o["pos"], o["rot"])))  # noqa: B023
+        edits = spark.range(n).select(F.lit("s").alias("scene"), F.col("id").alias("turn"), F.when(F.col("id") == n // 2, "remove").otherwise("replace").alias("name"), F.lit("a").alias("target"), F.col("id").cast("string").alias("desc"))
+        at = time.time()
+        got = [(o.desc, o.jid, o.pos[0]) for o in geometry.apply_edits(scenes, edits, "scene", "turn").first().objects]
+        assert got == [(str(i), None, float(i)) for i in range(n // 2)]
+        assert time.time() - at < 60

@@ -29,7 +29,8 @@ def response_mask(ids: Column, ends: Column) -> Column:
     """1 up to and including the first element that is among ends, then 0."""
 
     last = F.array_position(F.transform(ids, lambda x: F.coalesce(F.array_contains(ends, x), F.lit(False))), True)
-    return F.transform(ids, lambda _, i: F.when((last > 0) & (i >= last), 0).otherwise(1))
+    # An array of one is a name for the place, which is sought once.
+    return F.transform(F.array(last), lambda p: F.transform(ids, lambda _, i: F.when((p > 0) & (i >= p), 0).otherwise(1)))[0]
 
 
 def turn_weighted_score(scores: Column) -> Column:
@@ -84,4 +85,6 @@ def last_elements(a: Column, n: int) -> Column:
 
 def at_last(n: Column, value: Column) -> Column:
     """An array of n zeros but for the value at its end."""
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == n, value).otherwise(0.0))
+    # Not by a lambda that asks for n: it would be counted again for each element.
+    some = F.concat(F.array_repeat(F.lit(0.0), (n - 1).cast("int")), F.array(value))
+    return F.when(n <= 0, F.array().cast("array<double>")).otherwise(some)

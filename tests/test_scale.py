@@ -216,3 +216,21 @@ def test_search_without_a_group(spark):
     df = spark.createDataFrame([(i, f"The {i}" if i % 3 else "nothing") for i in range(200)], "k long, t string").repartition(6)
     got = {r.k: r.place for r in matching.search(df, "t", "THE", [F.desc("k")]).collect()}
     assert got == {k: i for i, k in enumerate(sorted((k for k in range(200) if k % 3), reverse=True), 1)}
+
+
+def test_score_at_the_last_of_many_words(spark):
+    """The words are counted once a text, not once a word."""
+    import time
+
+    from sparkloom.functions import text as X
+
+    n = 20_000
+    df = spark.createDataFrame([("word " * n, 3.0), ("one", 4.0), (None, 5.0)], "t string, v double")
+    at = time.time()
+    got = [r[0] for r in df.select(scans.at_last(X.word_count(F.col("t")), F.col("v"))).collect()]
+    assert got == [[0.0] * (n - 1) + [3.0], [4.0], None] and time.time() - at < 20
+    assert spark.range(1).select(scans.at_last(F.lit(0), F.lit(1.0))).first()[0] == []
+    ids = spark.range(1).select(F.sequence(F.lit(1), F.lit(20_000)).alias("ids"))
+    at = time.time()
+    mask = ids.select(scans.response_mask(F.col("ids"), F.array(F.lit(19_999)))).first()[0]
+    assert mask == [1] * 19_999 + [0] and time.time() - at < 20

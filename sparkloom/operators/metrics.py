@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,29 @@ def best_of_n_deviation(values: Column, n: int, worst: bool = False) -> Column:
     return F.sqrt(F.greatest(F.aggregate(square, F.lit(0.0), lambda a, x: a + x) - mean * mean, F.lit(0.0)))
 
 
+@lru_cache(256)
+def _draws(size: int, n: int, times: int, seed: int) -> np.ndarray:
+    """The places that `times` calls of choice for n of `size` draw: they depend on the size alone, and one call draws the same."""
+    return np.random.RandomState(seed).choice(size, size=(times, n), replace=True)
+
+
+def bootstrap_best(values: Column, n: int, times: int, seed: int, digits: int) -> Column:
+    """struct<mean, std>: mean and population deviation of the best of n draws with replacement from an array, over so many
+    resamples by numpy's generator, rounded; null for no values and where a null or NaN is drawn."""
+
+    def run(v: pa.Array) -> pa.Array:
+        sizes, flat = np.asarray(v.value_lengths().fill_null(0)), v.flatten().to_numpy(zero_copy_only=False)
+        out = np.full((len(v), 2), np.nan)
+        for i, (end, size) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)):
+            if size:
+                best = flat[end - size : end][_draws(size, n, times, seed)].max(axis=1)
+                out[i] = round(float(np.mean(best)), digits), round(float(np.std(best)), digits)
+        return pa.StructArray.from_arrays([pa.array(c, from_pandas=True) for c in out.T], names=["mean", "std"])
+
+    run.__annotations__ = {"v": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "mean double, std double")(values)
+
+
 def validation_metrics(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
     """(source, metric, value, prompts): mean@N, std@N, and expected best@n and worst@n for n = 2, 4, ... < N and N, by
     prompt, then averaged over the prompts that have the metric (N is part of its name).

@@ -66,17 +66,8 @@ def a15_best_at_n(s, d):
 
 def a15_bootstrap_exact(s, d):
     """The mean and population deviation of 1000 resamples with a generator seeded by 42 in each group."""
-
-    def boot(pdf):
-        import numpy as np
-        import pandas as pd
-
-        v = pdf.sort_values(["event_id"])["value"].to_numpy()
-        rng = np.random.RandomState(42)
-        best = [v[rng.choice(len(v), size=4, replace=True)].max() for _ in range(1000)]
-        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "mean": [round(float(np.mean(best)), 6)], "std": [round(float(np.std(best)), 6)]})
-
-    return table(s, d, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(boot, "user_id long, mean double, std double")
+    g = table(s, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("v"))
+    return g.select("user_id", M.bootstrap_best(F.transform("v", lambda e: e["value"]), 4, 1000, 42, 6).alias("b")).select("user_id", "b.mean", "b.std")
 
 
 def a16_majority(s, d):

@@ -234,3 +234,19 @@ def test_score_at_the_last_of_many_words(spark):
     at = time.time()
     mask = ids.select(scans.response_mask(F.col("ids"), F.array(F.lit(19_999)))).first()[0]
     assert mask == [1] * 19_999 + [0] and time.time() - at < 20
+
+
+def test_bootstrap_draws_once_a_size(spark):
+    """Groups of one size share their draws; nulls are null, as of numpy's NaN."""
+    import time
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=5 + i % 3)]) for i in range(4000)] + [(-1, [1.0, None]), (-2, []), (-3, None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>").coalesce(1)
+    at = time.time()
+    got = {r.k: r.b for r in df.select("k", metrics.bootstrap_best(F.col("v"), 4, 1000, 42, 6).alias("b")).collect()}
+    assert time.time() - at < 15 and [tuple(got[-i]) for i in (1, 2, 3)] == [(None, None)] * 3
+    for k, v in rows[:5]:
+        r = np.random.RandomState(42)
+        best = [max(v[j] for j in r.choice(len(v), size=4, replace=True)) for _ in range(1000)]
+        assert tuple(got[k]) == (round(float(np.mean(best)), 6), round(float(np.std(best)), 6))

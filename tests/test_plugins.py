@@ -96,3 +96,18 @@ def test_expressions_of_columns(spark):
 def test_any_of_several_answers(spark):
     df = spark.createDataFrame([("x+1", ["2", "1 + x"]), ("one", ["one", None]), ("one", ["1"]), (None, ["1"]), ("1", None), ("1", [])], "a string, g array<string>")
     assert [r[0] for r in df.select(algebra.any_equal(F.col("a"), F.col("g"))).collect()] == [True, True, False, None, None, False]
+
+
+def test_a_text_is_read_once(monkeypatch):
+    """One reading gives the values at all points, and a text that comes again none."""
+    made = []
+
+    class Counted(algebra.Reader):
+        def __init__(self, *args):
+            made.append(args)
+            super().__init__(*args)
+
+    monkeypatch.setattr(algebra, "Reader", Counted)
+    assert algebra.same_expression("(x + 7719)^2/3", r"\frac{1}{3}(x + 7719)(7719 + x)") is True and len(made) == 2
+    assert algebra.same_expression("(x + 7719)^2/3", r"\frac{1}{3}(x + 7719)(7719 + x)") is True and len(made) == 2
+    assert len(set(algebra.values("x"))) == len(algebra.PLACES) and algebra.values("1/2305843009213693951") is None

@@ -250,3 +250,15 @@ def test_bootstrap_draws_once_a_size(spark):
         r = np.random.RandomState(42)
         best = [max(v[j] for j in r.choice(len(v), size=4, replace=True)) for _ in range(1000)]
         assert tuple(got[k]) == (round(float(np.mean(best)), 6), round(float(np.std(best)), 6))
+
+
+def test_draws_meet_few_rows(spark, apart, monkeypatch):
+    """A group of the join has few points, so a point is compared with few rows; sums beyond the machine's whole numbers are the same draws."""
+    assert sampling.POINTS <= 16
+    df = spark.range(3000).withColumn("w", F.col("id") % 7 + 0.5)
+    draws = lambda: sorted(map(tuple, sampling.weighted_draws(df, ["id"], F.col("w"), n=2000).collect()))
+    got = draws()
+    monkeypatch.setattr(sampling, "_LONG", 1)
+    assert draws() == got and len(got) == 2000
+    monkeypatch.setattr(sampling, "COARSE", 3)
+    assert draws() == got

@@ -20,6 +20,8 @@ from ..session import staged
 SAMPLE, CENTROIDS = 10_000, 256
 #: Items of a cell and queries that one task scores at a time.
 ITEMS, QUERIES = 20_000, 2_000
+#: Scores that a task holds at a time, about: some of its queries against all items of the piece.
+SCORES = 2_000_000
 #: What rounding may cost a bound.
 SLACK = 1e-6
 #: The cell of items without direction, which score 0 with everything.
@@ -51,8 +53,13 @@ def _distances(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * np.clip(v @ centroids.T, -1, 1), 0))
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long vectors, without a Python object a number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.unique(np.asarray(column.value_lengths()))
+    if len(sizes) != 1:
+        return np.array(column.to_pylist(), np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(sizes[0]))
 
 
 def in_cells(items: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -124,10 +131,16 @@ def _score(k: int):
         if not asked.num_rows or not held.num_rows:
             return schema.empty_table()
         keys = held.column("item").to_numpy()
-        scores = np.round(unit(_vectors(asked.column("v"))) @ unit(_vectors(held.column("v"))).T, 9)
-        best = best_places(scores, keys, k)
-        rows = np.repeat(np.arange(len(scores)), best.shape[1])
-        return pa.table([asked.column("query").take(rows), pa.array(keys[best.ravel()]), pa.array(scores[rows, best.ravel()])], schema=schema)
+        v, items = unit(_vectors(asked.column("v"))), unit(_vectors(held.column("v"))).T
+        at, found, given = [], [], []
+        step = max(1, SCORES // len(keys))
+        for start in range(0, len(v), step):
+            scores = np.round(v[start : start + step] @ items, 9)
+            best = best_places(scores, keys, k)
+            at.append(start + np.repeat(np.arange(len(scores)), best.shape[1]))
+            found.append(keys[best.ravel()])
+            given.append(np.take_along_axis(scores, best, 1).ravel())
+        return pa.table([asked.column("query").take(np.concatenate(at)), pa.array(np.concatenate(found)), pa.array(np.concatenate(given))], schema=schema)
 
     return run
 

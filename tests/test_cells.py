@@ -47,3 +47,22 @@ def test_centroids_of_random_samples():
     sample = np.array([[rng.choice([0.0, 1.0]) for _ in range(3)] for _ in range(50)])
     c = cells.fit_centroids(sample, 7)
     assert len(c) <= 7 and np.allclose(np.linalg.norm(c, axis=1), 1)
+
+
+def test_scores_in_bounded_slices():
+    """A task's largest matrix is bounded whatever its queries and items, and slices give what one product gives."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkloom.operators import cells
+
+    rng = np.random.default_rng(6)
+    made = lambda name, n: pa.table({name: pa.array(np.arange(n)), "v": pa.array(list(rng.normal(size=(n, 8))), pa.list_(pa.float64()))})
+    asked, held = made("query", 1500), made("item", 10_000)
+    tracemalloc.start()
+    got = cells._score(5)(asked, held)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    some = asked.slice(700, 3)
+    assert got.slice(3500, 15).to_pylist() == cells._score(5)(some, held).to_pylist() and len(got) == 7500

@@ -84,6 +84,25 @@ def test_a_common_passage_has_a_hot_anchor(spark):
     assert report(spark, documents(spark, list(enumerate(texts))), 60, limit=20) == want and all(w[2] >= len(passage) for w in want)
 
 
+def test_equal_parts_of_a_hot_anchor_are_cut_once(spark, monkeypatch):
+    """Near copies: a part that many texts hold is cut into windows once, so windows grow with the edits, not with all that is shared."""
+    rng, made, keep = random.Random(5), {}, repeats.staged
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(40)]
+
+    def staged(df, name, **options):
+        out = keep(df, name, **options)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "staged", staged)
+    for n in (100, 200):
+        texts = [" ".join([*base[: i % 40], word(), *base[i % 40 + 1 :]]) for i in range(n)]
+        want = sorted(((i, *w) for i, w in enumerate(brute_repeats(texts, 60))), key=str)
+        assert report(spark, documents(spark, list(enumerate(texts))), 60, limit=10) == want and sum(w[2] > 0 for w in want) == n
+        assert 0 < made["windows"] < 12 * n
+
+
 def test_radix_tells_equal_hashes_apart(monkeypatch):
     """With a hash that says nothing the bytes decide."""
     monkeypatch.setattr(repeats.Rolling, "at", lambda self, places, width: np.zeros(len(places), np.uint64))

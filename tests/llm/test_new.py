@@ -103,6 +103,28 @@ def test_equal_parts_of_a_hot_anchor_are_cut_once(spark, monkeypatch):
         assert 0 < made["windows"] < 12 * n
 
 
+def test_runs_of_a_hot_anchor_are_not_dealt_by_anchor(spark, monkeypatch, capsys):
+    """Where Spark broadcasts nothing by itself, runs still find out in place whether their anchor is hot: no task gets all of one."""
+    rng, plans, keep = random.Random(7), {}, repeats.staged
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(40)]
+
+    def staged(df, name, **options):
+        df.explain()
+        plans[name] = capsys.readouterr().out
+        return keep(df, name, **options)
+
+    monkeypatch.setattr(repeats, "staged", staged)
+    texts = [" ".join([*base[: i % 40], word(), *base[i % 40 + 1 :]]) for i in range(60)]
+    want = sorted(((i, *w) for i, w in enumerate(brute_repeats(texts, 60))), key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert report(spark, documents(spark, list(enumerate(texts))), 60, limit=10) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans["wanted"] and "SortMergeJoin" not in plans["wanted"]
+
+
 def test_radix_tells_equal_hashes_apart(monkeypatch):
     """With a hash that says nothing the bytes decide."""
     monkeypatch.setattr(repeats.Rolling, "at", lambda self, places, width: np.zeros(len(places), np.uint64))

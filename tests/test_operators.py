@@ -336,6 +336,92 @@ def test_points_outside_rooms_of_many_kinds(spark):
     assert time.time() - begun < 30
 
 
+def test_surface_points_tell_what_is_out_of_bounds(spark):
+    """Boxes flush with walls and ceiling are inside, a millimetre is slack, one in a hundred points is tolerated; volume times share."""
+    room = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in ((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4))])  # an L
+
+    def several(n, mesh, floor=room, **kw):
+        found = geometry.out_of_bounds(mesh, floor, F.lit(1.0), F.lit(3.0), F.col("id"), **kw)
+        return [tuple(r.o) for r in spark.range(0, n, 1, 1).select(found.alias("o")).collect()]
+
+    def judged(mesh, floor=room, **kw):
+        return several(1, mesh, floor, **kw)[0]
+
+    def box(lo, hi):
+        return geometry.box_mesh([F.lit(float(v)) for v in lo], [F.lit(float(v)) for v in hi])
+
+    tetrahedron = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in p]) for p in t]) for t in (((0, 1, 0), (1, 1, 0), (0, 1, 1)), ((0, 1, 0), (0, 2, 0), (1, 1, 0)), ((0, 1, 0), (0, 1, 1), (0, 2, 0)), ((1, 1, 0), (0, 2, 0), (0, 1, 1)))])
+    assert judged(box((0, 1, 0), (4, 3, 2))) == judged(box((3.0005, 1, 0), (4.0005, 3.0005, 2.0005))) == judged(box((2, 0.9995, 1.9995), (3, 1, 2))) == (0.0, False, 0.0)
+    share, outside, volume = judged(box((3.002, 1, 0), (4.002, 2, 1)))  # one of six faces
+    assert 0.11 < share < 0.23 and outside and abs(volume - share) < 1e-9
+    share, outside, volume = judged(box((1, 1, 1), (3, 2, 3)), points=20_000)  # a quarter lies in the notch: 2 of top and bottom, 2 of the sides
+    assert abs(share - 0.25) < 0.02 and outside and abs(volume - 4 * share) < 1e-9
+    share, _, volume = judged(box((0, 2, 0), (1, 4, 1)), points=20_000)  # half above the ceiling: 1 of the top, 4 of the sides, of 10
+    assert abs(share - 0.5) < 0.02 and abs(volume - 2 * share) < 1e-9
+    assert abs(judged(box((0, 0, 0), (2, 2, 2)), points=20_000)[0] - 0.5) < 0.02  # half below the floor
+    flat = F.array(F.array(*[F.array(*[F.lit(v) for v in p]) for p in ((3.95, 1.5, 0.0), (3.95, 1.5, 2.0), (4.0523, 1.5, 1.0))]))
+    few = several(6, flat, points=2000)  # the tip beyond 4.001 is about a quarter
+    assert all(0.2 < s < 0.31 and o and v == 0 for s, o, v in few)  # a triangle has no volume, nor has its bounding box
+    tip = F.array(F.array(*[F.array(*[F.lit(v) for v in p]) for p in ((2.0, 1.5, 0.0), (2.0, 1.5, 2.0), (4.12, 1.5, 1.0))]))
+    seen = several(40, tip)  # 0.3 in a hundred: found, and tolerated
+    assert any(s > 0 for s, _, _ in seen) and all(o == (s > 0.01) for s, o, _ in seen) and sum(o for _, o, _ in seen) < 8
+    assert several(3, F.array_repeat(tip[0], 12_000), points=20)[2][1:] == several(3, F.array_repeat(tip[0], 1), points=20)[2][1:] == (False, 0.0)  # large meshes
+    assert judged(tetrahedron)[:2] == (0.0, False)
+    away = F.transform(tetrahedron, lambda t: F.transform(t, lambda p: F.array(p[0] + 9, p[1], p[2])))
+    assert np.allclose(judged(away)[2], 1 / 6) and np.allclose(judged(F.transform(away, F.reverse))[2], 1)  # inside out: the bounding box
+    assert judged(F.slice(tetrahedron, 1, 0)) == judged(F.lit(None)) == judged(tetrahedron, F.lit(None)) == (None, None, None)
+    assert judged(box((0, 1, 0), (1, 2, 1)), F.slice(room, 1, 2)) == (None, True, 0.1) and judged(tetrahedron, F.array(room[0], room[2])) == (None, False, 0.0)
+    assert judged(F.array(F.array(F.array(F.lit(0.0))))) == judged(geometry.box_mesh([F.lit(0.0), F.lit(None), F.lit(0.0)], [F.lit(1.0)] * 3)) == (1.0, True, None)
+
+
+def test_surface_points_of_many_meshes(spark):
+    """Against each point by itself, for meshes and rooms of several kinds in one batch, in any order of rows."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rooms = [[(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (4, 0), (0, 4)], [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 4)]]
+    rows = [(f"k{i}", np.round(rng.uniform(-1, 4.5, (1 + i % 4, 3, 3)), 3).tolist(), [[float(a), float(b)] for a, b in rooms[i % 3]], 0.0, 2.0 + i % 2) for i in range(24)]
+    df = spark.createDataFrame(rows, "k string, mesh array<array<array<double>>>, room array<array<double>>, low double, high double")
+    found = geometry.out_of_bounds(F.col("mesh"), F.col("room"), F.col("low"), F.col("high"), F.col("k"), points=60)
+    got = {r.k: r.o.share for r in df.repartition(3).select("k", found.alias("o")).collect()}
+
+    def numbers(seed: int):
+        while True:
+            seed = (seed + 0x9E3779B97F4A7C15) % 2**64
+            z = seed
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                z = (z ^ z >> shift) * factor % 2**64
+            yield ((z ^ z >> 31) >> 11) / 2**53
+
+    def near(x, z, a, b):
+        length = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        t = min(1, max(0, ((x - a[0]) * (b[0] - a[0]) + (z - a[1]) * (b[1] - a[1])) / length)) if length else 0
+        return ((x - a[0] - t * (b[0] - a[0])) ** 2 + (z - a[1] - t * (b[1] - a[1])) ** 2) ** 0.5 < 0.001
+
+    for k, mesh, room, low, high in rows:
+        draw, inside = numbers(int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:16], 16)), 0
+        areas = [np.linalg.norm(np.cross(np.subtract(b, a), np.subtract(c, a))) for a, b, c in mesh]
+        sides = list(zip(room, room[1:] + room[:1], strict=True))
+        for _ in range(60):
+            pick, u, v = next(draw) * sum(areas), next(draw), next(draw)
+            a, b, c = mesh[next(i for i in range(len(areas)) if sum(areas[: i + 1]) >= pick or i + 1 == len(areas))]
+            u, v = (1 - u, 1 - v) if u + v > 1 else (u, v)
+            x, y, z = (a[i] + u * (b[i] - a[i]) + v * (c[i] - a[i]) for i in range(3))
+            odd = sum((p[1] > z) != (q[1] > z) and x < (q[0] - p[0]) * (z - p[1]) / (q[1] - p[1]) + p[0] for p, q in sides) % 2
+            inside += bool(odd or any(near(x, z, p, q) for p, q in sides)) and low - 0.001 <= y <= high + 0.001
+        assert got[k] == 1 - inside / 60
+
+
+def test_outside_query_judges_by_surface(spark):
+    """A box that only its first tenth keeps inside: 1.3 of its surface's 10, not 0.05 of its volume, lie in the room."""
+    from sparkloom import registry
+
+    rows = registry.queries()["n53_outside"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_size"), "p_partkey").collect()
+    far = [r.share for r in rows if r.p_size == 39]
+    assert len(far) > 10 and abs(sum(far) / len(far) - 0.87) < 0.01
+    assert all(r.outside and abs(r.volume - 2 * r.share) < 1e-6 for r in rows)
+
+
 def test_faulty_json_is_a_row(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"desc": "x"}\n{broken\n')
     rows = files.read_documents(spark, str(tmp_path), files.OBJECT).collect()
